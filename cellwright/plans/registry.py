@@ -283,3 +283,51 @@ def b28(spark, sf_dir):
 @query("b29_transform_chain")
 def b29(spark, sf_dir):
     return flagship(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- detectors (D)
+from ..operators.detect import detect_anomalies  # noqa: E402
+
+NUMERIC_SUGGESTION = ("MISSING_VALUE", "OUTLIER", "OUTLIER_IQR")
+
+
+def detector_view(anomalies: DataFrame) -> DataFrame:
+    """Comparable projection of anomaly records: numeric suggestions as rounded doubles."""
+    sv = F.col("suggested_value")
+    num = F.round(sv.try_cast("double"), 4)
+    numeric = F.col("anomaly_type").isin(list(NUMERIC_SUGGESTION)) & num.isNotNull()
+    return anomalies.select(
+        F.col("column").alias("column_name"), "anomaly_type", "affected", "original_value",
+        F.when(~numeric | num.isNull(), sv).alias("suggested_value"),
+        F.when(numeric, num).alias("suggested_num"), "related_column")
+
+
+def _detect(atype):
+    def run(spark, sf_dir):
+        d = dirty(spark, sf_dir)
+        return detector_view(detect_anomalies(d, "dirty", order_by=DIRTY_ORDER, types=[atype]))
+    run.__name__ = f"detect_{atype.lower()}"
+    return run
+
+
+DETECTOR_QUERIES = {
+    "d01_missing_value": "MISSING_VALUE", "d02_outlier_zscore_and_dates": "OUTLIER",
+    "d03_duplicate": "DUPLICATE", "d04_format_invalid": "FORMAT_INVALID", "d06_inconsistent": "INCONSISTENT",
+    "d08_whitespace_only": "WHITESPACE_ONLY", "d09_cross_field_swap": "CROSS_FIELD_SWAP",
+    "d10_placeholder": "SUSPICIOUS_PLACEHOLDER", "d11_leading_trailing": "LEADING_TRAILING_WHITESPACE",
+    "d12_date_logical": "DATE_LOGICAL", "d13_round_number": "NUMERIC_ROUND_NUMBER",
+    "d14_low_variance": "LOW_VARIANCE", "d16_outlier_iqr": "OUTLIER_IQR", "d17_sequence_gap": "SEQUENCE_GAP",
+}
+for _name, _type in DETECTOR_QUERIES.items():
+    QUERIES[_name] = _detect(_type)
+
+
+@query("d00_all_anomalies")
+def d00_all(spark, sf_dir):
+    return detector_view(detect_anomalies(dirty(spark, sf_dir), "dirty", order_by=DIRTY_ORDER))
+
+
+@query("d19_detect_orders")
+def d19_orders(spark, sf_dir):
+    """All detectors over a driver table as it is (orders, keyed by o_orderkey)."""
+    return detector_view(detect_anomalies(_t(spark, sf_dir, "orders"), "orders", order_by="o_orderkey"))

@@ -165,3 +165,329 @@ SELECT row_key,
   CAST(segmento = 'HOUSEHOLD' AS TINYINT) AS segmento_HOUSEHOLD,
   CAST(segmento = 'MACHINERY' AS TINYINT) AS segmento_MACHINERY
 FROM dirty""")
+
+
+# ---------------------------------------------------------------- D (detectors on the dirty view)
+# Column classes of the dirty view, decided from its schema and the name keywords.
+NUMERIC = ["row_key", "saldo", "monto", "tasa", "puntaje"]
+STRINGS = ["client_code", "nombre", "email", "telefono", "direccion", "segmento", "pais", "pedido", "nota",
+           "fecha_texto"]
+DATES = ["fecha_nacimiento", "fecha_alta"]
+EMAIL_COLS, PHONE_COLS, NAME_COLS, ADDR_COLS = ["email"], ["telefono"], ["nombre"], ["direccion"]
+ID_LIKE = ["row_key", "client_code", "pedido"]  # names holding id / code / key
+EMAIL_RE = "^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$"
+PLACE = ("'n/a','na','null','none','undefined','pendiente','tbd','todo','s/d','sin dato','sin datos',"
+         "'desconocido','unknown','0000','xxxxxx','campo en blanco','véase otra columna','ver otra columna',"
+         "'no aplica','no disponible','xxx','xx','x','-','--','---'")
+
+
+def _rec(col, atype, affected, original="NULL", sugg="NULL", num="NULL", rel="NULL", where=None, src="dirty"):
+    w = f" WHERE {where}" if where else ""
+    return (f"SELECT * FROM (SELECT CAST('{col}' AS VARCHAR) AS column_name, CAST('{atype}' AS VARCHAR) AS anomaly_type, "
+            f"CAST({affected} AS BIGINT) AS affected, CAST({original} AS VARCHAR) AS original_value, "
+            f"CAST({sugg} AS VARCHAR) AS suggested_value, CAST({num} AS DOUBLE) AS suggested_num, "
+            f"CAST({rel} AS VARCHAR) AS related_column FROM {src}){w}")
+
+
+def _union(parts):
+    return DIRTY + "\nUNION ALL\n".join(parts)
+
+
+def _first(col, cond, what=None):
+    return f"arg_min({what or col}, row_key) FILTER (WHERE {cond})"
+
+
+def _trim(x):
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _mode(col):
+    return (f"(SELECT v FROM (SELECT CAST({col} AS VARCHAR) AS v, count(*) AS c FROM dirty WHERE {col} IS NOT NULL "
+            f"GROUP BY 1) ORDER BY c DESC, v LIMIT 1)")
+
+
+def _missing():
+    parts = []
+    for c in NUMERIC + STRINGS + DATES:
+        nul = f"(SELECT count(*) FROM dirty WHERE {c} IS NULL)"
+        if c in PHONE_COLS or c in ADDR_COLS:
+            sugg, num = "NULL", "NULL"
+        elif c in NUMERIC:
+            sugg, num = "NULL", f"(SELECT coalesce(round(avg({c}), 4), 0) FROM dirty)"
+        elif c in STRINGS:
+            sugg, num = f"coalesce({_mode(c)}, '')", "NULL"
+        else:
+            sugg, num = "'null'", "NULL"
+        parts.append(_rec(c, "MISSING_VALUE", nul, sugg=sugg, num=num, where="affected > 0",
+                          src="(SELECT 1 AS one)"))
+    return _union(parts)
+
+
+def _zscore():
+    parts = []
+    for c in NUMERIC:
+        st = f"(SELECT avg({c}) AS m, stddev_samp({c}) AS s, count({c}) AS n FROM dirty)"
+        cnt = f"(SELECT count(*) FROM dirty, {st} st WHERE st.n >= 4 AND st.s > 0 AND abs({c} - st.m) / st.s > 3)"
+        parts.append(_rec(c, "OUTLIER", cnt, num=f"(SELECT round(avg({c}), 4) FROM dirty)", where="affected > 0",
+                          src="(SELECT 1 AS one)"))
+    for c in DATES:
+        bad = f"(year({c}) < 1900 OR year({c}) > 2030)"
+        parts.append(_rec(c, "OUTLIER", f"count(*) FILTER (WHERE {bad})", original=_first(c, bad),
+                          where="affected > 0"))
+    return _union(parts)
+
+
+def _dup_key(c):
+    if c in EMAIL_COLS:
+        return f"lower({_trim(c)})"
+    if c in PHONE_COLS:
+        return f"regexp_replace({c}, '[\\s\\-()+.]', '', 'g')"
+    return f"CAST({c} AS VARCHAR)"
+
+
+def _duplicates():
+    parts = []
+    for c in NUMERIC + STRINGS:
+        idl = c in ID_LIKE or c in EMAIL_COLS or c in PHONE_COLS
+        thr = 0.80 if idl else 0.98
+        vc = f"(SELECT {_dup_key(c)} AS k, count(*) AS cnt FROM dirty WHERE {c} IS NOT NULL GROUP BY 1)"
+        src = (f"(SELECT sum(cnt) AS n, count(*) AS d, sum(cnt - 1) FILTER (WHERE cnt > 1) AS extra, "
+               f"count(*) FILTER (WHERE cnt > 1) AS reps, arg_min(k, (-cnt, k)) AS ex FROM {vc})")
+        parts.append(_rec(c, "DUPLICATE", "extra", original="ex", sugg="'DUPLICADO'",
+                          where=f"n >= 4 AND d / n >= {thr} AND reps > 0", src=src)
+                     .replace("SELECT CAST(", "SELECT n, d, reps, CAST(", 1))
+    sel = "column_name, anomaly_type, affected, original_value, suggested_value, suggested_num, related_column"
+    return DIRTY + "\nUNION ALL\n".join(f"SELECT {sel} FROM ({p})" for p in parts)
+
+
+def _formats():
+    parts = []
+    for c in EMAIL_COLS:
+        bad = f"({c} IS NOT NULL AND NOT regexp_full_match({c}, '{EMAIL_RE}'))"
+        parts.append(_rec(c, "FORMAT_INVALID", f"count(*) FILTER (WHERE {bad})", original=_first(c, bad),
+                          sugg="'EMAIL_INVALIDO'", where="affected > 0"))
+    for c in PHONE_COLS:
+        cl = f"regexp_replace({c}, '[\\s\\-()+.]', '', 'g')"
+        bad = (f"({c} IS NOT NULL AND (NOT regexp_full_match({cl}, '[0-9]{{7,13}}') OR regexp_full_match({cl}, '0+') "
+               f"OR regexp_matches({_trim(c)}, '^\\(?00\\)?[\\s\\-]')))")
+        parts.append(_rec(c, "FORMAT_INVALID", f"count(*) FILTER (WHERE {bad})", original=_first(c, bad),
+                          sugg="'TEL_INVALIDO'", where="affected > 0"))
+    return _union(parts)
+
+
+def _inconsistent():
+    parts = []
+    for c in STRINGS:
+        vc = f"(SELECT {c} AS v, count(*) AS cnt FROM dirty WHERE {c} IS NOT NULL GROUP BY 1)"
+        src = (f"(SELECT *, sum(cnt) FILTER (WHERE cnt < t) AS rare, arg_min(v, (-cnt, v)) FILTER (WHERE cnt < t) AS rex, "
+               f"arg_min(v, (-cnt, v)) FILTER (WHERE cnt >= t) AS top FROM "
+               f"(SELECT v, cnt, sum(cnt) OVER () AS n, count(*) OVER () AS d, "
+               f"greatest(2, CAST(floor(sum(cnt) OVER () * 0.01) AS BIGINT)) AS t FROM {vc}) GROUP BY ALL)")
+        src = (f"(SELECT max(n) AS n, max(d) AS d, sum(cnt) FILTER (WHERE cnt < t) AS rare, "
+               f"arg_min(v, (-cnt, v)) FILTER (WHERE cnt < t) AS rex, arg_min(v, (-cnt, v)) FILTER (WHERE cnt >= t) AS top "
+               f"FROM (SELECT v, cnt, sum(cnt) OVER () AS n, count(*) OVER () AS d, "
+               f"greatest(2, CAST(floor(sum(cnt) OVER () * 0.01) AS BIGINT)) AS t FROM {vc}))")
+        parts.append(_rec(c, "INCONSISTENT", "rare", original="rex", sugg="top",
+                          where="n >= 10 AND d <= 15 AND d / n < 0.10 AND rare > 0", src=src)
+                     .replace("SELECT CAST(", "SELECT n, d, rare, CAST(", 1))
+    sel = "column_name, anomaly_type, affected, original_value, suggested_value, suggested_num, related_column"
+    return DIRTY + "\nUNION ALL\n".join(f"SELECT {sel} FROM ({p})" for p in parts)
+
+
+def _text(kind):
+    parts = []
+    for c in STRINGS:
+        t = _trim(c)
+        if kind == "WHITESPACE_ONLY":
+            cond = f"({c} IS NOT NULL AND length({t}) = 0)"
+            parts.append(_rec(c, kind, f"count(*) FILTER (WHERE {cond})",
+                              original=f"'''' || {_first(c, cond)} || ''''", where="affected > 0"))
+        elif kind == "SUSPICIOUS_PLACEHOLDER":
+            cond = f"(lower({t}) IN ({PLACE}))"
+            parts.append(_rec(c, kind, f"count(*) FILTER (WHERE {cond})", original=_first(c, cond),
+                              sugg="'PENDIENTE_COMPLETAR'", where="affected > 0"))
+        else:
+            cond = f"({c} <> {t} AND length({t}) > 0)"
+            parts.append(_rec(c, kind, f"count(*) FILTER (WHERE {cond})", original=_first(c, cond),
+                              sugg=_first(c, cond, t), where="affected > 0"))
+    return _union(parts)
+
+
+def _swaps():
+    """Wrong-field rules: name holds e-mail (all rows), then rules on the first 500 non-null values."""
+    parts = []
+    for c in STRINGS:
+        samp = f"(SELECT {c} AS v, row_key FROM dirty WHERE {c} IS NOT NULL ORDER BY row_key LIMIT 500)"
+        st = _trim("v")
+        rules = {
+            "date": "v <> '' AND regexp_matches(v, '^[0-9]{1,2}[/\\-][0-9]{1,2}[/\\-][0-9]{2,4}$|^[0-9]{4}[/\\-][0-9]{1,2}[/\\-][0-9]{1,2}$')",
+            "phone": f"v <> '' AND regexp_matches({st}, '^[+\\s\\-()]*[0-9][0-9\\s\\-.()]{{6,19}}$') "
+                     f"AND length(regexp_replace(v, '[^0-9]', '', 'g')) >= 7",
+            "phone_email": f"v <> '' AND regexp_matches({st}, '^\\+?[0-9\\s\\-()]{{7,20}}$') AND position('@' IN v) = 0",
+            "email_addr": f"v <> '' AND regexp_matches(v, '{EMAIL_RE}')",
+            "id_addr": f"v <> '' AND regexp_matches({st}, '^[A-Z][0-9]{{4}}$')",
+            "locality": f"v <> '' AND regexp_matches({st}, '^[A-Za-z\\s]+,\\s*[A-Z]{{2}}\\s+[0-9]{{5}}$')",
+        }
+        cols = ", ".join(f"count(*) FILTER (WHERE {r}) AS {k}, arg_min(v, row_key) FILTER (WHERE {r}) AS {k}_ex"
+                         for k, r in rules.items())
+        full = (f"(SELECT count(*) FILTER (WHERE regexp_full_match({c}, '{EMAIL_RE}')) AS em, "
+                f"arg_min({c}, row_key) FILTER (WHERE regexp_full_match({c}, '{EMAIL_RE}')) AS em_ex FROM dirty)")
+        is_name, is_phone = c in NAME_COLS, c in PHONE_COLS
+        is_email, is_addr = c in EMAIL_COLS, c in ADDR_COLS
+        chain = []
+        if is_name:
+            chain.append(("em > 0", "em", "em_ex"))
+            chain.append(("date > 0", "date", "date_ex"))
+        if not is_phone:
+            chain.append(("phone > 0 AND phone / greatest(n, 1) > 0.1", "phone", "phone_ex"))
+        if is_email:
+            chain.append(("phone_email > 0", "phone_email", "phone_email_ex"))
+        if is_addr:
+            chain.append(("email_addr > 0", "email_addr", "email_addr_ex"))
+            chain.append(("id_addr > 0", "id_addr", "id_addr_ex"))
+        if is_name:
+            chain.append(("locality > 0", "locality", "locality_ex"))
+        if not chain:
+            continue
+        cnt = "CASE " + " ".join(f"WHEN {w} THEN {a}" for w, a, _ in chain) + " END"
+        ex = "CASE " + " ".join(f"WHEN {w} THEN {e}" for w, _, e in chain) + " END"
+        src = f"(SELECT * FROM (SELECT count(*) AS n, {cols} FROM {samp}), {full})"
+        parts.append(_rec(c, "CROSS_FIELD_SWAP", cnt, original=ex, sugg="'VALOR_EN_CAMPO_INCORRECTO'",
+                          where="affected IS NOT NULL AND affected > 0", src=src))
+    return _union(parts)
+
+
+def _date_logical():
+    s, e = "fecha_nacimiento", "fecha_alta"
+    inv = f"({s} IS NOT NULL AND {e} IS NOT NULL AND {s} > {e})"
+    orig = f"'{s}=' || CAST({_first(s, inv)} AS VARCHAR) || ' | {e}=' || CAST({_first(e, inv)} AS VARCHAR)"
+    return _union([_rec(s, "DATE_LOGICAL", f"count(*) FILTER (WHERE {inv})", original=orig, rel=f"'{e}'",
+                        where="affected > 0")])
+
+
+def _round_numbers():
+    parts = []
+    for c in NUMERIC:
+        if c in ID_LIKE:
+            continue
+        src = (f"(SELECT *, count(*) FILTER (WHERE CAST({c} AS DOUBLE) % dv = 0) AS hits, "
+               f"arg_min(CAST({c} AS DOUBLE), row_key) FILTER (WHERE CAST({c} AS DOUBLE) % dv = 0) AS ex FROM dirty, "
+               f"(SELECT count({c}) AS n, avg({c}) AS m, stddev_samp({c}) AS s, "
+               f"CASE WHEN abs(avg({c})) >= 1000 THEN 1000.0 ELSE 100.0 END AS dv FROM dirty) GROUP BY ALL)")
+        src = (f"(SELECT max(n) AS n, max(m) AS m, max(s) AS s, "
+               f"count(*) FILTER (WHERE CAST({c} AS DOUBLE) % dv = 0) AS hits, "
+               f"arg_min(CAST({c} AS DOUBLE), row_key) FILTER (WHERE CAST({c} AS DOUBLE) % dv = 0) AS ex FROM dirty, "
+               f"(SELECT count({c}) AS n, avg({c}) AS m, stddev_samp({c}) AS s, "
+               f"CASE WHEN abs(avg({c})) >= 1000 THEN 1000.0 ELSE 100.0 END AS dv FROM dirty))")
+        parts.append(_rec(c, "NUMERIC_ROUND_NUMBER", "hits", original="ex",
+                          where="n >= 10 AND m <> 0 AND s >= abs(m) * 0.1 AND hits / n > 0.40", src=src)
+                     .replace("SELECT CAST(", "SELECT n, m, s, hits, CAST(", 1))
+    sel = "column_name, anomaly_type, affected, original_value, suggested_value, suggested_num, related_column"
+    return DIRTY + "\nUNION ALL\n".join(f"SELECT {sel} FROM ({p})" for p in parts)
+
+
+def _low_variance():
+    parts = []
+    sel = "column_name, anomaly_type, affected, original_value, suggested_value, suggested_num, related_column"
+    for c in NUMERIC:
+        if c in ID_LIKE:
+            continue
+        src = f"(SELECT count({c}) AS n, avg({c}) AS m, stddev_samp({c}) AS s FROM dirty)"
+        parts.append(_rec(c, "LOW_VARIANCE", "n", original="CAST(round(m, 4) AS VARCHAR)",
+                          where="n > 10 AND m <> 0 AND s / abs(m) < 0.01", src=src)
+                     .replace("SELECT CAST(", "SELECT n, m, s, CAST(", 1))
+    for c in STRINGS:
+        if c in ID_LIKE:
+            continue
+        vc = f"(SELECT {c} AS v, count(*) AS cnt FROM dirty WHERE {c} IS NOT NULL GROUP BY 1)"
+        src = f"(SELECT sum(cnt) AS n, max(cnt) AS top, arg_min(v, (-cnt, v)) AS tv FROM {vc})"
+        parts.append(_rec(c, "LOW_VARIANCE", "n", original="tv", sugg="'GRUPO_BAJO_VARIANZA'",
+                          where="n > 10 AND top / n >= 0.95", src=src)
+                     .replace("SELECT CAST(", "SELECT n, top, CAST(", 1))
+    return DIRTY + "\nUNION ALL\n".join(f"SELECT {sel} FROM ({p})" for p in parts)
+
+
+def _iqr():
+    parts = []
+    sel = "column_name, anomaly_type, affected, original_value, suggested_value, suggested_num, related_column"
+    for c in NUMERIC:
+        x = f"CAST({c} AS DOUBLE)"
+        ranked = f"(SELECT {x} AS v, row_number() OVER (ORDER BY {x}) AS rn, count(*) OVER () AS n FROM dirty WHERE {c} IS NOT NULL)"
+        qs = (f"(SELECT max(v) FILTER (WHERE rn = CAST(floor((n - 1) * 0.25 + 0.5) AS BIGINT) + 1) AS q1, "
+              f"max(v) FILTER (WHERE rn = CAST(floor((n - 1) * 0.75 + 0.5) AS BIGINT) + 1) AS q3, "
+              f"max(n) AS n, median(v) AS med FROM {ranked})")
+        z = (f"(SELECT count(*) FROM dirty, (SELECT avg({c}) AS m, stddev_samp({c}) AS s, count({c}) AS n FROM dirty) st "
+             f"WHERE st.n >= 4 AND st.s > 0 AND abs({c} - st.m) / st.s > 3)")
+        out = f"({x} < q1 - 1.5 * (q3 - q1) OR {x} > q3 + 1.5 * (q3 - q1))"
+        src = (f"(SELECT max(n) AS n, max(q3) - max(q1) AS iqr, max(med) AS med, count(*) FILTER (WHERE {out}) AS cnt, "
+               f"arg_min({x}, row_key) FILTER (WHERE {out}) AS ex, {z} AS zc FROM dirty, {qs})")
+        parts.append(_rec(c, "OUTLIER_IQR", "cnt", original="CAST(ex AS VARCHAR)", num="round(med, 4)",
+                          where="n >= 4 AND iqr <> 0 AND cnt > 0 AND zc = 0", src=src)
+                     .replace("SELECT CAST(", "SELECT n, iqr, cnt, zc, CAST(", 1))
+    return DIRTY + "\nUNION ALL\n".join(f"SELECT {sel} FROM ({p})" for p in parts)
+
+
+def _sequences():
+    """Sequence rule per text column with sorted-index quartiles (index int(n*q))."""
+    parts = []
+    sel = "column_name, anomaly_type, affected, original_value, suggested_value, suggested_num, related_column"
+    pat = "^([A-Za-z\\-_]*)([0-9]+)$"
+    for c in STRINGS:
+        gate = (f"(SELECT count({c}) AS n, count(DISTINCT {c}) AS d, "
+                f"count(*) FILTER (WHERE regexp_full_match({c}, '{pat}')) AS m FROM dirty)")
+        pref = (f"(SELECT p, cnt FROM (SELECT regexp_extract({c}, '{pat}', 1) AS p, count(*) AS cnt FROM dirty "
+                f"WHERE regexp_full_match({c}, '{pat}') GROUP BY 1) ORDER BY cnt DESC, p LIMIT 1)")
+        nums = (f"(SELECT CAST(regexp_extract({c}, '{pat}', 2) AS BIGINT) AS x FROM dirty, {pref} pr "
+                f"WHERE regexp_full_match({c}, '{pat}') AND regexp_extract({c}, '{pat}', 1) = pr.p)")
+        srt = f"(SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS k FROM {nums})"
+        qs = (f"(SELECT max(x) FILTER (WHERE i = least(k - 1, CAST(floor(k * 0.25) AS BIGINT))) AS q1, "
+              f"max(x) FILTER (WHERE i = least(k - 1, CAST(floor(k * 0.75) AS BIGINT))) AS q3, "
+              f"max(x) FILTER (WHERE i = least(k - 1, CAST(floor(k * 0.10) AS BIGINT))) AS p10, "
+              f"max(x) FILTER (WHERE i = least(k - 1, CAST(floor(k * 0.90) AS BIGINT))) AS p90, "
+              f"min(x) AS mn, max(x) AS mx, count(DISTINCT x) AS dx, max(k) AS k FROM {srt})")
+        fence = (f"(SELECT *, CASE WHEN q3 - q1 > 0 THEN q1 - 1.5 * (q3 - q1) ELSE p10 END AS lo, "
+                 f"CASE WHEN q3 - q1 > 0 THEN q3 + 1.5 * (q3 - q1) ELSE p90 END AS hi FROM {qs})")
+        outs = (f"(SELECT count(*) FILTER (WHERE x < lo OR x > hi) AS outn, min(x) FILTER (WHERE x < lo OR x > hi) AS outx, "
+                f"min(x) FILTER (WHERE x >= lo AND x <= hi) AS cmin, max(x) FILTER (WHERE x >= lo AND x <= hi) AS cmax "
+                f"FROM {nums}, {fence})")
+        hole = (f"(SELECT min(a.x) + 1 AS h FROM (SELECT DISTINCT x FROM {nums}) a "
+                f"WHERE a.x < (SELECT max(x) FROM {nums}) AND NOT EXISTS "
+                f"(SELECT 1 FROM (SELECT DISTINCT x FROM {nums}) b WHERE b.x = a.x + 1))")
+        pad = "length(CAST(mn AS VARCHAR))"
+        src = f"(SELECT * FROM {gate}, {pref} pr, {fence} f, {outs} o, {hole} hh)"
+        affected = "CASE WHEN outn > 0 THEN outn ELSE (mx - mn + 1) - dx END"
+        def zfill(v):  # Python str.zfill: pad to the width, never cut
+            s_ = f"CAST({v} AS VARCHAR)"
+            return f"(CASE WHEN length({s_}) >= {pad} THEN {s_} ELSE lpad({s_}, CAST({pad} AS INTEGER), '0') END)"
+        ex = f"CASE WHEN outn > 0 THEN p || {zfill('outx')} ELSE p || {zfill('h')} END"
+        lo_hi = (f"CASE WHEN outn > 0 AND q3 - q1 > 0 THEN CAST(cmin AS VARCHAR) || '|' || CAST(cmax AS VARCHAR) "
+                 f"WHEN outn > 0 THEN CAST(p10 AS VARCHAR) || '|' || CAST(p90 AS VARCHAR) "
+                 f"ELSE CAST(mn AS VARCHAR) || '|' || CAST(mx AS VARCHAR) END")
+        orig = f"p || '|' || {lo_hi} || '|' || {ex}"
+        parts.append(_rec(c, "SEQUENCE_GAP", affected, original=orig, sugg="'ID_FUERA_SECUENCIA'",
+                          where=("n >= 4 AND d / n >= 0.95 AND m / n >= 0.80 AND cnt / n >= 0.80 AND k >= 2 "
+                                 "AND affected > 0"), src=src)
+                     .replace("SELECT CAST(", "SELECT n, d, m, cnt, k, CAST(", 1))
+    return DIRTY + "\nUNION ALL\n".join(f"SELECT {sel} FROM ({p})" for p in parts)
+
+
+oracle("d01_missing_value", _missing())
+oracle("d02_outlier_zscore_and_dates", _zscore())
+oracle("d03_duplicate", _duplicates())
+oracle("d04_format_invalid", _formats())
+oracle("d06_inconsistent", _inconsistent())
+oracle("d08_whitespace_only", _text("WHITESPACE_ONLY"))
+oracle("d09_cross_field_swap", _swaps())
+oracle("d10_placeholder", _text("SUSPICIOUS_PLACEHOLDER"))
+oracle("d11_leading_trailing", _text("LEADING_TRAILING_WHITESPACE"))
+oracle("d12_date_logical", _date_logical())
+oracle("d13_round_number", _round_numbers())
+oracle("d14_low_variance", _low_variance())
+oracle("d16_outlier_iqr", _iqr())
+oracle("d17_sequence_gap", _sequences())
+_ALL_D = ["d01_missing_value", "d02_outlier_zscore_and_dates", "d03_duplicate", "d04_format_invalid",
+          "d06_inconsistent", "d08_whitespace_only", "d09_cross_field_swap", "d10_placeholder",
+          "d11_leading_trailing", "d12_date_logical", "d13_round_number", "d14_low_variance", "d16_outlier_iqr",
+          "d17_sequence_gap"]
+oracle("d00_all_anomalies", DIRTY + "\nUNION ALL\n".join(
+    f"SELECT * FROM ({ORACLES[k][len(DIRTY):]})" for k in _ALL_D))
