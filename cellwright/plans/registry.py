@@ -331,3 +331,27 @@ def d00_all(spark, sf_dir):
 def d19_orders(spark, sf_dir):
     """All detectors over a driver table as it is (orders, keyed by o_orderkey)."""
     return detector_view(detect_anomalies(_t(spark, sf_dir, "orders"), "orders", order_by="o_orderkey"))
+
+
+# ---------------------------------------------------------------- cell finders (R) and apply (P)
+from ..operators.apply import apply_decisions, decisions_by_rule  # noqa: E402
+from ..operators.cells import find_cells  # noqa: E402
+
+
+def _dirty_anomalies(spark, sf_dir):
+    d = dirty(spark, sf_dir)
+    return d, detect_anomalies(d, "dirty", order_by=DIRTY_ORDER)
+
+
+@query("r01_find_cells")
+def r01_find_cells(spark, sf_dir):
+    d, an = _dirty_anomalies(spark, sf_dir)
+    return find_cells(d, an, DIRTY_ORDER).select(
+        "row_key", F.col("column").alias("column_name"), "anomaly_type")
+
+
+@query("p01_apply_decisions")
+def p01_apply_decisions(spark, sf_dir):
+    d, an = _dirty_anomalies(spark, sf_dir)
+    out = apply_decisions(d, an, decisions_by_rule(an), DIRTY_ORDER)
+    return out.select(*[F.col(c).cast("string").alias(c) for c in out.columns])
