@@ -63,3 +63,72 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "customer").createOrReplaceTempView(view)
     # the view is bound at analysis time, so later re-registrations do not affect this frame
     return spark.sql(DIRTY_SQL.replace("FROM customer", f"FROM {view}"))
+
+
+# ---------------------------------------------------------------- review metadata
+# Datasets, anomaly records and decisions derived from the order tables so that the
+# review analytics run over data that grows with the scale factor.
+REVIEW_TYPES = ("MISSING_VALUE", "OUTLIER", "DUPLICATE", "FORMAT_INVALID", "INCONSISTENT",
+                "WHITESPACE_ONLY", "CROSS_FIELD_SWAP", "SUSPICIOUS_PLACEHOLDER",
+                "LEADING_TRAILING_WHITESPACE", "DATE_LOGICAL", "NUMERIC_ROUND_NUMBER",
+                "LOW_VARIANCE", "OUTLIER_IQR", "SEQUENCE_GAP")
+
+
+def _type_case(expr: str) -> str:
+    return "CASE " + " ".join(f"WHEN {expr} = {i} THEN '{t}'" for i, t in enumerate(REVIEW_TYPES)) + " END"
+
+
+DATASET_STATUS_SQL = ("CASE WHEN o_orderstatus = 'F' THEN 'READY' WHEN o_orderstatus = 'P' THEN 'ERROR' "
+                      "WHEN o_orderpriority = '5-LOW' THEN 'PENDING' ELSE 'PROCESSING' END")
+LINE_ID = ("CAST(l_orderkey AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) "
+           "|| '-' || CAST(l_linenumber AS STRING)")
+ANOMALY_SQL_BODY = (f"{LINE_ID} AS anomaly_id, "
+                    f"l_orderkey AS dataset_id, 'col_' || CAST(l_suppkey % 7 AS STRING) AS column_name, "
+                    f"{_type_case('l_partkey % 14')} AS anomaly_type, CAST(l_quantity AS BIGINT) AS affected, "
+                    f"CASE WHEN l_linestatus = 'O' THEN 'PENDING' ELSE 'RESOLVED' END AS status, "
+                    f"l_shipdate AS created_at")
+DECISION_SQL_BODY = (f"{LINE_ID} AS anomaly_id, "
+                     "CASE l_returnflag WHEN 'A' THEN 'APPROVED' WHEN 'R' THEN 'CORRECTED' ELSE 'DISCARDED' END "
+                     "AS action, l_shipdate AS created_at")
+
+
+def review_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` read as datasets: owner o_custkey, created o_orderdate, status from o_orderstatus."""
+    from pyspark.sql import functions as F
+    o = table(spark, sf_dir, "orders")
+    processed = F.when((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 10 != 0),
+                       F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 48).cast("int")))
+    return o.select(F.col("o_orderkey").alias("dataset_id"), F.col("o_custkey").alias("user_id"),
+                    F.concat(F.lit("dataset-"), F.col("o_orderkey").cast("string")).alias("name"),
+                    F.expr(DATASET_STATUS_SQL).alias("status"), F.col("o_orderdate").alias("created_at"),
+                    processed.alias("processed_at"))
+
+
+def _select(spark: SparkSession, sf_dir: str, name: str, body: str, where: str = "") -> DataFrame:
+    """Run a select list over one driver table (the view is bound when the frame is built)."""
+    view = f"cw_{name}_src"
+    table(spark, sf_dir, name).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT {body} FROM {view} {where}")
+
+
+def review_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One anomaly record per lineitem; open lines are still PENDING."""
+    return _select(spark, sf_dir, "lineitem", ANOMALY_SQL_BODY)
+
+
+def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision for every finished line; the return flag picks the action."""
+    return _select(spark, sf_dir, "lineitem", DECISION_SQL_BODY, "WHERE l_linestatus = 'F'")
+
+
+SUGGESTION_SQL_BODY = (
+    "event_id AS anomaly_id, CASE event_id % 3 "
+    "WHEN 0 THEN '{\"actionType\": \"FILL\", \"value\": \"' || CAST(round(value, 2) AS STRING) || "
+    "'\", \"reason\": \"usar ' || event_type || '\"}' "
+    "WHEN 1 THEN 'Revisar el valor ' || event_type || ' del usuario ' || CAST(user_id AS STRING) || ' ' || props "
+    "ELSE props END AS suggestion")
+
+
+def review_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestion texts built per event row: a third valid JSON, a third free text, a third other JSON."""
+    return _select(spark, sf_dir, "events", SUGGESTION_SQL_BODY)

@@ -355,3 +355,169 @@ def p01_apply_decisions(spark, sf_dir):
     d, an = _dirty_anomalies(spark, sf_dir)
     out = apply_decisions(d, an, decisions_by_rule(an), DIRTY_ORDER)
     return out.select(*[F.col(c).cast("string").alias(c) for c in out.columns])
+
+
+# ---------------------------------------------------------------- review analytics (M)
+from . import review as RV  # noqa: E402
+from .fixtures import review_anomalies, review_datasets, review_decisions, review_suggestions  # noqa: E402
+
+AS_OF = "1998-06-15 00:00:00"
+
+
+@query("m01_user_stats")
+def m01(spark, sf_dir):
+    return RV.user_stats(review_datasets(spark, sf_dir), review_anomalies(spark, sf_dir), AS_OF)
+
+
+@query("m02_anomalies_with_decision")
+def m02(spark, sf_dir):
+    out = RV.anomalies_with_decision(review_anomalies(spark, sf_dir), review_decisions(spark, sf_dir))
+    return out.select("anomaly_id", "dataset_id", "anomaly_type", "status", "created_at", "decision_action")
+
+
+@query("m03_pending_by_user")
+def m03(spark, sf_dir):
+    return RV.pending_anomalies_by_user(review_datasets(spark, sf_dir), review_anomalies(spark, sf_dir))
+
+
+@query("m04_pending_by_dataset")
+def m04(spark, sf_dir):
+    return RV.pending_by_dataset(review_anomalies(spark, sf_dir))
+
+
+@query("m05_decisions_of_datasets")
+def m05(spark, sf_dir):
+    return RV.decisions_of_datasets(review_anomalies(spark, sf_dir), review_decisions(spark, sf_dir)) \
+        .select("anomaly_id", "dataset_id", "action")
+
+
+@query("m06_review_totals")
+def m06(spark, sf_dir):
+    return RV.review_report(review_anomalies(spark, sf_dir), review_decisions(spark, sf_dir))[0]
+
+
+@query("m06_review_by_type")
+def m06b(spark, sf_dir):
+    return RV.review_report(review_anomalies(spark, sf_dir), review_decisions(spark, sf_dir))[1]
+
+
+@query("m07_dataset_page")
+def m07(spark, sf_dir):
+    return RV.dataset_page(review_datasets(spark, sf_dir), limit=20, offset=20) \
+        .select("dataset_id", "user_id", "status", "created_at")
+
+
+def _status_updates(spark, sf_dir):
+    dec = review_decisions(spark, sf_dir)
+    first = dec.where("action = 'APPROVED'").select("anomaly_id", F.lit("IN_REVIEW").alias("status"),
+                                                    F.col("created_at").alias("updated_at"))
+    final = dec.select("anomaly_id", F.lit("RESOLVED").alias("status"),
+                       (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("updated_at"))
+    return first.unionByName(final)
+
+
+@query("m08_upsert_latest")
+def m08(spark, sf_dir):
+    base = review_anomalies(spark, sf_dir).select("anomaly_id", "dataset_id", "anomaly_type", "status")
+    return RV.upsert(base, _status_updates(spark, sf_dir), ["anomaly_id"], "updated_at", update_cols=["status"])
+
+
+def _decisions_with_foreign(spark, sf_dir):
+    foreign = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(
+        F.concat(F.col("o_orderkey").cast("string"), F.lit("-0")).alias("anomaly_id"),
+        F.lit("APPROVED").alias("action"), F.col("o_orderdate").alias("created_at"))
+    return review_decisions(spark, sf_dir).unionByName(foreign)
+
+
+@query("m09_resolve_anomalies")
+def m09(spark, sf_dir):
+    out, _ = RV.resolve_anomalies(review_anomalies(spark, sf_dir), _decisions_with_foreign(spark, sf_dir))
+    return out.select("anomaly_id", "status")
+
+
+@query("m09_rejected_decisions")
+def m09b(spark, sf_dir):
+    _, rej = RV.resolve_anomalies(review_anomalies(spark, sf_dir), _decisions_with_foreign(spark, sf_dir))
+    return rej
+
+
+@query("m10_normalize_suggestions")
+def m10(spark, sf_dir):
+    return RV.normalize_suggestions(review_suggestions(spark, sf_dir))
+
+
+@query("m11_read_suggestions")
+def m11(spark, sf_dir):
+    return RV.read_suggestions(RV.normalize_suggestions(review_suggestions(spark, sf_dir)))
+
+
+@query("m12_column_evidence")
+def m12(spark, sf_dir):
+    d, an = _dirty_anomalies(spark, sf_dir)
+    ev = RV.column_evidence(d, an, DIRTY_ORDER)
+    return ev.select(F.col("column").alias("column_name"), "anomaly_type", "dtype", "affected",
+                     F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "q05", "q95",
+                     F.array_join(F.transform("outlier_values", lambda x: x.cast("string")), "|").alias("outliers"),
+                     F.array_join("samples", "|").alias("samples"))
+
+
+# ---------------------------------------------------------------- instructions (N)
+from .instructions import parse_instructions  # noqa: E402
+
+INSTRUCTION_SQL = """CASE event_id % 12
+  WHEN 0 THEN 'null' WHEN 1 THEN '  ' || CAST(event_id % 100 AS STRING) || '.5 '
+  WHEN 2 THEN '''sin dato ' || event_type || '''' WHEN 3 THEN 'usa la mediana'
+  WHEN 4 THEN 'pon el promedio de ' || event_type WHEN 5 THEN 'Usa la MODA'
+  WHEN 6 THEN 'con el mínimo' WHEN 7 THEN 'pon el MÁXIMO del grupo'
+  WHEN 8 THEN 'elimina esta fila' WHEN 9 THEN 'mejor mantener el valor'
+  WHEN 10 THEN CASE WHEN event_id % 24 = 10 THEN 'copia el dato de value' ELSE 'toma el dato del ' || event_type END
+  ELSE 'si es mayor que 10 usa la media' END"""
+
+
+@query("n01_parse_instructions")
+def n01(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").selectExpr("event_id", f"{INSTRUCTION_SQL} AS instruction")
+    out = parse_instructions(ev, "instruction", column_names=["event_id", "ts", "user_id", "event_type", "value",
+                                                             "props"])
+    return out.select("event_id", "op", "value_text", "value_num", "agg", "source_column", "source")
+
+
+# ---------------------------------------------------------------- streaming (S)
+from ..streaming import streams as ST  # noqa: E402
+
+
+def _event_stream(spark, sf_dir):
+    path, schema = ST.stage_events(spark, sf_dir)
+    return ST.read_stream(spark, path, schema, files_per_trigger=2)
+
+
+@query("s01_latest_status")
+def s01(spark, sf_dir):
+    return ST.run_available_now(ST.latest_status(ST.job_events(_event_stream(spark, sf_dir))), "complete")
+
+
+@query("s02_job_feed")
+def s02(spark, sf_dir):
+    out = ST.run_available_now(ST.job_feed(ST.job_events(_event_stream(spark, sf_dir))), "append")
+    return out.select("job_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "event")
+
+
+@query("s03_review_gate")
+def s03(spark, sf_dir):
+    ev = _event_stream(spark, sf_dir)
+    raised = ev.where("event_type = 'error'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
+    decided = ev.where("event_type = 'purchase'").select(F.col("user_id").alias("key"), "ts",
+                                                         F.col("event_id").alias("id"))
+    return ST.run_available_now(ST.review_gate(raised, decided), "append")
+
+
+@query("s04_row_checks")
+def s04(spark, sf_dir):
+    m, s = ST.frozen_profile(table(spark, sf_dir, "events"))
+    return ST.run_available_now(ST.row_check_counts(ST.row_checks(_event_stream(spark, sf_dir), m, s)), "complete")
+
+
+@query("s05_stream_dedup")
+def s05(spark, sf_dir):
+    return ST.run_available_now(ST.stream_dedup(_event_stream(spark, sf_dir), ["user_id", "event_type"]), "append") \
+        .select("event_id", "user_id", "event_type", "ts")

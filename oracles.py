@@ -491,3 +491,185 @@ _ALL_D = ["d01_missing_value", "d02_outlier_zscore_and_dates", "d03_duplicate",
           "d17_sequence_gap"]
 oracle("d00_all_anomalies", DIRTY + "\nUNION ALL\n".join(
     f"SELECT * FROM ({ORACLES[k][len(DIRTY):]})" for k in _ALL_D))
+
+
+# ---------------------------------------------------------------- M (review analytics)
+from cellwright.plans.fixtures import (ANOMALY_SQL_BODY, DATASET_STATUS_SQL, DECISION_SQL_BODY,  # noqa: E402
+                                       SUGGESTION_SQL_BODY)
+
+REVIEW = f"""WITH datasets AS (
+  SELECT o_orderkey AS dataset_id, o_custkey AS user_id, 'dataset-' || CAST(o_orderkey AS VARCHAR) AS name,
+         {DATASET_STATUS_SQL} AS status, o_orderdate AS created_at,
+         CASE WHEN o_orderstatus = 'F' AND o_orderkey % 10 <> 0
+              THEN o_orderdate + to_hours(CAST(o_orderkey % 48 AS INTEGER)) END AS processed_at
+  FROM orders),
+anomalies AS (SELECT {ANOMALY_SQL_BODY} FROM lineitem),
+decisions AS (SELECT {DECISION_SQL_BODY} FROM lineitem WHERE l_linestatus = 'F'),
+suggestions AS (SELECT {SUGGESTION_SQL_BODY} FROM events),
+pend AS (SELECT d.user_id, count(*) AS pending_reviews FROM anomalies a JOIN datasets d USING (dataset_id)
+         WHERE a.status = 'PENDING' GROUP BY 1)
+"""
+oracle("m01_user_stats", REVIEW + """
+SELECT user_id, count(*) AS total_datasets,
+  count(*) FILTER (WHERE created_at >= TIMESTAMP '1998-06-01') AS datasets_this_month,
+  count(*) FILTER (WHERE status <> 'PENDING') AS total_jobs,
+  count(*) FILTER (WHERE status = 'READY') AS jobs_completed,
+  count(*) FILTER (WHERE status = 'ERROR') AS jobs_failed,
+  CAST(coalesce(floor(avg(epoch_ms(processed_at) - epoch_ms(created_at))
+       FILTER (WHERE status = 'READY' AND processed_at IS NOT NULL) + 0.5), 0) AS BIGINT) AS avg_processing_time_ms,
+  CAST(coalesce(max(p.pending_reviews), 0) AS BIGINT) AS pending_reviews
+FROM datasets LEFT JOIN pend p USING (user_id) GROUP BY user_id""")
+oracle("m02_anomalies_with_decision", REVIEW + """
+SELECT a.anomaly_id, a.dataset_id, a.anomaly_type, a.status, a.created_at, d.action AS decision_action
+FROM anomalies a LEFT JOIN decisions d USING (anomaly_id)""")
+oracle("m03_pending_by_user", REVIEW + "SELECT user_id, CAST(pending_reviews AS BIGINT) AS pending_reviews FROM pend")
+oracle("m04_pending_by_dataset", REVIEW + """
+SELECT dataset_id, count(*) AS pending FROM anomalies WHERE status = 'PENDING' GROUP BY 1""")
+oracle("m05_decisions_of_datasets", REVIEW + """
+SELECT d.anomaly_id, a.dataset_id, d.action FROM decisions d JOIN anomalies a USING (anomaly_id)""")
+oracle("m06_review_totals", REVIEW + """
+SELECT a.dataset_id, count(*) AS total_anomalies,
+  count(*) FILTER (WHERE d.action = 'APPROVED') AS approved, count(*) FILTER (WHERE d.action = 'CORRECTED') AS corrected,
+  count(*) FILTER (WHERE d.action = 'DISCARDED') AS discarded, count(*) FILTER (WHERE d.action IS NULL) AS pending
+FROM anomalies a LEFT JOIN decisions d USING (anomaly_id) GROUP BY 1""")
+oracle("m06_review_by_type", REVIEW + """,
+j AS (SELECT a.*, d.action FROM anomalies a LEFT JOIN decisions d USING (anomaly_id)),
+pa AS (SELECT dataset_id, anomaly_type, action, count(*) AS n, min(created_at) AS fts,
+              arg_min(anomaly_id, (created_at, anomaly_id)) AS fid
+       FROM j WHERE action IS NOT NULL GROUP BY 1, 2, 3),
+dom AS (SELECT dataset_id, anomaly_type, arg_min(action, (-n, fts, fid)) AS dominant FROM pa GROUP BY 1, 2)
+SELECT c.dataset_id, c.anomaly_type, c.count, coalesce(dom.dominant, 'PENDING') AS action
+FROM (SELECT dataset_id, anomaly_type, count(*) AS count FROM j GROUP BY 1, 2) c
+LEFT JOIN dom USING (dataset_id, anomaly_type)""")
+oracle("m07_dataset_page", REVIEW + """
+SELECT dataset_id, user_id, status, created_at FROM datasets
+ORDER BY created_at DESC, dataset_id DESC LIMIT 20 OFFSET 20""")
+oracle("m08_upsert_latest", REVIEW + """,
+upd AS (SELECT anomaly_id, 'IN_REVIEW' AS status, created_at AS updated_at FROM decisions WHERE action = 'APPROVED'
+        UNION ALL SELECT anomaly_id, 'RESOLVED', created_at + INTERVAL 1 DAY FROM decisions),
+lu AS (SELECT anomaly_id, arg_max(status, (updated_at, status)) AS status FROM upd GROUP BY 1)
+SELECT a.anomaly_id, a.dataset_id, a.anomaly_type, coalesce(lu.status, a.status) AS status
+FROM anomalies a LEFT JOIN lu USING (anomaly_id)""")
+DEC_ALL = """, dec_all AS (SELECT anomaly_id FROM decisions UNION ALL
+  SELECT CAST(o_orderkey AS VARCHAR) || '-0' FROM orders WHERE o_orderkey % 50 = 0)
+"""
+oracle("m09_resolve_anomalies", REVIEW + DEC_ALL + """
+SELECT anomaly_id, CASE WHEN anomaly_id IN (SELECT anomaly_id FROM dec_all) THEN 'RESOLVED' ELSE status END AS status
+FROM anomalies""")
+oracle("m09_rejected_decisions", REVIEW + DEC_ALL + """
+SELECT DISTINCT anomaly_id FROM dec_all WHERE anomaly_id NOT IN (SELECT anomaly_id FROM anomalies)""")
+NORM = """norm AS (SELECT anomaly_id, CASE WHEN json_valid(suggestion) AND json_type(suggestion) = 'OBJECT'
+    AND json_extract_string(suggestion, '$.actionType') IN ('FILL', 'DELETE', 'KEEP') THEN suggestion
+  ELSE CAST(json_object('actionType', 'KEEP', 'value', NULL, 'reason', substr(suggestion, 1, 100)) AS VARCHAR) END
+  AS suggestion
+  FROM suggestions WHERE anomaly_id IS NOT NULL AND CAST(anomaly_id AS VARCHAR) <> ''
+    AND suggestion IS NOT NULL AND suggestion <> '')
+"""
+oracle("m10_normalize_suggestions", REVIEW + ", " + NORM + "SELECT anomaly_id, suggestion FROM norm")
+oracle("m11_read_suggestions", REVIEW + ", " + NORM + """
+SELECT anomaly_id, suggestion,
+  CASE WHEN json_valid(suggestion) AND json_type(suggestion) = 'OBJECT'
+       THEN json_extract_string(suggestion, '$.actionType') END AS ai_action_type,
+  CASE WHEN json_valid(suggestion) AND json_type(suggestion) = 'OBJECT'
+       THEN json_extract_string(suggestion, '$.value') END AS ai_action_value,
+  CASE WHEN json_valid(suggestion) AND json_type(suggestion) = 'OBJECT'
+       THEN coalesce(json_extract_string(suggestion, '$.reason'), suggestion) ELSE suggestion END
+    AS ai_suggestion_text
+FROM norm""")
+
+
+def _evidence():
+    dtype = {c: "bigint" for c in ["row_key"]} | {c: "double" for c in ["saldo", "monto", "tasa"]} | \
+            {"puntaje": "int"} | {c: "string" for c in STRINGS} | {c: "date" for c in DATES}
+    anoms = ORACLES["d00_all_anomalies"][len(DIRTY):]
+    parts = []
+    for c in NUMERIC + STRINGS + DATES:
+        num = c in NUMERIC
+        x = f"CAST({c} AS DOUBLE)"
+        if num:
+            st = (f"(SELECT count({c}) AS n, avg({x}) AS m, stddev_samp({x}) AS s FROM dirty)")
+            ranked = f"(SELECT {x} AS v, row_number() OVER (ORDER BY {x}) AS rn FROM dirty WHERE {c} IS NOT NULL)"
+            q = lambda p: (f"(SELECT v FROM {ranked} WHERE rn = (SELECT CAST(floor((count({c}) - 1) * {p} + 0.5) AS BIGINT) + 1 "
+                           f"FROM dirty))")
+            outl = (f"(SELECT string_agg(CAST(v AS VARCHAR), '|' ORDER BY rk) FROM (SELECT {x} AS v, row_key AS rk FROM dirty, "
+                    f"{st} t WHERE t.n >= 2 AND t.s > 0 AND abs({x} - t.m) / t.s > 3 ORDER BY row_key LIMIT 10))")
+            stats = (f"CASE WHEN t.n >= 2 THEN round(t.m, 4) END AS mean, CASE WHEN t.n >= 2 THEN round(t.s, 4) END AS std, "
+                     f"CASE WHEN t.n >= 2 THEN {q(0.05)} END AS q05, CASE WHEN t.n >= 2 THEN {q(0.95)} END AS q95, "
+                     f"CASE WHEN a.anomaly_type = 'OUTLIER' THEN {outl} END AS outliers")
+            src = f", {st} t"
+        else:
+            stats = ("CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS q05, "
+                     "CAST(NULL AS DOUBLE) AS q95, CAST(NULL AS VARCHAR) AS outliers")
+            src = ""
+        samples = (f"(SELECT string_agg(v, '|' ORDER BY rk) FROM (SELECT CAST({c} AS VARCHAR) AS v, row_key AS rk "
+                   f"FROM dirty WHERE {c} IS NOT NULL ORDER BY row_key LIMIT 5))")
+        parts.append(f"SELECT a.column_name, a.anomaly_type, '{dtype[c]}' AS dtype, a.affected, {stats}, "
+                     f"{samples} AS samples FROM anoms a{src} WHERE a.column_name = '{c}'")
+    return DIRTY.rstrip("\n") + f", anoms AS ({anoms})\n" + "\nUNION ALL\n".join(parts)
+
+
+oracle("m12_column_evidence", _evidence())
+
+# ---------------------------------------------------------------- N (instruction rules)
+from cellwright.plans.registry import INSTRUCTION_SQL  # noqa: E402
+
+
+def _instructions():
+    t = "regexp_replace(instruction, '^\\s+|\\s+$', '', 'g')"
+    cond = f"regexp_matches({t}, '(?i)\\b(si|cuando|mayor|menor|igual|entre|mientras)\\b')"
+    num = "^\\s*(-?[0-9]+(\\.[0-9]+)?)\\s*$"
+    quoted = "^\"(.+)\"$|^''(.+)''$"
+    copy = "(?i)(copia|toma).+(de|del)\\s+[''\"]?([A-Za-z0-9_]+)"
+    cols = "('event_id', 'ts', 'user_id', 'event_type', 'value', 'props')"
+    rules = [
+        (f"regexp_matches({t}, '(?i)^\\s*null\\s*$')", "'FILL_LITERAL'", {}),
+        (f"regexp_matches({t}, '{num}')", "'FILL_LITERAL'",
+         {"value_num": f"CAST(regexp_extract({t}, '{num}', 1) AS DOUBLE)"}),
+        (f"regexp_matches({t}, '{quoted}')", "'FILL_LITERAL'",
+         {"value_text": f"coalesce(nullif(regexp_extract({t}, '{quoted}', 1), ''), regexp_extract({t}, '{quoted}', 2))"}),
+        (f"regexp_matches({t}, '(?i)(usa|con|pon).+(mediana)')", "'FILL_AGGREGATE'", {"agg": "'median'"}),
+        (f"regexp_matches({t}, '(?i)(usa|con|pon).+(media|promedio)')", "'FILL_AGGREGATE'", {"agg": "'mean'"}),
+        (f"regexp_matches({t}, '(?i)(usa|con|pon).+(moda)')", "'FILL_AGGREGATE'", {"agg": "'mode'"}),
+        (f"regexp_matches({t}, '(?i)(usa|con|pon).+(m[íi]nimo)')", "'FILL_AGGREGATE'", {"agg": "'min'"}),
+        (f"regexp_matches({t}, '(?i)(usa|con|pon).+(m[áa]ximo)')", "'FILL_AGGREGATE'", {"agg": "'max'"}),
+        (f"regexp_matches({t}, '(?i)(elimina|borra|quita).+(fila|registro)')", "'DELETE_ROWS'", {}),
+        (f"regexp_matches({t}, '(?i)(mantener|dejar|deja|conserva)')", "'KEEP'", {}),
+        (f"regexp_matches({t}, '{copy}')",
+         f"CASE WHEN regexp_extract({t}, '{copy}', 3) IN {cols} THEN 'FILL_FROM_COLUMN' END",
+         {"source_column": f"regexp_extract({t}, '{copy}', 3)"}),
+    ]
+
+    def chain(field):
+        whens = " ".join(f"WHEN {r} THEN {op if field == 'op' else extra.get(field, 'NULL')}"
+                         for r, op, extra in rules)
+        return f"CASE WHEN {cond} THEN NULL {whens} ELSE NULL END"
+
+    return f"""WITH ev AS (SELECT event_id, {INSTRUCTION_SQL} AS instruction FROM events),
+p AS (SELECT event_id, {chain('op')} AS op, CAST({chain('value_text')} AS VARCHAR) AS value_text,
+  CAST({chain('value_num')} AS DOUBLE) AS value_num, CAST({chain('agg')} AS VARCHAR) AS agg,
+  CAST({chain('source_column')} AS VARCHAR) AS source_column FROM ev)
+SELECT *, CASE WHEN op IS NOT NULL THEN 'rule' ELSE 'unresolved' END AS source FROM p"""
+
+
+oracle("n01_parse_instructions", _instructions())
+
+# ---------------------------------------------------------------- S (streams, checked against batch SQL)
+JOB_EV = """je AS (SELECT user_id AS job_id, ts, event_id,
+  CASE WHEN event_type = 'purchase' THEN 'completed' WHEN event_type = 'error' THEN 'failed' ELSE 'active' END AS event
+  FROM events)"""
+oracle("s01_latest_status", f"""WITH {JOB_EV}
+SELECT job_id, CASE arg_max(event, (ts, event_id)) WHEN 'active' THEN 'PROCESSING' WHEN 'completed' THEN 'READY'
+  WHEN 'failed' THEN 'ERROR' END AS status, max(ts) AS updated_at, count(*) AS n_events FROM je GROUP BY 1""")
+oracle("s02_job_feed", f"""WITH {JOB_EV},
+o AS (SELECT *, lag(event) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS prev,
+  count(*) FILTER (WHERE event IN ('completed', 'failed')) OVER (PARTITION BY job_id ORDER BY ts, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS terms_before FROM je)
+SELECT job_id, ts, event_id, event FROM o WHERE coalesce(terms_before, 0) = 0 AND (prev IS NULL OR prev <> event)""")
+oracle("s04_row_checks", """WITH p AS (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events)
+SELECT count(*) AS rows, count(*) FILTER (WHERE value IS NULL) AS missing_value,
+  count(*) FILTER (WHERE year(ts) < 1900 OR year(ts) > 2030) AS date_outlier,
+  count(*) FILTER (WHERE lower(trim(event_type)) IN (""" + PLACE + """)) AS placeholder,
+  count(*) FILTER (WHERE event_type <> trim(event_type) AND length(trim(event_type)) > 0) AS padding,
+  count(*) FILTER (WHERE event_type IS NOT NULL AND length(trim(event_type)) = 0) AS whitespace_only,
+  count(*) FILTER (WHERE p.s > 0 AND abs(value - p.m) / p.s > 3) AS zscore_outlier
+FROM events, p""")
