@@ -24,8 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXACT_LIMIT = 2_000_000
-ACCURACY = 20_000
+EXACT_LIMIT = 100_000
+ACCURACY = 4_000
 
 
 def nearest_rank(n: int, q: float) -> int:
@@ -88,43 +88,58 @@ def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXAC
             v = _in_bracket(r.expr, s["lo"], s["hi"])
             aggs.append(F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY {v})").alias(f"e{i}"))
             names.append(("e", name, f"e{i}"))
-        for i, (name, s) in enumerate(wide.items()):
-            r = s["req"]
-            f = (r.k - s["below"]) / s["cnt"]
-            d = 4.0 / accuracy
-            lo_f, hi_f = max(0.0, f - d), min(1.0, f + d)
-            v = _in_bracket(r.expr, s["lo"], s["hi"])
-            aggs.append(F.expr(f"percentile_approx({v}, array({lo_f!r}, {hi_f!r}), {accuracy})").alias(f"w{i}"))
-            names.append(("w", name, f"w{i}"))
+        # requests over the same value bracket share one sketch
+        groups: dict = {}
+        for name, s in wide.items():
+            groups.setdefault((s["req"].expr, s["lo"], s["hi"]), []).append(name)
+        spans = {}
+        for gi, ((expr, lo, hi), members) in enumerate(groups.items()):
+            fr = []
+            for name in members:
+                s = state[name]
+                f = (s["req"].k - s["below"]) / s["cnt"]
+                d = 4.0 / accuracy
+                spans[name] = (gi, len(fr))
+                fr += [max(0.0, f - d), min(1.0, f + d)]
+            v = _in_bracket(expr, lo, hi)
+            arr = ", ".join(repr(x) for x in fr)
+            aggs.append(F.expr(f"percentile_approx({v}, array({arr}), {accuracy})").alias(f"w{gi}"))
         row = df.agg(*aggs).collect()[0]
         for kind, name, alias in names:
             if kind == "e":
                 out[name] = row[alias]
                 del state[name]
+        for name, (gi, pos) in spans.items():
+            names.append(("w", name, (f"w{gi}", pos)))
         if not wide:
             break
-        # Exact counts at or below the new cut points.
+        # Exact counts below and at the new cut points.
         cuts = {}
         cnt_aggs = []
-        for i, (kind, name, alias) in enumerate([n for n in names if n[0] == "w"]):
-            lo_v, hi_v = row[alias]
+        for i, (kind, name, (alias, pos)) in enumerate([n for n in names if n[0] == "w"]):
+            lo_v, hi_v = row[alias][pos], row[alias][pos + 1]
             cuts[name] = (lo_v, hi_v)
             e = state[name]["req"].expr
-            cnt_aggs.append(F.expr(f"count_if(({e}) <= {_sql_num(lo_v)})").alias(f"a{i}"))
-            cnt_aggs.append(F.expr(f"count_if(({e}) <= {_sql_num(hi_v)})").alias(f"b{i}"))
+            for tag, op, v in (("a", "<", lo_v), ("b", "<=", lo_v), ("c", "<", hi_v), ("d", "<=", hi_v)):
+                cnt_aggs.append(F.expr(f"count_if(({e}) {op} {_sql_num(v)})").alias(f"{tag}{i}"))
         crow = df.agg(*cnt_aggs).collect()[0]
         for i, name in enumerate(cuts):
             s = state[name]
             k = s["req"].k
             lo_v, hi_v = cuts[name]
-            c_lo, c_hi = crow[f"a{i}"], crow[f"b{i}"]
-            if c_lo <= k < c_hi:
-                s.update(lo=lo_v, hi=hi_v, below=c_lo, cnt=c_hi - c_lo)
-            elif k < c_lo:
-                # element lies at or below lo_v: shrink from above
-                s.update(hi=lo_v, cnt=c_lo - s["below"])
-            else:
-                s.update(lo=hi_v, below=c_hi, cnt=s["cnt"] - (c_hi - s["below"]))
+            lt_lo, le_lo, lt_hi, le_hi = (crow[f"{t}{i}"] for t in "abcd")
+            if lt_lo <= k < le_lo:          # the k-th value equals a cut point
+                out[name] = lo_v
+                del state[name]
+            elif lt_hi <= k < le_hi:
+                out[name] = hi_v
+                del state[name]
+            elif le_lo <= k < lt_hi:        # strictly between the cut points
+                s.update(lo=lo_v, hi=hi_v, below=le_lo, cnt=le_hi - le_lo)
+            elif k < lt_lo:                 # below the lower cut point
+                s.update(hi=lo_v, cnt=le_lo - s["below"])
+            else:                           # above the upper cut point
+                s.update(lo=hi_v, below=le_hi, cnt=s["below"] + s["cnt"] - le_hi)
     if state:
         raise RuntimeError(f"order statistics did not converge: {sorted(state)}")
     return out

@@ -30,7 +30,7 @@ from .. import constants as K
 from ..functions import quantiles as Q
 from ..functions.text import count_if, digit_count, email_valid, first_by, phone_valid, py_str, ustrip
 from ..functions.types import dtypes, is_date, is_numeric, is_string, kind_of
-from ..plans.profile import order_column, persist, run_aggs, value_counts
+from ..plans.profile import order_column, persist, run_aggs, value_counts, value_text
 
 ANOMALY_SCHEMA = T.StructType([
     T.StructField("anomaly_id", T.StringType(), False),
@@ -149,19 +149,25 @@ class Detector:
         thr = {c: max(2, int(n[c] * K.INCONSISTENT_SHARE)) for c in cols}
         thr_map = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(thr[c]))]) if cols else F.create_map()
         t = F.element_at(thr_map, F.col("column"))
-        rank = F.struct((-F.col("cnt")).alias("nc"), F.col("value").alias("v"))
+        rank = F.struct((-F.col("cnt")).alias("nc"), F.col("value").alias("v"), F.col("fnum").alias("f"),
+                        F.col("inum").alias("i"))
+        val = F.struct("value", "fnum", "inum")
         rare = F.col("cnt") < t
         summ = self.v.groupBy("column", "kind").agg(
             F.count(F.lit(1)).alias("distinct"),
             F.max("cnt").alias("max_cnt"),
-            F.min_by("value", rank).alias("mode"),
+            F.min_by(val, rank).alias("mode"),
             F.sum(F.when(F.col("cnt") > 1, F.col("cnt") - 1)).alias("dup_extra"),
             count_if(F.col("cnt") > 1).alias("dup_values"),
             F.sum(F.when(rare, F.col("cnt"))).alias("rare_sum"),
             F.min_by("value", F.when(rare, rank)).alias("rare_ex"),
             F.min_by("value", F.when(~rare, rank)).alias("common_top"),
         ).collect()
-        self.vs = {(r["column"], r["kind"]): r.asDict() for r in summ}
+        self.vs = {}
+        for r in summ:
+            d = r.asDict()
+            d["mode"] = value_text(d["mode"].asDict() if d["mode"] is not None else None)
+            self.vs[(r["column"], r["kind"])] = d
         self.thr = thr
 
     def pass2(self):

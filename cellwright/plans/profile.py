@@ -46,17 +46,46 @@ def run_aggs(df: DataFrame, named: dict[str, Column]) -> dict:
 
 
 def value_counts(df: DataFrame, columns: list[str], with_keys: bool = True) -> DataFrame:
-    """V: (column, kind, value, cnt) over the non-null values of ``columns``."""
+    """V: (column, kind, value, fnum, inum, cnt) over the non-null values of ``columns``.
+
+    Text and boolean columns count their text (``value``); numeric columns count the
+    native number (``fnum`` for floating, ``inum`` for integral) so no per-row number
+    formatting is paid and integers above 2**53 stay distinct.
+    """
+    from ..functions.types import is_integral, is_numeric
     types = dtypes(df)
     entries = []
+    null_s, null_d, null_l = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("bigint")
     for c in columns:
-        v = py_str(F.col(f"`{c}`"), types[c])
-        entries.append(F.struct(F.lit(c).alias("column"), F.lit("raw").alias("kind"), v.alias("value")))
+        x = F.col(f"`{c}`")
+        if is_numeric(types[c]):
+            f = null_d if is_integral(types[c]) else x.cast("double")
+            i = x.cast("bigint") if is_integral(types[c]) else null_l
+            entries.append(F.struct(F.lit(c).alias("column"), F.lit("raw").alias("kind"), null_s.alias("value"),
+                                    f.alias("fnum"), i.alias("inum"), x.isNotNull().alias("ok")))
+        else:
+            entries.append(F.struct(F.lit(c).alias("column"), F.lit("raw").alias("kind"),
+                                    py_str(x, types[c]).alias("value"), null_d.alias("fnum"), null_l.alias("inum"),
+                                    x.isNotNull().alias("ok")))
         if with_keys and (K.is_email_name(c) or K.is_phone_name(c)):
             entries.append(F.struct(F.lit(c).alias("column"), F.lit("key").alias("kind"),
-                                    dup_key(F.col(f"`{c}`"), c).alias("value")))
-    exploded = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("value").isNotNull())
-    return exploded.groupBy("column", "kind", "value").agg(F.count(F.lit(1)).alias("cnt"))
+                                    dup_key(x, c).alias("value"), null_d.alias("fnum"), null_l.alias("inum"),
+                                    x.isNotNull().alias("ok")))
+    exploded = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("ok")).drop("ok")
+    return exploded.groupBy("column", "kind", "value", "fnum", "inum").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def value_text(v: dict | None):
+    """Python ``str`` of a V value struct (value / fnum / inum)."""
+    if v is None:
+        return None
+    if v["value"] is not None:
+        return v["value"]
+    if v["fnum"] is not None:
+        return str(float(v["fnum"]))
+    if v["inum"] is not None:
+        return str(int(v["inum"]))
+    return None
 
 
 def persist(df: DataFrame) -> DataFrame:

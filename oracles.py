@@ -250,9 +250,16 @@ def _duplicates():
     for c in NUMERIC + STRINGS:
         idl = c in ID_LIKE or c in EMAIL_COLS or c in PHONE_COLS
         thr = 0.80 if idl else 0.98
-        vc = f"(SELECT {_dup_key(c)} AS k, count(*) AS cnt FROM dirty WHERE {c} IS NOT NULL GROUP BY 1)"
+        # numeric columns count native numbers (ties broken numerically), text columns their key
+        key = c if c in NUMERIC else _dup_key(c)
+        vc = f"(SELECT {key} AS k, count(*) AS cnt FROM dirty WHERE {c} IS NOT NULL GROUP BY 1)"
+        ex = "CAST(arg_min(k, (-cnt, k)) AS VARCHAR)"
+        if c == "puntaje" or c == "row_key":
+            ex = "CAST(arg_min(k, (-cnt, k)) AS VARCHAR)"
+        elif c in NUMERIC:
+            ex = "CAST(CAST(arg_min(k, (-cnt, k)) AS DOUBLE) AS VARCHAR)"
         src = (f"(SELECT sum(cnt) AS n, count(*) AS d, sum(cnt - 1) FILTER (WHERE cnt > 1) AS extra, "
-               f"count(*) FILTER (WHERE cnt > 1) AS reps, arg_min(k, (-cnt, k)) AS ex FROM {vc})")
+               f"count(*) FILTER (WHERE cnt > 1) AS reps, {ex} AS ex FROM {vc})")
         parts.append(_rec(c, "DUPLICATE", "extra", original="ex", sugg="'DUPLICADO'",
                           where=f"n >= 4 AND d / n >= {thr} AND reps > 0", src=src)
                      .replace("SELECT CAST(", "SELECT n, d, reps, CAST(", 1))
