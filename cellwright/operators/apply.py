@@ -243,3 +243,29 @@ def decisions_by_rule(anomalies: DataFrame, user_id: str = "reviewer") -> DataFr
         "anomaly_id", action.alias("action"), correction.alias("correction"), ir.alias("correction_ir"),
         F.when(ir.isNotNull(), F.lit("rule")).alias("ir_source"), F.lit(user_id).alias("user_id"),
         (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(secs=order.cast("int"))).alias("created_at"))
+
+
+def apply_correction(df: DataFrame, column: str, ir, mask: Column | None = None,
+                     keep_means_keep: bool = False) -> tuple[str, DataFrame]:
+    """Run one correction tree on the cells selected by ``mask`` (all rows by default).
+
+    Returns the result kind (FILL / KEEP / DELETE) and the table with the column
+    rewritten on those cells; raises ``IRError`` where the reference would skip the
+    decision.  Rows are never removed: DELETE leaves the table as it is.
+    """
+    if isinstance(ir, str):
+        ir = json.loads(ir)
+    mask = F.lit(True) if mask is None else mask
+    app = Applier(df, [], [], order_by=None)
+    app.finder = type("NoFinder", (), {"df": df})()
+    app.cur = {c: F.col(f"`{c}`") for c in df.columns}
+    res = Compiler(column, dict(app.dtype), app.aggregate, app.split_for(mask), keep_means_keep,
+                   dict(app.cur)).compile(ir)
+    if res.kind in (KEEP, DELETE):
+        return res.kind, df
+    if res.is_scalar:
+        if not app.write_scalar(column, mask, res.scalar, allow_text=False):
+            raise IRError("fill value does not fit the column type")
+    else:
+        app.cur[column] = F.when(mask, res.column.try_cast(app.dtype[column])).otherwise(app.cur[column])
+    return FILL, df.select(*[app.cur[c].alias(c) for c in df.columns])
