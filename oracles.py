@@ -237,12 +237,13 @@ def _zscore():
     return _union(parts)
 
 
-def _dup_key(c):
+def _dup_key(c, expr=None):
+    e = expr or c
     if c in EMAIL_COLS:
-        return f"lower({_trim(c)})"
+        return f"lower({_trim(e)})"
     if c in PHONE_COLS:
-        return f"regexp_replace({c}, '[\\s\\-()+.]', '', 'g')"
-    return f"CAST({c} AS VARCHAR)"
+        return f"regexp_replace({e}, '[\\s\\-()+.]', '', 'g')"
+    return f"CAST({e} AS VARCHAR)"
 
 
 def _duplicates():
@@ -680,3 +681,197 @@ SELECT count(*) AS rows, count(*) FILTER (WHERE value IS NULL) AS missing_value,
   count(*) FILTER (WHERE event_type IS NOT NULL AND length(trim(event_type)) = 0) AS whitespace_only,
   count(*) FILTER (WHERE p.s > 0 AND abs(value - p.m) / p.s > 3) AS zscore_outlier
 FROM events, p""")
+
+
+# ---------------------------------------------------------------- R (cell finders) and P (apply)
+ADDR_WORDS = ("street", "ave", "blvd", "road", "st.", "nj", "mt", "dr.")
+SEQ_PAT = "^([A-Za-z\\-_]*)([0-9]+)$"
+ANOMS = "anoms AS (" + ORACLES["d00_all_anomalies"][len(DIRTY):] + ")"
+
+
+def _has(c, t):
+    return f"EXISTS (SELECT 1 FROM anoms WHERE column_name = '{c}' AND anomaly_type = '{t}')"
+
+
+def _anom_field(c, t, field):
+    return f"(SELECT {field} FROM anoms WHERE column_name = '{c}' AND anomaly_type = '{t}' LIMIT 1)"
+
+
+def _fcond(c, t, x=None):
+    """SQL condition: does the row's snapshot cell of column c belong to anomaly type t."""
+    x = x or f"d.{c}"
+    if t == "MISSING_VALUE":
+        return f"{x} IS NULL"
+    if t == "OUTLIER":
+        if c in NUMERIC:
+            st = f"(SELECT avg({c}) AS m, stddev_samp({c}) AS s, count({c}) AS n FROM dirty)"
+            return (f"(SELECT st.n >= 4 AND st.s > 0 AND abs(CAST({x} AS DOUBLE) - st.m) / st.s > 3 FROM {st} st)")
+        if c in DATES:
+            return f"(year({x}) < 1900 OR year({x}) > 2030)"
+        return "false"
+    if t == "DUPLICATE":
+        if c in DATES:
+            return "false"
+        key = _dup_key(c)
+        base = _dup_key(c, f"regexp_replace(CAST({c} AS VARCHAR), '_DUP$', '')")
+        reps = f"(SELECT k FROM (SELECT {key} AS k, count(*) AS n FROM dirty WHERE {c} IS NOT NULL GROUP BY 1) WHERE n > 1)"
+        later = (f"(SELECT row_key FROM (SELECT row_key, row_number() OVER (PARTITION BY b ORDER BY row_key) AS rn "
+                 f"FROM (SELECT row_key, {base} AS b FROM dirty WHERE {c} IS NOT NULL) WHERE b IN {reps}) WHERE rn > 1)")
+        return f"d.row_key IN {later}"
+    if t == "FORMAT_INVALID":
+        if c in EMAIL_COLS:
+            return f"({x} IS NOT NULL AND NOT regexp_full_match({x}, '{EMAIL_RE}'))"
+        if c in PHONE_COLS:
+            cl = f"regexp_replace({x}, '[\\s\\-()+.]', '', 'g')"
+            return (f"({x} IS NOT NULL AND (NOT regexp_full_match({cl}, '[0-9]{{7,13}}') OR regexp_full_match({cl}, '0+') "
+                    f"OR regexp_matches({_trim(x)}, '^\\(?00\\)?[\\s\\-]')))")
+        return "false"
+    if t == "INCONSISTENT":
+        if c not in STRINGS:
+            return "false"
+        return (f"{x} IN (SELECT v FROM (SELECT {c} AS v, count(*) AS cnt FROM dirty WHERE {c} IS NOT NULL GROUP BY 1) "
+                f"WHERE cnt < (SELECT greatest(2, CAST(floor(count({c}) * 0.01) AS BIGINT)) FROM dirty))")
+    if t == "WHITESPACE_ONLY":
+        return f"({x} IS NOT NULL AND length({_trim(x)}) = 0 AND length({x}) > 0)" if c in STRINGS else "false"
+    if t == "CROSS_FIELD_SWAP":
+        if c not in STRINGS:
+            return "false"
+        s = _trim(x)
+        low = f"lower({s})"
+        addr = "(" + " OR ".join(f"contains({low}, '{w}')" for w in ADDR_WORDS) + ")"
+        email_like = f"regexp_matches({s}, '{EMAIL_RE}')"
+        conds = []
+        if c in NAME_COLS:
+            conds += [email_like, f"regexp_matches({s}, '^[0-9]{{1,2}}[/\\-][0-9]{{1,2}}[/\\-][0-9]{{2,4}}$|"
+                                  f"^[0-9]{{4}}[/\\-][0-9]{{1,2}}[/\\-][0-9]{{1,2}}$')"]
+        if c in EMAIL_COLS:
+            conds += [f"(regexp_matches({s}, '^\\+?[0-9\\s\\-()]{{7,20}}$') AND position('@' IN {s}) = 0)",
+                      f"(NOT {email_like} AND {addr})"]
+        if c in ADDR_COLS:
+            conds += [email_like, f"regexp_matches({s}, '^[A-Z][0-9]{{4}}$')"]
+        if c in PHONE_COLS:
+            conds += [email_like, addr]
+        if c in NAME_COLS:
+            conds += [f"regexp_matches({s}, '^[A-Za-z\\s]+,\\s*[A-Z]{{2}}\\s+[0-9]{{5}}$')"]
+        if c not in PHONE_COLS:
+            conds += [f"(regexp_matches({s}, '^[+\\s\\-()]*[0-9][0-9\\s\\-.()]{{6,19}}$') "
+                      f"AND length(regexp_replace({s}, '[^0-9]', '', 'g')) >= 7)"]
+        return f"({x} IS NOT NULL AND ({' OR '.join(conds)}))"
+    if t == "SUSPICIOUS_PLACEHOLDER":
+        sx = _trim(f"CAST({x} AS VARCHAR)")
+        return f"({x} IS NOT NULL AND (lower({sx}) IN ({PLACE}) OR {sx} IN ('0', '0.0')))"
+    if t == "LEADING_TRAILING_WHITESPACE":
+        return f"({x} IS NOT NULL AND {x} <> {_trim(x)} AND length({_trim(x)}) > 0)" if c in STRINGS else "false"
+    if t == "DATE_LOGICAL":
+        if c != "fecha_nacimiento":
+            return "false"
+        return f"({x} IS NOT NULL AND d.fecha_alta IS NOT NULL AND {x} > d.fecha_alta)"
+    if t == "NUMERIC_ROUND_NUMBER":
+        if c not in NUMERIC:
+            return "false"
+        st = f"(SELECT count({c}) AS n, avg({c}) AS m FROM dirty)"
+        return (f"(SELECT st.n >= 10 AND st.m <> 0 AND {x} IS NOT NULL AND CAST({x} AS DOUBLE) % "
+                f"(CASE WHEN abs(st.m) >= 1000 THEN 1000.0 ELSE 100.0 END) = 0 FROM {st} st)")
+    if t == "LOW_VARIANCE":
+        if c in NUMERIC:
+            return "false"
+        dom = _anom_field(c, t, "original_value")
+        return f"({x} IS NOT NULL AND {_trim(f'CAST({x} AS VARCHAR)')} = {_trim(dom)})"
+    if t == "OUTLIER_IQR":
+        if c not in NUMERIC:
+            return "false"
+        q1, q3 = _nearest(c, 0.25), _nearest(c, 0.75)
+        return (f"((SELECT count({c}) FROM dirty) >= 4 AND {q3} - {q1} > 0 AND "
+                f"(CAST({x} AS DOUBLE) < {q1} - 1.5 * ({q3} - {q1}) OR CAST({x} AS DOUBLE) > {q3} + 1.5 * ({q3} - {q1})))")
+    if t == "SEQUENCE_GAP":
+        if c not in STRINGS:
+            return "false"
+        prefix = f"split_part({_anom_field(c, t, 'original_value')}, '|', 1)"
+
+        def num(v):
+            return (f"(CASE WHEN regexp_full_match({v}, '{SEQ_PAT}') AND regexp_extract({v}, '{SEQ_PAT}', 1) = {prefix} "
+                    f"AND length(regexp_extract({v}, '{SEQ_PAT}', 2)) <= 18 "
+                    f"THEN CAST(regexp_extract({v}, '{SEQ_PAT}', 2) AS BIGINT) END)")
+        nums = f"(SELECT {num(c)} AS x FROM dirty WHERE {num(c)} IS NOT NULL)"
+        srt = f"(SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS k FROM {nums})"
+        qv = lambda q: f"max(x) FILTER (WHERE i = least(k - 1, CAST(floor(k * {q}) AS BIGINT)))"
+        fence = (f"(SELECT CASE WHEN q3 - q1 > 0 THEN q1 - 1.5 * (q3 - q1) ELSE p10 END AS lo, "
+                 f"CASE WHEN q3 - q1 > 0 THEN q3 + 1.5 * (q3 - q1) ELSE p90 END AS hi FROM "
+                 f"(SELECT {qv(0.25)} AS q1, {qv(0.75)} AS q3, {qv(0.10)} AS p10, {qv(0.90)} AS p90 FROM {srt}))")
+        nx = num(x)
+        return f"(SELECT {nx} IS NOT NULL AND ({nx} < f.lo OR {nx} > f.hi) FROM {fence} f)"
+    return "false"
+
+
+TYPES_ALL = ["MISSING_VALUE", "OUTLIER", "DUPLICATE", "FORMAT_INVALID", "INCONSISTENT", "WHITESPACE_ONLY",
+             "CROSS_FIELD_SWAP", "SUSPICIOUS_PLACEHOLDER", "LEADING_TRAILING_WHITESPACE", "DATE_LOGICAL",
+             "NUMERIC_ROUND_NUMBER", "LOW_VARIANCE", "OUTLIER_IQR", "SEQUENCE_GAP"]
+ALL_COLS = NUMERIC + STRINGS + DATES
+
+
+def _findings():
+    parts = []
+    for t in TYPES_ALL:
+        for c in ALL_COLS:
+            cond = _fcond(c, t)
+            if cond == "false":
+                continue
+            parts.append(f"SELECT d.row_key, '{c}' AS column_name, '{t}' AS anomaly_type FROM dirty d "
+                         f"WHERE {_has(c, t)} AND coalesce({cond}, false)")
+    return DIRTY.rstrip("\n") + f", {ANOMS}\n" + "\nUNION ALL\n".join(parts)
+
+
+oracle("r01_find_cells", _findings())
+
+
+def _applied():
+    """Final table after the fixture's review rule, decision by decision in type order."""
+    dirty_types = {c: "DOUBLE" for c in ["saldo", "monto", "tasa"]} | {"row_key": "BIGINT", "puntaje": "INTEGER"}
+    stages = []       # (name, select list) chain of CTEs
+    cur = {c: c for c in ALL_COLS}
+    # MISSING_VALUE: saldo corrected with the literal "0"
+    cur["saldo"] = f"CASE WHEN {_has('saldo', 'MISSING_VALUE')} AND saldo IS NULL THEN 0.0 ELSE saldo END"
+    stages.append(dict(cur))
+    cur = {c: f"s1.{c}" for c in ALL_COLS}
+    # OUTLIER (numeric): corrected with the median of the current column
+    for c in NUMERIC:
+        med = f"(SELECT median({c}) FROM s1)"
+        val = f"CAST(trunc({med}) AS {dirty_types[c]})" if dirty_types[c] in ("BIGINT", "INTEGER") else med
+        cur[c] = f"CASE WHEN {_has(c, 'OUTLIER')} AND coalesce({_fcond(c, 'OUTLIER', 'd0.' + c)}, false) THEN {val} ELSE s1.{c} END"
+    stages.append(dict(cur))
+    out = {}
+    for c in ALL_COLS:
+        v = f"CAST(s2.{c} AS VARCHAR)"
+        # DUPLICATE approved: later occurrences get the _DUP suffix
+        dm = f"coalesce({_fcond(c, 'DUPLICATE', 'd0.' + c)}, false)" if c not in DATES else "false"
+        v = (f"CASE WHEN {_has(c, 'DUPLICATE')} AND {dm} AND {v} IS NOT NULL AND NOT ends_with({v}, '_DUP') "
+             f"THEN {v} || '_DUP' ELSE {v} END")
+        # FORMAT_INVALID approved: the label
+        fm = _fcond(c, "FORMAT_INVALID", "d0." + c)
+        if fm != "false":
+            v = (f"CASE WHEN {_has(c, 'FORMAT_INVALID')} AND coalesce({fm}, false) THEN "
+                 f"{_anom_field(c, 'FORMAT_INVALID', 'suggested_value')} ELSE {v} END")
+        wm = _fcond(c, "WHITESPACE_ONLY", "d0." + c)
+        if wm != "false":
+            v = f"CASE WHEN {_has(c, 'WHITESPACE_ONLY')} AND coalesce({wm}, false) THEN NULL ELSE {v} END"
+        lm = _fcond(c, "LEADING_TRAILING_WHITESPACE", "d0." + c)
+        if lm != "false":
+            v = (f"CASE WHEN {_has(c, 'LEADING_TRAILING_WHITESPACE')} AND coalesce({lm}, false) THEN {_trim(v)} "
+                 f"ELSE {v} END")
+        # final strip, blank -> null
+        v = f"CASE WHEN length({_trim(v)}) = 0 THEN NULL ELSE {_trim(v)} END"
+        out[c] = v
+    # date repair on every DATE_LOGICAL pair
+    out["fecha_alta"] = (f"CASE WHEN {_has('fecha_nacimiento', 'DATE_LOGICAL')} AND s2.fecha_nacimiento IS NOT NULL "
+                         f"AND s2.fecha_alta IS NOT NULL AND s2.fecha_alta < s2.fecha_nacimiento "
+                         f"THEN CAST(s2.fecha_nacimiento + 6570 AS VARCHAR) ELSE CAST(s2.fecha_alta AS VARCHAR) END")
+    s1 = ", ".join(f"{e} AS {c}" for c, e in stages[0].items())
+    s2 = ", ".join(f"{e} AS {c}" for c, e in stages[1].items())
+    final = ", ".join(f"{e} AS {c}" for c, e in out.items())
+    return (DIRTY.rstrip("\n") + f", {ANOMS},\n"
+            f"s1 AS (SELECT {s1} FROM dirty),\n"
+            f"s2 AS (SELECT {s2} FROM s1 JOIN dirty d0 USING (row_key))\n"
+            f"SELECT {final} FROM s2 JOIN dirty d0 USING (row_key) JOIN dirty d USING (row_key)")
+
+
+oracle("p01_apply_decisions", _applied())

@@ -15,7 +15,7 @@ def test_every_query_has_an_oracle_unless_declared(spark):
     qs, ors = E.queries(), E.oracle_sql()
     assert set(ors) <= set(qs)
     missing = set(qs) - set(ors)
-    assert missing <= ROWS_ONLY | {"r01_find_cells", "p01_apply_decisions"}
+    assert missing <= ROWS_ONLY
 
 
 def test_queries_run_on_smallest_tables(spark):
