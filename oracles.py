@@ -875,3 +875,33 @@ def _applied():
 
 
 oracle("p01_apply_decisions", _applied())
+
+
+# ---------------------------------------------------------------- detectors on a driver table as it is
+def _detectors_for(spec: dict) -> str:
+    """The same detector oracles over another table: rebinding the column classes."""
+    g = globals()
+    saved = {k: g[k] for k in spec}
+    g.update(spec)
+    try:
+        builders = [_missing, _zscore, _duplicates, _formats, _inconsistent, lambda: _text("WHITESPACE_ONLY"),
+                    _swaps, lambda: _text("SUSPICIOUS_PLACEHOLDER"), lambda: _text("LEADING_TRAILING_WHITESPACE"),
+                    _round_numbers, _low_variance, _iqr, _sequences]
+        bodies = []
+        for b in builders:
+            sql = b()
+            body = sql[len(g["DIRTY"]):]
+            if body.strip():
+                bodies.append(f"SELECT * FROM ({body})")
+        return g["DIRTY"] + "\nUNION ALL\n".join(bodies)
+    finally:
+        g.update(saved)
+
+
+ORDERS_SPEC = {
+    "DIRTY": "WITH dirty AS (SELECT o_orderkey AS row_key, * FROM orders)\n",
+    "NUMERIC": ["o_orderkey", "o_custkey", "o_totalprice"], "STRINGS": ["o_orderstatus", "o_orderpriority"],
+    "DATES": ["o_orderdate"], "EMAIL_COLS": [], "PHONE_COLS": [], "NAME_COLS": [], "ADDR_COLS": [],
+    "ID_LIKE": ["o_orderkey", "o_custkey"],
+}
+oracle("d19_detect_orders", _detectors_for(ORDERS_SPEC))
