@@ -508,7 +508,9 @@ def s03(spark, sf_dir):
     raised = ev.where("event_type = 'error'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
     decided = ev.where("event_type = 'purchase'").select(F.col("user_id").alias("key"), "ts",
                                                          F.col("event_id").alias("id"))
-    return ST.run_available_now(ST.review_gate(raised, decided), "append")
+    out = ST.run_available_now(ST.review_gate(raised, decided), "append")
+    return out.select("a_id", "a_key", F.col("a_ts").cast("timestamp_ntz").alias("a_ts"), "d_id",
+                      F.col("d_ts").cast("timestamp_ntz").alias("d_ts"), "timed_out")
 
 
 @query("s04_row_checks")
@@ -521,3 +523,10 @@ def s04(spark, sf_dir):
 def s05(spark, sf_dir):
     return ST.run_available_now(ST.stream_dedup(_event_stream(spark, sf_dir), ["user_id", "event_type"]), "append") \
         .select("event_id", "user_id", "event_type", "ts")
+
+
+@query("s05_stream_dedup_hourly")
+def s05b(spark, sf_dir):
+    out = ST.run_available_now(ST.stream_dedup_by_bucket(_event_stream(spark, sf_dir), ["user_id", "event_type"]),
+                               "append")
+    return out.select("user_id", "event_type", F.col("bucket").cast("timestamp_ntz").alias("bucket"))

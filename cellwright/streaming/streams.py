@@ -124,8 +124,9 @@ def job_feed(job_ev: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ S3
 def review_gate(raised: DataFrame, decided: DataFrame, wait_seconds: int = K.REVIEW_MAX_WAIT_SECONDS,
                 lateness: str = "10 minutes") -> DataFrame:
-    """S3: each raised anomaly with the first decision on its key inside the wait
-    window, or a null decision (timed out) once the watermark passes the window."""
+    """S3: each raised anomaly paired with every decision on its key inside the wait
+    window; an anomaly with none comes out once, with a null decision (timed out),
+    when the watermark passes the end of its window."""
     a = raised.select(F.col("key").alias("a_key"), F.col("ts").cast("timestamp").alias("a_ts"),
                       F.col("id").alias("a_id")) \
         .withWatermark("a_ts", lateness)
@@ -174,3 +175,12 @@ def stream_dedup(events: DataFrame, keys: list[str], delay: str = "1 hour") -> D
     # event time must be a TIMESTAMP (session time zone) for a watermark
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay) \
         .dropDuplicatesWithinWatermark(keys)
+
+
+def stream_dedup_by_bucket(events: DataFrame, keys: list[str], bucket: str = "hour", delay: str = "1 hour") -> DataFrame:
+    """S5, bucketed: one row per key and event-time bucket.  The bucket is part of the
+    key and carries the watermark, so state for a bucket is dropped once the stream
+    has moved ``delay`` past it; the set of surviving keys does not depend on how the
+    rows were split into micro-batches."""
+    b = F.date_trunc(bucket, F.col("ts").cast("timestamp")).alias("bucket")
+    return events.select("*", b).withWatermark("bucket", delay).dropDuplicates(keys + ["bucket"])

@@ -905,3 +905,16 @@ ORDERS_SPEC = {
     "ID_LIKE": ["o_orderkey", "o_custkey"],
 }
 oracle("d19_detect_orders", _detectors_for(ORDERS_SPEC))
+# S3: matched pairs, plus anomalies without a decision whose window ended before the
+# final watermark (the smaller of the two streams' max event time, minus 10 minutes).
+oracle("s03_review_gate", """WITH a AS (SELECT user_id AS k, ts, event_id AS id FROM events WHERE event_type = 'error'),
+d AS (SELECT user_id AS k, ts, event_id AS id FROM events WHERE event_type = 'purchase'),
+wm AS (SELECT least((SELECT max(ts) FROM a), (SELECT max(ts) FROM d)) - INTERVAL 10 MINUTE AS w),
+m AS (SELECT a.id AS a_id, a.k AS a_key, a.ts AS a_ts, d.id AS d_id, d.ts AS d_ts FROM a JOIN d
+      ON a.k = d.k AND d.ts >= a.ts AND d.ts <= a.ts + INTERVAL 1800 SECOND)
+SELECT a_id, a_key, a_ts, d_id, d_ts, false AS timed_out FROM m
+UNION ALL
+SELECT a.id, a.k, a.ts, NULL, NULL, true FROM a
+WHERE a.id NOT IN (SELECT a_id FROM m) AND a.ts + INTERVAL 1800 SECOND < (SELECT w FROM wm)""")
+oracle("s05_stream_dedup_hourly", """
+SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS bucket FROM events""")

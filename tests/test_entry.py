@@ -2,7 +2,7 @@
 
 import __spark_entry__ as E
 
-ROWS_ONLY = {"a8_sample_rows", "s03_review_gate", "s05_stream_dedup"}
+ROWS_ONLY = {"a8_sample_rows", "s05_stream_dedup"}
 
 
 def test_entry_runs(spark):
