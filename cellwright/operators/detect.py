@@ -102,7 +102,7 @@ class Detector:
     # ----------------------------------------------------------------- passes
     def pass1(self):
         a: dict[str, Column] = {}
-        o = self.order
+        ex: dict[str, tuple[Column, Column]] = {}   # example name -> (value, condition)
         for c in self.cols:
             x = _q(c)
             a[f"{c}|nulls"] = count_if(x.isNull())
@@ -116,31 +116,58 @@ class Detector:
                 stripped = ustrip(x)
                 if K.is_email_name(c):
                     bad = x.isNotNull() & ~email_valid(x)
-                    a[f"{c}|fmt"], a[f"{c}|fmt_ex"] = count_if(bad), first_by(x, bad, o)
+                    a[f"{c}|fmt"], ex[f"{c}|fmt_ex"] = count_if(bad), (x, bad)
                 elif K.is_phone_name(c):
                     bad = x.isNotNull() & ~phone_valid(x)
-                    a[f"{c}|fmt"], a[f"{c}|fmt_ex"] = count_if(bad), first_by(x, bad, o)
+                    a[f"{c}|fmt"], ex[f"{c}|fmt_ex"] = count_if(bad), (x, bad)
                 ws = x.isNotNull() & (F.length(stripped) == 0)
-                a[f"{c}|ws"], a[f"{c}|ws_ex"] = count_if(ws), first_by(x, ws, o)
+                a[f"{c}|ws"], ex[f"{c}|ws_ex"] = count_if(ws), (x, ws)
                 ph = F.lower(stripped).isin(list(K.PLACEHOLDERS))
-                a[f"{c}|ph"], a[f"{c}|ph_ex"] = count_if(ph), first_by(x, ph, o)
+                a[f"{c}|ph"], ex[f"{c}|ph_ex"] = count_if(ph), (x, ph)
                 pad = (x != stripped) & (F.length(stripped) > 0)
-                a[f"{c}|pad"], a[f"{c}|pad_ex"] = count_if(pad), first_by(x, pad, o)
-                a[f"{c}|pad_fix"] = first_by(stripped, pad, o)
+                a[f"{c}|pad"], ex[f"{c}|pad_ex"] = count_if(pad), (x, pad)
+                ex[f"{c}|pad_fix"] = (stripped, pad)
                 if K.is_name_name(c):
                     em = x.rlike(K.RE_EMAIL)
-                    a[f"{c}|em"], a[f"{c}|em_ex"] = count_if(em), first_by(x, em, o)
+                    a[f"{c}|em"], ex[f"{c}|em_ex"] = count_if(em), (x, em)
                 a[f"{c}|seq"] = count_if(x.rlike(K.RE_SEQUENCE))
             elif k == "date":
                 yr = F.year(x)
                 bad = (yr < K.DATE_MIN_YEAR) | (yr > K.DATE_MAX_YEAR)
-                a[f"{c}|yr"], a[f"{c}|yr_ex"] = count_if(bad), first_by(x, bad, o)
+                a[f"{c}|yr"], ex[f"{c}|yr_ex"] = count_if(bad), (x, bad)
         for s, e in self.date_pairs():
             both = _q(s).isNotNull() & _q(e).isNotNull()
             inv = both & (_q(s).cast("date") > _q(e).cast("date"))
             a[f"{s}>{e}|inv"] = count_if(inv)
-            a[f"{s}>{e}|inv_ex"] = first_by(F.struct(_q(s).alias("s"), _q(e).alias("e")), inv, o)
-        self.p1 = run_aggs(self.df, a)
+            ex[f"{s}>{e}|inv_ex"] = (F.struct(_q(s).alias("s"), _q(e).alias("e")), inv)
+        self.p1 = self._with_examples(a, ex)
+
+    def _with_examples(self, a: dict, ex: dict) -> dict:
+        """Counters plus first-hit examples.
+
+        With a single integral order column the first hit of each rule is found as
+        ``min(order)`` (a fixed-width buffer, so the aggregate stays a code-generated
+        hash aggregate) and the few example rows are then fetched by key.  Otherwise
+        ``min_by(value, order)`` gives the example in the same pass.
+        """
+        o = self.order
+        odt = self.types.get(self.order_by if isinstance(self.order_by, str) else
+                             (self.order_by[0] if len(self.order_by) == 1 else None))
+        if odt is None or not isinstance(odt, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+            return run_aggs(self.df, {**a, **{n: first_by(v, c, o) for n, (v, c) in ex.items()}})
+        pos = {n: F.min(F.when(c, o)) for n, (v, c) in ex.items()}
+        out = run_aggs(self.df, {**a, **{f"{n}|pos": e for n, e in pos.items()}})
+        keys = sorted({out[f"{n}|pos"] for n in ex if out[f"{n}|pos"] is not None})
+        rows = {}
+        if keys:
+            names = list(ex)
+            fetched = (self.df.where(o.isin(keys))
+                       .select(o.alias("__o"), *[ex[n][0].alias(f"v{i}") for i, n in enumerate(names)]).collect())
+            rows = {r["__o"]: r for r in fetched}
+        for i, n in enumerate(ex):
+            p = out.pop(f"{n}|pos")
+            out[n] = rows[p][f"v{i}"] if p is not None else None
+        return out
 
     def build_v(self):
         cols = [c for c in self.cols if self.kind[c] != "date"]
