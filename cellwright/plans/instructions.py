@@ -7,7 +7,7 @@ native regular expressions, so it runs inside whole-stage code generation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ustrip
@@ -33,47 +33,38 @@ RESULT_COLUMNS = ["op", "value_text", "value_num", "agg", "source_column", "sour
 def parse_instructions(df: DataFrame, text_col: str, column_names: list[str] | None = None) -> DataFrame:
     """Add the parsed correction as columns op, value_text, value_num, agg, source_column,
     source ('rule' or 'unresolved') and ``ir`` (the IR tree as JSON)."""
-    t = ustrip(F.col(text_col))
-    cond = t.rlike(RE_CONDITIONAL)
-    copy_src = F.regexp_extract(t, RE_COPY, 3)
     names = list(column_names or [])
+    # Pass 1: the trimmed text and the index of the first matching rule (-1 for a
+    # conditional instruction, null when no rule applies); each pattern runs once.
+    t0 = ustrip(F.col(text_col))
+    patterns = [RE_NULL, RE_NUMBER, RE_QUOTED, RE_MEDIAN, RE_MEAN, RE_MODE, RE_MIN, RE_MAX, RE_DELETE, RE_KEEP,
+                RE_COPY]
+    idx = F.when(t0.rlike(RE_CONDITIONAL), F.lit(-1))
+    for i, pat in enumerate(patterns):
+        idx = idx.when(t0.rlike(pat), F.lit(i))
+    tagged = df.select("*", t0.alias("__t"), idx.alias("__rule"))
+    # Pass 2: fields by rule index (extractions run only for the rule that matched).
+    t, rule = F.col("__t"), F.col("__rule")
+    copy_src = F.regexp_extract(t, RE_COPY, 3)
     copy_ok = copy_src.isin(*names) if names else F.lit(True)
-    quoted = F.coalesce(F.nullif(F.regexp_extract(t, RE_QUOTED, 1), F.lit("")),
-                        F.regexp_extract(t, RE_QUOTED, 2))
-    rules: list[tuple[Column, dict]] = [
-        (t.rlike(RE_NULL), {"op": "FILL_LITERAL"}),
-        (t.rlike(RE_NUMBER), {"op": "FILL_LITERAL", "value_num": F.regexp_extract(t, RE_NUMBER, 1).cast("double")}),
-        (t.rlike(RE_QUOTED), {"op": "FILL_LITERAL", "value_text": quoted}),
-        (t.rlike(RE_MEDIAN), {"op": "FILL_AGGREGATE", "agg": F.lit("median")}),
-        (t.rlike(RE_MEAN), {"op": "FILL_AGGREGATE", "agg": F.lit("mean")}),
-        (t.rlike(RE_MODE), {"op": "FILL_AGGREGATE", "agg": F.lit("mode")}),
-        (t.rlike(RE_MIN), {"op": "FILL_AGGREGATE", "agg": F.lit("min")}),
-        (t.rlike(RE_MAX), {"op": "FILL_AGGREGATE", "agg": F.lit("max")}),
-        (t.rlike(RE_DELETE), {"op": "DELETE_ROWS"}),
-        (t.rlike(RE_KEEP), {"op": "KEEP"}),
-        (t.rlike(RE_COPY), {"op": "FILL_FROM_COLUMN", "source_column": copy_src}),
-    ]
-
-    def chain(field: str, default=None) -> Column:
-        expr = None
-        for hit, res in rules:
-            v = res.get(field)
-            if field == "op":
-                v = F.lit(v)
-                if res["op"] == "FILL_FROM_COLUMN":
-                    v = F.when(copy_ok, v)  # unknown source column: no rule applies
-            v = v if v is not None else F.lit(None)
-            expr = F.when(hit, v) if expr is None else expr.when(hit, v)
-        return F.when(cond, F.lit(None)).otherwise(expr.otherwise(F.lit(default)))
-
-    op = chain("op")
-    out = df.select(
-        "*",
+    quoted = F.coalesce(F.nullif(F.regexp_extract(t, RE_QUOTED, 1), F.lit("")), F.regexp_extract(t, RE_QUOTED, 2))
+    ops = ["FILL_LITERAL", "FILL_LITERAL", "FILL_LITERAL", "FILL_AGGREGATE", "FILL_AGGREGATE", "FILL_AGGREGATE",
+           "FILL_AGGREGATE", "FILL_AGGREGATE", "DELETE_ROWS", "KEEP", "FILL_FROM_COLUMN"]
+    aggs = {3: "median", 4: "mean", 5: "mode", 6: "min", 7: "max"}
+    op = F.lit(None)
+    for i, name in enumerate(ops):
+        v = F.when(copy_ok, F.lit(name)) if name == "FILL_FROM_COLUMN" else F.lit(name)
+        op = F.when(rule == i, v) if i == 0 else op.when(rule == i, v)
+    agg = F.lit(None)
+    for j, (i, a) in enumerate(aggs.items()):
+        agg = F.when(rule == i, F.lit(a)) if j == 0 else agg.when(rule == i, F.lit(a))
+    out = tagged.select(
+        *[F.col(f"`{c}`") for c in df.columns],
         op.alias("op"),
-        chain("value_text").cast("string").alias("value_text"),
-        chain("value_num").cast("double").alias("value_num"),
-        chain("agg").cast("string").alias("agg"),
-        chain("source_column").cast("string").alias("source_column"),
+        F.when(rule == 2, quoted).cast("string").alias("value_text"),
+        F.when(rule == 1, F.regexp_extract(t, RE_NUMBER, 1).cast("double")).alias("value_num"),
+        agg.cast("string").alias("agg"),
+        F.when((rule == 10) & copy_ok, copy_src).cast("string").alias("source_column"),
         F.when(op.isNotNull(), F.lit("rule")).otherwise(F.lit("unresolved")).alias("source"),
     )
     lit_ir = (F.when(F.col("value_num").isNotNull(),

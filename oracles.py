@@ -656,7 +656,9 @@ def _instructions():
 p AS (SELECT event_id, {chain('op')} AS op, CAST({chain('value_text')} AS VARCHAR) AS value_text,
   CAST({chain('value_num')} AS DOUBLE) AS value_num, CAST({chain('agg')} AS VARCHAR) AS agg,
   CAST({chain('source_column')} AS VARCHAR) AS source_column FROM ev)
-SELECT *, CASE WHEN op IS NOT NULL THEN 'rule' ELSE 'unresolved' END AS source FROM p"""
+SELECT event_id, op, value_text, value_num, agg,
+  CASE WHEN op IS NOT NULL THEN source_column END AS source_column,
+  CASE WHEN op IS NOT NULL THEN 'rule' ELSE 'unresolved' END AS source FROM p"""
 
 
 oracle("n01_parse_instructions", _instructions())
