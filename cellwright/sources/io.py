@@ -52,23 +52,39 @@ def with_order_key(df: DataFrame, name: str = ORDER_COL) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, *, separator: str = ",", quote: str = '"',
              has_header: bool = True, encoding: str = "utf-8", schema: T.StructType | str | None = None,
-             infer_schema: bool = True, sampling_ratio: float | None = None,
+             infer_schema: bool = True, infer_rows: int | None = 10_000, sampling_ratio: float | None = None,
              order_key: bool = False) -> DataFrame:
     """Read CSV (A1).  Dates are tried during inference.
 
-    For very large inputs pass ``schema`` (no inference pass) or ``sampling_ratio``.
-    Headerless files get the column names ``column_1..column_n``.
+    Types are inferred from the first ``infer_rows`` lines (10,000, as the reference),
+    then the whole input is read with that fixed schema, so inference never scans
+    the full data.  ``infer_rows=None`` infers over everything (``sampling_ratio``
+    thins it); a given ``schema`` skips inference.  Headerless files get the column
+    names ``column_1..column_n``.
     """
-    reader = (spark.read.option("sep", separator).option("quote", quote)
-              .option("header", has_header).option("encoding", encoding)
-              .option("preferDate", True).option("mode", "PERMISSIVE"))
+    def reader():
+        return (spark.read.option("sep", separator).option("quote", quote)
+                .option("header", has_header).option("encoding", encoding)
+                .option("preferDate", True).option("mode", "PERMISSIVE"))
+
+    r = reader()
     if schema is not None:
-        reader = reader.schema(schema)
+        r = r.schema(schema)
+    elif infer_schema and infer_rows:
+        # a bounded prefix of lines (at most infer_rows + 1) is all that inference reads;
+        # header lines of further part files are dropped from it
+        lines = [row.value for row in spark.read.option("encoding", encoding).text(path)
+                 .limit(infer_rows + (1 if has_header else 0)).collect()]
+        if has_header and lines:
+            lines = lines[:1] + [x for x in lines[1:] if x != lines[0]]
+        sample = spark.sparkContext.parallelize(lines or [""], 1)
+        sample_schema = reader().option("inferSchema", True).csv(sample).schema
+        r = r.schema(sample_schema)
     elif infer_schema:
-        reader = reader.option("inferSchema", True)
+        r = r.option("inferSchema", True)
         if sampling_ratio:
-            reader = reader.option("samplingRatio", sampling_ratio)
-    df = reader.csv(path)
+            r = r.option("samplingRatio", sampling_ratio)
+    df = r.csv(path)
     if not has_header and schema is None:
         df = df.toDF(*[f"column_{i + 1}" for i in range(len(df.columns))])
     return with_order_key(df) if order_key else df
