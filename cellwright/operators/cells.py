@@ -83,6 +83,37 @@ class CellFinder:
                 reqs.append(Q.Request(f"{c}|{prefix}|{nm}", e, Q.floor_index(n, qq), n))
             self.seq_fence[(c, prefix)] = n
         self.qs = Q.kth_smallest(self.base, reqs) if reqs else {}
+        dup_cols = sorted({a["column"] for a in self.anoms
+                           if a["anomaly_type"] == "DUPLICATE" and a["column"] in self.types
+                           and not is_date(self.types[a["column"]])})
+        if dup_cols:
+            self._dup_flags(dup_cols)
+
+    def _dup_flags(self, cols: list[str]):
+        """Later occurrences of repeated keys, for all duplicate columns at once.
+
+        Three passes over the table whatever the number of columns: repeated keys per
+        column, the first row of each repeated key, and the rows after it.  Keys are
+        counted with map-side combine, so a key holding a third of the table costs
+        one row per task before the shuffle.  The flagged row keys (usually few) are
+        joined back once; the planner broadcasts them when they are small.
+        """
+        o = self.order
+        def entries(key_fn):
+            return F.explode(F.array(*[F.struct(F.lit(c).alias("c"), key_fn(c).alias("k")) for c in cols]))
+        raw = self.base.select(entries(lambda c: F.when(_q(c).isNotNull(), dup_key(_q(c), c)))).select("col.*")
+        reps = raw.where(F.col("k").isNotNull()).groupBy("c", "k").count().where(F.col("count") > 1).select("c", "k")
+
+        def base_key(c):
+            sx = py_str(_q(c), self.types[c])
+            return F.when(_q(c).isNotNull(), dup_key(F.regexp_replace(sx, "_DUP\\z", ""), c))
+        tagged = self.base.select(o.alias("__o"), entries(base_key).alias("e")).select("__o", "e.c", "e.k") \
+            .where(F.col("k").isNotNull())
+        firsts = tagged.join(reps, ["c", "k"], "left_semi").groupBy("c", "k").agg(F.min("__o").alias("__first"))
+        flagged = (tagged.join(firsts, ["c", "k"]).where(F.col("__o") > F.col("__first"))
+                   .groupBy("__o").agg(F.collect_set("c").alias("__dup_cols")))
+        self.df = self.df.join(flagged.withColumnRenamed("__o", "__dup_o"), o == F.col("__dup_o"), "left") \
+            .drop("__dup_o")
 
     @staticmethod
     def num_expr(c: str, prefix: str) -> str:
@@ -126,22 +157,10 @@ class CellFinder:
         return F.lit(False)
 
     def _duplicate(self, a, c, x, dt):
-        """Second and later rows (in order) of a repeated key; a ``_DUP`` suffix is ignored.
-
-        Repeated keys and the first row of each come from two aggregates joined back
-        on the key (one row per key on the right side), never a window over a key.
-        """
-        i = len(self.masks)
-        raw_key = dup_key(x, c)
-        sx = py_str(x, dt)
-        base = dup_key(F.regexp_replace(sx, "_DUP\\z", ""), c)
-        reps = (self.base.where(x.isNotNull()).groupBy(raw_key.alias("__k")).count()
-                .where(F.col("count") > 1).select("__k"))
-        tagged = self.base.where(x.isNotNull()).select(base.alias("__k"), self.order.alias("__o"))
-        firsts = tagged.join(reps, "__k", "left_semi").groupBy("__k").agg(F.min("__o").alias(f"__first{i}"))
-        firsts = firsts.withColumnRenamed("__k", f"__dk{i}")
-        self.df = self.df.join(firsts, base == F.col(f"__dk{i}"), "left").drop(f"__dk{i}")
-        return x.isNotNull() & F.col(f"__first{i}").isNotNull() & (self.order > F.col(f"__first{i}"))
+        """Second and later rows (in order) of a repeated key; a ``_DUP`` suffix is ignored."""
+        if is_date(dt) or "__dup_cols" not in self.df.columns:
+            return F.lit(False)
+        return x.isNotNull() & F.coalesce(F.array_contains(F.col("__dup_cols"), F.lit(c)), F.lit(False))
 
     def _format_invalid(self, a, c, x, dt):
         if not is_string(dt):
