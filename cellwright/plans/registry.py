@@ -530,3 +530,16 @@ def s05b(spark, sf_dir):
     out = ST.run_available_now(ST.stream_dedup_by_bucket(_event_stream(spark, sf_dir), ["user_id", "event_type"]),
                                "append")
     return out.select("user_id", "event_type", F.col("bucket").cast("timestamp_ntz").alias("bucket"))
+
+
+def _detect_table(name, order):
+    def run(spark, sf_dir):
+        return detector_view(detect_anomalies(_t(spark, sf_dir, name), name, order_by=order))
+    run.__name__ = f"detect_{name}"
+    return run
+
+
+# every detector over driver tables as they are
+QUERIES["d20_detect_customer"] = _detect_table("customer", "c_custkey")
+QUERIES["d21_detect_events"] = _detect_table("events", "event_id")
+QUERIES["d22_detect_part"] = _detect_table("part", "p_partkey")

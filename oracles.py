@@ -920,3 +920,16 @@ SELECT a.id, a.k, a.ts, NULL, NULL, true FROM a
 WHERE a.id NOT IN (SELECT a_id FROM m) AND a.ts + INTERVAL 1800 SECOND < (SELECT w FROM wm)""")
 oracle("s05_stream_dedup_hourly", """
 SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS bucket FROM events""")
+NO_KW = {"EMAIL_COLS": [], "PHONE_COLS": [], "NAME_COLS": [], "ADDR_COLS": []}
+oracle("d20_detect_customer", _detectors_for({
+    **NO_KW, "DIRTY": "WITH dirty AS (SELECT c_custkey AS row_key, * FROM customer)\n",
+    "NUMERIC": ["c_custkey", "c_nationkey", "c_acctbal"], "STRINGS": ["c_name", "c_mktsegment"], "DATES": [],
+    "NAME_COLS": ["c_name"], "ID_LIKE": ["c_custkey", "c_nationkey"]}))
+oracle("d21_detect_events", _detectors_for({
+    **NO_KW, "DIRTY": "WITH dirty AS (SELECT event_id AS row_key, * FROM events)\n",
+    "NUMERIC": ["event_id", "user_id", "value"], "STRINGS": ["event_type", "props"], "DATES": ["ts"],
+    "ID_LIKE": ["event_id", "user_id"]}))
+oracle("d22_detect_part", _detectors_for({
+    **NO_KW, "DIRTY": "WITH dirty AS (SELECT p_partkey AS row_key, * FROM part)\n",
+    "NUMERIC": ["p_partkey", "p_size", "p_retailprice"], "STRINGS": ["p_name", "p_brand", "p_type"], "DATES": [],
+    "NAME_COLS": ["p_name"], "ID_LIKE": ["p_partkey"]}))
