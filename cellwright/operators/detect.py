@@ -375,10 +375,17 @@ class Detector:
         if not cols:
             return
         o = self.order.alias("__o")
-        parts = [self.df.where(_q(c).isNotNull())
-                 .select(F.lit(c).alias("column"), _q(c).alias("v"), o)
-                 .orderBy("__o").limit(self.sample_rows) for c in cols]
-        sample = reduce(lambda a, b: a.unionByName(b), parts)
+        if self.sample_rows is None:
+            # exact variant: every non-null value, one scan for all columns
+            sample = self.df.select(o, F.explode(F.array(*[
+                F.struct(F.lit(c).alias("column"), _q(c).alias("v")) for c in cols])).alias("e")) \
+                .select("e.column", "e.v", "__o").where(F.col("v").isNotNull())
+        else:
+            # the first N non-null values of each column: one TakeOrdered plan per column
+            parts = [self.df.where(_q(c).isNotNull())
+                     .select(F.lit(c).alias("column"), _q(c).alias("v"), o)
+                     .orderBy("__o").limit(self.sample_rows) for c in cols]
+            sample = reduce(lambda a, b: a.unionByName(b), parts)
         v, so = F.col("v"), F.col("__o")
         nonempty = v != ""
         st = ustrip(v)

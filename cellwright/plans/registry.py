@@ -515,8 +515,8 @@ def s03(spark, sf_dir):
 
 @query("s04_row_checks")
 def s04(spark, sf_dir):
-    m, s = ST.frozen_profile(table(spark, sf_dir, "events"))
-    return ST.run_available_now(ST.row_check_counts(ST.row_checks(_event_stream(spark, sf_dir), m, s)), "complete")
+    prof = ST.frozen_profile(table(spark, sf_dir, "events"))
+    return ST.run_available_now(ST.row_check_counts(ST.row_checks(_event_stream(spark, sf_dir), prof)), "complete")
 
 
 @query("s05_stream_dedup")

@@ -44,7 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the setting names a shared file system and is used as is.  Only
     when it is unset (local tests) do we set our own under the temp folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    current = (spark.conf.get("spark.checkpoint.dir", None)
+               or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+               or spark.sparkContext.getCheckpointDir())
     if not current:
         current = tempfile.mkdtemp(prefix="cellwright-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)

@@ -140,19 +140,35 @@ def review_gate(raised: DataFrame, decided: DataFrame, wait_seconds: int = K.REV
 
 
 # ------------------------------------------------------------------ S4
-def frozen_profile(events_batch: DataFrame) -> tuple:
-    """Mean and sample std of ``value`` from a batch read, frozen for the stream."""
-    r = events_batch.agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).collect()[0]
-    return r["m"], r["s"]
-
-
-def row_checks(events: DataFrame, p_mean: float | None, p_std: float | None) -> DataFrame:
-    """Row-local detector rules per event plus a z-score against the frozen
-    profile, carried as literals (no join at all)."""
+def frozen_profile(events_batch: DataFrame, column: str = "value") -> dict:
+    """Mean, sample std and IQR fences (nearest-rank quartiles) of a column from a
+    batch read, frozen for the stream: the z-score (D2) and IQR (D16) rules then
+    run on each micro-batch as plain comparisons with literals."""
+    from ..functions import quantiles as Q
+    r = events_batch.agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("s"),
+                         F.count(column).alias("n")).collect()[0]
+    prof = {"mean": r["m"], "std": r["s"], "lower": None, "upper": None}
+    n = r["n"]
+    if n and n >= 4:
+        e = f"CAST(`{column}` AS DOUBLE)"
+        qs = Q.kth_smallest(events_batch, [Q.Request("q1", e, Q.nearest_rank(n, 0.25), n),
+                                           Q.Request("q3", e, Q.nearest_rank(n, 0.75), n)])
+        iqr = qs["q3"] - qs["q1"]
+        if iqr != 0:
+            prof["lower"], prof["upper"] = qs["q1"] - K.IQR_FACTOR * iqr, qs["q3"] + K.IQR_FACTOR * iqr
+    return prof
+
+
+def row_checks(events: DataFrame, profile: dict) -> DataFrame:
+    """Row-local detector rules per event plus the z-score and IQR rules against
+    the frozen profile, carried as literals (no join at all)."""
     et = F.col("event_type")
     st = ustrip(et)
     v = F.col("value")
-    z = (F.abs(v - F.lit(p_mean)) / F.lit(p_std) > K.ZSCORE_LIMIT) if p_std else F.lit(False)
+    z = (F.abs(v - F.lit(profile["mean"])) / F.lit(profile["std"]) > K.ZSCORE_LIMIT) if profile["std"] \
+        else F.lit(False)
+    iqr = ((v < F.lit(profile["lower"])) | (v > F.lit(profile["upper"]))) if profile["lower"] is not None \
+        else F.lit(False)
     return events.select(
         "event_id", "ts",
         v.isNull().alias("missing_value"),
@@ -161,12 +177,16 @@ def row_checks(events: DataFrame, p_mean: float | None, p_std: float | None) ->
         ((et != st) & (F.length(st) > 0)).alias("padding"),
         (et.isNotNull() & (F.length(st) == 0)).alias("whitespace_only"),
         F.coalesce(z, F.lit(False)).alias("zscore_outlier"),
+        F.coalesce(iqr, F.lit(False)).alias("iqr_outlier"),
     )
 
 
+ROW_CHECKS = ["missing_value", "date_outlier", "placeholder", "padding", "whitespace_only", "zscore_outlier",
+              "iqr_outlier"]
+
+
 def row_check_counts(flagged: DataFrame) -> DataFrame:
-    checks = ["missing_value", "date_outlier", "placeholder", "padding", "whitespace_only", "zscore_outlier"]
-    return flagged.agg(F.count(F.lit(1)).alias("rows"), *[count_if(F.col(c)).alias(c) for c in checks])
+    return flagged.agg(F.count(F.lit(1)).alias("rows"), *[count_if(F.col(c)).alias(c) for c in ROW_CHECKS])
 
 
 # ------------------------------------------------------------------ S5

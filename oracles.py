@@ -675,14 +675,20 @@ o AS (SELECT *, lag(event) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS p
   count(*) FILTER (WHERE event IN ('completed', 'failed')) OVER (PARTITION BY job_id ORDER BY ts, event_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS terms_before FROM je)
 SELECT job_id, ts, event_id, event FROM o WHERE coalesce(terms_before, 0) = 0 AND (prev IS NULL OR prev <> event)""")
-oracle("s04_row_checks", """WITH p AS (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events)
+oracle("s04_row_checks", """WITH p AS (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events),
+r AS (SELECT value AS v, row_number() OVER (ORDER BY value) AS rn FROM events WHERE value IS NOT NULL),
+q AS (SELECT max(v) FILTER (WHERE rn = (SELECT CAST(floor((count(value) - 1) * 0.25 + 0.5) AS BIGINT) + 1 FROM events)) AS q1,
+             max(v) FILTER (WHERE rn = (SELECT CAST(floor((count(value) - 1) * 0.75 + 0.5) AS BIGINT) + 1 FROM events)) AS q3
+      FROM r)
 SELECT count(*) AS rows, count(*) FILTER (WHERE value IS NULL) AS missing_value,
   count(*) FILTER (WHERE year(ts) < 1900 OR year(ts) > 2030) AS date_outlier,
   count(*) FILTER (WHERE lower(trim(event_type)) IN (""" + PLACE + """)) AS placeholder,
   count(*) FILTER (WHERE event_type <> trim(event_type) AND length(trim(event_type)) > 0) AS padding,
   count(*) FILTER (WHERE event_type IS NOT NULL AND length(trim(event_type)) = 0) AS whitespace_only,
-  count(*) FILTER (WHERE p.s > 0 AND abs(value - p.m) / p.s > 3) AS zscore_outlier
-FROM events, p""")
+  count(*) FILTER (WHERE p.s > 0 AND abs(value - p.m) / p.s > 3) AS zscore_outlier,
+  count(*) FILTER (WHERE q.q3 - q.q1 <> 0 AND (value < q.q1 - 1.5 * (q.q3 - q.q1) OR value > q.q3 + 1.5 * (q.q3 - q.q1)))
+    AS iqr_outlier
+FROM events, p, q""")
 
 
 # ---------------------------------------------------------------- R (cell finders) and P (apply)

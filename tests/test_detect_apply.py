@@ -154,3 +154,11 @@ def test_date_repair(spark):
                                              "k").collect()}
     assert out[0]["fecha_alta"] == dt.date(1990, 1, 1) + dt.timedelta(days=6570)
     assert out[1]["fecha_alta"] == dt.date(2010, 1, 1)
+
+
+def test_wrong_field_sample_and_exact_scan(spark):
+    vals = [f"ok {i}" for i in range(600)] + ["300-123-4567"] * 400
+    df = spark.createDataFrame(list(enumerate(vals)), "k long, nota string")
+    assert detect_records(df, "ds", order_by="k", types=["CROSS_FIELD_SWAP"]) == []  # first 500 are clean
+    full = detect_records(df, "ds", order_by="k", types=["CROSS_FIELD_SWAP"], sample_rows=None)
+    assert full[0]["affected"] == 400

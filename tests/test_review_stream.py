@@ -122,8 +122,8 @@ def test_streams_equal_batch(spark):
     for events in per_job.values():
         assert all(a != b for a, b in zip(events, events[1:]))
         assert all(e not in ST.TERMINAL_EVENTS for e in events[:-1])
-    m, s = ST.frozen_profile(ev)
-    counts = ST.run_available_now(ST.row_check_counts(ST.row_checks(ST.read_stream(spark, path, schema), m, s)),
+    prof = ST.frozen_profile(ev)
+    counts = ST.run_available_now(ST.row_check_counts(ST.row_checks(ST.read_stream(spark, path, schema), prof)),
                                   "complete").collect()[0]
     assert counts["rows"] == ev.count()
     ded = ST.run_available_now(ST.stream_dedup(ST.read_stream(spark, path, schema), ["user_id", "event_type"]),
