@@ -24,8 +24,8 @@ from cellwright.operators.apply import apply_decisions, decisions_by_rule  # noq
 from cellwright.operators.cells import find_cells  # noqa: E402
 from cellwright.operators.detect import detect_anomalies  # noqa: E402
 from cellwright.plans import review as RV  # noqa: E402
-from cellwright.plans.fixtures import (dirty, review_anomalies, review_datasets, review_decisions,  # noqa: E402
-                                       table)
+from cellwright.plans.fixtures import (dirty, dirty_lineitem, review_anomalies, review_datasets,  # noqa: E402
+                                       review_decisions, table)
 from cellwright.plans.instructions import parse_instructions  # noqa: E402
 from cellwright.plans.registry import INSTRUCTION_SQL, flagship  # noqa: E402
 from cellwright.session import get_spark  # noqa: E402
@@ -64,6 +64,7 @@ def main():
         "detect_lineitem": lambda: detect_anomalies(
             lineitem().withColumn("__k", F.monotonically_increasing_id()), "lineitem", order_by="__k").collect(),
         "detect_find_apply_dirty": lambda: _dirty_cycle(spark, sf_dir),
+        "detect_find_apply_lineitem": lambda: _dirty_cycle(spark, sf_dir, dirty_lineitem),
         "review_report": lambda: [sink(x) for x in RV.review_report(review_anomalies(spark, sf_dir),
                                                                     review_decisions(spark, sf_dir))],
         "user_stats": lambda: sink(RV.user_stats(review_datasets(spark, sf_dir), review_anomalies(spark, sf_dir),
@@ -85,8 +86,8 @@ def main():
     spark.stop()
 
 
-def _dirty_cycle(spark, sf_dir):
-    d = dirty(spark, sf_dir)
+def _dirty_cycle(spark, sf_dir, make=dirty):
+    d = make(spark, sf_dir)
     an = detect_anomalies(d, "dirty", order_by="row_key")
     an = an.cache()
     sink(find_cells(d, an, "row_key"))

@@ -132,3 +132,26 @@ SUGGESTION_SQL_BODY = (
 def review_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestion texts built per event row: a third valid JSON, a third free text, a third other JSON."""
     return _select(spark, sf_dir, "events", SUGGESTION_SQL_BODY)
+
+
+# A larger dirty table planted into ``lineitem`` (a row per line item), for the
+# detect -> find -> apply cycle at the size of the biggest driver table.
+DIRTY_LINEITEM_SQL = """
+SELECT
+  ((l_orderkey * 20011 + l_partkey) * 1009 + l_suppkey) * 8 + l_linenumber AS row_key,
+  CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END AS cantidad,
+  CASE WHEN l_partkey % 997 = 1 THEN l_extendedprice * 1000 ELSE l_extendedprice END AS precio,
+  l_discount AS descuento,
+  CASE WHEN l_suppkey % 101 = 3 THEN '  ' || l_returnflag || ' '
+       WHEN l_suppkey % 103 = 5 THEN 'N/A' ELSE l_returnflag END AS estado,
+  CASE WHEN l_orderkey % 89 = 1 THEN 'cliente' || CAST(l_orderkey AS STRING) || '@'
+       ELSE 'cliente' || CAST(l_orderkey AS STRING) || '@shop.co' END AS email,
+  l_shipdate AS fecha_envio
+FROM lineitem
+"""
+
+
+def dirty_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = "cw_lineitem_dirty_src"
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView(view)
+    return spark.sql(DIRTY_LINEITEM_SQL.replace("FROM lineitem", f"FROM {view}"))

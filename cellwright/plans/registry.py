@@ -543,3 +543,28 @@ def _detect_table(name, order):
 QUERIES["d20_detect_customer"] = _detect_table("customer", "c_custkey")
 QUERIES["d21_detect_events"] = _detect_table("events", "event_id")
 QUERIES["d22_detect_part"] = _detect_table("part", "p_partkey")
+
+
+@query("d23_detect_dirty_lineitem")
+def d23(spark, sf_dir):
+    from .fixtures import dirty_lineitem
+    return detector_view(detect_anomalies(dirty_lineitem(spark, sf_dir), "lineitem", order_by="row_key"))
+
+
+def _dirty_lineitem_anomalies(spark, sf_dir):
+    from .fixtures import dirty_lineitem
+    d = dirty_lineitem(spark, sf_dir)
+    return d, detect_anomalies(d, "lineitem", order_by="row_key")
+
+
+@query("r02_find_cells_dirty_lineitem")
+def r02(spark, sf_dir):
+    d, an = _dirty_lineitem_anomalies(spark, sf_dir)
+    return find_cells(d, an, "row_key").select("row_key", F.col("column").alias("column_name"), "anomaly_type")
+
+
+@query("p02_apply_decisions_dirty_lineitem")
+def p02(spark, sf_dir):
+    d, an = _dirty_lineitem_anomalies(spark, sf_dir)
+    out = apply_decisions(d, an, decisions_by_rule(an), "row_key")
+    return out.select(*[F.col(c).cast("string").alias(c) for c in out.columns])

@@ -771,9 +771,10 @@ def _fcond(c, t, x=None):
     if t == "LEADING_TRAILING_WHITESPACE":
         return f"({x} IS NOT NULL AND {x} <> {_trim(x)} AND length({_trim(x)}) > 0)" if c in STRINGS else "false"
     if t == "DATE_LOGICAL":
-        if c != "fecha_nacimiento":
+        ends = [e for s_, e in DATE_PAIRS if s_ == c]
+        if not ends:
             return "false"
-        return f"({x} IS NOT NULL AND d.fecha_alta IS NOT NULL AND {x} > d.fecha_alta)"
+        return f"({x} IS NOT NULL AND d.{ends[0]} IS NOT NULL AND {x} > d.{ends[0]})"
     if t == "NUMERIC_ROUND_NUMBER":
         if c not in NUMERIC:
             return "false"
@@ -811,6 +812,9 @@ def _fcond(c, t, x=None):
     return "false"
 
 
+DATE_PAIRS = [("fecha_nacimiento", "fecha_alta")]
+NUM_TYPES = {c: "DOUBLE" for c in ["saldo", "monto", "tasa"]} | {"row_key": "BIGINT", "puntaje": "INTEGER"}
+MISSING_LITERAL_COLS = ["saldo"]
 TYPES_ALL = ["MISSING_VALUE", "OUTLIER", "DUPLICATE", "FORMAT_INVALID", "INCONSISTENT", "WHITESPACE_ONLY",
              "CROSS_FIELD_SWAP", "SUSPICIOUS_PLACEHOLDER", "LEADING_TRAILING_WHITESPACE", "DATE_LOGICAL",
              "NUMERIC_ROUND_NUMBER", "LOW_VARIANCE", "OUTLIER_IQR", "SEQUENCE_GAP"]
@@ -834,11 +838,12 @@ oracle("r01_find_cells", _findings())
 
 def _applied():
     """Final table after the fixture's review rule, decision by decision in type order."""
-    dirty_types = {c: "DOUBLE" for c in ["saldo", "monto", "tasa"]} | {"row_key": "BIGINT", "puntaje": "INTEGER"}
+    dirty_types = NUM_TYPES
     stages = []       # (name, select list) chain of CTEs
     cur = {c: c for c in ALL_COLS}
     # MISSING_VALUE: saldo corrected with the literal "0"
-    cur["saldo"] = f"CASE WHEN {_has('saldo', 'MISSING_VALUE')} AND saldo IS NULL THEN 0.0 ELSE saldo END"
+    for mc in MISSING_LITERAL_COLS:
+        cur[mc] = f"CASE WHEN {_has(mc, 'MISSING_VALUE')} AND {mc} IS NULL THEN 0.0 ELSE {mc} END"
     stages.append(dict(cur))
     cur = {c: f"s1.{c}" for c in ALL_COLS}
     # OUTLIER (numeric): corrected with the median of the current column
@@ -870,9 +875,10 @@ def _applied():
         v = f"CASE WHEN length({_trim(v)}) = 0 THEN NULL ELSE {_trim(v)} END"
         out[c] = v
     # date repair on every DATE_LOGICAL pair
-    out["fecha_alta"] = (f"CASE WHEN {_has('fecha_nacimiento', 'DATE_LOGICAL')} AND s2.fecha_nacimiento IS NOT NULL "
-                         f"AND s2.fecha_alta IS NOT NULL AND s2.fecha_alta < s2.fecha_nacimiento "
-                         f"THEN CAST(s2.fecha_nacimiento + 6570 AS VARCHAR) ELSE CAST(s2.fecha_alta AS VARCHAR) END")
+    for sc, ec in DATE_PAIRS:
+        out[ec] = (f"CASE WHEN {_has(sc, 'DATE_LOGICAL')} AND s2.{sc} IS NOT NULL "
+                   f"AND s2.{ec} IS NOT NULL AND s2.{ec} < s2.{sc} "
+                   f"THEN CAST(s2.{sc} + 6570 AS VARCHAR) ELSE CAST(s2.{ec} AS VARCHAR) END")
     s1 = ", ".join(f"{e} AS {c}" for c, e in stages[0].items())
     s2 = ", ".join(f"{e} AS {c}" for c, e in stages[1].items())
     final = ", ".join(f"{e} AS {c}" for c, e in out.items())
@@ -939,3 +945,35 @@ oracle("d22_detect_part", _detectors_for({
     **NO_KW, "DIRTY": "WITH dirty AS (SELECT p_partkey AS row_key, * FROM part)\n",
     "NUMERIC": ["p_partkey", "p_size", "p_retailprice"], "STRINGS": ["p_name", "p_brand", "p_type"], "DATES": [],
     "NAME_COLS": ["p_name"], "ID_LIKE": ["p_partkey"]}))
+from cellwright.plans.fixtures import DIRTY_LINEITEM_SQL  # noqa: E402
+
+oracle("d23_detect_dirty_lineitem", _detectors_for({
+    **NO_KW, "DIRTY": f"WITH dirty AS ({DIRTY_LINEITEM_SQL})\n",
+    "NUMERIC": ["row_key", "cantidad", "precio", "descuento"], "STRINGS": ["estado", "email"],
+    "DATES": ["fecha_envio"], "EMAIL_COLS": ["email"], "ID_LIKE": ["row_key"]}))
+
+
+def _cycle_for(spec: dict, detect_sql: str, builder):
+    """Finder / apply oracles over another dirty table: rebinding the column classes."""
+    g = globals()
+    spec = dict(spec)
+    spec["ALL_COLS"] = spec["NUMERIC"] + spec["STRINGS"] + spec["DATES"]
+    spec["ANOMS"] = "anoms AS (" + detect_sql[len(spec["DIRTY"]):] + ")"
+    saved = {k: g[k] for k in spec}
+    g.update(spec)
+    try:
+        return builder()
+    finally:
+        g.update(saved)
+
+
+LINEITEM_SPEC = {
+    **NO_KW, "DIRTY": f"WITH dirty AS ({DIRTY_LINEITEM_SQL})\n",
+    "NUMERIC": ["row_key", "cantidad", "precio", "descuento"], "STRINGS": ["estado", "email"],
+    "DATES": ["fecha_envio"], "EMAIL_COLS": ["email"], "ID_LIKE": ["row_key"], "DATE_PAIRS": [],
+    "NUM_TYPES": {"row_key": "BIGINT", "cantidad": "DOUBLE", "precio": "DOUBLE", "descuento": "DOUBLE"},
+    "MISSING_LITERAL_COLS": [],
+}
+oracle("r02_find_cells_dirty_lineitem", _cycle_for(LINEITEM_SPEC, ORACLES["d23_detect_dirty_lineitem"], _findings))
+oracle("p02_apply_decisions_dirty_lineitem",
+       _cycle_for(LINEITEM_SPEC, ORACLES["d23_detect_dirty_lineitem"], _applied))
