@@ -10,10 +10,11 @@ The reference takes quantiles with the *nearest rank* rule (index
   ``percentile_disc((k + 0.5) / n)`` returns element ``k`` exactly;
 * above that, it narrows a value bracket around the k-th element: one pass takes
   ``percentile_approx`` cut points inside the bracket, a second counts exactly how
-  many values fall at or below the new cut points.  Each round shrinks the bracket
-  by roughly ``accuracy / 4``; once it holds at most ``exact_limit`` values the
-  exact step above finishes.  Memory per task stays bounded by the approximate
-  summary and by ``exact_limit`` distinct values, whatever the table size.
+  many values fall at or below the new cut points.  The sketch accuracy is sized
+  so that one round usually brings the bracket under ``exact_limit`` (capped at
+  ``MAX_ACCURACY``: 10**12 values take two rounds); once it is there the exact step
+  above finishes.  Memory per task stays bounded by the sketch and by
+  ``exact_limit`` distinct values, whatever the table size.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EXACT_LIMIT = 100_000
-ACCURACY = 4_000
+ACCURACY = 1_000
+MAX_ACCURACY = 1_000_000
 
 
 def nearest_rank(n: int, q: float) -> int:
@@ -94,16 +96,20 @@ def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXAC
             groups.setdefault((s["req"].expr, s["lo"], s["hi"]), []).append(name)
         spans = {}
         for gi, ((expr, lo, hi), members) in enumerate(groups.items()):
+            # sketch accuracy sized so one round brings the bracket under exact_limit
+            # (bounded above: a larger bracket simply takes another round)
+            cnt = max(state[n]["cnt"] for n in members)
+            acc = int(min(MAX_ACCURACY, max(accuracy, math.ceil(8.0 * cnt / exact_limit) + 1)))
             fr = []
             for name in members:
                 s = state[name]
                 f = (s["req"].k - s["below"]) / s["cnt"]
-                d = 4.0 / accuracy
+                d = 4.0 / acc
                 spans[name] = (gi, len(fr))
                 fr += [max(0.0, f - d), min(1.0, f + d)]
             v = _in_bracket(expr, lo, hi)
             arr = ", ".join(repr(x) for x in fr)
-            aggs.append(F.expr(f"percentile_approx({v}, array({arr}), {accuracy})").alias(f"w{gi}"))
+            aggs.append(F.expr(f"percentile_approx({v}, array({arr}), {acc})").alias(f"w{gi}"))
         row = df.agg(*aggs).collect()[0]
         for kind, name, alias in names:
             if kind == "e":
