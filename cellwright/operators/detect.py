@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import quantiles as Q
-from ..functions.text import count_if, digit_count, email_valid, first_by, phone_valid, py_str, ustrip
-from ..functions.types import dtypes, is_date, is_numeric, is_string, kind_of
+from ..functions.text import count_if, digit_count, email_valid, first_by, phone_valid, ustrip
+from ..functions.types import dtypes, kind_of
 from ..plans.profile import order_column, persist, run_aggs, value_counts, value_text
 
 ANOMALY_SCHEMA = T.StructType([
