@@ -155,14 +155,15 @@ def table_stats(df: DataFrame) -> DataFrame:
     """
     cols = df.columns
     aggs = [F.count(F.lit(1)).alias("__rows")]
-    aggs += [count_if(F.col(c).isNull()).alias(f"__n{i}") for i, c in enumerate(cols)]
+    aggs += [count_if(F.col(f"`{c}`").isNull()).alias(f"__n{i}") for i, c in enumerate(cols)]
     wide = df.agg(*aggs)
-    stack = ", ".join(f"{i}, '{c.replace(chr(39), chr(39) * 2)}', `__n{i}`" for i, c in enumerate(cols))
+    per_col = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
+                                           F.col(f"__n{i}").alias("null_count")) for i, c in enumerate(cols)]))
     return wide.select(
         F.col("__rows").alias("row_count"),
         F.lit(len(cols)).cast("bigint").alias("column_count"),
-        F.expr(f"stack({len(cols)}, {stack}) AS (position, column_name, null_count)"),
-    )
+        per_col.alias("e"),
+    ).select("row_count", "column_count", "e.*")
 
 
 def sample_rows(df: DataFrame, n: int = 100, seed: int | None = None, key: list[str] | None = None) -> DataFrame:
