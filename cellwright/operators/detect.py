@@ -609,6 +609,14 @@ class Detector:
 
 def detect_records(df: DataFrame, dataset_id: str = "dataset", order_by=None, types=None,
                    sample_rows: int = K.SWAP_SAMPLE_ROWS) -> list[dict]:
+    """Anomaly records as dicts.  Without ``order_by`` the row order is taken from the
+    scan (``monotonically_increasing_id``, split-layout dependent) and used only to
+    pick "first" examples; the key column itself is not examined."""
+    if order_by is None:
+        from ..sources.io import ORDER_COL, with_order_key
+        det = Detector(with_order_key(df), dataset_id, ORDER_COL, types, sample_rows)
+        det.cols = [c for c in det.cols if c != ORDER_COL]
+        return det.run()
     return Detector(df, dataset_id, order_by, types, sample_rows).run()
 
 

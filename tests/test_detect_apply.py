@@ -162,3 +162,11 @@ def test_wrong_field_sample_and_exact_scan(spark):
     assert detect_records(df, "ds", order_by="k", types=["CROSS_FIELD_SWAP"]) == []  # first 500 are clean
     full = detect_records(df, "ds", order_by="k", types=["CROSS_FIELD_SWAP"], sample_rows=None)
     assert full[0]["affected"] == 400
+
+
+def test_detect_without_order_key(spark):
+    df = spark.createDataFrame([("a",), (None,), ("  b",)], "nombre string")
+    r = recs_by(detect_records(df, "ds"))
+    assert r[("nombre", "MISSING_VALUE")]["affected"] == 1
+    assert r[("nombre", "LEADING_TRAILING_WHITESPACE")]["original_value"] == "  b"
+    assert all(k[0] == "nombre" for k in r)
