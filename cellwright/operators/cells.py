@@ -65,6 +65,12 @@ class CellFinder:
         for c in need_stats | round_cols | iqr_cols:
             d = _q(c).cast("double")
             aggs[f"{c}|n"], aggs[f"{c}|m"], aggs[f"{c}|s"] = F.count(d), F.avg(d), F.stddev_samp(d)
+        for a in self.anoms:  # non-null counts for the rare-value threshold
+            if a["anomaly_type"] == "INCONSISTENT" and a["column"] in self.types:
+                aggs[f"{a['column']}|cnt"] = F.count(_q(a["column"]))
+        for (c, prefix) in seq:  # how many values carry each sequence prefix
+            aggs[f"{c}|{prefix}|seqn"] = F.count(F.expr(self.num_expr(c, prefix)))
+        # one scan for every statistic the finders need
         self.stats = run_aggs(self.base, aggs) if aggs else {}
         reqs = []
         for c in iqr_cols:
@@ -75,7 +81,7 @@ class CellFinder:
         self.seq_fence = {}
         for (c, prefix) in seq:
             e = self.num_expr(c, prefix)
-            n = self.base.agg(F.count(F.expr(e))).collect()[0][0]
+            n = self.stats[f"{c}|{prefix}|seqn"]
             if n == 0:
                 self.seq_fence[(c, prefix)] = None
                 continue
@@ -179,8 +185,7 @@ class CellFinder:
             return F.lit(False)
         i = len(self.masks)
         vc = self.base.where(x.isNotNull()).groupBy(x.alias("__v")).count()
-        n = self.base.agg(F.count(x)).collect()[0][0]
-        thr = max(2, int(n * K.INCONSISTENT_SHARE))
+        thr = max(2, int(self.stats[f"{c}|cnt"] * K.INCONSISTENT_SHARE))
         rare = vc.where(F.col("count") < thr).select(F.col("__v").alias(f"__rv{i}"), F.lit(True).alias(f"__rare{i}"))
         self.df = self.df.join(rare, x == F.col(f"__rv{i}"), "left").drop(f"__rv{i}")
         return F.col(f"__rare{i}")
