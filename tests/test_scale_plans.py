@@ -79,3 +79,26 @@ def test_filters_and_columns_reach_the_scan(spark):
     p = plan(out)
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThanOrEqual(l_quantity,25.0)]" in p
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in p
+
+
+def test_order_dependent_ops_same_at_1_and_8_shuffle_partitions(spark):
+    from cellwright.operators.apply import apply_decisions, decisions_by_rule
+    from cellwright.operators.detect import detect_anomalies
+    from cellwright.plans.fixtures import dirty
+    results = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            d = dirty(spark, SF01)
+            fwd = TR.fill_nulls(d.select("row_key", "email", "saldo"), ["email", "saldo"], strategy="forward",
+                                order_by="row_key")[0]
+            first = TR.remove_duplicates(d.select("row_key", "pais", "segmento"), ["pais", "segmento"],
+                                         keep="first", order_by="row_key")[0]
+            an = detect_anomalies(d, "dirty", order_by="row_key")
+            cells = find_cells(d, an, "row_key")
+            applied = apply_decisions(d, an, decisions_by_rule(an), "row_key")
+            results.append([sorted(map(tuple, x.collect()), key=str) for x in (fwd, first, cells, applied)])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1]
