@@ -503,6 +503,7 @@ class Detector:
         best = pc.groupBy("column").agg(
             F.min(F.struct((-F.col("cnt")).alias("nc"), F.col("prefix").alias("prefix"))).alias("p"))
         top = {r["column"]: (r["p"]["prefix"], -r["p"]["nc"]) for r in best.collect()}
+        chosen = []
         for c in cands:
             n = self.p1[f"{c}|n"]
             if c not in top:
@@ -510,7 +511,9 @@ class Detector:
             prefix, dom = top[c]
             if dom / n < K.SEQ_PREFIX_SHARE or dom < 2:
                 continue
-            self._sequence(c, prefix, dom)
+            chosen.append((c, prefix, dom))
+        if chosen:
+            self._sequences(chosen)
 
     def num_expr(self, c: str, prefix: str) -> str:
         """SQL: the number of a value with the given prefix (<= 18 digits), else null."""
@@ -520,48 +523,52 @@ class Detector:
                 f"AND length(regexp_extract(`{c}`, '{pat}', 2)) <= 18 "
                 f"THEN CAST(regexp_extract(`{c}`, '{pat}', 2) AS BIGINT) END")
 
-    def _sequence(self, c, prefix, dom):
-        e = self.num_expr(c, prefix)
-        num = F.expr(e)
-        rq = [Q.Request("q1", e, Q.floor_index(dom, 0.25), dom), Q.Request("q3", e, Q.floor_index(dom, 0.75), dom),
-              Q.Request("p10", e, Q.floor_index(dom, 0.10), dom), Q.Request("p90", e, Q.floor_index(dom, 0.90), dom)]
+    def _sequences(self, chosen):
+        """Quartiles by index, fences and out-of-range counts for all sequence columns
+        together; holes only where nothing is out of range."""
+        rq = []
+        for c, prefix, dom in chosen:
+            e = self.num_expr(c, prefix)
+            rq += [Q.Request(f"{c}|{nm}", e, Q.floor_index(dom, qq), dom)
+                   for nm, qq in (("q1", 0.25), ("q3", 0.75), ("p10", 0.10), ("p90", 0.90))]
         qs = {k: (int(v) if v is not None else None) for k, v in Q.kth_smallest(self.df, rq).items()}
-        q1, q3 = qs["q1"], qs["q3"]
-        iqr = q3 - q1
-        if iqr > 0:
-            lo, hi = q1 - 1.5 * iqr, q3 + 1.5 * iqr
-            inside = (num >= F.lit(lo)) & (num <= F.lit(hi))
-        else:
-            lo, hi = qs["p10"], qs["p90"]
+        aggs, fence = [], {}
+        for i, (c, prefix, dom) in enumerate(chosen):
+            num = F.expr(self.num_expr(c, prefix))
+            q1, q3 = qs[f"{c}|q1"], qs[f"{c}|q3"]
+            iqr = q3 - q1
+            lo, hi = (q1 - 1.5 * iqr, q3 + 1.5 * iqr) if iqr > 0 else (qs[f"{c}|p10"], qs[f"{c}|p90"])
+            fence[c] = (iqr, lo, hi)
             inside = (num >= F.lit(lo)) & (num <= F.lit(hi))
-        row = self.df.agg(
-            F.min(F.when(inside, num)).alias("cmin"), F.max(F.when(inside, num)).alias("cmax"),
-            F.min(num).alias("mn"), F.max(num).alias("mx"),
-            count_if(num.isNotNull() & ~inside).alias("out"), F.min(F.when(~inside, num)).alias("out_ex"),
-        ).collect()[0]
-        mn, mx = row["mn"], row["mx"]
-        if row["out"]:
-            cmin, cmax = (row["cmin"], row["cmax"]) if iqr > 0 else (lo, hi)
-            if cmin is None:
+            aggs += [F.min(F.when(inside, num)).alias(f"cmin{i}"), F.max(F.when(inside, num)).alias(f"cmax{i}"),
+                     F.min(num).alias(f"mn{i}"), F.max(num).alias(f"mx{i}"),
+                     count_if(num.isNotNull() & ~inside).alias(f"out{i}"),
+                     F.min(F.when(~inside, num)).alias(f"outex{i}")]
+        row = self.df.agg(*aggs).collect()[0]
+        for i, (c, prefix, dom) in enumerate(chosen):
+            iqr, lo, hi = fence[c]
+            mn, mx = row[f"mn{i}"], row[f"mx{i}"]
+            if row[f"out{i}"]:
+                cmin, cmax = (row[f"cmin{i}"], row[f"cmax{i}"]) if iqr > 0 else (lo, hi)
+                if cmin is None:
+                    cmin, cmax = mn, mx
+                example = f"{prefix}{str(row[f'outex{i}']).zfill(len(str(mn)))}"
+                count = row[f"out{i}"]
+            else:
+                num = F.expr(self.num_expr(c, prefix))
+                nums = self.df.select(num.alias("x")).where(F.col("x").isNotNull()).distinct()
+                count = (mx - mn + 1) - nums.count()
+                if count <= 0:
+                    continue
+                nxt = nums.select((F.col("x") - 1).alias("x"))
+                # a hole follows x when x+1 is absent: anti join, no window over the whole range
+                first = nums.where(F.col("x") < mx).join(nxt, "x", "left_anti").agg(F.min("x")).collect()[0][0]
+                example = f"{prefix}{str(first + 1).zfill(len(str(mn)))}"
                 cmin, cmax = mn, mx
-            pad = len(str(mn))
-            example = f"{prefix}{str(row['out_ex']).zfill(pad)}"
-            count = row["out"]
-        else:
-            nums = self.df.select(num.alias("x")).where(F.col("x").isNotNull()).distinct()
-            distinct = nums.count()
-            count = (mx - mn + 1) - distinct
-            if count <= 0:
-                return
-            nxt = nums.select((F.col("x") - 1).alias("x"))
-            # a hole follows x when x+1 is absent: anti join, no window over the whole range
-            first = nums.where(F.col("x") < mx).join(nxt, "x", "left_anti").agg(F.min("x")).collect()[0][0]
-            example = f"{prefix}{str(first + 1).zfill(len(str(mn)))}"
-            cmin, cmax = mn, mx
-        self.emit(c, "SEQUENCE_GAP", count,
-                  f"La columna '{c}' parece secuencial (prefijo '{prefix}') pero tiene {count} hueco(s) entre "
-                  f"{prefix}{cmin} y {prefix}{cmax}. Primer hueco/fuera-de-rango: '{example}'",
-                  f"{prefix}|{cmin}|{cmax}|{example}", K.LABEL_SEQUENCE)
+            self.emit(c, "SEQUENCE_GAP", count,
+                      f"La columna '{c}' parece secuencial (prefijo '{prefix}') pero tiene {count} hueco(s) entre "
+                      f"{prefix}{cmin} y {prefix}{cmax}. Primer hueco/fuera-de-rango: '{example}'",
+                      f"{prefix}|{cmin}|{cmax}|{example}", K.LABEL_SEQUENCE)
 
     # ----------------------------------------------------------------- run
     def run(self) -> list[dict]:
