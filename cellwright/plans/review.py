@@ -29,7 +29,8 @@ def user_stats(datasets: DataFrame, anomalies: DataFrame, as_of) -> DataFrame:
     month_start = F.date_trunc("month", F.lit(as_of).cast("timestamp"))
     st = F.col("status")
     ready_done = (st == "READY") & F.col("processed_at").isNotNull()
-    ms = (F.unix_micros(F.col("processed_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 1000.0
+    # wall-clock difference, independent of the session time zone for both timestamp kinds
+    ms = F.expr("timestampdiff(MICROSECOND, created_at, processed_at)") / 1000.0
     per_user = datasets.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total_datasets"),
         count_if(F.col("created_at") >= month_start).alias("datasets_this_month"),
