@@ -92,10 +92,18 @@ class Applier:
         self.skipped: list[tuple[str, str]] = []
 
     # ------------------------------------------------------------- statistics
+    HELPERS = ("__dup_cols", "__rare")
+
+    def _base_for(self, *exprs) -> DataFrame:
+        """The plain table when the expressions use no helper-join column, so a
+        statistic does not re-run the duplicate / rare-value joins."""
+        text = " ".join(str(e) for e in exprs)
+        return self.finder.df if any(h in text for h in self.HELPERS) else self.src
+
     def aggregate(self, col: str, agg: str):
         """Whole-column statistic of the CURRENT column value (earlier decisions applied)."""
         x = self.cur[col]
-        base = self.finder.df
+        base = self._base_for(x)
         if agg == "mode":
             vc = base.where(x.isNotNull()).groupBy(x.alias("v")).count()
             top = vc.agg(F.min(F.struct((-F.col("count")).alias("nc"), F.col("v").alias("v")))).collect()[0][0]
@@ -116,7 +124,7 @@ class Applier:
         def split(cond: Column, bad: Column | None):
             aggs = [F.max(mask & cond).alias("t"), F.max(mask & ~cond).alias("f")]
             aggs.append(F.max(mask & bad).alias("b") if bad is not None else F.lit(False).alias("b"))
-            r = self.finder.df.agg(*aggs).collect()[0]
+            r = self._base_for(aggs[0], aggs[1], aggs[2]).agg(*aggs).collect()[0]
             return bool(r["t"]), bool(r["f"]), bool(r["b"])
         return split
 
