@@ -15,19 +15,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "__bucket"
+MAX_BUCKETS = 1_000_000
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Twice the shuffle width: each bucket is one sort task of the fill window."""
+    """Bucket count sized to the data: at least twice the shuffle width and at least
+    one bucket per input split (about 128 MB each), so one bucket — one sort task of
+    the fill window — stays near a split in size however large the table is."""
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(65_536, conf * 2))
+    splits = df.rdd.getNumPartitions()  # planning only, nothing runs
+    return max(2, min(MAX_BUCKETS, max(conf * 2, splits)))
 
 
 def add_range_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None) -> DataFrame:
     """Tag each row with a range bucket of ``order_col`` (monotone in the key)."""
     n_buckets = n_buckets or default_buckets(df)
     fracs = [i / n_buckets for i in range(1, n_buckets)]
-    acc = max(10_000, 8 * n_buckets)
+    # cut points need only be roughly even: buckets within about +-50% of each other
+    acc = max(10_000, 2 * n_buckets)
     cuts = df.agg(F.percentile_approx(F.col(order_col).cast("double"), fracs, acc).alias("c")).collect()[0]["c"] or []
     splits = sorted(set(float(c) for c in cuts if c is not None))
     splits = [float("-inf")] + splits + [float("inf")]
