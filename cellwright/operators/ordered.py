@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 BUCKET = "__bucket"
 MAX_BUCKETS = 1_000_000
+BROADCAST_BUCKETS = 100_000
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -49,6 +50,7 @@ def fill_ordered(df: DataFrame, columns: list[str], order_col: str, direction: s
         return df
     partition_by = list(partition_by or [])
     fwd = direction == "forward"
+    n_buckets = n_buckets or default_buckets(df)
     tagged = add_range_bucket(df, order_col, n_buckets)
     keys = partition_by + [BUCKET]
     okey = F.col(order_col)
@@ -67,8 +69,9 @@ def fill_ordered(df: DataFrame, columns: list[str], order_col: str, direction: s
     # One row per (group, bucket): the carried value from the neighbouring buckets.
     edges = tagged.groupBy(*keys).agg(*edge)
     carries = edges.select(*keys, *carry)
-    if not partition_by:
+    if not partition_by and n_buckets <= BROADCAST_BUCKETS:
         # One row per bucket: a size bound fixed by n_buckets, safe to broadcast.
+        # Above the bound the planner chooses (a shuffle join on the bucket id).
         carries = F.broadcast(carries)
     filled = tagged.withColumns(inside)
     joined = filled.join(carries, on=keys, how="left")
