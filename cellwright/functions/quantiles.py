@@ -6,15 +6,16 @@ The reference takes quantiles with the *nearest rank* rule (index
 
 ``kth_smallest`` answers many such requests in a handful of aggregate passes:
 
-* when a request ranges over at most ``exact_limit`` values, one
-  ``percentile_disc((k + 0.5) / n)`` returns element ``k`` exactly;
+* when a request ranges over at most ``exact_limit`` values, those values are
+  sorted in one aggregate (``array_sort(collect_list(...))``) and element ``k`` is
+  taken, exactly and in the column's own type;
 * above that, it narrows a value bracket around the k-th element: one pass takes
   ``percentile_approx`` cut points inside the bracket, a second counts exactly how
   many values fall at or below the new cut points.  The sketch accuracy is sized
   so that one round usually brings the bracket under ``exact_limit`` (capped at
   ``MAX_ACCURACY``: 10**12 values take two rounds); once it is there the exact step
   above finishes.  Memory per task stays bounded by the sketch and by
-  ``exact_limit`` distinct values, whatever the table size.
+  ``exact_limit`` values, whatever the table size.
 """
 
 from __future__ import annotations
@@ -86,9 +87,10 @@ def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXAC
         names = []
         for i, (name, s) in enumerate(exact.items()):
             r = s["req"]
-            p = (r.k - s["below"] + 0.5) / s["cnt"]
             v = _in_bracket(r.expr, s["lo"], s["hi"])
-            aggs.append(F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY {v})").alias(f"e{i}"))
+            # at most exact_limit values: sort them and index; keeps the value's own type
+            # (percentile_disc would turn a bigint into a double)
+            aggs.append(F.expr(f"element_at(array_sort(collect_list({v})), {r.k - s['below'] + 1})").alias(f"e{i}"))
             names.append(("e", name, f"e{i}"))
         # requests over the same value bracket share one sketch
         groups: dict = {}

@@ -94,3 +94,10 @@ def test_sample_and_preview(spark):
     assert IO.sample_rows(orders.limit(5), 10, seed=1).count() == 5
     pv = IO.preview(orders, 3, order_by=["o_orderkey"]).collect()
     assert len(pv) == 3 and "T" in pv[0]["o_orderdate"] and pv[0]["o_orderkey"] == 0
+
+
+def test_kth_smallest_keeps_large_integers_exact(spark):
+    base = 10**17 + 1
+    df = spark.createDataFrame([(base + i,) for i in range(11)], "x bigint")
+    got = Q.kth_smallest(df, [Q.Request("m", "x", 5, 11)])
+    assert got["m"] == base + 5 and isinstance(got["m"], int)
