@@ -218,7 +218,14 @@ class Applier:
             return self.src
         self.finder = CellFinder(self.src, [a for a, _ in self.pairs], self.order_by)
         self.cur = {c: F.col(f"`{c}`") for c in self.cols}
-        for a, d in self.pairs:
+        # A decision whose finder selects no cell is skipped (no type change either):
+        # one aggregate tells, for every decided record, whether its mask is empty.
+        live = [(a, d) for a, d in self.pairs if a["column"] in self.cur]
+        if live:
+            masks = [self.finder.mask(a) for a, _ in live]  # may add helper joins to finder.df
+            hit = self.finder.df.agg(*[F.max(m).alias(f"h{i}") for i, m in enumerate(masks)]).collect()[0]
+            live = [p for i, p in enumerate(live) if hit[f"h{i}"]]
+        for a, d in live:
             self.one(a, d)
         # Every text column trimmed, blank -> null
         for c in self.cols:

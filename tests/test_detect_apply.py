@@ -170,3 +170,12 @@ def test_detect_without_order_key(spark):
     assert r[("nombre", "MISSING_VALUE")]["affected"] == 1
     assert r[("nombre", "LEADING_TRAILING_WHITESPACE")]["original_value"] == "  b"
     assert all(k[0] == "nombre" for k in r)
+
+
+def test_decision_with_no_cells_changes_nothing(spark):
+    df = spark.createDataFrame([(0, 5), (1, 6)], "k long, codigo bigint")
+    rec = {"anomaly_id": "a1", "column": "codigo", "anomaly_type": "DUPLICATE", "affected": 0,
+           "original_value": None, "suggested_value": "DUPLICADO", "related_column": None}
+    out = apply_decisions(df, [rec], [{"anomaly_id": "a1", "action": "APPROVED"}], "k")
+    assert dict(out.dtypes)["codigo"] == "bigint"
+    assert sorted(r["codigo"] for r in out.collect()) == [5, 6]
