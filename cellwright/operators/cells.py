@@ -298,5 +298,5 @@ def find_cells(df: DataFrame, anomalies, order_by) -> DataFrame:
                                         F.lit(a["anomaly_id"]).alias("anomaly_id"),
                                         py_str(_q(a["column"]), finder.types[a["column"]]).alias("value")))
                      for a, m in masks])
-    out = finder.df.select(order_column(order_by).alias("row_key"), F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
+    out = finder.df.select(order_column(order_by).alias("row_key"), F.explode(F.array_compact(hits)).alias("h"))
     return out.select("row_key", "h.column", "h.anomaly_type", "h.anomaly_id", "h.value")
