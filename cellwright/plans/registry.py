@@ -568,3 +568,6 @@ def p02(spark, sf_dir):
     d, an = _dirty_lineitem_anomalies(spark, sf_dir)
     out = apply_decisions(d, an, decisions_by_rule(an), "row_key")
     return out.select(*[F.col(c).cast("string").alias(c) for c in out.columns])
+QUERIES["d24_detect_documents"] = _detect_table("documents", "doc_id")
+QUERIES["d25_detect_labels"] = _detect_table("labels", "doc_id")
+QUERIES["d26_detect_conversations"] = _detect_table("conversations", ["conv_id", "turn"])

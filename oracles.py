@@ -977,3 +977,12 @@ LINEITEM_SPEC = {
 oracle("r02_find_cells_dirty_lineitem", _cycle_for(LINEITEM_SPEC, ORACLES["d23_detect_dirty_lineitem"], _findings))
 oracle("p02_apply_decisions_dirty_lineitem",
        _cycle_for(LINEITEM_SPEC, ORACLES["d23_detect_dirty_lineitem"], _applied))
+oracle("d24_detect_documents", _detectors_for({
+    **NO_KW, "DIRTY": "WITH dirty AS (SELECT doc_id AS row_key, * FROM documents)\n",
+    "NUMERIC": ["doc_id", "n_chars"], "STRINGS": ["text", "lang", "source"], "DATES": [], "ID_LIKE": ["doc_id"]}))
+oracle("d25_detect_labels", _detectors_for({
+    **NO_KW, "DIRTY": "WITH dirty AS (SELECT doc_id AS row_key, * FROM labels)\n",
+    "NUMERIC": ["doc_id", "quality", "toxic"], "STRINGS": [], "DATES": [], "ID_LIKE": ["doc_id"]}))
+oracle("d26_detect_conversations", _detectors_for({
+    **NO_KW, "DIRTY": "WITH dirty AS (SELECT conv_id * 1000000 + turn AS row_key, * FROM conversations)\n",
+    "NUMERIC": ["conv_id", "turn"], "STRINGS": ["role", "text"], "DATES": [], "ID_LIKE": ["conv_id"]}))
