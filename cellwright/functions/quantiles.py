@@ -69,9 +69,14 @@ def _in_bracket(expr: str, lo, hi) -> str:
 
 
 def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXACT_LIMIT,
-                 accuracy: int = ACCURACY, max_rounds: int = 12) -> dict:
-    """Exact k-th smallest value for every request, computed together."""
+                 accuracy: int = ACCURACY, max_rounds: int = 12, extra: dict | None = None) -> dict:
+    """Exact k-th smallest value for every request, computed together.
+
+    ``extra`` (name -> aggregate Column) rides along in the first pass, so a caller's
+    own counters cost no scan of their own; their values come back under their names.
+    """
     out: dict = {}
+    extra = dict(extra or {})
     state = {}
     for r in requests:
         if r.n <= 0 or r.k < 0 or r.k >= r.n:
@@ -79,7 +84,7 @@ def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXAC
         else:
             state[r.name] = {"req": r, "lo": None, "hi": None, "below": 0, "cnt": r.n}
     for _ in range(max_rounds):
-        if not state:
+        if not state and not extra:
             break
         exact = {k: s for k, s in state.items() if s["cnt"] <= exact_limit}
         wide = {k: s for k, s in state.items() if s["cnt"] > exact_limit}
@@ -112,7 +117,14 @@ def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXAC
             v = _in_bracket(expr, lo, hi)
             arr = ", ".join(repr(x) for x in fr)
             aggs.append(F.expr(f"percentile_approx({v}, array({arr}), {acc})").alias(f"w{gi}"))
+        for j, (name, e) in enumerate(extra.items()):
+            aggs.append(e.alias(f"x{j}"))
+        if not aggs:
+            break
         row = df.agg(*aggs).collect()[0]
+        for j, name in enumerate(extra):
+            out[name] = row[f"x{j}"]
+        extra = {}
         for kind, name, alias in names:
             if kind == "e":
                 out[name] = row[alias]

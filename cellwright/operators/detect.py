@@ -197,14 +197,17 @@ class Detector:
             self.vs[(r["column"], r["kind"])] = d
         self.thr = thr
 
-    def pass2(self):
+    def pass2_aggs(self) -> dict:
+        """Counters that need pass-1 literals (z-score, round numbers); evaluated in
+        the same scan as the order statistics."""
         a: dict[str, Column] = {}
         o = self.order
         self.z_cols, self.round_cols = [], {}
+        want_z = bool(self.want & {"OUTLIER", "OUTLIER_IQR"})
         for c in self.of("numeric"):
             n, mean, std = self.p1[f"{c}|n"], self.p1[f"{c}|mean"], self.p1[f"{c}|std"]
             d = _q(c).cast("double")
-            if n >= 4 and std is not None and std != 0 and "OUTLIER" in self.want:
+            if n >= 4 and std is not None and std != 0 and want_z:
                 a[f"{c}|z"] = count_if(F.abs(d - F.lit(mean)) / F.lit(std) > K.ZSCORE_LIMIT)
                 self.z_cols.append(c)
             if ("NUMERIC_ROUND_NUMBER" in self.want and not K.is_id_name(c) and n >= K.ROUND_MIN_ROWS
@@ -213,22 +216,33 @@ class Detector:
                 hit = d % F.lit(div) == 0.0
                 a[f"{c}|rnd"], a[f"{c}|rnd_ex"] = count_if(hit), first_by(d, hit, o)
                 self.round_cols[c] = div
-        self.p2 = run_aggs(self.df, a) if a else {}
+        return a
 
-    def iqr_pass(self):
-        """Exact nearest-rank Q1/Q3 and median, then the outside-fence counts."""
-        flagged = {r["column"] for r in self.records if r["anomaly_type"] == "OUTLIER"}
-        cands = [c for c in self.of("numeric") if c not in flagged and self.p1[f"{c}|n"] >= 4]
+    def iqr_requests(self) -> list:
+        """Nearest-rank Q1/Q3 and the two middle values of every numeric column with 4+
+        values; columns with a z-score record are dropped afterwards."""
+        if "OUTLIER_IQR" not in self.want:
+            return []
         reqs = []
-        for c in cands:
+        for c in self.of("numeric"):
             n = self.p1[f"{c}|n"]
+            if n < 4:
+                continue
             e = f"CAST(`{c}` AS DOUBLE)"
             reqs += [Q.Request(f"{c}|q1", e, Q.nearest_rank(n, 0.25), n),
                      Q.Request(f"{c}|q3", e, Q.nearest_rank(n, 0.75), n),
                      Q.Request(f"{c}|m1", e, (n - 1) // 2, n), Q.Request(f"{c}|m2", e, n // 2, n)]
-        qs = Q.kth_smallest(self.df, reqs) if reqs else {}
-        a, fences = {}, {}
-        for c in cands:
+        return reqs
+
+    def iqr_aggs(self, qs: dict) -> dict:
+        """Outside-fence counters for the IQR rule (fences as literals)."""
+        if "OUTLIER_IQR" not in self.want:
+            return {}
+        flagged = {r["column"] for r in self.records if r["anomaly_type"] == "OUTLIER"}
+        a, self.fences = {}, {}
+        for c in self.of("numeric"):
+            if c in flagged or self.p1[f"{c}|n"] < 4:
+                continue
             q1, q3 = qs[f"{c}|q1"], qs[f"{c}|q3"]
             if q1 is None or q3 is None or q3 - q1 == 0:
                 continue
@@ -237,9 +251,11 @@ class Detector:
             d = _q(c).cast("double")
             out = (d < F.lit(lo)) | (d > F.lit(hi))
             a[f"{c}|iqr"], a[f"{c}|iqr_ex"] = count_if(out), first_by(d, out, self.order)
-            fences[c] = (q1, q3, iqr, lo, hi, (qs[f"{c}|m1"] + qs[f"{c}|m2"]) / 2.0)
-        vals = run_aggs(self.df, a) if a else {}
-        for c, (q1, q3, iqr, lo, hi, med) in fences.items():
+            self.fences[c] = (q1, q3, iqr, lo, hi, (qs[f"{c}|m1"] + qs[f"{c}|m2"]) / 2.0)
+        return a
+
+    def iqr_emit(self, vals: dict):
+        for c, (q1, q3, iqr, lo, hi, med) in getattr(self, "fences", {}).items():
             cnt = vals[f"{c}|iqr"]
             if not cnt:
                 continue
@@ -484,7 +500,10 @@ class Detector:
                           f"'{top}', lo que sugiere que no fue llenada correctamente.", top, K.LABEL_LOW_VARIANCE)
 
     # ----------------------------------------------------------------- D17, D18
-    def sequences(self):
+    def sequence_candidates(self) -> list:
+        """(column, dominant prefix, its count) for text columns that look sequential."""
+        if "SEQUENCE_GAP" not in self.want:
+            return []
         cands = []
         for c in self.of("string"):
             n = self.p1[f"{c}|n"]
@@ -495,7 +514,7 @@ class Detector:
                 continue
             cands.append(c)
         if not cands:
-            return
+            return []
         pv = self.v.where((F.col("kind") == "raw") & F.col("column").isin(cands) & F.col("value").rlike(K.RE_SEQUENCE))
         pc = pv.groupBy("column", F.regexp_extract("value", K.RE_SEQUENCE, 1).alias("prefix")) \
             .agg(F.sum("cnt").alias("cnt"))
@@ -505,15 +524,13 @@ class Detector:
         top = {r["column"]: (r["p"]["prefix"], -r["p"]["nc"]) for r in best.collect()}
         chosen = []
         for c in cands:
-            n = self.p1[f"{c}|n"]
             if c not in top:
                 continue
             prefix, dom = top[c]
-            if dom / n < K.SEQ_PREFIX_SHARE or dom < 2:
+            if dom / self.p1[f"{c}|n"] < K.SEQ_PREFIX_SHARE or dom < 2:
                 continue
             chosen.append((c, prefix, dom))
-        if chosen:
-            self._sequences(chosen)
+        return chosen
 
     def num_expr(self, c: str, prefix: str) -> str:
         """SQL: the number of a value with the given prefix (<= 18 digits), else null."""
@@ -523,37 +540,41 @@ class Detector:
                 f"AND length(regexp_extract(`{c}`, '{pat}', 2)) <= 18 "
                 f"THEN CAST(regexp_extract(`{c}`, '{pat}', 2) AS BIGINT) END")
 
-    def _sequences(self, chosen):
-        """Quartiles by index, fences and out-of-range counts for all sequence columns
-        together; holes only where nothing is out of range."""
+    def sequence_requests(self, chosen) -> list:
+        """Quartiles by index ``sorted[int(n*q)]`` of each sequence column's numbers."""
         rq = []
         for c, prefix, dom in chosen:
             e = self.num_expr(c, prefix)
-            rq += [Q.Request(f"{c}|{nm}", e, Q.floor_index(dom, qq), dom)
+            rq += [Q.Request(f"{c}|s{nm}", e, Q.floor_index(dom, qq), dom)
                    for nm, qq in (("q1", 0.25), ("q3", 0.75), ("p10", 0.10), ("p90", 0.90))]
-        qs = {k: (int(v) if v is not None else None) for k, v in Q.kth_smallest(self.df, rq).items()}
-        aggs, fence = [], {}
-        for i, (c, prefix, dom) in enumerate(chosen):
+        return rq
+
+    def sequence_aggs(self, chosen, qs: dict) -> dict:
+        """Fence, range and out-of-range counters of every sequence column."""
+        a, self.seq_fence = {}, {}
+        for c, prefix, dom in chosen:
             num = F.expr(self.num_expr(c, prefix))
-            q1, q3 = qs[f"{c}|q1"], qs[f"{c}|q3"]
+            q1, q3 = int(qs[f"{c}|sq1"]), int(qs[f"{c}|sq3"])
             iqr = q3 - q1
-            lo, hi = (q1 - 1.5 * iqr, q3 + 1.5 * iqr) if iqr > 0 else (qs[f"{c}|p10"], qs[f"{c}|p90"])
-            fence[c] = (iqr, lo, hi)
+            lo, hi = (q1 - 1.5 * iqr, q3 + 1.5 * iqr) if iqr > 0 else (int(qs[f"{c}|sp10"]), int(qs[f"{c}|sp90"]))
+            self.seq_fence[c] = (iqr, lo, hi)
             inside = (num >= F.lit(lo)) & (num <= F.lit(hi))
-            aggs += [F.min(F.when(inside, num)).alias(f"cmin{i}"), F.max(F.when(inside, num)).alias(f"cmax{i}"),
-                     F.min(num).alias(f"mn{i}"), F.max(num).alias(f"mx{i}"),
-                     count_if(num.isNotNull() & ~inside).alias(f"out{i}"),
-                     F.min(F.when(~inside, num)).alias(f"outex{i}")]
-        row = self.df.agg(*aggs).collect()[0]
-        for i, (c, prefix, dom) in enumerate(chosen):
-            iqr, lo, hi = fence[c]
-            mn, mx = row[f"mn{i}"], row[f"mx{i}"]
-            if row[f"out{i}"]:
-                cmin, cmax = (row[f"cmin{i}"], row[f"cmax{i}"]) if iqr > 0 else (lo, hi)
+            a.update({f"{c}|cmin": F.min(F.when(inside, num)), f"{c}|cmax": F.max(F.when(inside, num)),
+                      f"{c}|mn": F.min(num), f"{c}|mx": F.max(num),
+                      f"{c}|out": count_if(num.isNotNull() & ~inside), f"{c}|outex": F.min(F.when(~inside, num))})
+        return a
+
+    def sequence_emit(self, chosen, row: dict):
+        """Out-of-range values, or else the holes between min and max."""
+        for c, prefix, dom in chosen:
+            iqr, lo, hi = self.seq_fence[c]
+            mn, mx = row[f"{c}|mn"], row[f"{c}|mx"]
+            if row[f"{c}|out"]:
+                cmin, cmax = (row[f"{c}|cmin"], row[f"{c}|cmax"]) if iqr > 0 else (lo, hi)
                 if cmin is None:
                     cmin, cmax = mn, mx
-                example = f"{prefix}{str(row[f'outex{i}']).zfill(len(str(mn)))}"
-                count = row[f"out{i}"]
+                example = f"{prefix}{str(row[f'{c}|outex']).zfill(len(str(mn)))}"
+                count = row[f"{c}|out"]
             else:
                 num = F.expr(self.num_expr(c, prefix))
                 nums = self.df.select(num.alias("x")).where(F.col("x").isNotNull()).distinct()
@@ -572,6 +593,9 @@ class Detector:
 
     # ----------------------------------------------------------------- run
     def run(self) -> list[dict]:
+        """Scans: pass 1 (+ a keyed fetch of example rows), V, one pass for the z-score and
+        round-number counters together with the order statistics, one pass for the IQR
+        and sequence counters, and the bounded samples of the wrong-field rules."""
         w = self.want
         self.pass1()
         needs_v = w & {"MISSING_VALUE", "DUPLICATE", "INCONSISTENT", "LOW_VARIANCE", "SEQUENCE_GAP"}
@@ -580,35 +604,34 @@ class Detector:
             self.build_v()
         if "MISSING_VALUE" in w:
             self.missing()
-        self.pass2()
-        if "OUTLIER" in w:
-            self.outliers()
         if "DUPLICATE" in w:
             self.duplicates()
         if "FORMAT_INVALID" in w:
             self.formats()
         if "INCONSISTENT" in w:
             self.inconsistent()
-        if "OUTLIER" in w or "OUTLIER_IQR" in w:
-            self.date_outliers()
         self.text_rules()
-        if "CROSS_FIELD_SWAP" in w:
-            self.swaps()
         if "DATE_LOGICAL" in w:
             self.date_logic()
-        if "NUMERIC_ROUND_NUMBER" in w:
-            self.round_numbers()
         if "LOW_VARIANCE" in w:
             self.low_variance()
-        if "OUTLIER_IQR" in w:
-            if "OUTLIER" not in w:
-                # the IQR rule skips columns already flagged by the z-score rule
-                self.want = w | {"OUTLIER"}
-                self.pass2()
-                self.outliers()
-            self.iqr_pass()
-        if "SEQUENCE_GAP" in w:
-            self.sequences()
+        chosen = self.sequence_candidates()
+        # one scan: z-score and round-number counters plus every order statistic
+        counters = self.pass2_aggs()
+        res = Q.kth_smallest(self.df, self.iqr_requests() + self.sequence_requests(chosen), extra=counters)
+        self.p2 = {k: res.pop(k) for k in counters}
+        self.outliers()
+        if "OUTLIER" in w or "OUTLIER_IQR" in w:
+            self.date_outliers()
+        if "NUMERIC_ROUND_NUMBER" in w:
+            self.round_numbers()
+        # one scan: IQR outside-fence counters and sequence fences
+        last = {**self.iqr_aggs(res), **self.sequence_aggs(chosen, res)}
+        vals = run_aggs(self.df, last) if last else {}
+        self.iqr_emit(vals)
+        self.sequence_emit(chosen, vals)
+        if "CROSS_FIELD_SWAP" in w:
+            self.swaps()
         if needs_v:
             self.v.unpersist()
         return [r for r in self.records if r["anomaly_type"] in w]
