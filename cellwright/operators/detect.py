@@ -1,14 +1,16 @@
 """Anomaly detectors D1-D18: ``detect_anomalies(df, dataset_id, order_by) -> anomaly DataFrame``.
 
 One record per column and type (per start/end pair for dates), holding the number
-of affected cells.  The work is a few shared aggregate passes:
+of affected cells.  The work is a few shared passes over the table:
 
-1. pass 1 – one aggregate with every row-local counter and first-hit example;
+1. pass 1 – one aggregate with every row-local counter and the first hit of each
+   rule (then a keyed fetch of those few example rows);
 2. V – the value-count frame (mode, duplicates, rare values, low variance, prefixes);
-3. pass 2 – counters that need pass-1 literals (z-score, round numbers);
-4. order statistics for the IQR fences (exact, see ``functions.quantiles``);
-5. pass 3 – IQR and sequence counters with the fence literals;
-6. the first 500 non-null values of each text column for the wrong-field rules.
+3. pass 2 – the counters that need pass-1 literals (z-score, round numbers) in the
+   same scan as the exact order statistics (IQR quartiles, medians, sequence
+   quartiles; see ``functions.quantiles``);
+4. pass 3 – IQR and sequence counters with the fence literals;
+5. the first 500 non-null values of each text column for the wrong-field rules.
 
 Every value that reaches the driver is per column; descriptions and suggested
 values are formatted there with Python's ``str`` so numbers print as the
