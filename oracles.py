@@ -28,8 +28,10 @@ CUST = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM cust
 oracle("a1_csv_roundtrip", CUST)
 oracle("a2_json_roundtrip", CUST)
 oracle("a3_read_parquet", "SELECT * FROM orders")
-TYPE_CASE = """CASE data_type WHEN 'BIGINT' THEN '{b}' WHEN 'INTEGER' THEN '{i}' WHEN 'DOUBLE' THEN '{d}'
-  WHEN 'VARCHAR' THEN '{s}' WHEN 'TIMESTAMP' THEN '{t}' WHEN 'DATE' THEN '{dt}' ELSE data_type END"""
+TYPE_CASE = """CASE WHEN data_type = 'BIGINT' THEN '{b}' WHEN data_type = 'INTEGER' THEN '{i}'
+  WHEN data_type = 'DOUBLE' THEN '{d}' WHEN data_type = 'VARCHAR' THEN '{s}'
+  WHEN data_type LIKE 'TIMESTAMP%' AND data_type NOT LIKE '%TIME ZONE%' THEN '{t}'
+  WHEN data_type = 'DATE' THEN '{dt}' ELSE data_type END"""
 SPARK_T = TYPE_CASE.format(b="bigint", i="int", d="double", s="string", t="timestamp_ntz", dt="date")
 REF_T = TYPE_CASE.format(b="Int64", i="Int32", d="Float64", s="String", t="Datetime", dt="Date")
 oracle("a6_schema_report", f"""
