@@ -206,7 +206,7 @@ class Applier:
                 continue
             if not (is_date(self.dtype[e]) and (is_date(self.dtype[s]) or is_string(self.dtype[s]))):
                 continue
-            sd = F.to_date(F.substring(self.cur[s].cast("string"), 1, 10)) if is_string(self.dtype[s]) \
+            sd = F.try_to_date(F.substring(self.cur[s].cast("string"), 1, 10), "yyyy-MM-dd") if is_string(self.dtype[s]) \
                 else self.cur[s].cast("date")
             ed = self.cur[e].cast("date")
             fixed = F.date_add(sd, K.DATE_REPAIR_DAYS).cast(self.dtype[e])
