@@ -59,7 +59,8 @@ def first_by(value: Column, cond: Column, order: Column) -> Column:
     ``min_by`` is a declarative aggregate: it combines partially on the map side,
     so the first-hit search never gathers rows in one task.
     """
-    return F.min_by(value, F.when(cond, order))
+    # ties on the order key are broken by the value itself, so the pick is repeatable
+    return F.min_by(value, F.when(cond, F.struct(order.alias("o"), value.alias("v"))))
 
 
 def count_if(cond: Column) -> Column:

@@ -164,11 +164,15 @@ class Detector:
         if keys:
             names = list(ex)
             fetched = (self.df.where(o.isin(keys))
-                       .select(o.alias("__o"), *[ex[n][0].alias(f"v{i}") for i, n in enumerate(names)]).collect())
-            rows = {r["__o"]: r for r in fetched}
+                       .select(o.alias("__o"), *[x for i, n in enumerate(names) for x in (
+                           ex[n][0].alias(f"v{i}"), ex[n][1].alias(f"c{i}"))]).collect())
+            for r in fetched:
+                rows.setdefault(r["__o"], []).append(r)
         for i, n in enumerate(ex):
             p = out.pop(f"{n}|pos")
-            out[n] = rows[p][f"v{i}"] if p is not None else None
+            # rows sharing the order key: the one where the rule holds, smallest value first
+            hits = sorted((r[f"v{i}"] for r in rows.get(p, []) if r[f"c{i}"]), key=lambda v: (v is None, str(v)))
+            out[n] = hits[0] if hits else None
         return out
 
     def build_v(self):
