@@ -70,3 +70,33 @@ def cut_lineage(df, spark: SparkSession | None = None):
     spark = spark or df.sparkSession
     ensure_checkpoint_dir(spark)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cellwright`` importable on executors (needed where Python runs per group,
+    e.g. the keyed state of the job feed).  A zip of the package is added with
+    ``addPyFile``; Spark distributes it to every executor.  Done once per context."""
+    import zipfile
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = ensure_checkpoint_dir(spark)
+    # the zip is written by this driver process: use the shared folder when it is a
+    # plain path, else the driver's own temp folder (Spark serves the file itself)
+    local = base if "://" not in base or base.startswith("file:") else tempfile.mkdtemp(prefix="cellwright-")
+    local = local.replace("file://", "").replace("file:", "")
+    target = os.path.join(local, f"cellwright-pkg-{uuid.uuid4().hex}.zip")
+    os.makedirs(local, exist_ok=True)
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.join("cellwright", os.path.relpath(full, pkg_dir)))
+    sc.addPyFile(target)
+    _SHIPPED.add(key)

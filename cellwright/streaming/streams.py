@@ -112,11 +112,14 @@ def _feed(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.D
         if row.event in TERMINAL_EVENTS:
             done = True
     state.update((last, done))
-    yield pd.DataFrame(out, columns=["job_id", "ts", "event_id", "event"])
+    if out:  # nothing to emit for this key in this batch: yield no frame at all
+        yield pd.DataFrame(out, columns=["job_id", "ts", "event_id", "event"])
 
 
 def job_feed(job_ev: DataFrame) -> DataFrame:
     """Per job, the status changes in time order, nothing after completed / failed."""
+    from ..session import ship_package
+    ship_package(job_ev.sparkSession)  # the state function runs in executors' Python
     return job_ev.groupBy("job_id").applyInPandasWithState(
         _feed, FEED_SCHEMA, FEED_STATE, "append", GroupStateTimeout.NoTimeout)
 
