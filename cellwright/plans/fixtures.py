@@ -53,16 +53,24 @@ FROM customer
 DIRTY_ORDER = "row_key"
 
 
+def _view_name(name: str) -> str:
+    """A private temp-view name per call, so concurrent callers never see each other's view."""
+    import uuid
+    return f"cw_{name}_{uuid.uuid4().hex[:12]}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dirty customer view (FIXTURES §3), as a DataFrame over ``customer``."""
-    view = "cw_customer_src"
+    view = _view_name("customer")
     table(spark, sf_dir, "customer").createOrReplaceTempView(view)
     # the view is bound at analysis time, so later re-registrations do not affect this frame
-    return spark.sql(DIRTY_SQL.replace("FROM customer", f"FROM {view}"))
+    out = spark.sql(DIRTY_SQL.replace("FROM customer", f"FROM {view}"))
+    spark.catalog.dropTempView(view)  # the frame keeps its analysed plan
+    return out
 
 
 # ---------------------------------------------------------------- review metadata
@@ -106,9 +114,11 @@ def review_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _select(spark: SparkSession, sf_dir: str, name: str, body: str, where: str = "") -> DataFrame:
     """Run a select list over one driver table (the view is bound when the frame is built)."""
-    view = f"cw_{name}_src"
+    view = _view_name(name)
     table(spark, sf_dir, name).createOrReplaceTempView(view)
-    return spark.sql(f"SELECT {body} FROM {view} {where}")
+    out = spark.sql(f"SELECT {body} FROM {view} {where}")
+    spark.catalog.dropTempView(view)  # the frame keeps its analysed plan
+    return out
 
 
 def review_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +162,8 @@ FROM lineitem
 
 
 def dirty_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = "cw_lineitem_dirty_src"
+    view = _view_name("lineitem")
     table(spark, sf_dir, "lineitem").createOrReplaceTempView(view)
-    return spark.sql(DIRTY_LINEITEM_SQL.replace("FROM lineitem", f"FROM {view}"))
+    out = spark.sql(DIRTY_LINEITEM_SQL.replace("FROM lineitem", f"FROM {view}"))
+    spark.catalog.dropTempView(view)  # the frame keeps its analysed plan
+    return out
