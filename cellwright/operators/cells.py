@@ -118,6 +118,10 @@ class CellFinder:
         firsts = tagged.join(reps, ["c", "k"], "left_semi").groupBy("c", "k").agg(F.min("__o").alias("__first"))
         flagged = (tagged.join(firsts, ["c", "k"]).where(F.col("__o") > F.col("__first"))
                    .groupBy("__o").agg(F.collect_set("c").alias("__dup_cols")))
+        # materialised once in the shared checkpoint folder (reliable, survives executor
+        # loss): the masks are read by several jobs, the three passes then run once
+        from ..session import cut_lineage
+        flagged = cut_lineage(flagged)
         self.df = self.df.join(flagged.withColumnRenamed("__o", "__dup_o"), o == F.col("__dup_o"), "left") \
             .drop("__dup_o")
 
