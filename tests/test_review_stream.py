@@ -129,3 +129,12 @@ def test_streams_equal_batch(spark):
     ded = ST.run_available_now(ST.stream_dedup(ST.read_stream(spark, path, schema), ["user_id", "event_type"]),
                                "append")
     assert 0 < ded.count() <= ev.count()
+
+
+def test_latest_status_update_mode_changelog(spark):
+    path, schema = ST.stage_events(spark, SF001, n_files=4)
+    changes = ST.run_available_now(ST.latest_status(ST.job_events(ST.read_stream(spark, path, schema))), "update")
+    final = RV.latest(changes, ["job_id"], "n_events")   # the newest row per job in the change log
+    complete = ST.latest_status(ST.job_events(spark.read.parquet(f"{SF001}/events.parquet")))
+    assert sorted(map(tuple, final.select("job_id", "status", "n_events").collect())) == \
+        sorted(map(tuple, complete.select("job_id", "status", "n_events").collect()))
