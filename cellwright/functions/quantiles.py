@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXACT_LIMIT = 100_000
+EXACT_LIMIT = 50_000
 ACCURACY = 1_000
 MAX_ACCURACY = 1_000_000
 
