@@ -88,8 +88,8 @@ def _type_case(expr: str) -> str:
 
 DATASET_STATUS_SQL = ("CASE WHEN o_orderstatus = 'F' THEN 'READY' WHEN o_orderstatus = 'P' THEN 'ERROR' "
                       "WHEN o_orderpriority = '5-LOW' THEN 'PENDING' ELSE 'PROCESSING' END")
-LINE_ID = ("CAST(l_orderkey AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) "
-           "|| '-' || CAST(l_linenumber AS STRING)")
+# a numeric key that is unique per line item (the order / part / supplier / line tuple)
+LINE_ID = "((l_orderkey * 20011 + l_partkey) * 1009 + l_suppkey) * 8 + l_linenumber"
 ANOMALY_SQL_BODY = (f"{LINE_ID} AS anomaly_id, "
                     f"l_orderkey AS dataset_id, 'col_' || CAST(l_suppkey % 7 AS STRING) AS column_name, "
                     f"{_type_case('l_partkey % 14')} AS anomaly_type, CAST(l_quantity AS BIGINT) AS affected, "

@@ -424,7 +424,7 @@ def m08(spark, sf_dir):
 
 def _decisions_with_foreign(spark, sf_dir):
     foreign = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(
-        F.concat(F.col("o_orderkey").cast("string"), F.lit("-0")).alias("anomaly_id"),
+        (-F.col("o_orderkey") - 1).alias("anomaly_id"),  # ids no line item has
         F.lit("APPROVED").alias("action"), F.col("o_orderdate").alias("created_at"))
     return review_decisions(spark, sf_dir).unionByName(foreign)
 

@@ -561,7 +561,7 @@ lu AS (SELECT anomaly_id, arg_max(status, (updated_at, status)) AS status FROM u
 SELECT a.anomaly_id, a.dataset_id, a.anomaly_type, coalesce(lu.status, a.status) AS status
 FROM anomalies a LEFT JOIN lu USING (anomaly_id)""")
 DEC_ALL = """, dec_all AS (SELECT anomaly_id FROM decisions UNION ALL
-  SELECT CAST(o_orderkey AS VARCHAR) || '-0' FROM orders WHERE o_orderkey % 50 = 0)
+  SELECT -o_orderkey - 1 FROM orders WHERE o_orderkey % 50 = 0)
 """
 oracle("m09_resolve_anomalies", REVIEW + DEC_ALL + """
 SELECT anomaly_id, CASE WHEN anomaly_id IN (SELECT anomaly_id FROM dec_all) THEN 'RESOLVED' ELSE status END AS status
