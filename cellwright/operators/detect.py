@@ -144,22 +144,28 @@ class Detector:
             ex[f"{s}>{e}|inv_ex"] = (F.struct(_q(s).alias("s"), _q(e).alias("e")), inv)
         self.p1 = self._with_examples(a, ex)
 
-    def _with_examples(self, a: dict, ex: dict) -> dict:
-        """Counters plus first-hit examples.
-
-        With a single integral order column the first hit of each rule is found as
-        ``min(order)`` (a fixed-width buffer, so the aggregate stays a code-generated
-        hash aggregate) and the few example rows are then fetched by key.  Otherwise
-        ``min_by(value, order)`` gives the example in the same pass.
-        """
-        o = self.order
+    def _fast_examples(self) -> bool:
         odt = self.types.get(self.order_by if isinstance(self.order_by, str) else
                              (self.order_by[0] if len(self.order_by) == 1 else None))
-        if odt is None or not isinstance(odt, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-            return run_aggs(self.df, {**a, **{n: first_by(v, c, o) for n, (v, c) in ex.items()}})
-        pos = {n: F.min(F.when(c, o)) for n, (v, c) in ex.items()}
-        out = run_aggs(self.df, {**a, **{f"{n}|pos": e for n, e in pos.items()}})
-        keys = sorted({out[f"{n}|pos"] for n in ex if out[f"{n}|pos"] is not None})
+        return isinstance(odt, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+
+    def _example_aggs(self, ex: dict) -> dict:
+        """Aggregates locating the first hit of each example rule.
+
+        With a single integral order column the first hit is ``min(order)`` (a
+        fixed-width buffer, so the aggregate stays a code-generated hash aggregate)
+        and the example rows are fetched by key afterwards; otherwise ``min_by`` gives
+        the value in the same pass."""
+        if self._fast_examples():
+            return {f"{n}|pos": F.min(F.when(c, self.order)) for n, (v, c) in ex.items()}
+        return {n: first_by(v, c, self.order) for n, (v, c) in ex.items()}
+
+    def _resolve_examples(self, out: dict, ex: dict) -> dict:
+        """Turn first-hit positions into example values with one keyed fetch."""
+        if not ex or not self._fast_examples():
+            return out
+        o = self.order
+        keys = sorted({out[f"{n}|pos"] for n in ex if out.get(f"{n}|pos") is not None})
         rows = {}
         if keys:
             names = list(ex)
@@ -169,12 +175,16 @@ class Detector:
             for r in fetched:
                 rows.setdefault(r["__o"], []).append(r)
         for i, n in enumerate(ex):
-            p = out.pop(f"{n}|pos")
+            p = out.pop(f"{n}|pos", None)
             # rows sharing the order key: the one where the rule holds, smallest value first
             hits = sorted((r[f"v{i}"] for r in rows.get(p, []) if r[f"c{i}"]), key=lambda v: (v is None, str(v)))
             out[n] = hits[0] if hits else None
         return out
 
+    def _with_examples(self, a: dict, ex: dict) -> dict:
+        """Counters plus first-hit examples (one aggregate, then one keyed fetch)."""
+        return self._resolve_examples(run_aggs(self.df, {**a, **self._example_aggs(ex)}), ex)
+
     def build_v(self):
         cols = [c for c in self.cols if self.kind[c] != "date"]
         self.v = persist(value_counts(self.df, cols))
@@ -207,8 +217,7 @@ class Detector:
         """Counters that need pass-1 literals (z-score, round numbers); evaluated in
         the same scan as the order statistics."""
         a: dict[str, Column] = {}
-        o = self.order
-        self.z_cols, self.round_cols = [], {}
+        self.z_cols, self.round_cols, self.ex2 = [], {}, {}
         want_z = bool(self.want & {"OUTLIER", "OUTLIER_IQR"})
         for c in self.of("numeric"):
             n, mean, std = self.p1[f"{c}|n"], self.p1[f"{c}|mean"], self.p1[f"{c}|std"]
@@ -220,9 +229,10 @@ class Detector:
                     and mean is not None and std is not None and mean != 0 and not std < abs(mean) * K.ROUND_MIN_CV):
                 div = 1000.0 if abs(mean) >= 1000 else 100.0
                 hit = d % F.lit(div) == 0.0
-                a[f"{c}|rnd"], a[f"{c}|rnd_ex"] = count_if(hit), first_by(d, hit, o)
+                a[f"{c}|rnd"] = count_if(hit)
+                self.ex2[f"{c}|rnd_ex"] = (d, hit)
                 self.round_cols[c] = div
-        return a
+        return {**a, **self._example_aggs(self.ex2)}
 
     def iqr_requests(self) -> list:
         """Nearest-rank Q1/Q3 and the two middle values of every numeric column with 4+
@@ -242,10 +252,11 @@ class Detector:
 
     def iqr_aggs(self, qs: dict) -> dict:
         """Outside-fence counters for the IQR rule (fences as literals)."""
+        self.ex3 = {}
         if "OUTLIER_IQR" not in self.want:
             return {}
         flagged = {r["column"] for r in self.records if r["anomaly_type"] == "OUTLIER"}
-        a, self.fences = {}, {}
+        a, self.fences, self.ex3 = {}, {}, {}
         for c in self.of("numeric"):
             if c in flagged or self.p1[f"{c}|n"] < 4:
                 continue
@@ -256,9 +267,10 @@ class Detector:
             lo, hi = q1 - K.IQR_FACTOR * iqr, q3 + K.IQR_FACTOR * iqr
             d = _q(c).cast("double")
             out = (d < F.lit(lo)) | (d > F.lit(hi))
-            a[f"{c}|iqr"], a[f"{c}|iqr_ex"] = count_if(out), first_by(d, out, self.order)
+            a[f"{c}|iqr"] = count_if(out)
+            self.ex3[f"{c}|iqr_ex"] = (d, out)
             self.fences[c] = (q1, q3, iqr, lo, hi, (qs[f"{c}|m1"] + qs[f"{c}|m2"]) / 2.0)
-        return a
+        return {**a, **self._example_aggs(self.ex3)}
 
     def iqr_emit(self, vals: dict):
         for c, (q1, q3, iqr, lo, hi, med) in getattr(self, "fences", {}).items():
@@ -626,14 +638,20 @@ class Detector:
         counters = self.pass2_aggs()
         res = Q.kth_smallest(self.df, self.iqr_requests() + self.sequence_requests(chosen), extra=counters)
         self.p2 = {k: res.pop(k) for k in counters}
+        # the round-number examples are resolved together with the IQR ones below
         self.outliers()
         if "OUTLIER" in w or "OUTLIER_IQR" in w:
             self.date_outliers()
-        if "NUMERIC_ROUND_NUMBER" in w:
-            self.round_numbers()
         # one scan: IQR outside-fence counters and sequence fences
         last = {**self.iqr_aggs(res), **self.sequence_aggs(chosen, res)}
         vals = run_aggs(self.df, last) if last else {}
+        # one keyed fetch for every example found by position in passes 2 and 3
+        both = {**self.p2, **vals}
+        both = self._resolve_examples(both, {**self.ex2, **self.ex3})
+        self.p2 = {k: both[k] for k in list(self.p2) + list(self.ex2) if k in both}
+        vals = {k: both[k] for k in list(vals) + list(self.ex3) if k in both}
+        if "NUMERIC_ROUND_NUMBER" in w:
+            self.round_numbers()
         self.iqr_emit(vals)
         self.sequence_emit(chosen, vals)
         if "CROSS_FIELD_SWAP" in w:
