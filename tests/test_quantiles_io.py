@@ -101,3 +101,11 @@ def test_kth_smallest_keeps_large_integers_exact(spark):
     df = spark.createDataFrame([(base + i,) for i in range(11)], "x bigint")
     got = Q.kth_smallest(df, [Q.Request("m", "x", 5, 11)])
     assert got["m"] == base + 5 and isinstance(got["m"], int)
+
+
+def test_json_array_of_objects(spark):
+    path = tempfile.mkdtemp(prefix="cw-json-")
+    with open(os.path.join(path, "a.json"), "w") as fh:
+        fh.write('[{"name": "Alice", "age": 25, "city": "NYC"},\n {"name": "Bob", "age": null, "city": "LA"}]')
+    df = IO.read_table(spark, os.path.join(path, "a.json"))
+    assert sorted((r["name"], r["age"]) for r in df.collect()) == [("Alice", 25), ("Bob", None)]
