@@ -10,7 +10,8 @@ of affected cells.  The work is a few shared passes over the table:
    same scan as the exact order statistics (IQR quartiles, medians, sequence
    quartiles; see ``functions.quantiles``);
 4. pass 3 – IQR and sequence counters with the fence literals;
-5. the first 500 non-null values of each text column for the wrong-field rules.
+5. the first 500 non-null values of each text column for the wrong-field rules
+   (a threshold on the order key from the order statistics, then one scan).
 
 Every value that reaches the driver is per column; descriptions and suggested
 values are formatted there with Python's ``str`` so numbers print as the
@@ -24,7 +25,7 @@ import re
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,6 +145,12 @@ class Detector:
             ex[f"{s}>{e}|inv_ex"] = (F.struct(_q(s).alias("s"), _q(e).alias("e")), inv)
         self.p1 = self._with_examples(a, ex)
 
+    def _numeric_order(self) -> bool:
+        odt = self.types.get(self.order_by if isinstance(self.order_by, str) else
+                             (self.order_by[0] if len(self.order_by) == 1 else None))
+        return isinstance(odt, (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DoubleType, T.FloatType,
+                                T.DecimalType))
+
     def _fast_examples(self) -> bool:
         odt = self.types.get(self.order_by if isinstance(self.order_by, str) else
                              (self.order_by[0] if len(self.order_by) == 1 else None))
@@ -414,8 +421,23 @@ class Detector:
             sample = self.df.select(o, F.explode(F.array(*[
                 F.struct(F.lit(c).alias("column"), _q(c).alias("v")) for c in cols])).alias("e")) \
                 .select("e.column", "e.v", "__o").where(F.col("v").isNotNull())
+        elif self._numeric_order():
+            # The first N non-null values of each column without a single-task merge:
+            # the N-th smallest order key among each column's non-null rows (exact order
+            # statistics, bounded memory) is a threshold; one scan keeps the rows at or
+            # below it (N per column when keys are unique, ties resolved afterwards).
+            okey = f"`{self.order_by if isinstance(self.order_by, str) else self.order_by[0]}`"
+            reqs = [Q.Request(c, f"CASE WHEN `{c}` IS NOT NULL THEN {okey} END",
+                              min(self.sample_rows, self.p1[f"{c}|n"]) - 1, self.p1[f"{c}|n"]) for c in cols]
+            thr = Q.kth_smallest(self.df, reqs)
+            picked = self.df.select(o, F.explode(F.array(*[
+                F.when(_q(c).isNotNull() & (self.order <= F.lit(thr[c])),
+                       F.struct(F.lit(c).alias("column"), _q(c).alias("v"))) for c in cols])).alias("e")) \
+                .where(F.col("e").isNotNull()).select("e.column", "e.v", "__o")
+            rank = F.row_number().over(Window.partitionBy("column").orderBy("__o", "v"))
+            sample = picked.withColumn("__r", rank).where(F.col("__r") <= self.sample_rows).drop("__r")
         else:
-            # the first N non-null values of each column: one TakeOrdered plan per column
+            # composite order key: one TakeOrdered plan per column
             parts = [self.df.where(_q(c).isNotNull())
                      .select(F.lit(c).alias("column"), _q(c).alias("v"), o)
                      .orderBy("__o").limit(self.sample_rows) for c in cols]
