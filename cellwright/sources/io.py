@@ -170,11 +170,21 @@ def sample_rows(df: DataFrame, n: int = 100, seed: int | None = None, key: list[
     """Exactly ``n`` rows (all rows when the table has at most ``n``), repeatable.
 
     Rows are ranked by a seeded hash of ``key`` (all columns by default) and the
-    ``n`` smallest kept: a TakeOrdered plan that keeps ``n`` rows per task.
+    ``n`` smallest kept.  The n-th smallest hash comes from the exact order
+    statistics, then one filtered scan keeps the rows at or below it, so no task
+    merges every partition's top ``n`` rows.
     """
-    key_cols = [F.col(c) for c in (key or df.columns)]
+    from ..functions import quantiles as Q
+    key_cols = [F.col(f"`{c}`") for c in (key or df.columns)]
     h = F.xxhash64(F.lit(seed if seed is not None else 0), *key_cols)
-    return df.withColumn("__h", h).orderBy("__h", *key_cols).limit(n).drop("__h")
+    hashed = df.withColumn("__h", h)
+    total = df.count()
+    if total <= n:
+        return df
+    thr = Q.kth_smallest(hashed, [Q.Request("t", "`__h`", n - 1, total)])["t"]
+    picked = hashed.where(F.col("__h") <= F.lit(thr))
+    # equal hashes at the threshold (rare): order them by the key and keep n
+    return picked.orderBy("__h", *key_cols).limit(n).drop("__h")
 
 
 def preview(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> DataFrame:
