@@ -77,8 +77,13 @@ def read_csv(spark: SparkSession, path: str, *, separator: str = ",", quote: str
                  .limit(infer_rows + (1 if has_header else 0)).collect()]
         if has_header and lines:
             lines = lines[:1] + [x for x in lines[1:] if x != lines[0]]
-        sample = spark.sparkContext.parallelize(lines or [""], 1)
-        sample_schema = reader().option("inferSchema", True).csv(sample).schema
+        # the bounded sample is written as one small text file in the shared folder and
+        # inferred there by the JVM reader (no Python RDD in the way)
+        from ..session import scratch_path
+        sample_path = scratch_path(spark, "csv-sample")
+        spark.createDataFrame([(x,) for x in (lines or [""])], "value string").coalesce(1) \
+            .write.option("encoding", "utf-8").text(sample_path)
+        sample_schema = reader().option("encoding", "utf-8").option("inferSchema", True).csv(sample_path).schema
         r = r.schema(sample_schema)
     elif infer_schema:
         r = r.option("inferSchema", True)
