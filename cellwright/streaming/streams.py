@@ -19,6 +19,7 @@ Checkpoints go to the shared checkpoint folder, so a restarted query resumes.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,6 +32,11 @@ from .. import constants as K
 from ..functions.text import count_if, ustrip
 from ..session import scratch_path
 
+# Spark's state serializer pads batches with empty frames; pandas warns about that
+# internal concat in every worker that runs the keyed-state function.
+warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenation with empty",
+                        category=FutureWarning)
+
 # FIXED VALUES: job event names and the dataset status each one means.
 EVENT_STATUS = {"active": "PROCESSING", "completed": "READY", "failed": "ERROR"}
 TERMINAL_EVENTS = ("completed", "failed")
