@@ -55,6 +55,11 @@ def anomaly_id(dataset_id: str, column: str, atype: str, related: str | None) ->
     return hashlib.sha256(f"{dataset_id}|{column}|{atype}|{related or ''}".encode()).hexdigest()
 
 
+# Largest final merge a TakeOrdered plan may do (input partitions x rows kept per
+# partition); above it the first-N samples use an order-key threshold instead.
+TAKE_ORDERED_MAX_ROWS = 5_000_000
+
+
 def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
@@ -421,7 +426,7 @@ class Detector:
             sample = self.df.select(o, F.explode(F.array(*[
                 F.struct(F.lit(c).alias("column"), _q(c).alias("v")) for c in cols])).alias("e")) \
                 .select("e.column", "e.v", "__o").where(F.col("v").isNotNull())
-        elif self._numeric_order():
+        elif self._numeric_order() and self.df.rdd.getNumPartitions() * self.sample_rows > TAKE_ORDERED_MAX_ROWS:
             # The first N non-null values of each column without a single-task merge:
             # the N-th smallest order key among each column's non-null rows (exact order
             # statistics, bounded memory) is a threshold; one scan keeps the rows at or
@@ -437,7 +442,8 @@ class Detector:
             rank = F.row_number().over(Window.partitionBy("column").orderBy("__o", "v"))
             sample = picked.withColumn("__r", rank).where(F.col("__r") <= self.sample_rows).drop("__r")
         else:
-            # composite order key: one TakeOrdered plan per column
+            # one TakeOrdered plan per column: its final merge holds at most
+            # partitions x N rows (bounded above), or the order key is composite
             parts = [self.df.where(_q(c).isNotNull())
                      .select(F.lit(c).alias("column"), _q(c).alias("v"), o)
                      .orderBy("__o").limit(self.sample_rows) for c in cols]

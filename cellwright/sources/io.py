@@ -16,6 +16,7 @@ from ..functions.types import reference_dtype_name
 from ..functions.text import count_if
 
 ORDER_COL = "__row_order"
+TAKE_ORDERED_MAX_ROWS = 5_000_000  # largest final merge of a TakeOrdered plan
 
 # FIXED VALUES: file suffix -> format, for reading and for writing.
 READ_FORMATS = {"csv": "csv", "txt": "csv", "tsv": "csv", "json": "json", "parquet": "parquet", "pq": "parquet"}
@@ -175,14 +176,18 @@ def sample_rows(df: DataFrame, n: int = 100, seed: int | None = None, key: list[
     """Exactly ``n`` rows (all rows when the table has at most ``n``), repeatable.
 
     Rows are ranked by a seeded hash of ``key`` (all columns by default) and the
-    ``n`` smallest kept.  The n-th smallest hash comes from the exact order
-    statistics, then one filtered scan keeps the rows at or below it, so no task
+    ``n`` smallest kept.  When partitions x n is small this is one TakeOrdered
+    pass; on larger inputs the n-th smallest hash comes from the exact order
+    statistics and one filtered scan keeps the rows at or below it, so no task
     merges every partition's top ``n`` rows.
     """
     from ..functions import quantiles as Q
     key_cols = [F.col(f"`{c}`") for c in (key or df.columns)]
     h = F.xxhash64(F.lit(seed if seed is not None else 0), *key_cols)
     hashed = df.withColumn("__h", h)
+    if df.rdd.getNumPartitions() * n <= TAKE_ORDERED_MAX_ROWS:
+        # the final merge holds at most partitions x n rows: one TakeOrdered pass
+        return hashed.orderBy("__h", *key_cols).limit(n).drop("__h")
     total = df.count()
     if total <= n:
         return df

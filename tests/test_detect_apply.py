@@ -179,3 +179,13 @@ def test_decision_with_no_cells_changes_nothing(spark):
     out = apply_decisions(df, [rec], [{"anomaly_id": "a1", "action": "APPROVED"}], "k")
     assert dict(out.dtypes)["codigo"] == "bigint"
     assert sorted(r["codigo"] for r in out.collect()) == [5, 6]
+
+
+def test_wrong_field_threshold_path_matches_take_ordered(spark, monkeypatch):
+    import cellwright.operators.detect as D
+    vals = [f"ok {i}" for i in range(300)] + ["300-123-4567"] * 300 + ["x"] * 100
+    df = spark.createDataFrame(list(enumerate(vals)), "k long, nota string").repartition(4)
+    base = detect_records(df, "ds", order_by="k", types=["CROSS_FIELD_SWAP"])
+    monkeypatch.setattr(D, "TAKE_ORDERED_MAX_ROWS", 0)  # force the threshold path
+    assert detect_records(df, "ds", order_by="k", types=["CROSS_FIELD_SWAP"]) == base
+    assert base[0]["affected"] == 200

@@ -109,3 +109,10 @@ def test_json_array_of_objects(spark):
         fh.write('[{"name": "Alice", "age": 25, "city": "NYC"},\n {"name": "Bob", "age": null, "city": "LA"}]')
     df = IO.read_table(spark, os.path.join(path, "a.json"))
     assert sorted((r["name"], r["age"]) for r in df.collect()) == [("Alice", 25), ("Bob", None)]
+
+
+def test_sample_threshold_path_matches_take_ordered(spark, monkeypatch):
+    orders = spark.read.parquet(f"{SF001}/orders.parquet")
+    small = sorted(IO.sample_rows(orders, 25, seed=11, key=["o_orderkey"]).collect())
+    monkeypatch.setattr(IO, "TAKE_ORDERED_MAX_ROWS", 0)
+    assert sorted(IO.sample_rows(orders, 25, seed=11, key=["o_orderkey"]).collect()) == small
