@@ -121,9 +121,10 @@ def latest(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     others = [c for c in df.columns if c not in keys]
     if not others:
         return df.dropDuplicates(keys)
-    row = F.struct(*[F.col(c) for c in others])
-    return df.groupBy(*keys).agg(F.max_by(row, F.struct(F.col(ts), row)).alias("__r")).select(
-        *keys, *[F.col("__r")[c].alias(c) for c in others])
+    row = F.struct(*[F.col(f"`{c}`") for c in others])
+    return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
+        F.max_by(row, F.struct(F.col(f"`{ts}`"), row)).alias("__r")).select(
+        *[F.col(f"`{k}`") for k in keys], *[F.col("__r")[c].alias(c) for c in others])
 
 
 def upsert(base: DataFrame, updates: DataFrame, keys: list[str], ts: str,
@@ -133,16 +134,18 @@ def upsert(base: DataFrame, updates: DataFrame, keys: list[str], ts: str,
     upd = latest(updates, keys, ts)
     if update_cols is None:
         return latest(base.unionByName(upd, allowMissingColumns=True), keys, ts)
-    u = upd.select(*keys, *[F.col(c).alias(f"__u_{c}") for c in update_cols], F.lit(True).alias("__hit"))
+    u = upd.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"`{c}`").alias(f"__u_{c}") for c in update_cols],
+                   F.lit(True).alias("__hit"))
     merged = base.join(u, keys, "full")
     out = []
     for c in base.columns:
+        q = F.col(f"`{c}`")
         if c in keys:
-            out.append(F.col(c))
+            out.append(q)
         elif c in update_cols:
-            out.append(F.when(F.col("__hit"), F.col(f"__u_{c}")).otherwise(F.col(c)).alias(c))
+            out.append(F.when(F.col("__hit"), F.col(f"`__u_{c}`")).otherwise(q).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(q)
     return merged.select(*out)
 
 

@@ -189,3 +189,20 @@ def test_wrong_field_threshold_path_matches_take_ordered(spark, monkeypatch):
     monkeypatch.setattr(D, "TAKE_ORDERED_MAX_ROWS", 0)  # force the threshold path
     assert detect_records(df, "ds", order_by="k", types=["CROSS_FIELD_SWAP"]) == base
     assert base[0]["affected"] == 200
+
+
+def test_odd_column_names(spark):
+    from cellwright.operators import transforms as TR
+    rows = [(i, f"  n{i % 7}" if i % 5 else None, float(i % 11) if i % 13 else 1000.0, f"a{i}@x.co")
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "`row id` long, `first name` string, `a.b` double, `e mail` string")
+    recs = detect_records(df, "odd", order_by="row id")
+    assert {r["column"] for r in recs} >= {"first name", "a.b"}
+    cells = find_cells(df, recs, "row id").count()
+    assert cells > 0
+    out = apply_decisions(df, recs, [{"anomaly_id": r["anomaly_id"], "action": "APPROVED"} for r in recs], "row id")
+    assert out.count() == 60 and out.columns == df.columns
+    d, _, _ = TR.remove_duplicates(df, ["first name"], keep="first", order_by="row id")
+    assert d.columns == df.columns
+    enc, _, _ = TR.encode_categoricals(df, ["first name"])
+    assert enc.count() == 60
