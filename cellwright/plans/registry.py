@@ -571,3 +571,5 @@ def p02(spark, sf_dir):
 QUERIES["d24_detect_documents"] = _detect_table("documents", "doc_id")
 QUERIES["d25_detect_labels"] = _detect_table("labels", "doc_id")
 QUERIES["d26_detect_conversations"] = _detect_table("conversations", ["conv_id", "turn"])
+QUERIES["d27_detect_pages"] = _detect_table("pages", "page_id")
+QUERIES["d28_detect_benchmark"] = _detect_table("benchmark", "item_id")

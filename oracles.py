@@ -988,3 +988,9 @@ oracle("d25_detect_labels", _detectors_for({
 oracle("d26_detect_conversations", _detectors_for({
     **NO_KW, "DIRTY": "WITH dirty AS (SELECT conv_id * 1000000 + turn AS row_key, * FROM conversations)\n",
     "NUMERIC": ["conv_id", "turn"], "STRINGS": ["role", "text"], "DATES": [], "ID_LIKE": ["conv_id"]}))
+oracle("d27_detect_pages", _detectors_for({
+    **NO_KW, "DIRTY": "WITH dirty AS (SELECT page_id AS row_key, * FROM pages)\n",
+    "NUMERIC": ["page_id"], "STRINGS": ["url", "html"], "DATES": [], "ID_LIKE": ["page_id"]}))
+oracle("d28_detect_benchmark", _detectors_for({
+    **NO_KW, "DIRTY": "WITH dirty AS (SELECT item_id AS row_key, * FROM benchmark)\n",
+    "NUMERIC": ["item_id"], "STRINGS": ["text"], "DATES": [], "ID_LIKE": ["item_id"]}))
