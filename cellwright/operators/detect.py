@@ -55,6 +55,22 @@ def anomaly_id(dataset_id: str, column: str, atype: str, related: str | None) ->
     return hashlib.sha256(f"{dataset_id}|{column}|{atype}|{related or ''}".encode()).hexdigest()
 
 
+# Longest digit run read as a sequence number (exact DECIMAL(38,0) with headroom
+# for the fence arithmetic); longer runs count as not matching.
+SEQ_MAX_DIGITS = 36
+
+
+def _int(v):
+    return None if v is None else int(v)
+
+
+def dec_lit(x) -> Column:
+    """An exact decimal literal of an int or a float (a float's exact binary value)."""
+    from decimal import Decimal
+    d = Decimal(x)
+    return F.lit(d)
+
+
 # Largest final merge a TakeOrdered plan may do (input partitions x rows kept per
 # partition); above it the first-N samples use an order-key threshold instead.
 TAKE_ORDERED_MAX_ROWS = 5_000_000
@@ -561,7 +577,8 @@ class Detector:
             cands.append(c)
         if not cands:
             return []
-        pv = self.v.where((F.col("kind") == "raw") & F.col("column").isin(cands) & F.col("value").rlike(K.RE_SEQUENCE))
+        pv = self.v.where((F.col("kind") == "raw") & F.col("column").isin(cands) & F.col("value").rlike(K.RE_SEQUENCE)
+                          & (F.length(F.regexp_extract("value", K.RE_SEQUENCE, 2)) <= SEQ_MAX_DIGITS))
         pc = pv.groupBy("column", F.regexp_extract("value", K.RE_SEQUENCE, 1).alias("prefix")) \
             .agg(F.sum("cnt").alias("cnt"))
         # dominant prefix per column: highest count, ties to the smallest prefix
@@ -579,12 +596,13 @@ class Detector:
         return chosen
 
     def num_expr(self, c: str, prefix: str) -> str:
-        """SQL: the number of a value with the given prefix (<= 18 digits), else null."""
+        """SQL: the number of a value with the given prefix (up to SEQ_MAX_DIGITS digits,
+        as an exact decimal), else null."""
         pe = prefix.replace("\\", "\\\\").replace("'", "\\'")
         pat = K.RE_SEQUENCE.replace("\\", "\\\\")
         return (f"CASE WHEN `{c}` RLIKE '{pat}' AND regexp_extract(`{c}`, '{pat}', 1) = '{pe}' "
-                f"AND length(regexp_extract(`{c}`, '{pat}', 2)) <= 18 "
-                f"THEN CAST(regexp_extract(`{c}`, '{pat}', 2) AS BIGINT) END")
+                f"AND length(regexp_extract(`{c}`, '{pat}', 2)) <= {SEQ_MAX_DIGITS} "
+                f"THEN CAST(regexp_extract(`{c}`, '{pat}', 2) AS DECIMAL(38,0)) END")
 
     def sequence_requests(self, chosen) -> list:
         """Quartiles by index ``sorted[int(n*q)]`` of each sequence column's numbers."""
@@ -604,7 +622,8 @@ class Detector:
             iqr = q3 - q1
             lo, hi = (q1 - 1.5 * iqr, q3 + 1.5 * iqr) if iqr > 0 else (int(qs[f"{c}|sp10"]), int(qs[f"{c}|sp90"]))
             self.seq_fence[c] = (iqr, lo, hi)
-            inside = (num >= F.lit(lo)) & (num <= F.lit(hi))
+            # fences as the reference computes them (floats), compared exactly with the numbers
+            inside = (num >= dec_lit(lo)) & (num <= dec_lit(hi))
             a.update({f"{c}|cmin": F.min(F.when(inside, num)), f"{c}|cmax": F.max(F.when(inside, num)),
                       f"{c}|mn": F.min(num), f"{c}|mx": F.max(num),
                       f"{c}|out": count_if(num.isNotNull() & ~inside), f"{c}|outex": F.min(F.when(~inside, num))})
@@ -614,12 +633,12 @@ class Detector:
         """Out-of-range values, or else the holes between min and max."""
         for c, prefix, dom in chosen:
             iqr, lo, hi = self.seq_fence[c]
-            mn, mx = row[f"{c}|mn"], row[f"{c}|mx"]
+            mn, mx = _int(row[f"{c}|mn"]), _int(row[f"{c}|mx"])
             if row[f"{c}|out"]:
-                cmin, cmax = (row[f"{c}|cmin"], row[f"{c}|cmax"]) if iqr > 0 else (lo, hi)
+                cmin, cmax = (_int(row[f"{c}|cmin"]), _int(row[f"{c}|cmax"])) if iqr > 0 else (lo, hi)
                 if cmin is None:
                     cmin, cmax = mn, mx
-                example = f"{prefix}{str(row[f'{c}|outex']).zfill(len(str(mn)))}"
+                example = f"{prefix}{str(_int(row[f'{c}|outex'])).zfill(len(str(mn)))}"
                 count = row[f"{c}|out"]
             else:
                 num = F.expr(self.num_expr(c, prefix))
@@ -629,7 +648,8 @@ class Detector:
                     continue
                 nxt = nums.select((F.col("x") - 1).alias("x"))
                 # a hole follows x when x+1 is absent: anti join, no window over the whole range
-                first = nums.where(F.col("x") < mx).join(nxt, "x", "left_anti").agg(F.min("x")).collect()[0][0]
+                first = _int(nums.where(F.col("x") < dec_lit(mx)).join(nxt, "x", "left_anti")
+                             .agg(F.min("x")).collect()[0][0])
                 example = f"{prefix}{str(first + 1).zfill(len(str(mn)))}"
                 cmin, cmax = mn, mx
             self.emit(c, "SEQUENCE_GAP", count,

@@ -446,9 +446,11 @@ def _sequences():
         gate = (f"(SELECT count({c}) AS n, count(DISTINCT {c}) AS d, "
                 f"count(*) FILTER (WHERE regexp_full_match({c}, '{pat}')) AS m FROM dirty)")
         pref = (f"(SELECT p, cnt FROM (SELECT regexp_extract({c}, '{pat}', 1) AS p, count(*) AS cnt FROM dirty "
-                f"WHERE regexp_full_match({c}, '{pat}') GROUP BY 1) ORDER BY cnt DESC, p LIMIT 1)")
-        nums = (f"(SELECT CAST(regexp_extract({c}, '{pat}', 2) AS BIGINT) AS x FROM dirty, {pref} pr "
-                f"WHERE regexp_full_match({c}, '{pat}') AND regexp_extract({c}, '{pat}', 1) = pr.p)")
+                f"WHERE regexp_full_match({c}, '{pat}') AND length(regexp_extract({c}, '{pat}', 2)) <= 36 "
+                f"GROUP BY 1) ORDER BY cnt DESC, p LIMIT 1)")
+        nums = (f"(SELECT CAST(regexp_extract({c}, '{pat}', 2) AS DECIMAL(38,0)) AS x FROM dirty, {pref} pr "
+                f"WHERE regexp_full_match({c}, '{pat}') AND regexp_extract({c}, '{pat}', 1) = pr.p "
+                f"AND length(regexp_extract({c}, '{pat}', 2)) <= 36)")
         srt = f"(SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS k FROM {nums})"
         qs = (f"(SELECT max(x) FILTER (WHERE i = least(k - 1, CAST(floor(k * 0.25) AS BIGINT))) AS q1, "
               f"max(x) FILTER (WHERE i = least(k - 1, CAST(floor(k * 0.75) AS BIGINT))) AS q3, "
@@ -801,8 +803,8 @@ def _fcond(c, t, x=None):
 
         def num(v):
             return (f"(CASE WHEN regexp_full_match({v}, '{SEQ_PAT}') AND regexp_extract({v}, '{SEQ_PAT}', 1) = {prefix} "
-                    f"AND length(regexp_extract({v}, '{SEQ_PAT}', 2)) <= 18 "
-                    f"THEN CAST(regexp_extract({v}, '{SEQ_PAT}', 2) AS BIGINT) END)")
+                    f"AND length(regexp_extract({v}, '{SEQ_PAT}', 2)) <= 36 "
+                    f"THEN CAST(regexp_extract({v}, '{SEQ_PAT}', 2) AS DECIMAL(38,0)) END)")
         nums = f"(SELECT {num(c)} AS x FROM dirty WHERE {num(c)} IS NOT NULL)"
         srt = f"(SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS k FROM {nums})"
         qv = lambda q: f"max(x) FILTER (WHERE i = least(k - 1, CAST(floor(k * {q}) AS BIGINT)))"

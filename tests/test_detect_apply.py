@@ -206,3 +206,20 @@ def test_odd_column_names(spark):
     assert d.columns == df.columns
     enc, _, _ = TR.encode_categoricals(df, ["first name"])
     assert enc.count() == 60
+
+
+def test_sequence_with_long_digit_runs(spark):
+    base = 10**25
+    vals = [f"ORD{base + i}" for i in range(200)] + [f"ORD{base + 10**20}"]
+    df = spark.createDataFrame(list(enumerate(vals)), "k long, pedido string")
+    recs = detect_records(df, "ds", order_by="k", types=["SEQUENCE_GAP"])
+    # model of the rule with Python ints and float fences, as the reference computes it
+    nums = sorted(int(v[3:]) for v in vals)
+    n = len(nums)
+    q1, q3 = nums[int(n * 0.25)], nums[min(n - 1, int(n * 0.75))]
+    lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    outside = [x for x in nums if not (lo <= x <= hi)]
+    assert recs and recs[0]["affected"] == len(outside)
+    assert recs[0]["original_value"].split("|")[3] == f"ORD{outside[0]}"
+    cells = find_cells(df, recs, "k").count()
+    assert cells == len(outside)
