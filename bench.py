@@ -22,7 +22,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from cellwright.operators import transforms as TR  # noqa: E402
 from cellwright.operators.apply import apply_decisions, decisions_by_rule  # noqa: E402
-from cellwright.operators.cells import find_cells  # noqa: E402
+from cellwright.operators.cells import CellFinder, find_cells  # noqa: E402
 from cellwright.operators.detect import detect_anomalies  # noqa: E402
 from cellwright.plans import review as RV  # noqa: E402
 from cellwright.plans.fixtures import (dirty, dirty_lineitem, review_anomalies, review_datasets,  # noqa: E402
@@ -99,8 +99,9 @@ def _dirty_cycle(spark, sf_dir, make=dirty):
     d = make(spark, sf_dir)
     an = detect_anomalies(d, "dirty", order_by="row_key")
     an = an.cache()
-    sink(find_cells(d, an, "row_key"))
-    sink(apply_decisions(d, an, decisions_by_rule(an), "row_key"))
+    finder = CellFinder(d, an, "row_key")  # one set of finder statistics for both steps
+    sink(find_cells(d, an, "row_key", finder=finder))
+    sink(apply_decisions(d, an, decisions_by_rule(an), "row_key", finder=finder))
 
 
 if __name__ == "__main__":

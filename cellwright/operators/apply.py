@@ -81,8 +81,10 @@ def _fits(v, dtype) -> bool:
 
 
 class Applier:
-    def __init__(self, df: DataFrame, anomalies, decisions, order_by, keep_means_keep: bool = False):
+    def __init__(self, df: DataFrame, anomalies, decisions, order_by, keep_means_keep: bool = False,
+                 finder: CellFinder | None = None):
         self.src = df
+        self.given_finder = finder
         self.order_by = order_by
         self.keep_means_keep = keep_means_keep
         self.all_anoms = _rows(anomalies)
@@ -216,7 +218,7 @@ class Applier:
     def run(self) -> DataFrame:
         if not self.pairs:
             return self.src
-        self.finder = CellFinder(self.src, [a for a, _ in self.pairs], self.order_by)
+        self.finder = self.given_finder or CellFinder(self.src, [a for a, _ in self.pairs], self.order_by)
         self.cur = {c: F.col(f"`{c}`") for c in self.cols}
         # A decision whose finder selects no cell is skipped (no type change either):
         # one aggregate tells, for every decided record, whether its mask is empty.
@@ -236,8 +238,11 @@ class Applier:
         return self.finder.df.select(*[self.cur[c].alias(c) for c in self.cols])
 
 
-def apply_decisions(df: DataFrame, anomalies, decisions, order_by, keep_means_keep: bool = False) -> DataFrame:
-    return Applier(df, anomalies, decisions, order_by, keep_means_keep).run()
+def apply_decisions(df: DataFrame, anomalies, decisions, order_by, keep_means_keep: bool = False,
+                    finder: CellFinder | None = None) -> DataFrame:
+    """Apply reviewed decisions; ``finder`` (a ``CellFinder`` already built for these
+    anomalies on this table, e.g. by the caller of ``find_cells``) saves its passes."""
+    return Applier(df, anomalies, decisions, order_by, keep_means_keep, finder).run()
 
 
 def decisions_by_rule(anomalies: DataFrame, user_id: str = "reviewer") -> DataFrame:

@@ -286,14 +286,15 @@ class CellFinder:
 FINDING_COLUMNS = ["row_key", "column", "anomaly_type", "anomaly_id", "value"]
 
 
-def find_cells(df: DataFrame, anomalies, order_by) -> DataFrame:
+def find_cells(df: DataFrame, anomalies, order_by, finder: "CellFinder | None" = None) -> DataFrame:
     """Long-form findings: one row per affected cell of every anomaly record.
 
     One scan: the masks of all records are evaluated in a single projection, then
     ``explode`` keeps the (record, cell) pairs that hold.  The row key is the
     ``order_by`` column.
     """
-    finder = CellFinder(df, anomalies, order_by)
+    # a finder built once can serve find_cells and apply_decisions on the same table
+    finder = finder or CellFinder(df, anomalies, order_by)
     anoms = [a for a in finder.anoms if a["column"] in finder.types]
     if not anoms:
         return df.sparkSession.createDataFrame(

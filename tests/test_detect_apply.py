@@ -223,3 +223,16 @@ def test_sequence_with_long_digit_runs(spark):
     assert recs[0]["original_value"].split("|")[3] == f"ORD{outside[0]}"
     cells = find_cells(df, recs, "k").count()
     assert cells == len(outside)
+
+
+def test_shared_finder_gives_same_results(spark, dirty_run):
+    from cellwright.operators.cells import CellFinder
+    d, recs = dirty_run
+    an = detect_anomalies(d, "dirty", order_by="row_key")
+    dec = decisions_by_rule(an)
+    f = CellFinder(d, an, "row_key")
+    assert sorted(map(tuple, find_cells(d, an, "row_key", finder=f).collect())) == \
+        sorted(map(tuple, find_cells(d, an, "row_key").collect()))
+    shared = apply_decisions(d, an, dec, "row_key", finder=f)
+    alone = apply_decisions(d, an, dec, "row_key")
+    assert sorted(map(tuple, shared.collect()), key=str) == sorted(map(tuple, alone.collect()), key=str)
