@@ -138,3 +138,17 @@ def test_latest_status_update_mode_changelog(spark):
     complete = ST.latest_status(ST.job_events(spark.read.parquet(f"{SF001}/events.parquet")))
     assert sorted(map(tuple, final.select("job_id", "status", "n_events").collect())) == \
         sorted(map(tuple, complete.select("job_id", "status", "n_events").collect()))
+
+
+def test_instruction_to_correction_flow(spark):
+    """Instruction text -> IR (rules) -> compiled column on the cells of one column."""
+    import json
+    from cellwright.operators.apply import apply_correction
+    df = spark.createDataFrame([(0, 10.0, 1.0), (1, None, 2.0), (2, 30.0, 3.0)], "k long, value double, other double")
+    texts = spark.createDataFrame([("usa la mediana",), ("  7.5 ",), ("copia el valor de other",), ("null",)], "t string")
+    irs = [json.loads(r["ir"]) for r in parse_instructions(texts, "t", df.columns).collect()]
+    expected = [[10.0, 20.0, 30.0], [10.0, 7.5, 30.0], [10.0, 2.0, 30.0], [10.0, None, 30.0]]
+    for ir, want in zip(irs, expected):
+        kind, out = apply_correction(df, "value", ir, F.col("value").isNull())
+        assert kind == "FILL"
+        assert [r["value"] for r in out.orderBy("k").collect()] == want
