@@ -135,7 +135,7 @@ def rules_sql(rules=RULES) -> str:
         sign = ">" if r.sense == "above" else "<"
         parts.append(f"CASE WHEN 1000 * {r.numerator} {sign} {r.per_mille} * {r.denominator} "
                      f"AND n_words >= {r.min_words} THEN '{r.name}' END")
-    return f"array_to_string(list_filter([{', '.join(parts)}], x -> x IS NOT NULL), ',')"
+    return f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), ',')"
 
 
 def oracle() -> str:
@@ -145,8 +145,8 @@ def oracle() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, x.word, x.i FROM (SELECT rid, unnest(list_transform(
-        list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), v -> v <> ''),
-        (v, j) -> {{'word': v, 'i': j - 1}})) AS x FROM d)),
+        list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda v: v <> ''),
+        lambda v, j: {{'word': v, 'i': j - 1}})) AS x FROM d)),
 ws AS (SELECT rid, count(*) AS n_words, sum(length(word)) AS word_chars,
         count(*) FILTER (lower(word) IN ({stops})) AS n_stop_words FROM w GROUP BY rid),
 g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c, e, f) AS n FROM (
@@ -156,7 +156,7 @@ g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c, e, f) AS n FROM (
 r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words
       FROM (SELECT rid, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS p FROM g WHERE n > 1) GROUP BY rid),
 l AS (SELECT rid, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM (
-        SELECT rid, list_filter(string_split(t, chr(10)), v -> regexp_matches(v, '[^\\x20\\x09-\\x0D]')) AS ls FROM d)),
+        SELECT rid, list_filter(string_split(t, chr(10)), lambda v: regexp_matches(v, '[^\\x20\\x09-\\x0D]')) AS ls FROM d)),
 s AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
         {count(SYMBOLS)} AS n_symbols, n_dup_lines, n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
         {count('!')} AS n_exclaims, coalesce(n_stop_words, 0) AS n_stop_words

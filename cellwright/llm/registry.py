@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import chat, quality, urlfilter
 
-_MODULES = (quality,)
+_MODULES = (chat, quality, urlfilter)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
