@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, quality, urlfilter
+from . import bpe, chat, licenses, quality, tokencount, urlfilter
 
-_MODULES = (chat, quality, urlfilter)
+_MODULES = (bpe, chat, licenses, quality, tokencount, urlfilter)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
