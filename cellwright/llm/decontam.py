@@ -31,13 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import materialise, pick, ship_package, table, text_key
-from .shingles import blocks, mix, sequence_hash, shingle_at, word_hashes
+from .graph import Bloom
+from .shingles import blocks, sequence_hash, shingle_at, word_hashes
 
 SEED, THRESHOLD = 5, 0.8
-#: Bits of the Bloom filter: 32 for every seed of the benchmark, at most this many (32 MB).
-MAX_BITS = 1 << 28
-HASHES = 3
-
 
 def seeds_of(words: np.ndarray, seed: int) -> np.ndarray:
     if len(words) >= seed:
@@ -45,10 +42,6 @@ def seeds_of(words: np.ndarray, seed: int) -> np.ndarray:
     return np.array([sequence_hash(words)] if len(words) else [], dtype=np.uint64)
 
 
-def bits_of(hashes: np.ndarray, n_bits: int) -> list[np.ndarray]:
-    return [mix(hashes + np.uint64(i + 1)) & np.uint64(n_bits - 1) for i in range(HASHES)]
-
-
 def tile(doc: np.ndarray, item: np.ndarray, seed: int) -> int:
     """Words of the item that greedy string tiling covers."""
     seed = min(seed, len(item))
@@ -124,27 +117,6 @@ def benchmark_seeds(items: DataFrame, item_id: str, text: str, seed: int) -> Dat
     return rows.mapInArrow(run, out)
 
 
-def bloom(seeds: DataFrame, seed: int) -> tuple[np.ndarray, int, list[int]]:
-    """Filter bytes, its number of bits, and the item lengths below ``seed`` that occur.  What
-    reaches the driver is bounded by MAX_BITS: one row per 64 bits that are not all zero."""
-    row = seeds.agg(F.approx_count_distinct("hash").alias("n"),
-                    F.collect_set(F.when(F.col("n_words") < seed, F.col("n_words"))).alias("short")).first()
-    n_bits = min(MAX_BITS, 1 << max(16, int(32 * row["n"] - 1).bit_length() if row["n"] else 16))
-
-    def run(batches):
-        for b in batches:
-            h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            at = np.unique(np.concatenate(bits_of(h, n_bits))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(at & 63)], ["word", "bit"])
-
-    bits = (seeds.select("hash").mapInArrow(run, "word BIGINT, bit BIGINT")
-            .groupBy("word").agg(F.expr("bit_or(shiftleft(1L, CAST(bit AS INT)))").alias("bits")))
-    words = np.zeros(n_bits >> 6, dtype=np.int64)
-    for r in bits.toLocalIterator():
-        words[r["word"]] = r["bits"]
-    return np.unpackbits(words.view(np.uint8), bitorder="little").view(bool), n_bits, sorted(row["short"])
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id",
                   item_id: str = "item_id", item_text: str = "text", seed: int = SEED,
                   threshold: float = THRESHOLD) -> DataFrame:
@@ -153,29 +125,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     spark = docs.sparkSession
     ship_package(spark)
     seeds = materialise(benchmark_seeds(items, item_id, item_text, seed), "bench-seeds")
-    table_bits, n_bits, short = bloom(seeds, seed)
-    packed = spark.sparkContext.broadcast(np.packbits(table_bits).tobytes())
+    member = Bloom(seeds, "hash")
+    # item lengths below ``seed`` words that occur: at most seed - 1 numbers
+    short = sorted(r[0] for r in seeds.where(F.col("n_words") < seed).select("n_words").distinct().collect())
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_key(text).alias("key"),
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
 
     def run(batches):
-        member = np.unpackbits(np.frombuffer(packed.value, dtype=np.uint8)).view(bool)
         for b in batches:
             keep, words_out, hits_out = [], [], []
             for a, e, data, offsets in blocks(b.column(2)):
                 words, first = word_hashes(data, offsets)
                 every = shingle_at(words, seed)
-                maybe = np.ones(len(every), dtype=bool)
-                for at in bits_of(every, n_bits):
-                    maybe[maybe] = member[at[maybe]]
-                candidates = np.flatnonzero(maybe)
+                candidates = np.flatnonzero(member.passes(every))
                 for row in range(a, e):
                     s, t = int(first[row - a]), int(first[row - a + 1])
                     x, y = np.searchsorted(candidates, (s, max(s, t - seed + 1)))
                     found = [every[candidates[x:y]]]
                     for k in short:
                         h = np.array([sequence_hash(words[i:i + k]) for i in range(s, t - k + 1)], dtype=np.uint64)
-                        found.append(h[np.all([member[at] for at in bits_of(h, n_bits)], axis=0)])
+                        found.append(h[member.passes(h)])
                     found = np.unique(np.concatenate(found))
                     if len(found):
                         keep.append(row)

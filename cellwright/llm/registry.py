@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, licenses, pii, quality, tokencount, urlfilter
+from . import bpe, chat, decontam, jaccard, licenses, pii, quality, substrings, tokencount, urlfilter
 
-_MODULES = (bpe, chat, decontam, licenses, pii, quality, tokencount, urlfilter)
+_MODULES = (bpe, chat, decontam, jaccard, licenses, pii, quality, substrings, tokencount, urlfilter)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
