@@ -95,7 +95,9 @@ def text_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
         F.size("__w").cast("long").alias("n_words"),
         F.length(F.array_join("__w", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.expr(covered).alias("n_repeat_words"),
+        # The partition number keeps this column where it is: a filter on the verdict that moved
+        # below these steps would compute the arrays again for each of their elements.
+        F.expr(f"IF(spark_partition_id() < 0, 0L, {covered})").alias("n_repeat_words"),
         F.size("__l").cast("long").alias("n_lines"), "n_exclaims",
         F.expr(f"CAST(size(filter(__w, w -> lower(w) IN ({stops}))) AS BIGINT)").alias("n_stop_words"),
     )
