@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import pick, ship_package, table, text_key
+from .common import pick, prepare, table, text_key
 
 CHUNK, OVERLAP = 32_768, 512
 #: The places where neighbouring chunks agree on a pre-token boundary.
@@ -115,7 +115,7 @@ def encode_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
                      pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``keep`` columns plus ``ids`` (binary) of every document."""
     path, n = ranks or default_ranks(), len(keep)
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__t"))
     kept = rows.schema.fields[:n]
     out_schema = StructType([*kept, StructField("ids", BinaryType())])
@@ -176,7 +176,7 @@ def decode_documents(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id", "ids
     """``keep`` columns plus ``decoded``, the concatenated bytes of the tokens."""
     path = ranks or default_ranks()
     at = list(keep).index("ids")
-    ship_package(encoded.sparkSession)
+    prepare(encoded.sparkSession)
 
     def decode(batches):
         for b in batches:

@@ -32,6 +32,20 @@ def text_key(*cols: str) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in cols])
 
 
+#: Bounds of an Arrow batch that goes to a Python worker: texts can be long.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make the package importable on executors and keep Arrow batches of texts small."""
+    ship_package(spark)
+    for name, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= bound:
+            spark.conf.set(key, str(bound))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back: the lineage ends
     there, and the rows outlive the executors that made them."""
@@ -41,5 +55,5 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-__all__ = ["SPACE_RE", "WORD_CHAR_RE", "ensure_checkpoint_dir", "materialise", "pick", "scratch_path",
-           "ship_package", "table", "text_key", "words_of"]
+__all__ = ["SPACE_RE", "WORD_CHAR_RE", "ensure_checkpoint_dir", "materialise", "pick", "prepare",
+           "scratch_path", "table", "text_key", "words_of"]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import materialise, pick, ship_package, table, text_key
+from .common import materialise, pick, prepare, table, text_key
 from .graph import Bloom
 from .shingles import blocks, sequence_hash, shingle_at, word_hashes
 
@@ -123,7 +123,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     """Rows (doc_id, key, item_id, n_words, covered, coverage) for every pair of a document and
     an item with a tile; ``key`` is ``text_key(text)``.  Identical documents share their rows."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     seeds = materialise(benchmark_seeds(items, item_id, item_text, seed), "bench-seeds")
     member = Bloom(seeds, "hash")
     # item lengths below ``seed`` words that occur: at most seed - 1 numbers

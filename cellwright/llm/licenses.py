@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import pick, ship_package, table
+from .common import pick, prepare, table
 
 #: Phrases and labels of the base detections.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -182,7 +182,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     from 0, end exclusive) of every document."""
     n = len(keep)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__t"))
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string())]))
 
     def column(found):

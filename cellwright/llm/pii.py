@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from .common import materialise, pick, ship_package, table, text_key
+from .common import materialise, pick, prepare, table, text_key
 
 KEY = b"cellwright surrogate key"
 WIDEN, MAX_ATTEMPTS = 16, 64
@@ -243,7 +243,7 @@ def replace_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key
     """All rows and columns of ``docs`` with the text replaced, plus ``pii`` (array of start,
     end, type, surface, surrogate; offsets in the source text)."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     mentions = materialise(detect(docs, text, doc_id), "pii-mentions")
     names = surrogates(mentions, key)
 

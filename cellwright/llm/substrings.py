@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import materialise, pick, ship_package, table, text_key
+from .common import materialise, pick, prepare, table, text_key
 from .graph import Bloom
 from .jaccard import _joined
 from .shingles import mix, powers
@@ -129,7 +129,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, text: str = "text", d
     if length < 64:
         raise ValueError("length must be at least 64 bytes")
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_key(doc_id, text).alias("key"),
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).where(F.octet_length("t") >= length)
     first = length // 8

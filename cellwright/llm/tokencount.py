@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import pick, ship_package, table
+from .common import pick, prepare, table
 
 MAX_NODES = 400_000
 
@@ -106,7 +106,7 @@ def count_tokens(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     """``keep`` columns plus n_pretokens and n_tokens (long) of every document."""
     path, n = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), len(keep)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__t"))
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches):
         trie, split = Trie(vocabulary(path), max_nodes), regex.compile(pattern)
