@@ -1,12 +1,21 @@
 """Corpus pipeline: quality rules, near-duplicate join, benchmark decontamination, PII
-surrogates, byte-level BPE.  Every stage is one operator of ``cellwright.llm``."""
+surrogates, byte-level BPE.  Every stage is one operator of ``cellwright.llm``.
+
+A stage takes (spark, docs, sf_dir) and works on all rows of ``docs``.  Null texts, repeated
+rows, empty tables and extra columns follow the operators' docstrings; all stages but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import materialise, pick, table
+from cellwright.llm.bpe import decode_documents, encode_documents
+from cellwright.llm.common import materialise, pick, table, text_key
+from cellwright.llm.decontam import contaminated_documents
+from cellwright.llm.jaccard import near_duplicates
+from cellwright.llm.pii import replace_pii
 from cellwright.llm.quality import quality_rules
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,10 +26,48 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(pick(docs, *COLUMNS), keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
-STAGES = [("quality", quality)]
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one
+    with the smallest doc_id, of equal ones a single row.  Documents without words stay."""
+    docs = pick(docs, *COLUMNS)
+    groups = near_duplicates(docs.select("doc_id", "text"), k=5, percent=80)
+    first = (groups.where("n_shingles = 0 OR (doc_id <=> component_id AND key = component_key)")
+             .select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct())
+    kept = (docs.withColumn("__k", text_key("text"))
+            .join(first, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__k") == F.col("k")), "left_semi"))
+    return kept.dropDuplicates(["doc_id", "__k"]).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which no benchmark item is covered by tiles to four fifths."""
+    docs = pick(docs, *COLUMNS)
+    bad = contaminated_documents(docs.select("doc_id", "text"), pick(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+    bad = bad.select(F.col("doc_id").alias("d"), F.col("key").alias("k"))
+    return (docs.withColumn("__k", text_key("text"))
+            .join(bad, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__k") == F.col("k")), "left_anti")
+            .select(*COLUMNS))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for personal data, n_chars recounted."""
+    out = replace_pii(pick(docs, *COLUMNS)).drop("pii")
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))
+                          .otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, token ids and their number, and the digest of the decoded bytes."""
+    keep = ("doc_id", "lang", "source")
+    out = decode_documents(encode_documents(pick(docs, *COLUMNS), keep=keep), keep=(*keep, "ids"))
+    return out.select(*keep, F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), "ids",
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicate), ("decontamination", decontamination),
+          ("pii", pii), ("byte_bpe", byte_bpe)]
 
-#: Near-duplicate groups, string tiling and byte-pair merges have no SQL form; the stages are
-#: tested against brute-force versions.
+#: Near-duplicate groups, string tiling, keyed surrogates and byte-pair merges have no SQL form;
+#: the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
