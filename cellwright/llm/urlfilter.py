@@ -2,9 +2,9 @@
 
 A rule (host, path) holds for its host and all subdomains, on urls whose path starts with the
 rule's path; the longest rule wins.  Canonical key of a rule: the host's labels in reverse
-order, then the path (``com.example/en/``).  All keys that start with a rule's key form one
+order, a slash (which no host contains), then the path (``com.example//en/``).  All keys that start with a rule's key form one
 interval of the key order, and such intervals nest or are disjoint.  A page has one key per
-enclosing domain (``com/en/7``, ``com.example/en/7`` ...), no more than the deepest rule has
+enclosing domain (``com//en/7``, ``com.example//en/7`` ...), no more than the deepest rule has
 labels.  Rules and page keys are sorted together; at every rule the sweep holds the stack of
 rules that enclose it, a page key takes the stack of the last rule before it and pops the
 rules whose interval has ended, and what is left on top is the longest rule of that domain.
@@ -16,8 +16,8 @@ Built-in functions only.
 
 Defined results: null url or one without ``://``: host and path empty, no rule, default
 verdict.  Repeated rows are kept.  Of rules with equal host and path the greatest verdict
-(``block`` over ``allow``) counts; rules with a null host or verdict are ignored, a null path
-is empty.  Rules of equal length: the longer host, then the greater text.
+(``block`` over ``allow``) counts; rules with a null host or verdict, or a host with
+``/``, ``?`` or ``#``, are ignored, a null path is empty.  Rules of equal length: the longer host, then the greater text.
 """
 
 from __future__ import annotations
@@ -43,13 +43,17 @@ def url_path(url: Column) -> Column:
 
 
 def _labels(host: Column) -> Column:
-    return F.reverse(F.split(host, r"\."))
+    return F.reverse(F.split(host, "[.]"))
+
+
+def _key(labels: str, path: str) -> Column:
+    return F.expr(f"concat(array_join({labels}, '.'), '/', {path})")
 
 
 def rule_stacks(rules: DataFrame) -> DataFrame:
     """Rules with their key and the stack of rules that enclose them, shortest first, themselves
     last.  The enclosing rules are found by an equality join on the prefixes of the path."""
-    r = (rules.where("host IS NOT NULL AND verdict IS NOT NULL")
+    r = (rules.where("host IS NOT NULL AND verdict IS NOT NULL AND NOT host RLIKE '[/?#]'")
          .select(F.translate("host", UPPER, UPPER.lower()).alias("host"), F.coalesce("path", F.lit("")).alias("path"),
                  "verdict")
          .groupBy("host", "path").agg(F.max("verdict").alias("verdict")))
@@ -58,10 +62,10 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
     up = r.select("host", F.col("path").alias("up"), F.struct(
         (F.length("host") + F.length("path")).alias("n"), F.length("host").alias("hn"),
         F.concat("host", "path").alias("rule"), F.col("verdict").alias("verdict"),
-        F.concat(F.array_join(_labels(F.col("host")), "."), "path").alias("key")).alias("e"))
+        _key("reverse(split(host, '[.]'))", "path").alias("key")).alias("e"))
     return (prefixes.join(up, ["host", "up"]).groupBy("host", "path")
             .agg(F.sort_array(F.collect_list("e")).alias("stack"))
-            .select(F.concat(F.array_join(_labels(F.col("host")), "."), "path").alias("key"), "stack",
+            .select(_key("reverse(split(host, '[.]'))", "path").alias("key"), "stack",
                     F.size(_labels(F.col("host"))).alias("depth")))
 
 
@@ -79,7 +83,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
                      url_path(F.col("url")).alias("path"))
             .select("page_id", "url", "lane", "ls", "path",
                     F.explode(F.expr(f"sequence(1, least(size(ls), {depth}))")).alias("labels"))
-            .select("lane", F.expr("concat(array_join(slice(ls, 1, labels), '.'), path)").alias("key"),
+            .select("lane", _key("slice(ls, 1, labels)", "path").alias("key"),
                     F.lit(1).alias("kind"), "page_id", "url", "labels",
                     F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack")))
     marks = stacks.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "key",
