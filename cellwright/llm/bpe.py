@@ -79,8 +79,9 @@ def encode_chunk(text: str, first: bool, last: bool, chunk: int, overlap: int, p
         m = STITCH.search(text, 0, overlap)
         if m is None:  # the neighbour sees none in the overlap either, so its tail is open
             m = STITCH.search(own)
-            if m is None:
-                return own, None, ""
+            if m is None:  # all of it is open, up to where the next chunk closes itself
+                end = None if last else STITCH.search(text[chunk:], 0, overlap)
+                return own if end is None else text[:chunk + end.start()], None, ""
             head = own[:m.start()]
         start = m.start()
     if last:

@@ -96,7 +96,7 @@ def signatures() -> list[Signature]:
     out = []
     for rank, (label, names, versions) in enumerate(FAMILIES):
         for k, name in enumerate(names):
-            for v in versions:
+            for v in sorted(versions, key=len, reverse=True):
                 for form in VERSION_FORMS:
                     for g, (grant, suffix) in enumerate(GRANTS if label.endswith("gpl") else GRANTS[:1]):
                         out.append(Signature(

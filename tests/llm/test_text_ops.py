@@ -1,0 +1,259 @@
+"""BPE, licenses, token counts and PII against plain versions."""
+
+import base64
+import math
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import regex
+import tiktoken
+from pyspark.sql import functions as F
+
+from cellwright.llm import bpe, licenses, pii, tokencount
+
+
+def docs(spark, texts, ids=None):
+    """With a column whose name clashes with those of the operators."""
+    rows = [(i if ids is None else ids[i], t, 1, "x") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, ids int, key string")
+
+
+ODD = [None, "", " ", "\n\n  \n", "it's  we'll x", "a" * 5000, " " * 3000 + "x", "漢字かな" * 900, "🙂" * 700 + " ok", "\x1c\x1d a",
+       "é" * 300 + "\n" + "word " * 400, "don't " * 900, "1234567890" * 300, "a\r\n\t b" * 500, "x" * 700 + " " + "y" * 1400]
+
+
+# -- BPE -------------------------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def reference():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(
+        bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_stitched_chunks_give_the_ids_of_the_whole_text(reference):
+    path, pattern = bpe.default_ranks(), public_tokenizers.PATTERN
+    rnd = random.Random(1)
+    texts = [t for t in ODD if t] + ["".join(rnd.choice("ab 1'\n é.s") for _ in range(rnd.randint(1, 400))) for _ in range(150)]
+    for t in texts:
+        for chunk, overlap in ((7, 3), (40, 9), (64, 64), (100, 1)):
+            parts = bpe.cut(t, chunk, overlap)
+            got = [bpe.encode_chunk(p, j == 0, j == len(parts) - 1, chunk, overlap, path, pattern) for j, p in enumerate(parts)]
+            ids = np.frombuffer(bpe.stitch(got, path, pattern), "<u4").tolist()
+            assert ids == reference.encode_ordinary(t), (t[:80], chunk, overlap)
+
+
+def test_encode_and_decode_documents(spark, reference):
+    texts = ODD + ["plain text"] * 3
+    d = docs(spark, texts, ids=[0] * 3 + list(range(len(texts) - 3)))
+    enc = bpe.encode_documents(d, chunk=300, overlap=40)
+    out = bpe.decode_documents(enc)
+    got = sorted((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in out.collect())
+    want = sorted((r.doc_id, np.asarray(reference.encode_ordinary(r.text or ""), "<u4").tobytes(), (r.text or "").encode())
+                  for r in d.collect())
+    assert got == want
+    assert bpe.encode_documents(d.limit(0)).count() == 0
+
+
+def test_repeated_long_rows_are_each_kept(spark):
+    d = docs(spark, ["word " * 500] * 4, ids=[5, 5, 5, None])
+    out = bpe.encode_documents(d, chunk=100, overlap=20).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in out) == [(False, 5)] * 3 + [(True, None)]
+    assert len({bytes(r.ids) for r in out}) == 1
+
+
+# -- licenses --------------------------------------------------------------------------------
+
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def base_places(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = WORDS.findall(low)
+    places = sorted((i, label) for phrase, label in licenses.BASE for i in range(len(w))
+                    if w[i:i + len(phrase.split())] == phrase.split())
+    return len(w), places
+
+
+LICENSE_TEXTS = [None, "", "...", "CC BY cc-by CC  BY", "cc by cc by", "All rights reserved. ALL RIGHTS, RESERVED!", "acc by cc bye",
+                 "GNU General Public License, version 3 or any later version", "General Public\nLicense", "É all rights reserved é",
+                 "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "under the MIT license",
+                 "cc by " * 2000, "x" * 20000 + " cc by", "mit license apache license " * 300]
+
+
+def test_base_places_match_plain_python(spark):
+    rnd = random.Random(2)
+    vocabulary = "cc by general public license all rights reserved gpl x".split()
+    texts = LICENSE_TEXTS + [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 40))) for _ in range(100)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].n_words, [(b.start, b.label) for b in got[i].base]) == base_places(t), t
+
+
+def labels(text):
+    return [x[2] for x in licenses.scan(text)[2]]
+
+
+def test_signatures_by_priority_and_containment():
+    assert labels("GNU General Public License, version 3 or any later version") == ["gpl-3-or-later"]
+    assert labels("the GNU Lesser General Public License v2.1 only") == ["lgpl-2.1-only"]
+    assert labels("Apache License, Version 2.0") == ["apache-2.0"]
+    assert labels("CC BY-NC 4.0") == ["cc-by-nc-4.0"]
+    assert labels("cc by sa and MIT License") == ["cc-by-sa", "mit"]
+    assert labels("nothing here about licences of any kind") == []
+    n, places, kept = licenses.scan("A. CC BY-NC 4.0 z")
+    assert (n, places, kept) == (7, [(1, 3, "cc-by")], [(1, 6, "cc-by-nc-4.0")])
+
+
+def test_signature_table():
+    rules = licenses.signatures()
+    assert len(rules) > 300 and [r.priority for r in rules] == sorted(r.priority for r in rules)
+    for r in rules:
+        word = licenses.required_word(r.pattern)
+        assert word and re.search(word, r.pattern)
+
+
+def test_prefilter_loses_nothing():
+    rules = [(r.label, re.compile(b"(?<= )(?:" + r.pattern.encode() + b")(?= )"), licenses.required_word(r.pattern).encode())
+             for r in licenses.signatures()]
+    for t in LICENSE_TEXTS[:13]:
+        norm, _ = licenses.words_text(t)
+        for label, expression, word in rules:
+            if expression.search(norm):
+                assert word in norm, label
+
+
+def test_suppression_matches_quadratic_version():
+    rnd = random.Random(4)
+    for _ in range(200):
+        hits = []
+        for i in range(rnd.randint(0, 25)):
+            a = rnd.randint(0, 30)
+            hits.append((rnd.randint(0, 5), a, a + rnd.randint(1, 12), f"l{i}"))
+        kept = []
+        for _o, a, b, x in sorted(hits, key=lambda h: (h[0], h[1] - h[2], h[1])):
+            if not any(s <= a and b <= e for s, e, _ in kept):
+                kept.append((a, b, x))
+        assert licenses.suppress(hits) == sorted(kept)
+
+
+def test_license_query(spark, tmp_path):
+    docs(spark, LICENSE_TEXTS + ["cc by"] * 2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in licenses.op9_license_scan(spark, str(tmp_path)).collect()}
+    assert len(got) == len(LICENSE_TEXTS) + 2
+    assert (got[0].n_words, got[0].n_base, got[0].first_word, got[0].labels, got[0].score) == (0, 0, None, "", 0.0)
+    assert (got[3].n_base, got[3].first_word, got[3].last_word, got[3].base_labels, got[3].score) == (3, 0, 4, "cc-by", 1.0)
+    assert got[7].base_labels == "gpl" and got[7].labels == "gpl,gpl-3-or-later"
+    assert all(0 <= r.score <= 1 and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) for r in got.values())
+
+
+# -- token counts ----------------------------------------------------------------------------
+
+def brute_tokens(token, pieces, longest):
+    raw = token.encode()
+    best = [(0.0, 0)] + [(-math.inf, 0)] * len(raw)
+    for e in range(1, len(raw) + 1):
+        for s in range(max(0, e - longest), e):  # the longest piece first, as open matches go
+            p = pieces.get(raw[s:e])
+            if p is not None:
+                score, n = best[s][0] + p, best[s][1] + 1
+                if score > best[e][0] or (score == best[e][0] and n < best[e][1]):
+                    best[e] = (score, n)
+    return best[-1][1]
+
+
+def test_token_counts_match_a_plain_forward_pass(spark):
+    pieces = {base64.b64decode(a): -math.log(int(b) + 2) for a, b in map(
+        bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    longest = max(map(len, pieces))
+    split = regex.compile(public_tokenizers.PATTERN)
+    texts = [t[:600] if t else t for t in ODD] + ["the quick brown fox jumps over unbelievable doghouses " * 3] * 2
+    want = {}
+    for i, t in enumerate(texts):
+        found = split.findall(t or "")
+        want[i] = (len(found), sum(brute_tokens(x, pieces, longest) for x in found))
+    for most in (1, tokencount.MAX_COUNTS):  # counts that are emptied all the time, and not at all
+        got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in tokencount.count_tokens(docs(spark, texts), max_counts=most).collect()}
+        assert got == want
+    assert tokencount.count_tokens(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_levels_match_the_single_path():
+    vocab = tokencount.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rnd = random.Random(9)
+    tokens = sorted({"".join(rnd.choice("abé the\0n") for _ in range(rnd.randint(1, 14))).encode() for _ in range(800)} | {b"\0", b"a\0", b"a"})
+    assert tokencount.level_counts(tokens, vocab).tolist() == [tokencount.long_count(t, vocab) for t in tokens]
+
+
+# -- PII -------------------------------------------------------------------------------------
+
+PII_TEXT = ("Mrs. Anna Schmidt (a.schmidt@mail.example.com, +1 (826) 555-4081 190.137.223.204) paid with "
+            "4111 1111 1111 1111; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\". Write A.SCHMIDT@MAIL.EXAMPLE.COM, "
+            "call +1 826 555 4081, IBAN DE89 3704 0044 0532 0130 00, 078-05-1120, Herr Müller, Господин Иванов.")
+
+
+def test_entities_and_formats():
+    found = pii.find_entities(PII_TEXT)
+    kinds = [k for _, _, k in found]
+    assert kinds == ["name", "email", "phone", "ipv4", "card", "secret", "email", "phone", "iban", "ssn", "name", "name"]
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+    for a, b, kind in found:
+        surface = PII_TEXT[a:b]
+        new = pii.lay_out(kind, surface, pii.surrogate(kind, pii.canonical(kind, surface)))
+        assert new != surface
+        if kind in ("card", "phone", "ssn", "iban"):
+            assert re.sub(r"\w", "x", new) == re.sub(r"\w", "x", surface)
+    assert pii.luhn(pii.surrogate("card", "4111111111111111"))
+    new = pii.surrogate("name", "frau иванова")
+    assert new.split()[0] == "frau" and all(pii.script_of(c) == "CYRILLIC" for c in new.split()[1]) and new.endswith("а")
+    assert pii.surrogate("name", "mr smith").endswith("n") and pii.surrogate("name", "mrs smith").endswith("a")
+
+
+def test_clean_text_has_no_entities():
+    for t in ("The meeting is at 10:30 on 12 May 2021, room 4.", "version 2.0.1 of 3", "a @ b", "1,234,567 people", "Drive, mr x"):
+        assert pii.find_entities(t) == []
+
+
+def test_replace_is_consistent_and_complete(spark):
+    texts = [PII_TEXT, None, "", "no entities here", "again a.schmidt@mail.example.com and 190.137.223.204!",
+             "x" * 50000 + " 9807915762804490 " + "y" * 10, "7536784127813050 4845168114407329"]
+    d = docs(spark, texts + texts[:1], ids=list(range(len(texts))) + [0])
+    out = pii.replace_pii(d)
+    assert out.columns == [*d.columns, "pii"]
+    rows = out.collect()
+    assert len(rows) == len(texts) + 1
+    got = {r.doc_id: r for r in rows}
+    assert got[1].text is None and got[2].text == "" and got[3].text == "no entities here" and not got[3].pii
+    seen = {}
+    for r in rows:
+        source = texts[r.doc_id]
+        for p in r.pii:
+            assert source[p.start:p.end] == p.surface and p.surface not in r.text and p.surrogate in r.text
+            seen.setdefault((p.type, pii.canonical(p.type, p.surface)), set()).add(pii.canonical(p.type, p.surrogate))
+        rebuilt = list(source or "")
+        for p in reversed(r.pii):
+            rebuilt[p.start:p.end] = p.surrogate
+        assert "".join(rebuilt) == (r.text or "")
+    assert all(len(v) == 1 for v in seen.values())  # one entity, one surrogate
+    assert len({(k[0], *v) for k, v in seen.items()}) == len(seen)  # and no two share one
+    assert len(got[4].pii) == 2 and len(got[5].pii) == 1 and len(got[6].pii) == 2
+
+
+def test_collision_rounds(spark, monkeypatch):
+    """One-digit forms have ten values only: ten entities must still differ, and no
+    surrogate may be an entity."""
+    forms = [("ssn", str(i)) for i in range(10)]
+    e = spark.createDataFrame(forms, "type string, form string")
+    monkeypatch.setattr(pii, "MAX_ATTEMPTS", 80)
+    got = pii.surrogates(e).collect()
+    new = [r.surrogate for r in got]
+    assert len(got) == 10 and len(set(new)) == 10 and not {f for _, f in forms} & set(new)
+
+
+def test_pii_query_returns_every_document(spark):
+    out = pii.op8_pii_surrogates(spark, "/root/testdata/sf0.001")
+    assert out.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert out.where(F.col("n_entities") > 0).count() > 0
