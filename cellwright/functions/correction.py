@@ -43,6 +43,7 @@ class Result:
     scalar: Any = None             # FILL with one value for every cell
     column: Column | None = None   # FILL with a value per row
     is_scalar: bool = True
+    dtype: Any = None              # type of ``column``
     # CONDITIONAL needs to know whether its condition splits the affected rows
     needs_split: tuple | None = None
 
@@ -108,7 +109,7 @@ def apply_scalar(fn: str, v, params) -> Any:
 
 def apply_column(fn: str, c: Column, params) -> Column:
     """Native per-row version of a function (null in, null out)."""
-    d = c.cast("double")
+    d = c.try_cast("double")
     if fn == "round":
         return F.bround(d, int((params or {}).get("decimals", 0)))
     if fn == "floor":
@@ -140,6 +141,17 @@ def apply_column(fn: str, c: Column, params) -> Column:
     raise IRError(f"TRANSFORM fn {fn!r} is not in the whitelist")
 
 
+TEXT_FUNCTIONS = ("upper", "lower", "title", "trim")
+
+
+def type_class(x) -> str:
+    """Values of different classes are never equal: of a Spark type, or of a literal's value."""
+    if isinstance(x, T.DataType):
+        return ("number" if is_numeric(x) or isinstance(x, T.BooleanType) else "text" if is_string(x)
+                else "date" if isinstance(x, (T.DateType, T.TimestampType, T.TimestampNTZType)) else x.simpleString())
+    return "null" if x is None else "number" if isinstance(x, (bool, int, float)) else "text"
+
+
 # ------------------------------------------------------------------ compiler
 class Compiler:
     """Compile one IR tree for a target column.
@@ -178,7 +190,7 @@ class Compiler:
             src = node.get("sourceColumn")
             if src not in self.schema:
                 raise IRError(f"FILL_FROM_COLUMN: source column {src!r} does not exist")
-            return Result(FILL, column=self.value_of(src), is_scalar=False)
+            return Result(FILL, column=self.value_of(src), is_scalar=False, dtype=self.schema[src])
         if op == "DELETE_ROWS":
             return Result(DELETE)
         if op == "KEEP":
@@ -211,7 +223,12 @@ class Compiler:
             if inner.scalar is None:
                 return Result(FILL, scalar=None)
             return Result(FILL, scalar=apply_scalar(fn, inner.scalar, params))
-        return Result(FILL, column=apply_column(fn, inner.column, params), is_scalar=False)
+        if fn not in TEXT_FUNCTIONS and inner.dtype is not None and type_class(inner.dtype) != "number":
+            bad = inner.column.isNotNull() & inner.column.cast("string").try_cast("double").isNull()
+            if self.split(F.lit(True), bad)[2]:
+                raise IRError(f"TRANSFORM.{fn} requires numbers")
+        return Result(FILL, column=apply_column(fn, inner.column, params), is_scalar=False,
+                      dtype=T.StringType() if fn in TEXT_FUNCTIONS else T.DoubleType())
 
     # ---------------------------------------------------------- conditions
     def operand(self, op: dict):
@@ -222,7 +239,7 @@ class Compiler:
             name = op.get("column")
             if name not in self.schema:
                 raise IRError(f"Operand column {name!r} does not exist")
-            return ("column", self.value_of(name))
+            return ("column", self.value_of(name), type_class(self.schema[name]))
         if kind == "aggregate":
             name = op.get("column", self.target)
             agg = op.get("agg")
@@ -256,10 +273,16 @@ class Compiler:
             return (rd <= ld) & (ld <= ud), bad
         right = self.operand(cond.get("right"))
         rc = self._col(right)
-        if op == "eq":
-            return lc.eqNullSafe(rc), None
-        if op == "neq":
-            return ~lc.eqNullSafe(rc), None
+        if op in ("eq", "neq"):
+            kinds = [o[2] if o[0] == "column" else type_class(o[1]) for o in (left, right)]
+            if kinds[0] == kinds[1] == "number":  # 1, 1.0 and true are one value
+                if any(o[0] == "scalar" and isinstance(o[1], bool) for o in (left, right)):
+                    lc, rc = lc.cast("int"), rc.cast("int")
+            if "null" in kinds or kinds[0] == kinds[1]:
+                same = lc.eqNullSafe(rc)
+            else:
+                same = lc.isNull() & rc.isNull()
+            return (same if op == "eq" else ~same), None
         if op in ("contains", "starts_with", "ends_with"):
             ls, rs = lc.cast("string"), rc.cast("string")
             fn = {"contains": ls.contains, "starts_with": ls.startswith, "ends_with": ls.endswith}[op]
@@ -282,6 +305,11 @@ class Compiler:
         if any_false:
             branches.append(else_r)
         kinds = {b.kind for b in branches}
+        # a text in a column of another type is a misfit, as for a plain fill
+        if not is_string(self.dtype):
+            for b in branches:
+                if b.kind == FILL and type_class(b.scalar if b.is_scalar else b.dtype or self.dtype) == "text":
+                    raise IRError("CONDITIONAL: a text does not fit the column")
         if not branches:
             return Result(KEEP)
         if kinds == {DELETE}:
@@ -290,6 +318,10 @@ class Compiler:
             return Result(KEEP)
 
         def val(r: Result) -> Column:
+            out = raw(r)
+            return out.cast("string") if is_string(self.dtype) else out
+
+        def raw(r: Result) -> Column:
             if r.kind != FILL:
                 # the reference writes null for a KEEP/DELETE branch in a mixed result
                 return self.value_of(self.target) if (self.keep_means_keep and r.kind == KEEP) else F.lit(None)

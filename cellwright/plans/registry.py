@@ -333,6 +333,11 @@ def d19_orders(spark, sf_dir):
     return detector_view(detect_anomalies(_t(spark, sf_dir, "orders"), "orders", order_by="o_orderkey"))
 
 
+# ---------------------------------------------------------------- correction language (I, F, C, O)
+from .corrections import QUERIES as CORRECTION_QUERIES  # noqa: E402
+
+QUERIES.update(CORRECTION_QUERIES)
+
 # ---------------------------------------------------------------- cell finders (R) and apply (P)
 from ..operators.apply import apply_decisions, decisions_by_rule  # noqa: E402
 from ..operators.cells import find_cells  # noqa: E402

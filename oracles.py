@@ -622,6 +622,43 @@ def _evidence():
 
 oracle("m12_column_evidence", _evidence())
 
+# ---------------------------------------------------------------- I, F, C, O (correction language)
+def _corrections():
+    from cellwright.plans.corrections import BASE_SQL, REFUSED, SPECS
+    b = f"WITH b AS ({BASE_SQL} FROM orders)\n"
+    one = lambda agg: f"(SELECT {agg}(v) FROM b)"
+    yes = lambda cond: f"CASE WHEN {cond} THEN 'yes' ELSE 'no' END"
+    mean = one("avg")
+    value = {
+        "i01_fill_literal": "42", "i02_fill_mean": mean, "i03_fill_median": one("median"), "i04_fill_min": one("min"),
+        "i05_fill_max": one("max"), "i06_fill_sum": one("sum"),
+        "i07_fill_mode": "(SELECT st FROM b WHERE st IS NOT NULL GROUP BY st ORDER BY count(*) DESC, st LIMIT 1)",
+        "i08_fill_from_column": "w", "i09_delete_rows": "v", "i10_keep": "v", "i11_transform": "round_even(w * 2, 1)",
+        "i12_conditional": f"CASE WHEN v > {mean} THEN 1.0 ELSE w END",
+        "f01_round": "round_even(w, 1)", "f02_floor": "floor(w)", "f03_ceil": "ceil(w)", "f04_abs": "abs(w)",
+        "f05_upper": "upper(s)", "f06_lower": "lower(s)",
+        "f07_title": "array_to_string(list_transform(regexp_extract_all(s, '[a-z]+|[^a-z]+'), "
+                     "lambda p: upper(p[1]) || lower(p[2:])), '')",
+        "f08_trim": "trim(s)", "f09_multiply": "w * 4", "f10_add": "w + 4", "f11_subtract": "w - 4", "f12_divide": "w / 4",
+        "c01_eq": yes("st = 'F'"), "c02_neq": yes("st <> 'F'"), "c03_gt": yes("n > 700"), "c04_gte": yes("n >= 700"),
+        "c05_lt": yes("n < 700"), "c06_lte": yes("n <= 700"), "c07_is_null": yes("v IS NULL"),
+        "c08_is_not_null": yes("v IS NOT NULL"), "c09_contains": yes("contains(s, '-')"),
+        "c10_starts_with": yes("starts_with(s, '  1')"), "c11_ends_with": yes("ends_with(s, 'h ')"),
+        "c12_between": yes("v BETWEEN 50000 AND 150000"), "c13_eq_text_number": "'no'", "o01_literal": yes("n >= 500"),
+        "o02_column": yes("v < w"), "o03_aggregate": yes(f"v > {one('median')}"),
+    }
+    kind = {"i09_delete_rows": "DELETE", "i10_keep": "KEEP"}
+    for name, target, _, mask in SPECS:
+        v = f"CASE WHEN {mask} THEN {value[name]} ELSE {target} END"
+        v = f"round({v}, 4)" if target in "vw" else v
+        oracle(name, f"{b}SELECT k, '{kind.get(name, 'FILL')}' AS kind, {v} AS value FROM b")
+    oracle("c14_refused_trees", b + "\nUNION ALL\n".join(
+        f"SELECT '{reason}' AS reason, true AS refused, count(*) AS n, round(sum({target}), 2) AS total FROM b"
+        for reason, target, _ in REFUSED))
+
+
+_corrections()
+
 # ---------------------------------------------------------------- N (instruction rules)
 from cellwright.plans.registry import INSTRUCTION_SQL  # noqa: E402
 
