@@ -60,10 +60,67 @@ def a1_csv_roundtrip(spark, sf_dir):
 def a2_json_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "json")
     IO.write_table(_t(spark, sf_dir, "customer"), path, "json")
-    back = IO.read_json(spark, path, multiline=False)
+    back = IO.read_table(spark, path, "json")
     return back.select(*[F.col(c).cast(t).alias(c) for c, t in CUSTOMER_TYPES.items()])
 
 
+@query("a1_csv_late_types")
+def a1_csv_late_types(spark, sf_dir):
+    """A number column whose only texts are in the last rows keeps them all."""
+    o = _t(spark, sf_dir, "orders")
+    last = o.agg(F.max("o_orderkey")).first()[0] or 0
+    late = (o.orderBy("o_orderkey").select("o_orderkey", F.when(
+        F.col("o_orderkey") > last - 40, F.concat(F.lit("late "), F.col("o_orderkey")))
+        .otherwise(F.col("o_custkey").cast("string")).alias("code")))
+    path = scratch_path(spark, "csv-late")
+    IO.write_table(late, path, "csv")
+    return IO.read_csv(spark, path).select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"),
+                                           F.col("code").cast("string").alias("code"))
+
+
+@query("a1_csv_multiline")
+def a1_csv_multiline(spark, sf_dir):
+    """Cells with line breaks, quotes and separators come back as they were."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('a "q", b\n'), F.substring("text", 1, 60)).alias("cell"))
+    path = scratch_path(spark, "csv-lines")
+    IO.write_table(d, path, "csv")
+    return IO.read_table(spark, path, "csv", schema="doc_id BIGINT, cell STRING")
+
+
+@query("a2_json_array")
+def a2_json_array(spark, sf_dir):
+    """One array of objects per file, read with the defaults."""
+    path = scratch_path(spark, "json-array")
+    c = _t(spark, sf_dir, "customer")
+    (c.groupBy((F.col("c_custkey") % 16).alias("part"))
+     .agg(F.to_json(F.collect_list(F.struct(*[F.col(x) for x in CUSTOMER_TYPES]))).alias("value"))
+     .write.partitionBy("part").text(path))
+    back = IO.read_table(spark, path, "json")
+    return back.select(*[F.col(x).cast(t).alias(x) for x, t in CUSTOMER_TYPES.items()])
+
+
+@query("a5_detect_format")
+def a5_detect_format(spark, sf_dir):
+    """The customer table staged in three formats, each read by what its name tells."""
+    base, out = scratch_path(spark, "formats"), None
+    for name, fmt in (("t.csv", "csv"), ("t.JSON", "json"), ("t.pq", "parquet")):
+        IO.write_table(_t(spark, sf_dir, "customer"), f"{base}/{name}", fmt)
+        got = IO.read_table(spark, f"{base}/{name}").agg(
+            F.lit(name).alias("name"), F.lit(IO.detect_format(name)).alias("format"), F.count("*").alias("n"),
+            F.sum(F.col("c_custkey").cast("bigint")).alias("keys"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("a8_sample_size")
+def a8_sample_size(spark, sf_dir):
+    """A sample holds as many rows as asked for, all of the table, none twice, and is repeatable."""
+    o = _t(spark, sf_dir, "orders")
+    one, two = (IO.sample_rows(o, n=100, seed=7, key=["o_orderkey"]).select("o_orderkey") for _ in range(2))
+    return (one.join(two, "o_orderkey").join(o.select("o_orderkey"), "o_orderkey")
+            .agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("distinct_keys")))
+
+
 @query("a3_read_parquet")
 def a3_read_parquet(spark, sf_dir):
     return IO.read_table(spark, f"{sf_dir.rstrip('/')}/orders.parquet")

@@ -16,7 +16,6 @@ from ..functions.types import reference_dtype_name
 from ..functions.text import count_if
 
 ORDER_COL = "__row_order"
-TAKE_ORDERED_MAX_ROWS = 5_000_000  # largest final merge of a TakeOrdered plan
 
 # FIXED VALUES: file suffix -> format, for reading and for writing.
 READ_FORMATS = {"csv": "csv", "txt": "csv", "tsv": "csv", "json": "json", "parquet": "parquet", "pq": "parquet"}
@@ -51,55 +50,65 @@ def with_order_key(df: DataFrame, name: str = ORDER_COL) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def _open_quotes(spark: SparkSession, path: str, quote: str, encoding: str) -> bool:
+    """Does any line leave a quote open?  Then some cell holds a line break."""
+    lines = spark.read.option("encoding", encoding).text(path)
+    odd = (F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))) % 2 == 1
+    return not lines.where(odd).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, *, separator: str = ",", quote: str = '"',
              has_header: bool = True, encoding: str = "utf-8", schema: T.StructType | str | None = None,
-             infer_schema: bool = True, infer_rows: int | None = 10_000, sampling_ratio: float | None = None,
+             infer_schema: bool = True, multiline: bool | None = None, mode: str = "FAILFAST",
              order_key: bool = False) -> DataFrame:
     """Read CSV (A1).  Dates are tried during inference.
 
-    Types are inferred from the first ``infer_rows`` lines (10,000, as the reference),
-    then the whole input is read with that fixed schema, so inference never scans
-    the full data.  ``infer_rows=None`` infers over everything (``sampling_ratio``
-    thins it); a given ``schema`` skips inference.  Headerless files get the column
-    names ``column_1..column_n``.
-    """
-    def reader():
-        return (spark.read.option("sep", separator).option("quote", quote)
-                .option("header", has_header).option("encoding", encoding)
-                .option("preferDate", True).option("mode", "PERMISSIVE"))
+    Types are inferred from the whole input, so a text that first appears in the last
+    row makes its column a text column.  A given ``schema`` skips inference; a cell that
+    does not fit it, or a row with too few or too many cells, fails the job instead of
+    becoming null (``mode``).  A quote inside a quoted cell is doubled.
 
-    r = reader()
+    Cells with line breaks need Spark's multi-line reading, which keeps a file in one
+    task.  ``multiline=None`` finds out with one scan of the lines and uses it only where
+    a line leaves a quote open.  Headerless files get the column names
+    ``column_1..column_n``.
+    """
+    if multiline is None:
+        multiline = bool(quote) and _open_quotes(spark, path, quote, encoding)
+    r = (spark.read.option("sep", separator).option("quote", quote).option("escape", quote)
+         .option("header", has_header).option("encoding", encoding).option("multiLine", multiline)
+         .option("preferDate", True).option("mode", mode))
     if schema is not None:
         r = r.schema(schema)
-    elif infer_schema and infer_rows:
-        # a bounded prefix of lines (at most infer_rows + 1) is all that inference reads;
-        # header lines of further part files are dropped from it
-        lines = [row.value for row in spark.read.option("encoding", encoding).text(path)
-                 .limit(infer_rows + (1 if has_header else 0)).collect()]
-        if has_header and lines:
-            lines = lines[:1] + [x for x in lines[1:] if x != lines[0]]
-        # the bounded sample is written as one small text file in the shared folder and
-        # inferred there by the JVM reader (no Python RDD in the way)
-        from ..session import scratch_path
-        sample_path = scratch_path(spark, "csv-sample")
-        spark.createDataFrame([(x,) for x in (lines or [""])], "value string").coalesce(1) \
-            .write.option("encoding", "utf-8").text(sample_path)
-        sample_schema = reader().option("encoding", "utf-8").option("inferSchema", True).csv(sample_path).schema
-        r = r.schema(sample_schema)
     elif infer_schema:
         r = r.option("inferSchema", True)
-        if sampling_ratio:
-            r = r.option("samplingRatio", sampling_ratio)
     df = r.csv(path)
     if not has_header and schema is None:
         df = df.toDF(*[f"column_{i + 1}" for i in range(len(df.columns))])
     return with_order_key(df) if order_key else df
 
 
-def read_json(spark: SparkSession, path: str, *, multiline: bool = True,
-              schema: T.StructType | str | None = None, order_key: bool = False) -> DataFrame:
-    """Read JSON (A2): an array of objects by default, JSON lines with ``multiline=False``."""
-    reader = spark.read.option("multiLine", multiline)
+def _json_lines(spark: SparkSession, path: str) -> bool:
+    """Is every line that is not blank an object of its own?"""
+    v = F.trim("value")
+    lines = spark.read.text(path).where(v != "")
+    return lines.where(~(v.startswith("{") & v.endswith("}"))).isEmpty()
+
+
+def read_json(spark: SparkSession, path: str, *, multiline: bool | None = None,
+              schema: T.StructType | str | None = None, mode: str = "FAILFAST", order_key: bool = False) -> DataFrame:
+    """Read JSON (A2): JSON lines, or one document (an array of objects) per file.
+
+    ``multiline=None`` tells them apart with one scan of the lines.  Reading lines as
+    documents would keep one record of each file, so asking for that is an error.
+    """
+    lines = _json_lines(spark, path)
+    if multiline is None:
+        multiline = not lines
+    elif multiline and lines and spark.read.text(path).where(F.trim("value") != "").groupBy(
+            F.input_file_name()).count().where("count > 1").limit(1).count():
+        raise FormatError(f"{path!r} holds JSON lines, not one document per file")
+    reader = spark.read.option("multiLine", multiline).option("mode", mode)
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.json(path)
@@ -131,7 +140,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", *, mode: str = "
     fmt = WRITE_FORMATS.get((fmt or "parquet").lower(), "parquet")
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", header).csv(path)
+        (writer.option("header", header).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     elif fmt == "json":
         writer.json(path)
     else:
@@ -176,18 +186,13 @@ def sample_rows(df: DataFrame, n: int = 100, seed: int | None = None, key: list[
     """Exactly ``n`` rows (all rows when the table has at most ``n``), repeatable.
 
     Rows are ranked by a seeded hash of ``key`` (all columns by default) and the
-    ``n`` smallest kept.  When partitions x n is small this is one TakeOrdered
-    pass; on larger inputs the n-th smallest hash comes from the exact order
-    statistics and one filtered scan keeps the rows at or below it, so no task
-    merges every partition's top ``n`` rows.
+    ``n`` smallest kept.  The n-th smallest hash comes from the exact order statistics
+    and one filtered scan keeps the rows at or below it, so no task merges every
+    partition's top ``n`` rows.
     """
     from ..functions import quantiles as Q
     key_cols = [F.col(f"`{c}`") for c in (key or df.columns)]
-    h = F.xxhash64(F.lit(seed if seed is not None else 0), *key_cols)
-    hashed = df.withColumn("__h", h)
-    if df.rdd.getNumPartitions() * n <= TAKE_ORDERED_MAX_ROWS:
-        # the final merge holds at most partitions x n rows: one TakeOrdered pass
-        return hashed.orderBy("__h", *key_cols).limit(n).drop("__h")
+    hashed = df.withColumn("__h", F.xxhash64(F.lit(seed if seed is not None else 0), *key_cols))
     total = df.count()
     if total <= n:
         return df

@@ -27,6 +27,14 @@ ORACLES["b29_transform_chain"] = ORACLES["flagship"]
 CUST = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 oracle("a1_csv_roundtrip", CUST)
 oracle("a2_json_roundtrip", CUST)
+oracle("a1_csv_late_types", """SELECT o_orderkey, CASE WHEN o_orderkey > (SELECT max(o_orderkey) FROM orders) - 40
+  THEN 'late ' || o_orderkey ELSE CAST(o_custkey AS VARCHAR) END AS code FROM orders""")
+oracle("a1_csv_multiline", "SELECT doc_id, 'a \"q\", b' || chr(10) || substring(text, 1, 60) AS cell FROM documents")
+oracle("a2_json_array", CUST)
+oracle("a5_detect_format", "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS name, '{f}' AS format, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer"
+    for n, f in (("t.csv", "csv"), ("t.JSON", "json"), ("t.pq", "parquet"))))
+oracle("a8_sample_size", "SELECT least(count(*), 100) AS n, least(count(DISTINCT o_orderkey), 100) AS distinct_keys FROM orders")
 oracle("a3_read_parquet", "SELECT * FROM orders")
 TYPE_CASE = """CASE WHEN data_type = 'BIGINT' THEN '{b}' WHEN data_type = 'INTEGER' THEN '{i}'
   WHEN data_type = 'DOUBLE' THEN '{d}' WHEN data_type = 'VARCHAR' THEN '{s}'
@@ -324,10 +332,10 @@ def _text(kind):
 
 
 def _swaps():
-    """Wrong-field rules: name holds e-mail (all rows), then rules on the first 500 non-null values."""
+    """Wrong-field rules: name holds e-mail (all rows), then rules on all non-null values."""
     parts = []
     for c in STRINGS:
-        samp = f"(SELECT {c} AS v, row_key FROM dirty WHERE {c} IS NOT NULL ORDER BY row_key LIMIT 500)"
+        samp = f"(SELECT {c} AS v, row_key FROM dirty WHERE {c} IS NOT NULL)"
         st = _trim("v")
         rules = {
             "date": "v <> '' AND regexp_matches(v, '^[0-9]{1,2}[/\\-][0-9]{1,2}[/\\-][0-9]{2,4}$|^[0-9]{4}[/\\-][0-9]{1,2}[/\\-][0-9]{1,2}$')",

@@ -156,11 +156,10 @@ def test_date_repair(spark):
     assert out[1]["fecha_alta"] == dt.date(2010, 1, 1)
 
 
-def test_wrong_field_sample_and_exact_scan(spark):
+def test_wrong_field_rules_see_every_row(spark):
     vals = [f"ok {i}" for i in range(600)] + ["300-123-4567"] * 400
     df = spark.createDataFrame(list(enumerate(vals)), "k long, nota string")
-    assert detect_records(df, "ds", order_by="k", types=["CROSS_FIELD_SWAP"]) == []  # first 500 are clean
-    full = detect_records(df, "ds", order_by="k", types=["CROSS_FIELD_SWAP"], sample_rows=None)
+    full = detect_records(df, "ds", order_by="k", types=["CROSS_FIELD_SWAP"])
     assert full[0]["affected"] == 400
 
 
@@ -181,14 +180,10 @@ def test_decision_with_no_cells_changes_nothing(spark):
     assert sorted(r["codigo"] for r in out.collect()) == [5, 6]
 
 
-def test_wrong_field_threshold_path_matches_take_ordered(spark, monkeypatch):
-    import cellwright.operators.detect as D
-    vals = [f"ok {i}" for i in range(300)] + ["300-123-4567"] * 300 + ["x"] * 100
-    df = spark.createDataFrame(list(enumerate(vals)), "k long, nota string").repartition(4)
-    base = detect_records(df, "ds", order_by="k", types=["CROSS_FIELD_SWAP"])
-    monkeypatch.setattr(D, "TAKE_ORDERED_MAX_ROWS", 0)  # force the threshold path
-    assert detect_records(df, "ds", order_by="k", types=["CROSS_FIELD_SWAP"]) == base
-    assert base[0]["affected"] == 200
+def test_descriptions_tell_count_and_example(spark):
+    df = spark.createDataFrame([(i, "300-123-4567" if i % 2 else f"ok {i}") for i in range(60)], "k long, nota string")
+    r = detect_records(df, "ds", order_by="k", types=["CROSS_FIELD_SWAP"])[0]
+    assert r["affected"] == 30 and "30 cells" in r["description"] and "300-123-4567" in r["description"]
 
 
 def test_odd_column_names(spark):

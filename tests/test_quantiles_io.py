@@ -58,7 +58,7 @@ def test_csv_json_parquet_roundtrip(spark):
     for fmt in ("csv", "json", "parquet"):
         path = os.path.join(base, fmt)
         assert IO.write_table(df, path, fmt) == fmt
-        back = IO.read_table(spark, path, fmt) if fmt != "json" else IO.read_json(spark, path, multiline=False)
+        back = IO.read_table(spark, path, fmt)
         got = sorted((r["name"], r["age"], r["city"]) for r in back.collect())
         assert got == [("Alice", 25, "NYC"), ("Bob", None, None), ("Charlie", 35, "SF")]
     assert IO.write_table(df, os.path.join(base, "other"), "xlsx") == "parquet"
@@ -111,8 +111,35 @@ def test_json_array_of_objects(spark):
     assert sorted((r["name"], r["age"]) for r in df.collect()) == [("Alice", 25), ("Bob", None)]
 
 
-def test_sample_threshold_path_matches_take_ordered(spark, monkeypatch):
+def test_sample_is_repeatable_whatever_the_partitions(spark):
     orders = spark.read.parquet(f"{SF001}/orders.parquet")
     small = sorted(IO.sample_rows(orders, 25, seed=11, key=["o_orderkey"]).collect())
-    monkeypatch.setattr(IO, "TAKE_ORDERED_MAX_ROWS", 0)
-    assert sorted(IO.sample_rows(orders, 25, seed=11, key=["o_orderkey"]).collect()) == small
+    assert len(small) == 25
+    assert sorted(IO.sample_rows(orders.repartition(9), 25, seed=11, key=["o_orderkey"]).collect()) == small
+
+
+def test_csv_types_follow_the_whole_input(spark):
+    path = tempfile.mkdtemp(prefix="cw-csv-") + "/t.csv"
+    with open(path, "w") as fh:
+        fh.write("k,v\n" + "".join(f"{i},{i if i < 11_900 else 'late'}\n" for i in range(12_000)))
+    df = IO.read_csv(spark, path)
+    assert df.where("v = 'late'").count() == 100 and df.where("v IS NULL").count() == 0
+    with pytest.raises(Exception):  # a given type that does not fit fails the job, it never becomes null
+        IO.read_csv(spark, path, schema="k INT, v INT").agg({"v": "sum"}).collect()
+
+
+def test_csv_cells_with_line_breaks_quotes_and_blanks(spark):
+    rows = [(1, 'a\nb'), (2, 'say "x", y'), (3, "  padded  "), (4, 'end"\n'), (5, None)]
+    df = spark.createDataFrame(rows, "k int, v string")
+    path = tempfile.mkdtemp(prefix="cw-csv-") + "/t.csv"
+    IO.write_table(df.coalesce(1), path, "csv")
+    assert sorted(tuple(r) for r in IO.read_table(spark, path).collect()) == rows
+
+
+def test_json_lines_in_several_files_lose_no_row(spark):
+    df = spark.range(100).withColumnRenamed("id", "k").repartition(2)
+    path = tempfile.mkdtemp(prefix="cw-json-") + "/t.json"
+    IO.write_table(df, path, "json")
+    assert IO.read_table(spark, path).count() == 100
+    with pytest.raises(IO.FormatError):
+        IO.read_json(spark, path, multiline=True)
