@@ -549,8 +549,7 @@ from ..streaming import streams as ST  # noqa: E402
 
 
 def _event_stream(spark, sf_dir):
-    path, schema = ST.stage_events(spark, sf_dir)
-    return ST.read_stream(spark, path, schema, files_per_trigger=2)
+    return ST.read_stream(spark, *ST.event_files(spark, sf_dir))
 
 
 @query("s01_latest_status")
@@ -584,7 +583,7 @@ def s04(spark, sf_dir):
 @query("s05_stream_dedup")
 def s05(spark, sf_dir):
     return ST.run_available_now(ST.stream_dedup(_event_stream(spark, sf_dir), ["user_id", "event_type"]), "append") \
-        .select("event_id", "user_id", "event_type", "ts")
+        .select("user_id", "event_type")
 
 
 @query("s05_stream_dedup_hourly")

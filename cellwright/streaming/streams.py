@@ -42,41 +42,67 @@ EVENT_STATUS = {"active": "PROCESSING", "completed": "READY", "failed": "ERROR"}
 TERMINAL_EVENTS = ("completed", "failed")
 
 
+def event_files(spark: SparkSession, sf_dir: str) -> tuple[str, T.StructType]:
+    """Path and schema of ``events`` as a file stream source.  The last letter stands as a
+    pattern, which names the table whether it is one file or a folder of files."""
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    return f"{path[:-1]}[{path[-1]}]", spark.read.parquet(path).schema
+
+
 def stage_events(spark: SparkSession, sf_dir: str, n_files: int = 8) -> tuple[str, T.StructType]:
-    """Write ``events`` as several Parquet files ordered by ``ts`` (a file stream source)."""
+    """Write ``events`` again as time slices, one append after the other: the file source
+    takes files by modification time, so several micro-batches arrive in event-time order.
+    For trying out a query over many micro-batches; the registered queries read the table."""
     path = scratch_path(spark, "events-stream")
     ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    cuts = ev.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")),
-                                      [i / n_files for i in range(1, n_files)], 10_000)).collect()[0][0] or []
-    bounds = [None] + sorted(set(cuts)) + [None]
-    # one append per time range, in time order: the file source lists files by
-    # modification time, so micro-batches then arrive in event-time order
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
+    lo, hi = ev.agg(F.min(us), F.max(us)).first()
+    edges = [lo + (hi - lo) * i // n_files for i in range(1, n_files)] if lo is not None else []
+    for a, b in zip([None, *edges], [*edges, None]):
         cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (us > F.lit(lo))
-        if hi is not None:
-            cond = cond & (us <= F.lit(hi))
-        ev.where(cond).coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(path)
+        cond = cond if a is None else cond & (us > F.lit(a))
+        cond = cond if b is None else cond & (us <= F.lit(b))
+        ev.where(cond).write.mode("append").parquet(path)
     return path, ev.schema
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
 
 
-def run_available_now(df: DataFrame, mode: str, name: str | None = None) -> DataFrame:
-    """Run a streaming query over all available input, then return the sink as a DataFrame."""
+def run_available_now(df: DataFrame, mode: str) -> DataFrame:
+    """Run a streaming query over all available input; returns what it wrote to the shared folder.
+
+    Executors write the result as Parquet.  ``append`` results go to Spark's file sink;
+    ``complete`` and ``update`` results are written per micro-batch, of which ``complete``
+    returns the last and ``update`` all, with their ``batch`` number.
+    """
     spark = df.sparkSession
-    name = name or f"cw_stream_{abs(hash(scratch_path(spark, 'q'))) % 10**9}"
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", scratch_path(spark, "ckpt-" + name))
-         .trigger(availableNow=True).start())
+    out = scratch_path(spark, "stream")
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, "stream-state"))
+    if mode == "append":
+        writer = writer.format("parquet").option("path", out)
+    else:
+        done: list[int] = []
+
+        def write(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+            done.append(number)
+        writer = writer.foreachBatch(write)
+    q = writer.trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
-    return spark.table(name)
+    if mode == "append":
+        return spark.read.schema(df.schema).parquet(out)
+    if not done:
+        return spark.createDataFrame([], df.schema)
+    if mode == "complete":
+        return spark.read.schema(df.schema).parquet(f"{out}/batch={done[-1]}")
+    return spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
 
 
 # ------------------------------------------------------------------ job events
@@ -105,29 +131,45 @@ FEED_SCHEMA = T.StructType([T.StructField("job_id", T.LongType()), T.StructField
 FEED_STATE = T.StructType([T.StructField("last", T.StringType()), T.StructField("done", T.BooleanType())])
 
 
+def changes(rows: pd.DataFrame, last: str | None) -> tuple[pd.DataFrame, str | None, bool]:
+    """Status changes of a job's next events: the rows to emit, the last status, and whether
+    the job has ended."""
+    rows = rows.sort_values(["ts", "event_id"])
+    ended = rows["event"].isin(TERMINAL_EVENTS)
+    rows = rows[ended.cumsum().shift(fill_value=0) == 0]  # nothing after the first end
+    before = rows["event"].shift(fill_value=last if last is not None else "")
+    return rows[rows["event"] != before], rows["event"].iloc[-1], bool(ended.any())
+
+
 def _feed(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, done = (state.get if state.exists else (None, False))
-    out = []
-    batch = pd.concat(list(pdfs), ignore_index=True)
-    for row in batch.sort_values(["ts", "event_id"]).itertuples(index=False):
-        if done:
-            break
-        if row.event != last:
-            out.append((row.job_id, row.ts, row.event_id, row.event))
-            last = row.event
-        if row.event in TERMINAL_EVENTS:
-            done = True
+    if state.hasTimedOut:
+        state.remove()
+        return
+    last, done = state.get if state.exists else (None, False)
+    if not done:
+        found, last, done = changes(pd.concat(list(pdfs), ignore_index=True), last)
+        if len(found):
+            yield found[["job_id", "ts", "event_id", "event"]]
     state.update((last, done))
-    if out:  # nothing to emit for this key in this batch: yield no frame at all
-        yield pd.DataFrame(out, columns=["job_id", "ts", "event_id", "event"])
+    state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + KEEP_MS)
+
+
+#: How long a job without events is remembered, in event time.
+KEEP_MS = 30 * 24 * 3600 * 1000
+
 
+def job_feed(job_ev: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Per job, the status changes in time order, nothing after completed / failed.
 
-def job_feed(job_ev: DataFrame) -> DataFrame:
-    """Per job, the status changes in time order, nothing after completed / failed."""
+    A job's events of one micro-batch are held together, as they must be put in order; the
+    source's ``files_per_trigger`` bounds a micro-batch.  They are folded with array
+    operations.  A job that is silent for KEEP_MS behind the watermark is forgotten.
+    """
     from ..session import ship_package
     ship_package(job_ev.sparkSession)  # the state function runs in executors' Python
-    return job_ev.groupBy("job_id").applyInPandasWithState(
-        _feed, FEED_SCHEMA, FEED_STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = job_ev.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    return timed.groupBy("job_id").applyInPandasWithState(
+        _feed, FEED_SCHEMA, FEED_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ------------------------------------------------------------------ S3

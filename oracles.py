@@ -979,6 +979,7 @@ SELECT a_id, a_key, a_ts, d_id, d_ts, false AS timed_out FROM m
 UNION ALL
 SELECT a.id, a.k, a.ts, NULL, NULL, true FROM a
 WHERE a.id NOT IN (SELECT a_id FROM m) AND a.ts + INTERVAL 1800 SECOND < (SELECT w FROM wm)""")
+oracle("s05_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 oracle("s05_stream_dedup_hourly", """
 SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS bucket FROM events""")
 NO_KW = {"EMAIL_COLS": [], "PHONE_COLS": [], "NAME_COLS": [], "ADDR_COLS": []}
