@@ -339,7 +339,17 @@ def b28(spark, sf_dir):
 
 @query("b29_transform_chain")
 def b29(spark, sf_dir):
-    return flagship(spark, sf_dir)
+    """A chain that stops at its failing step and keeps what came before."""
+    d = dirty(spark, sf_dir).select("row_key", "telefono", "saldo", "email")
+    out, results = TR.run_chain(d, [
+        {"type": "TRIM_WHITESPACE", "columns": ["telefono"]},
+        {"type": "FILL_NULLS", "columns": ["saldo"], "params": {"value": 0}},
+        {"type": "FILTER_ROWS", "params": {"column": "saldo", "operator": "gte", "value": 100}},
+        {"type": "CONVERT_TYPE", "columns": ["saldo"], "params": {"target_type": "no such type"}},
+        {"type": "UPPERCASE", "columns": ["email"]},
+    ])
+    steps = ",".join(f"{r.type}:{'ok' if r.success else 'failed'}" for r in results)
+    return out.select("*", F.lit(steps).alias("steps"))
 
 
 # ---------------------------------------------------------------- detectors (D)

@@ -23,7 +23,6 @@ oracle("flagship", """
 SELECT lower(regexp_replace(c_mktsegment, '^\\s+|\\s+$', '', 'g')) AS c_mktsegment,
        count(*) AS n_customers, round(sum(c_acctbal), 2) AS total_acctbal
 FROM customer WHERE c_acctbal >= 0 GROUP BY 1""")
-ORACLES["b29_transform_chain"] = ORACLES["flagship"]
 CUST = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 oracle("a1_csv_roundtrip", CUST)
 oracle("a2_json_roundtrip", CUST)
@@ -630,6 +629,10 @@ def _evidence():
 
 oracle("m12_column_evidence", _evidence())
 
+oracle("b29_transform_chain", DIRTY + f"""SELECT row_key, {_trim('telefono')} AS telefono, coalesce(saldo, 0) AS saldo, email,
+  'TRIM_WHITESPACE:ok,FILL_NULLS:ok,FILTER_ROWS:ok,CONVERT_TYPE:failed' AS steps
+FROM dirty WHERE coalesce(saldo, 0) >= 100""")
+
 # ---------------------------------------------------------------- I, F, C, O (correction language)
 def _corrections():
     from cellwright.plans.corrections import BASE_SQL, REFUSED, SPECS
