@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from decimal import Decimal, InvalidOperation
 from typing import Any, Callable
 
 from pyspark.sql import Column
@@ -57,9 +58,11 @@ def cast_to_dtype(value, dtype):
             return int(float(value))
         if isinstance(dtype, (T.FloatType, T.DoubleType)):
             return float(value)
+        if isinstance(dtype, T.DecimalType):
+            return Decimal(str(value))
         if is_string(dtype):
             return str(value)
-    except (ValueError, TypeError):
+    except (ValueError, TypeError, InvalidOperation):
         pass
     return value
 

@@ -12,6 +12,8 @@ rows by construction.
 from __future__ import annotations
 
 import json
+from datetime import datetime
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -71,6 +73,8 @@ def _fits(v, dtype) -> bool:
         return True
     if is_integral(dtype):
         return isinstance(v, int) and not isinstance(v, bool)
+    if isinstance(dtype, T.DecimalType):
+        return isinstance(v, Decimal) and v.is_finite() and abs(v) < Decimal(10) ** (dtype.precision - dtype.scale)
     if is_numeric(dtype):
         return isinstance(v, (int, float)) and not isinstance(v, bool)
     if is_string(dtype):
@@ -138,6 +142,12 @@ class Applier:
 
     def write_scalar(self, col: str, mask: Column, value: Any, allow_text: bool) -> bool:
         dt = self.dtype[col]
+        if is_date(dt) and isinstance(value, str):
+            # a date column takes dates only: any other text leaves it as it is
+            try:
+                value = datetime.fromisoformat(value.strip())
+            except ValueError:
+                return False
         if not _fits(value, dt):
             if not allow_text:
                 return False

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.correction import IRError
-from ..operators.apply import apply_correction
+from ..operators.apply import apply_correction, apply_decisions
 from .fixtures import table
 
 #: The input: a number with gaps (v), another (w), an integer (n), padded text with gaps (s), a code (st).
@@ -136,3 +136,24 @@ def c14_refused_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["c14_refused_trees"] = c14_refused_trees
+
+
+#: Input of ``p03_apply_types``: a date, a second date and a decimal, all with gaps.
+TYPED_SQL = """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS d,
+  CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) END AS e,
+  CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_totalprice AS DECIMAL(12, 2)) END AS m"""
+
+
+def p03_apply_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions keep the types of date and decimal columns: a text that is no date is skipped."""
+    src = table(spark, sf_dir, "orders").selectExpr(*[x.strip() for x in _items(TYPED_SQL.removeprefix("SELECT "))])
+    records = [{"anomaly_id": c, "column": c, "anomaly_type": "MISSING_VALUE", "affected": 1, "original_value": None,
+                "suggested_value": "null", "related_column": None} for c in ("d", "e", "m")]
+    decisions = [{"anomaly_id": "d", "action": "APPROVED"}, {"anomaly_id": "e", "action": "CORRECTED", "correction": "2020-01-31"},
+                 {"anomaly_id": "m", "action": "CORRECTED", "correction": "2.5"}]
+    out = apply_decisions(src, records, decisions, "k")
+    return out.select("k", "d", "e", F.col("m").cast("string").alias("m"),
+                      F.lit(",".join(out.schema[c].dataType.simpleString() for c in "dem")).alias("types"))
+
+
+QUERIES["p03_apply_types"] = p03_apply_types

@@ -669,6 +669,11 @@ def _corrections():
 
 
 _corrections()
+from cellwright.plans.corrections import TYPED_SQL  # noqa: E402
+
+oracle("p03_apply_types", f"""WITH b AS ({TYPED_SQL} FROM orders)
+SELECT k, d, coalesce(e, DATE '2020-01-31') AS e, CAST(coalesce(m, 2.50) AS VARCHAR) AS m,
+       'date,date,decimal(12,2)' AS types FROM b""")
 
 # ---------------------------------------------------------------- N (instruction rules)
 from cellwright.plans.registry import INSTRUCTION_SQL  # noqa: E402
