@@ -3,25 +3,28 @@
 A byte goes if it lies in a string of ``length`` bytes that also starts at another place of the
 corpus.  Ranking all byte positions would move many times the corpus, so the doubling runs on
 the positions that can decide: every window of ``length`` bytes has an anchor, the leftmost
-position with the least 8-byte hash among the window's first ``length // 2`` (its minimiser).
-Equal windows have their anchors at equal offsets, neighbouring windows share them, and there
-is about one anchor per ``length // 4`` bytes.
+position with the least 8-byte hash among the first three quarters of the window (its
+minimiser).  Equal windows have their anchors at equal offsets, neighbouring windows share
+them, and there is about one anchor for ``length * 3 / 8`` bytes.
 
 1. The name of an anchor is the hash of its first ``length // 8`` bytes.  One aggregation finds
    the names that occur twice, a Bloom filter of bounded size holds them, and only anchors
    that pass it are kept: a unique prefix ends the search there.
-2. Rounds at growing offsets: the pairs (rank so far, name of the next block) that occur twice
-   are sorted and ranked anew, all other anchors drop out, and the ranked prefix doubles, up to
-   the ``length // 2`` bytes that lie in every window of an anchor.
-3. Past that: the pairs (rank, hash of everything that the anchor's windows cover).  Where such
-   a pair occurs twice, all windows of the anchor repeat.
-4. What is left are anchors at the edge of a repeat: equal prefix, but other surroundings.  Of
-   every distinct surrounding of such a rank one anchor lists its windows, hashed with 128
-   bits, and equal windows repeat.
+2. The pairs (name, name of the next block) that occur twice are sorted and ranked anew, all
+   other anchors drop out, and the ranked prefix doubles to the ``length // 4`` bytes that lie
+   in every window of an anchor.
+3. Past that: the pairs (rank, hash of all that the anchor's windows cover).  Where such a pair
+   occurs twice, all windows of the anchor repeat.
+4. What is left are anchors at the edge of a repeat: equal prefix, other surroundings.  Of every
+   distinct surrounding of such a rank one anchor goes on, cut into BLOCK windows by their
+   offset from the anchor.  What all windows of a block share is its core: a block with a
+   unique core repeats nowhere, one that repeats as a whole is done, and only the others (about
+   one at either end of a repeat) list their single windows, of which equal ones repeat.
 
 A text is bytes of UTF-8; a string never crosses documents; overlapping repeats and repeats
 within a document count.  A hot string is a hot key only of aggregations with map-side
-combination and of ordinary joins, which adaptive execution splits.
+combination and of ordinary joins, which adaptive execution splits.  Strings are compared by
+64-bit hashes within groups that already agree on another 64-bit hash or on a rank.
 
 Defined results: null texts are empty; texts shorter than ``length`` keep all bytes; repeated
 rows repeat each other, so they lose what is long enough; empty tables give no rows.
@@ -43,36 +46,31 @@ from .shingles import mix, powers
 
 LENGTH = 400
 SEGMENT = 1 << 20
+BLOCK = 16
 _U = np.uint64
-_BASE2 = 0xD6E8FEB86659FD93
 
 
 class Segment:
     """Up to SEGMENT window starts of one text, from byte ``at``."""
 
-    def __init__(self, data: np.ndarray, at: int, length: int, wide: bool):
+    def __init__(self, data: np.ndarray, at: int, length: int):
         self.at, self.length = at, length
         data = data[at:at + SEGMENT + length - 1]
         self.n = len(data) - length + 1  # windows
         grams = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
         self.gram = mix(grams.astype(_U))
-        self.sums = [self._sums(powers(len(self.gram)))]
-        if wide:
-            self.sums.append(self._sums(powers2(len(self.gram))))
+        up, self.down = powers(len(self.gram))
+        self.total = np.zeros(len(self.gram) + 1, dtype=_U)
+        np.cumsum(self.gram * up, out=self.total[1:])
 
-    def _sums(self, p):
-        total = np.zeros(len(self.gram) + 1, dtype=_U)
-        np.cumsum(self.gram * p[0], out=total[1:])
-        return total, p[1]
-
-    def hash(self, start: np.ndarray, size, which: int = 0) -> np.ndarray:
-        """Hash of the bytes [start, start + size) of the segment."""
-        total, down = self.sums[which]
-        return mix((total[start + size - 7] - total[start]) * down[start] + mix(np.asarray(size).astype(_U)))
+    def hash(self, start: np.ndarray, size) -> np.ndarray:
+        """Hash of the bytes [start, start + size) of the segment, at least 8 of them."""
+        return mix((self.total[start + size - 7] - self.total[start]) * self.down[start]
+                   + mix(np.asarray(size).astype(_U)))
 
     def anchors(self):
         """(anchor, first window, last window), positions in the segment."""
-        w = self.length // 2
+        w = 3 * self.length // 4
         m = self.n + w - 1
         key = (self.gram[:m] & ~_U(0xFFFFFF)) | np.arange(m, dtype=_U)
         rows = -(-m // w)
@@ -87,25 +85,10 @@ class Segment:
         return at[first], first, np.append(first[1:], self.n) - 1
 
 
-_p2: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers2(n: int):
-    """Powers of the second base and of its inverse, at most one segment long."""
-    size = 1 << max(16, int(n - 1).bit_length())
-    if size not in _p2:
-        def up(base):
-            p = np.full(size, base, dtype=_U)
-            p[0] = 1
-            return np.multiply.accumulate(p)
-        _p2[size] = up(_BASE2), up(pow(_BASE2, -1, 1 << 64))
-    return _p2[size][0][:n], _p2[size][1][:n]
-
-
-def segments(text: str, length: int, wide: bool = False):
+def segments(text: str, length: int):
     data = np.frombuffer(text.encode(), dtype=np.uint8)
     for at in range(0, max(0, len(data) - length + 1), SEGMENT):
-        yield Segment(data, at, length, wide)
+        yield Segment(data, at, length)
 
 
 def _long(a: np.ndarray) -> pa.Array:
@@ -119,8 +102,30 @@ def rerank(rows: DataFrame, pair: list[str], rank: str) -> DataFrame:
     return rows.join(names, pair).drop(*pair)
 
 
-def identity(key: np.ndarray, at) -> np.ndarray:
-    return mix(key.astype(np.int64).view(_U) ^ mix(np.asarray(at).astype(_U)))
+def identity(key, *at) -> np.ndarray:
+    """One 64-bit name of a place: a document key and positions."""
+    out = np.asarray(key, dtype=np.int64).view(_U)
+    for x in at:
+        out = mix(out ^ mix(np.asarray(x).astype(_U)))
+    return out
+
+
+def resolve(rows: DataFrame, group: list[str], whole: list[str], place: list[str], length: int):
+    """Stretches of windows (first, last) that repeat as a whole, as byte ranges; and the places
+    that must be looked at more closely: of every group with several wholes, one of each."""
+    wholes = materialise(rows.groupBy(*group, *whole).agg(F.count("*").alias("m"), F.min(F.struct("key", *place)).alias("one")),
+                         "substring-wholes")
+    found = rows.join(wholes.where("m > 1").select(*group, *whole), [*group, *whole]).select(
+        "doc_id", "key", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+    mixed = wholes.groupBy(*group).agg(F.count("*").alias("k")).where("k > 1").select(*group)
+
+    @F.pandas_udf("bigint")
+    def name(key: pd.Series, *at: pd.Series) -> pd.Series:
+        return pd.Series(identity(key.to_numpy(), *[x.to_numpy() for x in at]).view(np.int64))
+
+    closer = materialise(wholes.join(mixed, group).select(
+        F.col("one.key").alias("key"), name("one.key", *[f"one.{p}" for p in place]).alias("who")), "substring-edges")
+    return found, Bloom(closer, "key"), Bloom(closer, "who")
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -132,83 +137,100 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, text: str = "text", d
     prepare(spark)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_key(doc_id, text).alias("key"),
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).where(F.octet_length("t") >= length)
-    first = length // 8
-    steps = [(first, 2 * first), (2 * first, 4 * first)]  # [from, to) of the blocks after the first
+    half, full = length // 8, length // 4
+    id_field = StructField("doc_id", rows.schema["doc_id"].dataType)
+
+    def schema(columns: str) -> StructType:
+        return StructType([id_field, *StructType.fromDDL("key BIGINT, " + columns).fields])
+
+    def scan(make, columns: str, keys: Bloom | None = None) -> DataFrame:
+        """Rows (doc_id, key, ...) that ``make(segment, key)`` lists as arrays for every segment of
+        the documents whose key passes."""
+        out = schema(columns)
+
+        def run(batches):
+            for b in batches:
+                key = b.column(1).to_numpy(zero_copy_only=False)
+                wanted = range(len(key)) if keys is None else np.flatnonzero(keys.passes(key.view(_U)))
+                for i in wanted:
+                    for g in segments(b.column(2)[int(i)].as_py(), length):
+                        found = make(g, key[i])
+                        if found is not None:
+                            row = pa.array(np.full(len(found[0]), i))
+                            yield pa.RecordBatch.from_arrays(
+                                [b.column(0).take(row), b.column(1).take(row), *map(_long, found)], out.names)
+
+        return rows.mapInArrow(_joined(run), out)
 
     def names(batches):
         for b in batches:
             for t in b.column(0):
                 for g in segments(t.as_py(), length):
-                    yield pa.RecordBatch.from_arrays([_long(g.hash(g.anchors()[0], first))], ["name"])
+                    yield pa.RecordBatch.from_arrays([_long(g.hash(g.anchors()[0], half))], ["name"])
 
     twice = (rows.select("t").mapInArrow(_joined(names), "name BIGINT").groupBy("name").agg(F.count("*").alias("m"))
              .where("m > 1").select("name"))
     twice = Bloom(materialise(twice, "substring-names"), "name")
-    id_field = StructField("doc_id", rows.schema["doc_id"].dataType)
-    blocks_ = [f"b{i}" for i in range(len(steps) + 1)]
 
-    def kept(batches):
-        for b in batches:
-            for i, t in enumerate(b.column(2)):
-                for g in segments(t.as_py(), length, wide=True):
-                    at, s, e = g.anchors()
-                    name = g.hash(at, first)
-                    ok = twice.passes(name)
-                    if not ok.any():
-                        continue
-                    at, s, e, name = at[ok], s[ok], e[ok], name[ok]
-                    size = e - s + length
-                    row = pa.array(np.full(len(at), i))
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(row), b.column(1).take(row), *[pa.array((x + g.at).astype(np.int64)) for x in (at, s, e)],
-                         _long(name), *[_long(g.hash(at + x, y - x)) for x, y in steps],
-                         _long(g.hash(s, size)), _long(g.hash(s, size, 1))],
-                        ["doc_id", "key", "at", "s", "e", *blocks_, "e1", "e2"])
-
-    anchors = materialise(rows.mapInArrow(_joined(kept), StructType([id_field, *StructType.fromDDL(
-        "key BIGINT, at BIGINT, s BIGINT, e BIGINT, " + ", ".join(f"{x} BIGINT" for x in blocks_)
-        + ", e1 BIGINT, e2 BIGINT").fields])), "substring-anchors")
-    ranked = rerank(anchors, ["b0", "b1"], "r1")
-    for i in range(2, len(blocks_)):
-        ranked = rerank(ranked, [f"r{i - 1}", f"b{i}"], f"r{i}")
-    rank = f"r{len(blocks_) - 1}"
-    ranked = materialise(ranked.withColumn("off", F.col("at") - F.col("s")).withColumn("size", F.col("e") - F.col("s")),
+    def kept(g, key):
+        at, first, last = g.anchors()
+        name = g.hash(at, half)
+        ok = twice.passes(name)
+        if not ok.any():
+            return None
+        at, first, last = at[ok], first[ok], last[ok]
+        return (first + g.at, last + g.at, at - first, name[ok], g.hash(at + half, full - half),
+                g.hash(first, last - first + length))
+
+    anchors = materialise(scan(kept, "first BIGINT, last BIGINT, off BIGINT, b0 BIGINT, b1 BIGINT, w BIGINT"),
+                          "substring-anchors")
+    ranked = materialise(rerank(anchors, ["b0", "b1"], "rank").withColumn("size", F.col("last") - F.col("first")),
                          "substring-ranked")
-    around = [rank, "e1", "e2", "off", "size"]
-    wholes = materialise(ranked.groupBy(*around).agg(F.count("*").alias("m"), F.min(F.struct("key", "at", "s")).alias("one")),
-                         "substring-wholes")
-    repeats = ranked.join(wholes.where("m > 1").select(*around), around).select(
-        "doc_id", "key", F.col("s").alias("start"), (F.col("e") + length).alias("end"))
-
-    mixed = wholes.groupBy(rank).agg(F.count("*").alias("k")).where("k > 1").select(rank)
-
-    @F.pandas_udf("bigint")
-    def ident(key: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series(identity(key.to_numpy(), at.to_numpy()).view(np.int64))
-
-    listed = materialise(wholes.join(mixed, rank).select(ident("one.key", "one.s").alias("who")), "substring-edges")
-    listed = Bloom(listed, "who")
-
-    def windows(batches):
-        for b in batches:
-            keys = b.column(1).to_numpy(zero_copy_only=False)
-            for i, t in enumerate(b.column(2)):
-                for g in segments(t.as_py(), length, wide=True):
-                    _, s, e = g.anchors()
-                    ok = listed.passes(identity(np.full(len(s), keys[i]), s + g.at))
-                    for x, y in zip(s[ok], e[ok]):
-                        at = np.arange(x, y + 1)
-                        row = pa.array(np.full(len(at), i))
-                        yield pa.RecordBatch.from_arrays(
-                            [b.column(0).take(row), b.column(1).take(row), pa.array(at + g.at),
-                             _long(g.hash(at, length)), _long(g.hash(at, length, 1))],
-                            ["doc_id", "key", "start", "w1", "w2"])
-
-    hashed = materialise(rows.mapInArrow(_joined(windows), StructType([id_field, *StructType.fromDDL(
-        "key BIGINT, start BIGINT, w1 BIGINT, w2 BIGINT").fields])), "substring-windows")
-    again = hashed.groupBy("w1", "w2").agg(F.count("*").alias("m")).where("m > 1").select("w1", "w2")
-    edges = hashed.join(again, ["w1", "w2"]).select("doc_id", "key", "start", (F.col("start") + length).alias("end"))
-    return repeats.unionByName(edges)
+    found, docs_a, places_a = resolve(ranked, ["rank"], ["w", "off", "size"], ["first"], length)
+
+    def cut(g, key):
+        """(anchor, place, block, least and greatest offset) of the blocks of the listed anchors."""
+        at, first, last = g.anchors()
+        ok = places_a.passes(identity(np.full(len(at), key), first + g.at))
+        at, first, last = at[ok], first[ok], last[ok]
+        lo, hi = (at - last) // BLOCK, (at - first) // BLOCK
+        many = hi - lo + 1
+        which = np.repeat(np.arange(len(at)), many)
+        j = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + lo[which]
+        least = np.maximum(j * BLOCK, (at - last)[which])
+        most = np.minimum(j * BLOCK + BLOCK - 1, (at - first)[which])
+        return at[which], first[which] + g.at, j, least, most
+
+    def core(g, at, j):
+        """What all windows of a block share, by block."""
+        return mix(g.hash(at - j * BLOCK, length - BLOCK + 1) ^ mix(j.astype(_U)))
+
+    def blocks(g, key):
+        at, place, j, least, most = cut(g, key)
+        if not len(at):
+            return None
+        return (at - most + g.at, at - least + g.at, place, j, least, most, core(g, at, j),
+                g.hash(at - most, most - least + length))
+
+    blocked = materialise(scan(blocks, "first BIGINT, last BIGINT, place BIGINT, j BIGINT, least BIGINT, most BIGINT, "
+                                       "core BIGINT, w BIGINT", docs_a), "substring-blocks")
+    found_b, docs_b, places_b = resolve(blocked, ["core"], ["w", "least", "most"], ["place", "j"], length)
+
+    def windows(g, key):
+        at, place, j, least, most = cut(g, key)
+        ok = places_b.passes(identity(np.full(len(at), key), place, j))
+        if not ok.any():
+            return None
+        at, j, least, most = at[ok], j[ok], least[ok], most[ok]
+        many = most - least + 1
+        which = np.repeat(np.arange(len(at)), many)
+        start = (at - most)[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        return start + g.at, core(g, at, j)[which], g.hash(start, length)
+
+    hashed = materialise(scan(windows, "start BIGINT, core BIGINT, w BIGINT", docs_b), "substring-windows")
+    again = hashed.groupBy("core", "w").agg(F.count("*").alias("m")).where("m > 1").select("core", "w")
+    single = hashed.join(again, ["core", "w"]).select("doc_id", "key", "start", (F.col("start") + length).alias("end"))
+    return found.unionByName(found_b).unionByName(single)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -179,9 +179,9 @@ def test_substring_dedup_in_segments_and_repeated_rows(spark, monkeypatch):
     got = []
     for b in pa.Table.from_pydict({"t": texts}).to_batches():
         for i, t in enumerate(b.column(0).to_pylist()):
-            for g in substrings.segments(t, 64, wide=True):
+            for g in substrings.segments(t, 64):
                 at, s, e = g.anchors()
-                assert (at >= s).all() and (at <= s + 31 + (e - s)).all() and s[0] == 0 and e[-1] == g.n - 1
+                assert (at >= s).all() and (at <= s + 47 + (e - s)).all() and s[0] == 0 and e[-1] == g.n - 1
                 got.append((i, g.at))
     assert len(got) > 10
     monkeypatch.undo()
