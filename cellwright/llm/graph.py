@@ -36,8 +36,8 @@ class Bloom:
         bits = (keys.select(column).mapInArrow(run, "word BIGINT, bit BIGINT")
                 .groupBy("word").agg(F.expr("bit_or(shiftleft(1L, CAST(bit AS INT)))").alias("bits")))
         words = np.zeros(n_bits >> 6, dtype=np.int64)
-        for r in bits.toLocalIterator():
-            words[r["word"]] = r["bits"]
+        found = bits.toArrow()  # at most MAX_BITS / 64 rows
+        words[found["word"].to_numpy()] = found["bits"].to_numpy()
         self.shared = keys.sparkSession.sparkContext.broadcast(words.tobytes())
 
     def __getstate__(self):
