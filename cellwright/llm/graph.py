@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import materialise
 from .shingles import mix
@@ -46,6 +48,13 @@ class Bloom:
     def __setstate__(self, state):
         self.n_bits, self.shared = state
 
+    def column(self, key: Column | str) -> Column:
+        """Does a 64-bit column pass?  Only that column goes to the Python workers."""
+        @F.pandas_udf(BooleanType())
+        def may(keys: pd.Series) -> pd.Series:
+            return pd.Series(self.passes(keys.to_numpy(dtype=np.int64).view(np.uint64)))
+        return may(key)
+
     def passes(self, hashes: np.ndarray) -> np.ndarray:
         words = np.frombuffer(self.shared.value, dtype=np.uint64)
         out = np.ones(len(hashes), dtype=bool)

@@ -37,7 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from .common import materialise, pick, prepare, table, text_key
 from .graph import Bloom
@@ -243,11 +243,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_key(doc_id, text).alias("key"),
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("t"))
 
-    @F.pandas_udf(BooleanType())
-    def may(key: pd.Series) -> pd.Series:
-        return pd.Series(hit.passes(key.to_numpy(dtype=np.int64).view(_U)))
-
-    marked = rows.withColumn("may", may("key"))
+    marked = rows.withColumn("may", hit.column("key"))
     span_t = "ARRAY<STRUCT<start: BIGINT, end: BIGINT>>"
     clean = marked.where("NOT may").select("doc_id", F.octet_length("t").cast("long").alias("n_bytes"),
                                            F.expr(f"CAST(array() AS {span_t})").alias("spans"), F.col("t").alias("kept"))

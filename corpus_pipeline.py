@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cellwright.llm.bpe import decode_documents, encode_documents
 from cellwright.llm.common import materialise, pick, table, text_key
 from cellwright.llm.decontam import contaminated_documents
+from cellwright.llm.graph import Bloom
 from cellwright.llm.jaccard import near_duplicates
 from cellwright.llm.pii import replace_pii
 from cellwright.llm.quality import quality_rules
@@ -29,23 +30,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the one
     with the smallest doc_id, of equal ones a single row.  Documents without words stay."""
-    docs = pick(docs, *COLUMNS)
-    groups = near_duplicates(docs.select("doc_id", "text"), k=5, percent=80)
-    first = (groups.where("n_shingles = 0 OR (doc_id <=> component_id AND key = component_key)")
-             .select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct())
-    kept = (docs.withColumn("__k", text_key("text"))
-            .join(first, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__k") == F.col("k")), "left_semi"))
-    return kept.dropDuplicates(["doc_id", "__k"]).select(*COLUMNS)
+    docs = pick(docs, *COLUMNS).withColumn("__k", text_key("text"))
+    groups = materialise(near_duplicates(docs.select("doc_id", "text"), k=5, percent=80), "pipeline-groups")
+    stays = F.expr("n_shingles = 0 OR (doc_id <=> component_id AND key = component_key)")
+    first = groups.where(stays).select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct()
+    # Only what may go, or may stand there twice, meets the list of first documents in a join.
+    twice = groups.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    hit = Bloom(groups.where(~stays).select("key").unionByName(twice), "key")
+    sure = docs.where(~hit.column("__k"))
+    checked = (docs.where(hit.column("__k"))
+               .join(first, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__k") == F.col("k")), "left_semi")
+               .dropDuplicates(["doc_id", "__k"]))
+    return sure.unionByName(checked).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which no benchmark item is covered by tiles to four fifths."""
-    docs = pick(docs, *COLUMNS)
-    bad = contaminated_documents(docs.select("doc_id", "text"), pick(table(spark, sf_dir, "benchmark"), "item_id", "text"))
-    bad = bad.select(F.col("doc_id").alias("d"), F.col("key").alias("k"))
-    return (docs.withColumn("__k", text_key("text"))
-            .join(bad, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__k") == F.col("k")), "left_anti")
-            .select(*COLUMNS))
+    docs = pick(docs, *COLUMNS).withColumn("__k", text_key("text"))
+    bad = materialise(contaminated_documents(docs.select("doc_id", "text"), pick(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+                      .select(F.col("doc_id").alias("d"), F.col("key").alias("k")), "pipeline-contaminated")
+    hit = Bloom(bad, "k")
+    checked = docs.where(hit.column("__k")).join(
+        bad, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__k") == F.col("k")), "left_anti")
+    return docs.where(~hit.column("__k")).unionByName(checked).select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
