@@ -48,10 +48,12 @@ def prepare(spark: SparkSession) -> None:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back: the lineage ends
-    there, and the rows outlive the executors that made them."""
+    there, and the rows outlive the executors that made them.  Shuffle files of finished steps
+    go when the driver collects its garbage, so it is asked to."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
