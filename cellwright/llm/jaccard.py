@@ -9,10 +9,12 @@ tokens under every order, so
 
 1. tokens that stand in the prefixes of two different nodes under the first order are found by
    one aggregation, and become a Bloom filter of bounded size;
-2. only (token, node) rows that pass it are dealt by token; each node is paired with the least
-   node of its best group (a hub), not with the whole group;
+2. only (token, node) rows that pass it are dealt by token and class of size (linked sets are
+   of the same or neighbouring classes); each node is paired with the least node of its best
+   group (a hub), not with the whole group;
 3. a pair must also share a prefix token under each of the other orders (``arrays_overlap`` of
-   32-bit token prints), and then have sizes and sets that reach the threshold (verification);
+   16-bit token prints); then come sizes, counts in 64 buckets, which bound the difference of
+   the sets from below, and the sets themselves (verification);
 4. components of the verified links; then all pairs of a group whose nodes are still in
    different components are taken through step 3: the nodes outside the group's largest
    component against the group.  Groups in one component need no more pairs, as they cannot
@@ -27,6 +29,7 @@ doc_id counts as greater than any other.  ``component_id`` is the smallest doc_i
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +38,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-from .common import materialise, pick, ship_package, table, text_key
+from .common import materialise, pick, prepare, table, text_key
 from .graph import Bloom, components
 from .shingles import mix, shingle_sets
 
 BUCKET_BITS = 18
+PART = 4096
 ORDERS = 3
+#: A number from the first bytes of a signature, as a column.
+SHORT = "CAST(conv(hex(substring(sig, 1, 7)), 16, 10) AS BIGINT)"
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -61,13 +67,24 @@ def prefix(s: np.ndarray, percent: int, order: int, classes: np.ndarray) -> np.n
     return rank if p >= n else np.partition(rank, p - 1)[:p]
 
 
+def spread(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's tokens in 64 buckets."""
+    return np.minimum(np.bincount((s & np.uint64(63)).astype(np.int64), minlength=64), 32767).astype(np.int16)
+
+
+def index_length(n: int, percent: int) -> int:
+    """Of two linked sets, the smaller one has a shared prefix token among so many first ones."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def first_pass(rows: DataFrame, k: int) -> DataFrame:
-    """Per document (bucket null): doc_id, key, sig, n; per task and bucket: bucket, n."""
+    """Per document (part null): doc_id, key, sig, n.  Per task: the counts of its hash buckets,
+    in parts of PART buckets."""
     def run(batches):
         counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         for b in batches:
@@ -79,27 +96,29 @@ def first_pass(rows: DataFrame, k: int) -> DataFrame:
                 counts[at] += c
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(sig, pa.binary()), pa.array(size, pa.int64()),
-                 pa.nulls(len(sig), pa.int32())], ["doc_id", "key", "sig", "n", "bucket"])
-        at = np.flatnonzero(counts)
-        for i in range(0, len(at), 10_000):
-            part = at[i:i + 10_000]
-            m = len(part)
+                 pa.nulls(len(sig), pa.int32()), pa.nulls(len(sig), pa.list_(pa.int64()))], names)
+        if counts.any():
+            m = len(counts) // PART
+            parts = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * PART), pa.array(counts))
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, b_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(counts[part]),
-                 pa.array(part.astype(np.int32))], ["doc_id", "key", "sig", "n", "bucket"])
+                [pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()),
+                 pa.array(np.arange(m, dtype=np.int32)), parts], names)
 
-    b_type = to_arrow_type(rows.schema["doc_id"].dataType)
+    names = ["doc_id", "key", "sig", "n", "part", "counts"]
+    id_type = to_arrow_type(rows.schema["doc_id"].dataType)
     return rows.mapInArrow(run, StructType([
         *[StructField(f.name, f.dataType) for f in rows.schema.fields[:2]],
-        *StructType.fromDDL("sig BINARY, n BIGINT, bucket INT").fields]))
+        *StructType.fromDDL("sig BINARY, n BIGINT, part INT, counts ARRAY<BIGINT>").fields]))
 
 
 def frequency_classes(first: DataFrame) -> np.ndarray:
     """Class (0 to 15) of every hash bucket: doublings of its count over the mean.  At most
     2**BUCKET_BITS rows reach the driver, whatever the corpus."""
     counts = np.zeros(1 << BUCKET_BITS, dtype=np.float64)
-    found = first.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts[found["bucket"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
+    found = (first.where("part IS NOT NULL").select("part", F.posexplode("counts").alias("i", "n")).where("n > 0")
+             .groupBy("part", "i").agg(F.sum("n").alias("n")).toPandas())
+    at = found["part"].to_numpy(dtype=np.int64) * PART + found["i"].to_numpy(dtype=np.int64)
+    counts[at] = found["n"].to_numpy(dtype=np.float64)
     mean = max(1.0, counts.mean())
     return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 15).astype(np.uint64)
 
@@ -109,12 +128,12 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, text: str = "text", d
     """Rows (doc_id, key, n_shingles, component_id, component_key), one per document; ``key`` is
     ``text_key(text)``, and (component_id, component_key) the least document of the component."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_key(text).alias("key"),
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     first = materialise(first_pass(rows, k), "jaccard-docs")
     classes = spark.sparkContext.broadcast(frequency_classes(first))
-    listed = first.where("bucket IS NULL")
+    listed = first.where("part IS NULL").drop("part", "counts")
 
     def tokens(batches):
         for b in batches:
@@ -133,30 +152,44 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, text: str = "text", d
         for b in batches:
             for _, s in shingle_sets(b.column(0), k):
                 if len(s):
-                    p = prefix(s, percent, 0, classes.value)
-                    p = p[shared.passes(p)]
-                    if len(p):
+                    p = np.sort(prefix(s, percent, 0, classes.value))
+                    early = np.arange(len(p)) < index_length(len(s), percent)
+                    ok = shared.passes(p)
+                    if ok.any():
+                        p, early = p[ok], early[ok]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(p.view(np.int64)), pa.array([digest(s)] * len(p), pa.binary()),
-                             pa.array(np.full(len(p), len(s), np.int32))], ["token", "sig", "n"])
-
-    posted = materialise(rows.select("t").mapInArrow(_joined(postings), "token BIGINT, sig BINARY, n INT").distinct(),
-                         "jaccard-postings")
-    groups = posted.groupBy("token").agg(F.min("sig").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    posted = posted.join(groups.select("token", "hub"), "token")
+                             pa.array(np.full(len(p), len(s), np.int64)), pa.array(early)], ["token", "sig", "n", "early"])
+
+    posted = materialise(rows.select("t").mapInArrow(
+        _joined(postings), "token BIGINT, sig BINARY, n BIGINT, early BOOLEAN").distinct(), "jaccard-postings")
+    # Sizes of linked sets differ by a factor of at most 100 / percent, so the sets' classes of
+    # that width differ by at most one: groups are (token, two neighbouring classes).
+    width = math.log(100 / percent) * 1.0001 if percent < 100 else 1.0
+    classed = posted.withColumn("c", F.explode(F.expr(
+        f"array(CAST(floor(ln(n) / {width!r}) AS INT), CAST(floor(ln(n) / {width!r}) AS INT) + 1)")))
+    hub = classed.groupBy("token", "c").agg(F.min("sig").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
+    posted = materialise(classed.join(hub, ["token", "c"]), "jaccard-groups")
 
     hubs = posted.where("sig <> hub").groupBy("sig", "hub").agg(F.count("*").alias("m"))
     first_pairs = materialise(
         hubs.groupBy("sig").agg(F.max(F.struct("m", "hub")).alias("best"))
         .select(F.col("best.hub").alias("a"), F.col("sig").alias("b")), "jaccard-hub-pairs")
 
-    wanted = Bloom(posted.select(F.expr("CAST(conv(hex(substring(sig, 1, 7)), 16, 10) AS BIGINT)").alias("h"))
-                   .distinct(), "h")
+    # Texts are fetched for the nodes of such groups only, from one document of each class.  A
+    # filter that lets another copy through adds a repeated row, which changes nothing.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    classes_ = listed.where("sig IS NOT NULL").groupBy("sig").agg(least.alias("least"))
+    wanted = materialise(posted.select("sig").distinct().join(classes_, "sig").select(
+        F.expr(SHORT).alias("h"), F.xxhash64("least.doc_id", "least.key").alias("who")), "jaccard-wanted")
+    wanted, firsts = Bloom(wanted, "h"), Bloom(wanted, "who")
 
     def payload(batches):
         for b in batches:
             texts = b.column(0)
-            at, sigs, sizes, prints = [], [], [], [[] for _ in range(1, orders)]
+            first_of_class = firsts.passes(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+            texts = texts.filter(pa.array(first_of_class))
+            at, sigs, sizes, parts, prints = [], [], [], [], [[] for _ in range(1, orders)]
             for row, s in shingle_sets(texts, k):
                 if not len(s):
                     continue
@@ -166,28 +199,31 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, text: str = "text", d
                 at.append(row)
                 sigs.append(sig)
                 sizes.append(len(s))
+                parts.append(spread(s))
                 for o in range(1, orders):
                     p = prefix(s, percent, o, classes.value)
-                    prints[o - 1].append(mix(p).astype(np.uint32).view(np.int32))
+                    prints[o - 1].append(np.unique(mix(p).astype(np.uint16)).view(np.int16))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()),
-                 *[pa.array(p, pa.list_(pa.int32())) for p in prints], texts.take(pa.array(at, pa.int64()))],
-                ["sig", "n", *[f"f{o}" for o in range(1, orders)], "t"])
+                [pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int16())),
+                 *[pa.array(p, pa.list_(pa.int16())) for p in prints], texts.take(pa.array(at, pa.int64()))],
+                ["sig", "n", "s", *[f"f{o}" for o in range(1, orders)], "t"])
 
     f_cols = [f"f{o}" for o in range(1, orders)]
-    nodes = materialise(
-        rows.select("t").mapInArrow(payload, "sig BINARY, n INT, " + "".join(f"{f} ARRAY<INT>, " for f in f_cols) + "t STRING")
-        .groupBy("sig", "n").agg(*[F.first(c).alias(c) for c in (*f_cols, "t")]), "jaccard-nodes")
+    nodes = materialise(rows.select("t", F.xxhash64("doc_id", "key").alias("who")).mapInArrow(
+        payload, "sig BINARY, n BIGINT, s ARRAY<SMALLINT>, " + "".join(f"{f} ARRAY<SMALLINT>, " for f in f_cols) + "t STRING"), "jaccard-nodes")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Links among (a, b) pairs: sizes, the other orders, then the sets."""
-        def side(name: str, *columns: str) -> DataFrame:
-            return nodes.select(F.col("sig").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+        def side(name: str, *columns: str, of: DataFrame = nodes) -> DataFrame:
+            return of.select(F.col("sig").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-        close = (pairs.join(side("a", "n", *f_cols), "a").join(side("b", "n", *f_cols), "b")
+        close = (pairs.join(side("a", "n", "s", *f_cols), "a").join(side("b", "n", "s", *f_cols), "b")
                  .where((F.col("a_n") * 100 >= F.col("b_n") * percent) & (F.col("b_n") * 100 >= F.col("a_n") * percent)))
         for f in f_cols:
             close = close.where(F.arrays_overlap(f"a_{f}", f"b_{f}"))
+        # Sets differ in at least as many tokens as their counts by bucket do.
+        close = close.where(F.expr("aggregate(zip_with(a_s, b_s, (x, y) -> abs(x - y)), 0L, (n, d) -> n + d) "
+                                   f"* {100 + percent} <= (a_n + b_n) * {100 - percent}"))
 
         def check(batches):
             for b in batches:
@@ -195,33 +231,36 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, text: str = "text", d
                 ok = pa.array([linked(x, y, percent) for x, y in zip(left, right)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
-        full = (close.select("a", "b").join(side("a", "t"), "a").join(side("b", "t"), "b")
+        close = materialise(close.select("a", "b").distinct(), "jaccard-close")
+        both = close.select("a").unionByName(close.select(F.col("b").alias("a"))).withColumnRenamed("a", "sig")
+        texts = nodes.where(Bloom(both.select(F.expr(SHORT).alias("h")), "h").column(F.expr(SHORT)))
+        full = (close.join(side("a", "t", of=texts), "a").join(side("b", "t", of=texts), "b")
                 .select("a", "b", "a_t", "b_t"))
         return full.mapInArrow(check, "a BINARY, b BINARY")
 
     links = materialise(verify(first_pairs), "jaccard-links")
     parts = components(links)
     placed = materialise(
-        posted.select("token", "sig", "n").join(parts.select(F.col("node").alias("sig"), "root"), "sig", "left")
-        .select("token", "sig", "n", F.coalesce("root", "sig").alias("root")), "jaccard-placed")
-    mixed = (placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-             .where("lo <> hi").select("token"))
-    largest = (placed.groupBy("token", "root").agg(F.count("*").alias("m"))
-               .groupBy("token").agg(F.max(F.struct("m", "root")).alias("x")).select("token", F.col("x.root").alias("largest")))
-    open_ = placed.join(mixed, "token").join(largest, "token")
-    probe = open_.where("root <> largest").select("token", F.col("sig").alias("x"), F.col("n").alias("x_n"),
-                                                  F.col("root").alias("x_root"))
-    rest = (probe.join(open_, "token")
+        posted.select("token", "c", "sig", "n", "early").join(parts.select(F.col("node").alias("sig"), "root"), "sig", "left")
+        .select("token", "c", "sig", "n", "early", F.coalesce("root", "sig").alias("root")), "jaccard-placed")
+    # groups of more than one component, with their largest
+    largest = (placed.groupBy("token", "c", "root").agg(F.count("*").alias("m"))
+               .groupBy("token", "c").agg(F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("roots"))
+               .where("roots > 1").select("token", "c", F.col("x.root").alias("largest")))
+    open_ = materialise(placed.join(largest, ["token", "c"]), "jaccard-open")
+    probe = open_.where("root <> largest").select(
+        "token", "c", F.col("sig").alias("x"), F.col("n").alias("x_n"), F.col("early").alias("x_early"), F.col("root").alias("x_root"))
+    rest = (probe.join(open_, ["token", "c"])
             .where((F.col("root") != F.col("x_root")) & (F.col("n") * 100 >= F.col("x_n") * percent)
                    & (F.col("x_n") * 100 >= F.col("n") * percent))
+            # the token must be among the first ones of the smaller set
+            .where("(early AND n <= x_n) OR (x_early AND x_n <= n)")
             .select(F.least("x", "sig").alias("a"), F.greatest("x", "sig").alias("b")).distinct())
     tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialise(verify(materialise(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")), "jaccard-links")
     roots = components(links.unionByName(more))
 
     # Classes keep their least document; components take the least of their classes'.
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    classes_ = listed.where("sig IS NOT NULL").groupBy("sig").agg(least.alias("least"))
     rooted = (classes_.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
               .withColumn("root", F.coalesce("root", "sig")))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("top"))
