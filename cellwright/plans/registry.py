@@ -558,28 +558,30 @@ def n01(spark, sf_dir):
 from ..streaming import streams as ST  # noqa: E402
 
 
-def _event_stream(spark, sf_dir):
-    return ST.read_stream(spark, *ST.event_files(spark, sf_dir))
+def _stream(spark, sf_dir, job, mode):
+    """Result of a streaming job over the events, which arrive in time slices, one trigger each."""
+    path, schema, arrivals = ST.event_slices(spark, sf_dir)
+    return ST.run_available_now(job(ST.read_stream(spark, path, schema)), mode, arrivals)
 
 
 @query("s01_latest_status")
 def s01(spark, sf_dir):
-    return ST.run_available_now(ST.latest_status(ST.job_events(_event_stream(spark, sf_dir))), "complete")
+    return _stream(spark, sf_dir, lambda ev: ST.latest_status(ST.job_events(ev)), "complete")
 
 
 @query("s02_job_feed")
 def s02(spark, sf_dir):
-    out = ST.run_available_now(ST.job_feed(ST.job_events(_event_stream(spark, sf_dir))), "append")
+    out = _stream(spark, sf_dir, lambda ev: ST.job_feed(ST.job_events(ev)), "append")
     return out.select("job_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "event")
 
 
 @query("s03_review_gate")
 def s03(spark, sf_dir):
-    ev = _event_stream(spark, sf_dir)
-    raised = ev.where("event_type = 'error'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
-    decided = ev.where("event_type = 'purchase'").select(F.col("user_id").alias("key"), "ts",
-                                                         F.col("event_id").alias("id"))
-    out = ST.run_available_now(ST.review_gate(raised, decided), "append")
+    def gate(ev):
+        raised, decided = (ev.where(F.col("event_type") == t).select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
+                           for t in ("error", "purchase"))
+        return ST.review_gate(raised, decided)
+    out = _stream(spark, sf_dir, gate, "append")
     return out.select("a_id", "a_key", F.col("a_ts").cast("timestamp_ntz").alias("a_ts"), "d_id",
                       F.col("d_ts").cast("timestamp_ntz").alias("d_ts"), "timed_out")
 
@@ -587,19 +589,19 @@ def s03(spark, sf_dir):
 @query("s04_row_checks")
 def s04(spark, sf_dir):
     prof = ST.frozen_profile(table(spark, sf_dir, "events"))
-    return ST.run_available_now(ST.row_check_counts(ST.row_checks(_event_stream(spark, sf_dir), prof)), "complete")
+    return _stream(spark, sf_dir, lambda ev: ST.row_check_counts(ST.row_checks(ev, prof)), "complete")
 
 
 @query("s05_stream_dedup")
 def s05(spark, sf_dir):
-    return ST.run_available_now(ST.stream_dedup(_event_stream(spark, sf_dir), ["user_id", "event_type"]), "append") \
-        .select("user_id", "event_type")
+    """The keys that come out; one that returns after the delay comes out again, and is one key."""
+    return _stream(spark, sf_dir, lambda ev: ST.stream_dedup(ev, ["user_id", "event_type"]), "append") \
+        .select("user_id", "event_type").distinct()
 
 
 @query("s05_stream_dedup_hourly")
 def s05b(spark, sf_dir):
-    out = ST.run_available_now(ST.stream_dedup_by_bucket(_event_stream(spark, sf_dir), ["user_id", "event_type"]),
-                               "append")
+    out = _stream(spark, sf_dir, lambda ev: ST.stream_dedup_by_bucket(ev, ["user_id", "event_type"]), "append")
     return out.select("user_id", "event_type", F.col("bucket").cast("timestamp_ntz").alias("bucket"))
 
 

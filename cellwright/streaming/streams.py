@@ -4,8 +4,8 @@ The reference has job events and a poll loop, not a dataflow engine; these are t
 equivalent streaming jobs a Spark user runs:
 
 * S1 latest status per dataset – streaming aggregate, update mode;
-* S2 job event feed until terminal – keyed state (``applyInPandasWithState``), the
-  one place the library runs Python per group: each key keeps two small fields;
+* S2 job event feed until terminal – micro-batches folded with windows over pieces of
+  a job's time, and a state of two small fields per job that is written with each batch;
 * S3 review gate – stream-stream left outer join with watermarks; anomalies with
   no decision inside the window come out as timed out;
 * S4 row checks on a stream – stateless projection; the z-score rule reads a
@@ -15,54 +15,61 @@ equivalent streaming jobs a Spark user runs:
 ``run_available_now`` drives a query over everything present in the source and
 returns the sink table, which is how the tests and the registered queries use them.
 Checkpoints go to the shared checkpoint folder, so a restarted query resumes.
+``event_slices`` lets the table arrive in time slices, one trigger each.
 """
 
 from __future__ import annotations
 
-import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import constants as K
 from ..functions.text import count_if, ustrip
 from ..session import scratch_path
 
-# Spark's state serializer pads batches with empty frames; pandas warns about that
-# internal concat in every worker that runs the keyed-state function.
-warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenation with empty",
-                        category=FutureWarning)
-
 # FIXED VALUES: job event names and the dataset status each one means.
 EVENT_STATUS = {"active": "PROCESSING", "completed": "READY", "failed": "ERROR"}
 TERMINAL_EVENTS = ("completed", "failed")
 
 
-def event_files(spark: SparkSession, sf_dir: str) -> tuple[str, T.StructType]:
-    """Path and schema of ``events`` as a file stream source.  The last letter stands as a
-    pattern, which names the table whether it is one file or a folder of files."""
-    path = f"{sf_dir.rstrip('/')}/events.parquet"
-    return f"{path[:-1]}[{path[-1]}]", spark.read.parquet(path).schema
+def _time_slices(ev: DataFrame, n: int) -> list[DataFrame]:
+    """``ev`` in ``n`` slices of equal time spans, in order; rows without a time are in the first."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = ev.agg(F.min(us), F.max(us)).first()
+    edges = [lo + (hi - lo) * i // n for i in range(1, n)] if lo is not None else []
+    out = []
+    for a, b in zip([None, *edges], [*edges, None]):
+        cond = us.isNull() if a is None else us > F.lit(a)
+        if b is not None:
+            cond = us.isNull() | (us <= F.lit(b)) if a is None else cond & (us <= F.lit(b))
+        elif a is None:
+            cond = F.lit(True)
+        out.append(ev.where(cond))
+    return out
+
+
+def event_slices(spark: SparkSession, sf_dir: str, n: int = 4) -> tuple[str, T.StructType, list[Callable[[], None]]]:
+    """Folder and schema of ``events`` as a file stream source, and its arrivals: each call has
+    the executors append the next time slice, in as many files as they like.  A trigger after
+    each call takes exactly one slice, so the micro-batches are in event-time order."""
+    path = scratch_path(spark, "events-stream")
+    ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    ev.where(F.lit(False)).write.parquet(path)
+    return path, ev.schema, [lambda d=d: d.write.mode("append").parquet(path) for d in _time_slices(ev, n)]
 
 
 def stage_events(spark: SparkSession, sf_dir: str, n_files: int = 8) -> tuple[str, T.StructType]:
     """Write ``events`` again as time slices, one append after the other: the file source
-    takes files by modification time, so several micro-batches arrive in event-time order.
-    For trying out a query over many micro-batches; the registered queries read the table."""
+    takes files by modification time, so several micro-batches arrive in event-time order
+    where a slice is one file."""
     path = scratch_path(spark, "events-stream")
     ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    lo, hi = ev.agg(F.min(us), F.max(us)).first()
-    edges = [lo + (hi - lo) * i // n_files for i in range(1, n_files)] if lo is not None else []
-    for a, b in zip([None, *edges], [*edges, None]):
-        cond = F.lit(True)
-        cond = cond if a is None else cond & (us > F.lit(a))
-        cond = cond if b is None else cond & (us <= F.lit(b))
-        ev.where(cond).write.mode("append").parquet(path)
+    for d in _time_slices(ev, n_files):
+        d.write.mode("append").parquet(path)
     return path, ev.schema
 
 
@@ -73,36 +80,47 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.parquet(path)
 
 
-def run_available_now(df: DataFrame, mode: str) -> DataFrame:
+def run_available_now(df: DataFrame | Feed, mode: str, arrivals: Iterable[Callable[[], None]] = ()) -> DataFrame:
     """Run a streaming query over all available input; returns what it wrote to the shared folder.
 
-    Executors write the result as Parquet.  ``append`` results go to Spark's file sink;
-    ``complete`` and ``update`` results are written per micro-batch, of which ``complete``
-    returns the last and ``update`` all, with their ``batch`` number.
+    With ``arrivals`` the query is run once after each of them, from the same checkpoint, so
+    state and watermark go from one micro-batch to the next.  Executors write the result as
+    Parquet.  ``append`` results go to Spark's file sink; ``complete`` and ``update`` results
+    and a ``Feed`` are written per micro-batch, of which ``complete`` returns the last and the
+    others all, ``update`` with their ``batch`` number.
     """
+    feed = df if isinstance(df, Feed) else None
+    df = feed.events if feed else df
     spark = df.sparkSession
-    out = scratch_path(spark, "stream")
+    out, states = scratch_path(spark, "stream"), scratch_path(spark, "feed-state")
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, "stream-state"))
-    if mode == "append":
+    done: list[int] = []
+    if mode == "append" and not feed:
         writer = writer.format("parquet").option("path", out)
     else:
-        done: list[int] = []
-
         def write(batch: DataFrame, number: int) -> None:
+            if feed:
+                # a batch that is run again starts from the same state and overwrites what it wrote
+                before = batch.sparkSession.read.schema(FEED_STATE).parquet(f"{states}/batch={number - 1}") if number else None
+                batch, state = feed_step(batch, before)
+                state.write.mode("overwrite").parquet(f"{states}/batch={number}")
             batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
             done.append(number)
         writer = writer.foreachBatch(write)
-    q = writer.trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception():
-        raise RuntimeError(str(q.exception()))
-    if mode == "append":
+    for arrive in arrivals or [lambda: None]:
+        arrive()
+        q = writer.trigger(availableNow=True).start()
+        q.awaitTermination()
+        if q.exception():
+            raise RuntimeError(str(q.exception()))
+    if mode == "append" and not feed:
         return spark.read.schema(df.schema).parquet(out)
     if not done:
         return spark.createDataFrame([], df.schema)
     if mode == "complete":
         return spark.read.schema(df.schema).parquet(f"{out}/batch={done[-1]}")
-    return spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
+    found = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
+    return found.drop("batch") if feed else found
 
 
 # ------------------------------------------------------------------ job events
@@ -126,50 +144,56 @@ def latest_status(job_ev: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ S2
-FEED_SCHEMA = T.StructType([T.StructField("job_id", T.LongType()), T.StructField("ts", T.TimestampType()),
-                            T.StructField("event_id", T.LongType()), T.StructField("event", T.StringType())])
-FEED_STATE = T.StructType([T.StructField("last", T.StringType()), T.StructField("done", T.BooleanType())])
-
-
-def changes(rows: pd.DataFrame, last: str | None) -> tuple[pd.DataFrame, str | None, bool]:
-    """Status changes of a job's next events: the rows to emit, the last status, and whether
-    the job has ended."""
-    rows = rows.sort_values(["ts", "event_id"])
-    ended = rows["event"].isin(TERMINAL_EVENTS)
-    rows = rows[ended.cumsum().shift(fill_value=0) == 0]  # nothing after the first end
-    before = rows["event"].shift(fill_value=last if last is not None else "")
-    return rows[rows["event"] != before], rows["event"].iloc[-1], bool(ended.any())
-
-
-def _feed(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    last, done = state.get if state.exists else (None, False)
-    if not done:
-        found, last, done = changes(pd.concat(list(pdfs), ignore_index=True), last)
-        if len(found):
-            yield found[["job_id", "ts", "event_id", "event"]]
-    state.update((last, done))
-    state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + KEEP_MS)
+FEED_STATE = T.StructType([T.StructField("job_id", T.LongType()), T.StructField("last", T.StringType()),
+                           T.StructField("done", T.BooleanType())])
+#: Pieces of a micro-batch's time, with about as many events each.
+FEED_BUCKETS = 64
+
 
+@dataclass(frozen=True)
+class Feed:
+    """The job events whose feed ``run_available_now`` writes, one ``feed_step`` per micro-batch."""
+    events: DataFrame
 
-#: How long a job without events is remembered, in event time.
-KEEP_MS = 30 * 24 * 3600 * 1000
 
+def feed_step(rows: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Status changes of one micro-batch, and the state (job, last status, ended) after it.
 
-def job_feed(job_ev: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    Rows of a job are first compared inside a piece of time, of which the changes up to the
+    first end stay: of statuses that do not alternate, two rows per piece.  Only these meet
+    per job, behind the job's state as its first row.
+    """
+    us, order = F.unix_micros("ts"), [F.asc_nulls_last("ts"), F.col("event_id")]
+    cuts = rows.agg(F.percentile_approx(us, [i / FEED_BUCKETS for i in range(1, FEED_BUCKETS)], 1000)).first()[0]
+    edges = F.array(*[F.lit(x) for x in sorted(set(cuts or [0]))])
+    piece = F.when(us.isNull(), -1).otherwise(F.size(F.filter(edges, lambda x: x < us)))
+
+    def fold(df: DataFrame, keys: list[str], by: list) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*by)
+        ended = F.max("__end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        return (df.withColumns({"__before": F.lag("event").over(w), "__ended": F.coalesce(ended, F.lit(False))})
+                .where(~F.col("__ended") & ~F.col("event").eqNullSafe(F.col("__before"))))
+
+    ends = F.coalesce(F.col("event").isin(*TERMINAL_EVENTS), F.lit(False))
+    few = fold(rows.select("*", ends.alias("__end"), piece.alias("__piece"), F.lit(1).alias("__new")),
+               ["job_id", "__piece"], order)
+    few = few.select(*rows.columns, "__end", "__new")
+    if state is not None:
+        few = few.unionByName(state.select("job_id", F.col("last").alias("event"), F.col("done").alias("__end"),
+                                           F.lit(0).alias("__new")), allowMissingColumns=True)
+    found = fold(few, ["job_id"], [F.col("__new"), *order]).where("__new = 1").select(*rows.columns)
+    at = F.struct("__new", F.col("ts").isNull(), "ts", "event_id")
+    return found, few.groupBy("job_id").agg(F.max_by("event", at).alias("last"), F.max("__end").alias("done"))
+
+
+def job_feed(job_ev: DataFrame) -> Feed:
     """Per job, the status changes in time order, nothing after completed / failed.
 
-    A job's events of one micro-batch are held together, as they must be put in order; the
-    source's ``files_per_trigger`` bounds a micro-batch.  They are folded with array
-    operations.  A job that is silent for KEEP_MS behind the watermark is forgotten.
+    Rows are put in time order inside a micro-batch; the micro-batches follow each other as they
+    arrive.  No job is forgotten, as a later event of it would be taken for a change: the state
+    is one short row per job.
     """
-    from ..session import ship_package
-    ship_package(job_ev.sparkSession)  # the state function runs in executors' Python
-    timed = job_ev.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    return timed.groupBy("job_id").applyInPandasWithState(
-        _feed, FEED_SCHEMA, FEED_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return Feed(job_ev.select("job_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event"))
 
 
 # ------------------------------------------------------------------ S3

@@ -152,3 +152,32 @@ def test_instruction_to_correction_flow(spark):
         kind, out = apply_correction(df, "value", ir, F.col("value").isNull())
         assert kind == "FILL"
         assert [r["value"] for r in out.orderBy("k").collect()] == want
+
+
+def _sliced(spark, tmp_path, rows, n):
+    d = str(tmp_path / "t")
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string") \
+        .repartition(3).write.parquet(f"{d}/events.parquet")
+    return ST.event_slices(spark, d, n)
+
+
+def test_job_feed_over_slices(spark, tmp_path):
+    """An ended job stays ended, and a status that goes on is no change, however long the silence."""
+    day = [dt.datetime(2024, 1, 1) + dt.timedelta(days=i) for i in range(400)]
+    rows = [(1, day[0], 1, "click"), (2, day[1], 1, "purchase"), (3, day[390], 1, "click"), (4, day[399], 1, "error"),
+            (5, day[2], 2, "click"), (6, day[300], 2, "click"), (7, day[350], 2, "error"), (8, day[200], None, "click")]
+    rows += [(100 + i, day[i], 3, "click") for i in range(300)] + [(1000, day[320], 3, "purchase"), (1001, day[321], 3, "click")]
+    path, schema, arrivals = _sliced(spark, tmp_path, rows, 4)
+    got = ST.run_available_now(ST.job_feed(ST.job_events(ST.read_stream(spark, path, schema))), "append", arrivals)
+    assert sorted(r["event_id"] for r in got.collect()) == [1, 2, 5, 7, 8, 100, 1000]
+
+
+def test_stream_dedup_within_delay(spark, tmp_path):
+    """A key is dropped while the watermark has not passed its first row by the delay, and comes again after it."""
+    t = lambda h, m=0: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h, minutes=m)
+    # slices end at hours 6, 12, 18; the last row of the first is at 5:30, so its watermark is 4:30
+    rows = [(1, t(0), 9, "x"), (2, t(3, 20), 1, "x"), (3, t(5), 2, "x"), (4, t(5, 30), 3, "x"), (5, t(7), 1, "x"),
+            (6, t(7), 2, "x"), (7, t(11), 4, "x"), (8, t(14), 2, "x"), (9, t(24), 5, "x")]
+    path, schema, arrivals = _sliced(spark, tmp_path, rows, 4)
+    got = ST.run_available_now(ST.stream_dedup(ST.read_stream(spark, path, schema), ["user_id", "event_type"]), "append", arrivals)
+    assert sorted(r["event_id"] for r in got.collect()) == [1, 2, 3, 4, 5, 7, 8, 9]
