@@ -257,3 +257,47 @@ def test_pii_query_returns_every_document(spark):
     out = pii.op8_pii_surrogates(spark, "/root/testdata/sf0.001")
     assert out.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert out.where(F.col("n_entities") > 0).count() > 0
+
+
+def _mentions(text):
+    return [text[a:b] for a, b, _ in pii.find_entities(text)]
+
+
+def test_entities_in_all_their_spellings():
+    for t in ("2001:db8::8a2e:370:7334", "fe80::1", "::ffff:192.0.2.128", "64:ff9b::192.0.2.33", "2001:DB8:0:0:8:800:200C:417A",
+              "555 123 4567", "020 7946 0958", "(020) 7946 0958", "030 12345678", "01 42 68 53 00", "0044 20 7946 0958",
+              "1-555-123-4567", "o'neil%x@a.com", "a.b@bücher.de", "иван@почта.рф", "x@xn--e1aybc.xn--p1ai",
+              "MR. SMITH", "DR JOHN SMITH", "Prof. Dr. Schmidt", "Господин Иванов"):
+        for around in ("{}", "see {}, please", "({})", "{}.", "at {}: yes"):
+            assert _mentions(around.format(t)) == [t], (around, t)
+    assert _mentions("ip:2001:db8::1 IPv6:fe80::1 **b@x.com** 'c@x.com'") == ["2001:db8::1", "fe80::1", "b@x.com", "c@x.com"]
+    for t in ("std::vector a::b ::1 :: 10:30:45", "00:1A:2b:3c:4d:5e", ":".join(["ab"] * 16), "0.012 345 678", "1 200 300"):
+        assert _mentions(t) == [], t
+
+
+def test_spellings_of_one_entity_share_a_form():
+    same = (("phone", "+1 555-123-4567", "555-123-4567", "(555) 123-4567", "1 555 123 4567", "555 123 4567"),
+            ("phone", "+44 20 7946 0958", "020 7946 0958", "+44 (0)20 7946 0958", "0044 20 7946 0958"),
+            ("name", "Mr. John Smith", "Dr. John Smith", "MR JOHN SMITH"),
+            ("ipv6", "2001:db8::1", "2001:0DB8:0:0:0:0:0:1", "2001:db8::0.0.0.1"))
+    for kind, *spellings in same:
+        forms = {pii.canonical(kind, x) for x in spellings}
+        assert len(forms) == 1
+        new = pii.surrogate(kind, *forms)
+        laid = [pii.lay_out(kind, x, new) for x in spellings]
+        assert {pii.canonical(kind, x) for x in laid} == {new}
+    assert pii.lay_out("phone", "+44 (0)20 7946 0958", "2345678901") == "+44 (0)23 4567 8901"
+
+
+def test_surnames_belong_to_the_full_name_of_their_document(spark):
+    texts = ["Mr. John Smith came. Dr. John Smith left. Mr. Smith and MR. SMITH slept.", "Mr. Smith", "Dr. John Smith",
+             "Mr. John Brown and Mrs. Mary Brown; Mr. Brown, Mrs. Brown, Dr. Brown", "555 123 4567 or +1 (555) 123-4567"]
+    got = [r.pii for r in pii.replace_pii(docs(spark, texts)).orderBy("doc_id").collect()]
+    name = lambda p: pii.canonical("name", p.surrogate)
+    full, doctor, last, caps = map(name, got[0])
+    assert full == doctor == name(got[2][0]) and last == caps == full.split()[1] and full.split()[0].endswith("n")
+    assert name(got[1][0]) != last
+    john, mary, mr, mrs, dr = map(name, got[3])
+    assert (mr, mrs) == (john.split()[1], mary.split()[1]) and dr not in (mr, mrs) and mary.split()[0].endswith("a")
+    a, b = (pii.canonical("phone", p.surrogate) for p in got[4])
+    assert a == b != "5551234567"
