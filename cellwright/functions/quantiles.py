@@ -14,7 +14,8 @@ The reference takes quantiles with the *nearest rank* rule (index
   many values fall at or below the new cut points.  The sketch accuracy is sized
   so that one round usually brings the bracket under ``exact_limit`` (capped at
   ``MAX_ACCURACY``: 10**12 values take two rounds); once it is there the exact step
-  above finishes.  Memory per task stays bounded by the sketch and by
+  above finishes.  NaN is the largest value on either way, as Spark sorts it, and is counted
+  beside the sketch; rounds go on until every request is met.  Memory per task stays bounded by the sketch and by
   ``exact_limit`` values, whatever the table size.
 """
 
@@ -51,6 +52,8 @@ class Request:
 
 def _sql_num(v) -> str:
     if isinstance(v, float):
+        if math.isnan(v):
+            return "CAST('NaN' AS DOUBLE)"
         if math.isinf(v):
             return "CAST('Infinity' AS DOUBLE)" if v > 0 else "CAST('-Infinity' AS DOUBLE)"
         return f"CAST({v!r} AS DOUBLE)"
@@ -69,7 +72,7 @@ def _in_bracket(expr: str, lo, hi) -> str:
 
 
 def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXACT_LIMIT,
-                 accuracy: int = ACCURACY, max_rounds: int = 12, extra: dict | None = None) -> dict:
+                 accuracy: int = ACCURACY, extra: dict | None = None) -> dict:
     """Exact k-th smallest value for every request, computed together.
 
     ``extra`` (name -> aggregate Column) rides along in the first pass, so a caller's
@@ -83,9 +86,11 @@ def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXAC
             out[r.name] = None
         else:
             state[r.name] = {"req": r, "lo": None, "hi": None, "below": 0, "cnt": r.n}
-    for _ in range(max_rounds):
-        if not state and not extra:
-            break
+    floats = {r.expr for r in requests if r.n > exact_limit
+              and df.select(F.expr(r.expr)).schema[0].dataType.typeName() in ("double", "float")}
+    finest = MAX_ACCURACY
+    while state or extra:
+        before = {k: s["cnt"] for k, s in state.items()}
         exact = {k: s for k, s in state.items() if s["cnt"] <= exact_limit}
         wide = {k: s for k, s in state.items() if s["cnt"] > exact_limit}
         aggs = []
@@ -106,7 +111,7 @@ def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXAC
             # sketch accuracy sized so one round brings the bracket under exact_limit
             # (bounded above: a larger bracket simply takes another round)
             cnt = max(state[n]["cnt"] for n in members)
-            acc = int(min(MAX_ACCURACY, max(accuracy, math.ceil(8.0 * cnt / exact_limit) + 1)))
+            acc = int(min(finest, max(accuracy, math.ceil(8.0 * cnt / exact_limit) + 1)))
             fr = []
             for name in members:
                 s = state[name]
@@ -115,6 +120,8 @@ def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXAC
                 spans[name] = (gi, len(fr))
                 fr += [max(0.0, f - d), min(1.0, f + d)]
             v = _in_bracket(expr, lo, hi)
+            if expr in floats:
+                v = f"nullif({v}, CAST('NaN' AS DOUBLE))"
             arr = ", ".join(repr(x) for x in fr)
             aggs.append(F.expr(f"percentile_approx({v}, array({arr}), {acc})").alias(f"w{gi}"))
         for j, (name, e) in enumerate(extra.items()):
@@ -137,7 +144,8 @@ def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXAC
         cuts = {}
         cnt_aggs = []
         for i, (kind, name, (alias, pos)) in enumerate([n for n in names if n[0] == "w"]):
-            lo_v, hi_v = row[alias][pos], row[alias][pos + 1]
+            nan = float("nan")  # no sketch: nothing but NaN is left
+            lo_v, hi_v = row[alias][pos:pos + 2] if row[alias] else (nan, nan)
             cuts[name] = (lo_v, hi_v)
             e = state[name]["req"].expr
             for tag, op, v in (("a", "<", lo_v), ("b", "<=", lo_v), ("c", "<", hi_v), ("d", "<=", hi_v)):
@@ -160,6 +168,9 @@ def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXAC
                 s.update(hi=lo_v, cnt=le_lo - s["below"])
             else:                           # above the upper cut point
                 s.update(lo=hi_v, below=le_hi, cnt=s["below"] + s["cnt"] - le_hi)
-    if state:
-        raise RuntimeError(f"order statistics did not converge: {sorted(state)}")
+        if any(s["cnt"] >= before[k] for k, s in state.items()):  # a finer sketch for what did not shrink
+            accuracy, finest = accuracy * 4, finest * 4
+            if accuracy > 2**31 - 1:
+                raise RuntimeError(f"order statistics did not converge: {sorted(state)}")
+            finest = min(finest, 2**31 - 1)
     return out

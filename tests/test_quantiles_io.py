@@ -143,3 +143,28 @@ def test_json_lines_in_several_files_lose_no_row(spark):
     assert IO.read_table(spark, path).count() == 100
     with pytest.raises(IO.FormatError):
         IO.read_json(spark, path, multiline=True)
+
+
+def test_kth_smallest_with_nan_on_both_ways(spark):
+    from cellwright.functions import quantiles as Q
+    nan, inf = float("nan"), float("inf")
+    vals = [float(i % 37) for i in range(400)] + [nan] * 300 + [inf, -inf]
+    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(3)
+    ks = [0, 1, 200, 400, 401, 402, 550, 701]
+    want = sorted((v for v in vals if v == v)) + [nan] * 300
+    for limit in (10_000, 20):
+        got = Q.kth_smallest(df, [Q.Request(str(k), "x", k, len(vals)) for k in ks], exact_limit=limit)
+        assert [repr(got[str(k)]) for k in ks] == [repr(want[k]) for k in ks]
+
+
+def test_large_and_small_mappings_cast_alike(spark, monkeypatch):
+    from cellwright.operators import transforms as TR
+    df = spark.createDataFrame([(k,) for k in "abcdef"] + [(None,)], "x string")
+    for mapping in ({"a": True, "b": 1e20, "c": "z", "d": 7, "e": None}, {"a": 1, "b": 2.5, "c": float("nan")},
+                    {"a": True, "b": False}, {"a": 1, "b": 2}):
+        out = []
+        for most in (5000, 0):
+            monkeypatch.setattr(TR, "MAP_LITERAL_MAX", most)
+            got = TR.map_values(df, columns=["x"], mapping=mapping)[0]
+            out.append((got.dtypes, sorted(repr(r[0]) for r in got.collect())))
+        assert out[0] == out[1]
