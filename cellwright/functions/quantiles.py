@@ -15,13 +15,15 @@ The reference takes quantiles with the *nearest rank* rule (index
   so that one round usually brings the bracket under ``exact_limit`` (capped at
   ``MAX_ACCURACY``: 10**12 values take two rounds); once it is there the exact step
   above finishes.  NaN is the largest value on either way, as Spark sorts it, and is counted
-  beside the sketch; rounds go on until every request is met.  Memory per task stays bounded by the sketch and by
+  beside the sketch; texts (digits only, compared byte by byte) are sketched by the 15
+  digits (a double holds them) after what all values of the bracket begin with; rounds go on until every request is met.  Memory per task stays bounded by the sketch and by
   ``exact_limit`` values, whatever the table size.
 """
 
 from __future__ import annotations
 
 import math
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -57,7 +59,7 @@ def _sql_num(v) -> str:
         if math.isinf(v):
             return "CAST('Infinity' AS DOUBLE)" if v > 0 else "CAST('-Infinity' AS DOUBLE)"
         return f"CAST({v!r} AS DOUBLE)"
-    return str(v)
+    return f"'{v}'" if isinstance(v, str) else str(v)
 
 
 def _in_bracket(expr: str, lo, hi) -> str:
@@ -71,6 +73,15 @@ def _in_bracket(expr: str, lo, hi) -> str:
     return f"CASE WHEN {' AND '.join(conds)} THEN ({expr}) END"
 
 
+def _common_heads(df: DataFrame, groups: list[tuple]) -> dict:
+    """What all texts of a value bracket begin with: the whole text if they are equal."""
+    if not groups:
+        return {}
+    aggs = [F.expr(f"{f}({_in_bracket(*g)})").alias(f"{f}{i}") for i, g in enumerate(groups) for f in ("min", "max")]
+    row = df.agg(*aggs).collect()[0]
+    return {g: os.path.commonprefix([row[f"min{i}"], row[f"max{i}"]]) for i, g in enumerate(groups)}
+
+
 def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXACT_LIMIT,
                  accuracy: int = ACCURACY, extra: dict | None = None) -> dict:
     """Exact k-th smallest value for every request, computed together.
@@ -86,8 +97,7 @@ def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXAC
             out[r.name] = None
         else:
             state[r.name] = {"req": r, "lo": None, "hi": None, "below": 0, "cnt": r.n}
-    floats = {r.expr for r in requests if r.n > exact_limit
-              and df.select(F.expr(r.expr)).schema[0].dataType.typeName() in ("double", "float")}
+    types = {r.expr: df.select(F.expr(r.expr)).schema[0].dataType.typeName() for r in requests if r.n > exact_limit}
     finest = MAX_ACCURACY
     while state or extra:
         before = {k: s["cnt"] for k, s in state.items()}
@@ -106,6 +116,7 @@ def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXAC
         groups: dict = {}
         for name, s in wide.items():
             groups.setdefault((s["req"].expr, s["lo"], s["hi"]), []).append(name)
+        heads = _common_heads(df, [g for g in groups if types[g[0]] == "string"])
         spans = {}
         for gi, ((expr, lo, hi), members) in enumerate(groups.items()):
             # sketch accuracy sized so one round brings the bracket under exact_limit
@@ -120,7 +131,9 @@ def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXAC
                 spans[name] = (gi, len(fr))
                 fr += [max(0.0, f - d), min(1.0, f + d)]
             v = _in_bracket(expr, lo, hi)
-            if expr in floats:
+            if (expr, lo, hi) in heads:
+                v = f"CAST(rpad(substring({v}, {len(heads[expr, lo, hi]) + 1}, 15), 15, '0') AS BIGINT)"
+            if types[expr] in ("double", "float"):
                 v = f"nullif({v}, CAST('NaN' AS DOUBLE))"
             arr = ", ".join(repr(x) for x in fr)
             aggs.append(F.expr(f"percentile_approx({v}, array({arr}), {acc})").alias(f"w{gi}"))
@@ -146,6 +159,9 @@ def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXAC
         for i, (kind, name, (alias, pos)) in enumerate([n for n in names if n[0] == "w"]):
             nan = float("nan")  # no sketch: nothing but NaN is left
             lo_v, hi_v = row[alias][pos:pos + 2] if row[alias] else (nan, nan)
+            head = heads.get((state[name]["req"].expr, state[name]["lo"], state[name]["hi"]))
+            if head is not None:  # not above the values of the first cut, and above all of the second
+                lo_v, hi_v = head + f"{lo_v:015d}".rstrip("0"), head + f"{hi_v:015d}:"
             cuts[name] = (lo_v, hi_v)
             e = state[name]["req"].expr
             for tag, op, v in (("a", "<", lo_v), ("b", "<=", lo_v), ("c", "<", hi_v), ("d", "<=", hi_v)):

@@ -20,7 +20,7 @@ from ..functions import quantiles as Q
 from ..functions.text import digit_count, dup_key, phone_key, py_str, ustrip
 from ..functions.types import dtypes, is_date, is_numeric, is_string
 from ..plans.profile import order_column, run_aggs
-from .detect import SEQ_MAX_DIGITS, dec_lit
+from .detect import seq_fences, seq_inside, seq_number
 
 
 def _q(c):
@@ -128,12 +128,7 @@ class CellFinder:
 
     @staticmethod
     def num_expr(c: str, prefix: str) -> str:
-        pe = prefix.replace("\\", "\\\\").replace("'", "\\'")
-        pat = K.RE_SEQUENCE.replace("\\", "\\\\")
-        return (f"CASE WHEN CAST(`{c}` AS STRING) RLIKE '{pat}' "
-                f"AND regexp_extract(CAST(`{c}` AS STRING), '{pat}', 1) = '{pe}' "
-                f"AND length(regexp_extract(CAST(`{c}` AS STRING), '{pat}', 2)) <= {SEQ_MAX_DIGITS} "
-                f"THEN CAST(regexp_extract(CAST(`{c}` AS STRING), '{pat}', 2) AS DECIMAL(38,0)) END")
+        return seq_number(f"CAST(`{c}` AS STRING)", prefix)
 
     # --------------------------------------------------------------- masks
     def mask(self, a) -> Column:
@@ -276,11 +271,9 @@ class CellFinder:
         prefix = (a.get("original_value") or "").split("|")[0]
         if not self.seq_fence.get((c, prefix)):
             return F.lit(False)
-        g = {k: int(self.qs[f"{c}|{prefix}|{k}"]) for k in ("q1", "q3", "p10", "p90")}
-        iqr = g["q3"] - g["q1"]
-        lo, hi = (g["q1"] - 1.5 * iqr, g["q3"] + 1.5 * iqr) if iqr > 0 else (g["p10"], g["p90"])
+        _, lo, hi = seq_fences({k: self.qs[f"{c}|{prefix}|{k}"] for k in ("q1", "q3", "p10", "p90")})
         num = F.expr(self.num_expr(c, prefix))
-        return num.isNotNull() & ((num < dec_lit(lo)) | (num > dec_lit(hi)))
+        return num.isNotNull() & ~seq_inside(num, lo, hi)
 
 
 FINDING_COLUMNS = ["row_key", "column", "anomaly_type", "anomaly_id", "value"]

@@ -21,8 +21,11 @@ reference prints them.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from datetime import datetime, timezone
+from decimal import Decimal
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,20 +57,50 @@ def anomaly_id(dataset_id: str, column: str, atype: str, related: str | None) ->
     return hashlib.sha256(f"{dataset_id}|{column}|{atype}|{related or ''}".encode()).hexdigest()
 
 
-# Longest digit run read as a sequence number (exact DECIMAL(38,0) with headroom
-# for the fence arithmetic); longer runs count as not matching.
-SEQ_MAX_DIGITS = 36
+# Sequence numbers have any number of digits.  They are handled as keys, texts that sort as the
+# numbers do: the count of digits (ten characters), then the digits without leading zeros.
+def seq_number(column: str, prefix: str) -> str:
+    """SQL: the key of a value's number where it has the given prefix, else null."""
+    pe = prefix.replace("\\", "\\\\").replace("'", "\\'")
+    pat = K.RE_SEQUENCE.replace("\\", "\\\\")
+    digits = f"regexp_replace(regexp_extract({column}, '{pat}', 2), '^0+(?=[0-9])', '')"
+    return (f"CASE WHEN {column} RLIKE '{pat}' AND regexp_extract({column}, '{pat}', 1) = '{pe}' "
+            f"THEN concat(lpad(CAST(length({digits}) AS STRING), 10, '0'), {digits}) END")
 
 
-def _int(v):
-    return None if v is None else int(v)
+def seq_digits(n: int | float) -> str:
+    """Text of a number; ``str`` refuses very long ints."""
+    return str(n) if isinstance(n, float) else format(Decimal(n), "f")
 
 
-def dec_lit(x) -> Column:
-    """An exact decimal literal of an int or a float (a float's exact binary value)."""
-    from decimal import Decimal
-    d = Decimal(x)
-    return F.lit(d)
+def seq_key(n: int) -> str:
+    return f"{len(seq_digits(n)):010d}{seq_digits(n)}"
+
+
+def seq_int(key: str | None) -> int | None:
+    return None if key is None else int(Decimal(key[10:]))
+
+
+def seq_fences(g: dict) -> tuple:
+    """IQR and fences of the keys q1, q3, p10, p90: the reference's floats, or exact fractions
+    where a float cannot hold them."""
+    q1, q3, p10, p90 = (seq_int(g[k]) for k in ("q1", "q3", "p10", "p90"))
+    iqr = q3 - q1
+    if iqr <= 0:
+        return iqr, p10, p90
+    try:
+        lo, hi = q1 - 1.5 * iqr, q3 + 1.5 * iqr
+        if math.isfinite(lo) and math.isfinite(hi):
+            return iqr, lo, hi
+    except OverflowError:
+        pass
+    return iqr, q1 - Fraction(3 * iqr, 2), q3 + Fraction(3 * iqr, 2)
+
+
+def seq_inside(num: Column, lo, hi) -> Column:
+    """Whether a number's key is within the fences, compared exactly."""
+    low, high = math.ceil(lo), math.floor(hi)
+    return (num >= seq_key(max(low, 0))) & ((num <= seq_key(high)) if high >= 0 else F.lit(False))
 
 
 def _q(c: str) -> Column:
@@ -539,8 +572,7 @@ class Detector:
             cands.append(c)
         if not cands:
             return []
-        pv = self.v.where((F.col("kind") == "raw") & F.col("column").isin(cands) & F.col("value").rlike(K.RE_SEQUENCE)
-                          & (F.length(F.regexp_extract("value", K.RE_SEQUENCE, 2)) <= SEQ_MAX_DIGITS))
+        pv = self.v.where((F.col("kind") == "raw") & F.col("column").isin(cands) & F.col("value").rlike(K.RE_SEQUENCE))
         pc = pv.groupBy("column", F.regexp_extract("value", K.RE_SEQUENCE, 1).alias("prefix")) \
             .agg(F.sum("cnt").alias("cnt"))
         # dominant prefix per column: highest count, ties to the smallest prefix
@@ -558,13 +590,7 @@ class Detector:
         return chosen
 
     def num_expr(self, c: str, prefix: str) -> str:
-        """SQL: the number of a value with the given prefix (up to SEQ_MAX_DIGITS digits,
-        as an exact decimal), else null."""
-        pe = prefix.replace("\\", "\\\\").replace("'", "\\'")
-        pat = K.RE_SEQUENCE.replace("\\", "\\\\")
-        return (f"CASE WHEN `{c}` RLIKE '{pat}' AND regexp_extract(`{c}`, '{pat}', 1) = '{pe}' "
-                f"AND length(regexp_extract(`{c}`, '{pat}', 2)) <= {SEQ_MAX_DIGITS} "
-                f"THEN CAST(regexp_extract(`{c}`, '{pat}', 2) AS DECIMAL(38,0)) END")
+        return seq_number(f"`{c}`", prefix)
 
     def sequence_requests(self, chosen) -> list:
         """Quartiles by index ``sorted[int(n*q)]`` of each sequence column's numbers."""
@@ -580,12 +606,9 @@ class Detector:
         a, self.seq_fence = {}, {}
         for c, prefix, dom in chosen:
             num = F.expr(self.num_expr(c, prefix))
-            q1, q3 = int(qs[f"{c}|sq1"]), int(qs[f"{c}|sq3"])
-            iqr = q3 - q1
-            lo, hi = (q1 - 1.5 * iqr, q3 + 1.5 * iqr) if iqr > 0 else (int(qs[f"{c}|sp10"]), int(qs[f"{c}|sp90"]))
+            iqr, lo, hi = seq_fences({nm: qs[f"{c}|s{nm}"] for nm in ("q1", "q3", "p10", "p90")})
             self.seq_fence[c] = (iqr, lo, hi)
-            # fences as the reference computes them (floats), compared exactly with the numbers
-            inside = (num >= dec_lit(lo)) & (num <= dec_lit(hi))
+            inside = seq_inside(num, lo, hi)
             a.update({f"{c}|cmin": F.min(F.when(inside, num)), f"{c}|cmax": F.max(F.when(inside, num)),
                       f"{c}|mn": F.min(num), f"{c}|mx": F.max(num),
                       f"{c}|out": count_if(num.isNotNull() & ~inside), f"{c}|outex": F.min(F.when(~inside, num))})
@@ -595,12 +618,13 @@ class Detector:
         """Out-of-range values, or else the holes between min and max."""
         for c, prefix, dom in chosen:
             iqr, lo, hi = self.seq_fence[c]
-            mn, mx = _int(row[f"{c}|mn"]), _int(row[f"{c}|mx"])
+            mn, mx = seq_int(row[f"{c}|mn"]), seq_int(row[f"{c}|mx"])
+            width = len(seq_digits(mn))
             if row[f"{c}|out"]:
-                cmin, cmax = (_int(row[f"{c}|cmin"]), _int(row[f"{c}|cmax"])) if iqr > 0 else (lo, hi)
+                cmin, cmax = (seq_int(row[f"{c}|cmin"]), seq_int(row[f"{c}|cmax"])) if iqr > 0 else (lo, hi)
                 if cmin is None:
                     cmin, cmax = mn, mx
-                example = f"{prefix}{str(_int(row[f'{c}|outex'])).zfill(len(str(mn)))}"
+                example = f"{prefix}{row[f'{c}|outex'][10:].zfill(width)}"
                 count = row[f"{c}|out"]
             else:
                 num = F.expr(self.num_expr(c, prefix))
@@ -608,14 +632,22 @@ class Detector:
                 count = (mx - mn + 1) - nums.count()
                 if count <= 0:
                     continue
-                nxt = nums.select((F.col("x") - 1).alias("x"))
+                # one less: the last digit that is not 0 goes down, the zeros after it become 9
+                d = F.substring("x", 11, 2**31 - 1)
+                head, digit, zeros = (F.regexp_extract(d, "^(.*?)([1-9])(0*)$", i) for i in (1, 2, 3))
+                less = F.regexp_replace(F.concat(head, (digit.cast("int") - 1).cast("string"),
+                                                 F.repeat(F.lit("9"), F.length(zeros))), "^0+(?=[0-9])", "")
+                nxt = nums.where(d != "0").select(
+                    F.concat(F.lpad(F.length(less).cast("string"), 10, "0"), less).alias("x"))
                 # a hole follows x when x+1 is absent: anti join, no window over the whole range
-                first = _int(nums.where(F.col("x") < dec_lit(mx)).join(nxt, "x", "left_anti")
+                first = seq_int(nums.where(F.col("x") < row[f"{c}|mx"]).join(nxt, "x", "left_anti")
                              .agg(F.min("x")).collect()[0][0])
-                example = f"{prefix}{str(first + 1).zfill(len(str(mn)))}"
+                example = f"{prefix}{seq_digits(first + 1).zfill(width)}"
                 cmin, cmax = mn, mx
-            self.emit(c, "SEQUENCE_GAP", count,
-                      say(count, "missing from a sequence", example=example, first=f"{prefix}{cmin}", last=f"{prefix}{cmax}"),
+            cmin, cmax = seq_digits(cmin), seq_digits(cmax)
+            # the record's number is a 64-bit one; the description has all of it
+            self.emit(c, "SEQUENCE_GAP", min(count, 2**63 - 1),
+                      say(seq_digits(count), "missing from a sequence", example=example, first=f"{prefix}{cmin}", last=f"{prefix}{cmax}"),
                       f"{prefix}|{cmin}|{cmax}|{example}", K.LABEL_SEQUENCE)
 
     # ----------------------------------------------------------------- run

@@ -231,3 +231,23 @@ def test_shared_finder_gives_same_results(spark, dirty_run):
     shared = apply_decisions(d, an, dec, "row_key", finder=f)
     alone = apply_decisions(d, an, dec, "row_key")
     assert sorted(map(tuple, shared.collect()), key=str) == sorted(map(tuple, alone.collect()), key=str)
+
+
+@pytest.mark.parametrize("digits,limit", [(40, 50_000), (40, 20), (400, 50_000)])
+def test_sequence_numbers_of_any_length(spark, monkeypatch, digits, limit):
+    """Sequences far beyond 38 digits, over a change of length, with holes and with a value out of range.
+    Fences are the reference's floats where a float can hold them, and exact beyond."""
+    from cellwright.functions import quantiles as Q
+    monkeypatch.setattr(Q.kth_smallest, "__defaults__", (limit, *Q.kth_smallest.__defaults__[1:]))
+    step = 10**26 if digits < 300 else 1
+    base = 10**digits - 50 * step
+    nums = [base + i * step for i in range(100) if i != 51]
+    df = spark.createDataFrame([(i, f"A{h}", f"A{f}") for i, (h, f) in enumerate(zip([*nums, base + 100 * step], [*nums, 7]))],
+                               "k long, hole string, far string")
+    recs = {r["column"]: r for r in detect_records(df, "ds", order_by="k", types=["SEQUENCE_GAP"])}
+    missing = 100 * step + 1 - 100
+    assert recs["hole"]["affected"] == min(missing, 2**63 - 1) and recs["hole"]["description"].startswith(f"{missing} ")
+    first = base + 51 if step == 1 else base + 1
+    assert recs["hole"]["original_value"] == f"A|{base}|{base + 100 * step}|A{first}"
+    assert recs["far"]["affected"] == 1 and recs["far"]["original_value"].endswith("7")
+    assert [r["value"] for r in find_cells(df, [recs["far"]], "k").collect()] == ["A7"]
