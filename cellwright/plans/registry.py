@@ -87,6 +87,15 @@ def a1_csv_multiline(spark, sf_dir):
     return IO.read_table(spark, path, "csv", schema="doc_id BIGINT, cell STRING")
 
 
+@query("a1_csv_whole_texts")
+def a1_csv_whole_texts(spark, sf_dir):
+    """Every document comes back whole, with line breaks, quotes and separators deep in it, and null as null."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('a "q", b\n'), "text", F.lit('\n"z",')).alias("cell"))
+    path = scratch_path(spark, "csv-texts")
+    IO.write_table(d, path, "csv")
+    return IO.read_table(spark, path, "csv", schema="doc_id BIGINT, cell STRING")
+
+
 @query("a2_json_array")
 def a2_json_array(spark, sf_dir):
     """One array of objects per file, read with the defaults."""
