@@ -96,12 +96,17 @@ def a1_csv_whole_texts(spark, sf_dir):
     return IO.read_table(spark, path, "csv", schema="doc_id BIGINT, cell STRING")
 
 
+#: Rows of an array file, about: the files follow from the row count.
+ARRAY_ROWS = 4_000
+
+
 @query("a2_json_array")
 def a2_json_array(spark, sf_dir):
     """One array of objects per file, read with the defaults."""
     path = scratch_path(spark, "json-array")
     c = _t(spark, sf_dir, "customer")
-    (c.groupBy((F.col("c_custkey") % 16).alias("part"))
+    files = c.count() // ARRAY_ROWS + 1
+    (c.groupBy(F.expr(f"pmod(xxhash64({', '.join(CUSTOMER_TYPES)}), {files})").alias("part"))
      .agg(F.to_json(F.collect_list(F.struct(*[F.col(x) for x in CUSTOMER_TYPES]))).alias("value"))
      .write.partitionBy("part").text(path))
     back = IO.read_table(spark, path, "json")

@@ -168,3 +168,15 @@ def test_large_and_small_mappings_cast_alike(spark, monkeypatch):
             got = TR.map_values(df, columns=["x"], mapping=mapping)[0]
             out.append((got.dtypes, sorted(repr(r[0]) for r in got.collect())))
         assert out[0] == out[1]
+
+
+def test_json_array_files_follow_the_rows(spark, monkeypatch):
+    from cellwright.plans import registry as R
+    made = []
+    path = R.scratch_path
+    monkeypatch.setattr(R, "scratch_path", lambda *a: made.append(path(*a)) or made[-1])
+    monkeypatch.setattr(R, "ARRAY_ROWS", 5, raising=False)
+    got = R.a2_json_array(spark, "/root/testdata/sf0.001")
+    want = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select(*R.CUSTOMER_TYPES)
+    assert got.exceptAll(want.select(*[want[c].cast(t) for c, t in R.CUSTOMER_TYPES.items()])).isEmpty() and got.count() == want.count()
+    assert spark.read.text(made[0]).select("part").distinct().count() > 16
