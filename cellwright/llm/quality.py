@@ -27,6 +27,8 @@ STOP_WORDS = (
     "que", "qui", "sur", "un", "une",
     "como", "con", "del", "el", "es", "las", "lo", "los", "más", "no", "para", "por", "se", "su", "una", "y",
 )
+#: The languages of the list.
+STOP_LANGS = ("en", "de", "fr", "es")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
@@ -34,13 +36,14 @@ WINDOW = 5
 @dataclass(frozen=True)
 class Rule:
     """Reject when ``1000 * numerator > limit * denominator`` (``above``) or ``<`` (``below``),
-    for texts of at least ``min_words`` words."""
+    for texts of at least ``min_words`` words; where ``only`` is given, for those it holds for."""
     name: str
     numerator: str
     denominator: str
     sense: str
     per_mille: int
     min_words: int = 0
+    only: str | None = None
 
 
 #: The threshold table.  Integer arithmetic, so that every engine decides alike.
@@ -49,7 +52,7 @@ RULES = (
     Rule("words_too_long", "word_chars", "n_words", "above", 15000),
     Rule("symbols", "n_symbols", "n_words", "above", 300),
     Rule("exclamations", "n_exclaims", "n_words", "above", 500),
-    Rule("stop_words", "n_stop_words", "n_words", "below", 30, 20),
+    Rule("stop_words", "n_stop_words", "n_words", "below", 30, 20, "listed_language"),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", "above", 500, 20),
 )
 
@@ -62,9 +65,12 @@ def _count_of(text: Column, chars: str) -> Column:
     return (F.octet_length(text) - F.octet_length(left)).cast("long")
 
 
-def text_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def text_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+               lang: str | None = None) -> DataFrame:
     """``keep`` columns plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    n_lines (lines with a word), n_exclaims and n_stop_words (all long)."""
+    n_lines (lines with a word), n_exclaims and n_stop_words (all long), and listed_language:
+    whether column ``lang`` names a language of STOP_WORDS or, where it is null or not given,
+    whether letters of other scripts do not prevail."""
     kept = [F.col(f"`{c}`") for c in keep]
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     base = docs.select(
@@ -73,6 +79,12 @@ def text_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
         F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_CHAR_RE)).alias("__l"),
         _count_of(t, SYMBOLS).alias("n_symbols"),
         _count_of(t, "!").alias("n_exclaims"),
+        # Only texts that are not plain ASCII can have letters of other scripts.
+        F.coalesce(*([F.split_part(F.lower(F.replace(F.col(f"`{lang}`"), F.lit("_"), F.lit("-"))), F.lit("-"), F.lit(1))
+                      .isin(*STOP_LANGS)] if lang else []),
+                   (F.octet_length(t) == F.length(t))
+                   | (F.regexp_count(t, F.lit(r"[\p{L}&&[^\p{IsLatin}]]")) <= F.regexp_count(t, F.lit(r"\p{IsLatin}"))),
+                   ).alias("listed_language"),
     )
     at = "xxhash64(" + ", ".join(f"__v[i + {k}]" for k in range(WINDOW)) + ")"
     hashed = base.withColumn("__v", F.expr("transform(__w, w -> xxhash64(w))")).withColumn("__h", F.expr(
@@ -100,6 +112,7 @@ def text_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
         F.expr(f"IF(spark_partition_id() < 0, 0L, {covered})").alias("n_repeat_words"),
         F.size("__l").cast("long").alias("n_lines"), "n_exclaims",
         F.expr(f"CAST(size(filter(__w, w -> lower(w) IN ({stops}))) AS BIGINT)").alias("n_stop_words"),
+        "listed_language",
     )
 
 
@@ -110,7 +123,8 @@ def compile_rules(rules=RULES) -> Column:
         left = F.col(r.numerator) * 1000
         right = F.col(r.denominator) * r.per_mille
         hit = (left > right) if r.sense == "above" else (left < right)
-        broken.append(F.when(hit & (F.col("n_words") >= r.min_words), F.lit(r.name)))
+        hit = hit & (F.col("n_words") >= r.min_words)
+        broken.append(F.when(hit & F.col(r.only) if r.only else hit, F.lit(r.name)))
     return F.array_compact(F.array(*broken))
 
 
@@ -118,9 +132,10 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
 
 
-def quality_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules=RULES) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules=RULES,
+                  lang: str | None = None) -> DataFrame:
     """One row per document: ``keep``, the counts, ``base_failed``, ``broken_rules`` and ``kept``."""
-    stats = text_stats(docs, text, keep)
+    stats = text_stats(docs, text, keep, lang)
     judged = stats.withColumns({"base_failed": base_failed(), "broken_rules": compile_rules(rules)})
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
 

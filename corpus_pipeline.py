@@ -24,7 +24,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules(pick(docs, *COLUMNS), keep=COLUMNS).where("kept").select(*COLUMNS)
+    return quality_rules(pick(docs, *COLUMNS), keep=COLUMNS, lang="lang").where("kept").select(*COLUMNS)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -164,3 +164,14 @@ def test_no_python_in_native_plans(spark, name):
     from cellwright.llm.registry import QUERIES
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_clean_texts_of_other_languages_are_kept(spark):
+    from cellwright.llm.quality import quality_rules
+    stems = {"ru": "документ", "el": "έγγραφο", "ar": "وثيقة", "ko": "문서", "pl": "dokument", "en": "paper", None: "бумага"}
+    rows = [(i, lang, " ".join(f"{w}{c}{d}" for c in "abcde" for d in "xyzuvw")) for i, (lang, w) in enumerate(stems.items())]
+    d = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    kept = {r.lang: r.kept for r in quality_rules(d, keep=("doc_id", "lang"), lang="lang").collect()}
+    assert kept == {"ru": True, "el": True, "ar": True, "ko": True, "pl": True, "en": False, None: True}
+    alone = {r.lang: r.kept for r in quality_rules(d, keep=("doc_id", "lang")).collect()}
+    assert alone == {"ru": True, "el": True, "ar": True, "ko": False, "pl": False, "en": False, None: True}
