@@ -180,3 +180,11 @@ def test_json_array_files_follow_the_rows(spark, monkeypatch):
     want = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select(*R.CUSTOMER_TYPES)
     assert got.exceptAll(want.select(*[want[c].cast(t) for c, t in R.CUSTOMER_TYPES.items()])).isEmpty() and got.count() == want.count()
     assert spark.read.text(made[0]).select("part").distinct().count() > 16
+
+
+def test_csv_round_trip_of_whole_texts(spark, tmp_path):
+    from cellwright.plans import registry as R
+    texts = [None, "x", 'long "q", cell\n' * 20_000, "y" * 300_000 + '"', '\n\n"",\n']
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.cell for r in R.a1_csv_whole_texts(spark, str(tmp_path)).collect()}
+    assert got == {i: t if t is None else f'a "q", b\n{t}\n"z",' for i, t in enumerate(texts)}
