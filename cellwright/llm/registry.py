@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, jaccard, licenses, pii, quality, substrings, tokencount, urlfilter
+from . import (bpe, chat, decontam, jaccard, licenses, linededup, pii, quality, substrings, tokencount,
+               urlfilter)
 
-_MODULES = (bpe, chat, decontam, jaccard, licenses, pii, quality, substrings, tokencount, urlfilter)
+_MODULES = (substrings, tokencount, jaccard, chat, decontam, quality, bpe, pii, licenses, urlfilter, linededup)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
