@@ -48,10 +48,10 @@ def leaf_digest(*values: Column) -> Column:
     return F.sha2(F.concat(*[field(v) for v in values]), 256)
 
 
-def ranked(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+def ranked(rows: DataFrame, group: list[str], order: str, tie: str) -> DataFrame:
     """Rows with their ``rank`` (from 0) within the group and the group's ``size``."""
     rows = materialise(
-        rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+        rows.repartitionByRange(*group, order).sortWithinPartitions(*group, order, tie)
         .withColumn("at", F.monotonically_increasing_id())
         .withColumn("part", F.shiftright("at", 33).cast("int")), "merkle-sorted")
     pieces = rows.groupBy("part", *group).agg(F.min("at").alias("first"), F.count("*").alias("n"))
@@ -111,12 +111,12 @@ SEGMENT = "ARRAY<STRUCT<left: STRING, right: STRING>>"
 
 
 def step(frontier: DataFrame, records: DataFrame, wanted: DataFrame, group: list[str], down: Column) -> DataFrame:
-    """One level down.  ``frontier``: (group, rank, levels, digest, path), levels the number of
-    levels left; ``wanted``: (group, rank) of the next level's nodes that have requests."""
+    """One level down.  ``frontier``: (group, rank, levels, digest, path, subroot), levels the
+    number of levels left; ``wanted``: (group, rank) of the next level's nodes with requests."""
     children = (frontier.where(down).join(records, "digest")
-                .select(*group, "rank", "levels", "path", "children", F.posexplode("children").alias("digit", "child"))
+                .select(*group, "rank", "levels", "path", "subroot", "children", F.posexplode("children").alias("digit", "child"))
                 .select(*group, (F.col("rank") * FAN + F.col("digit")).alias("rank"), (F.col("levels") - 1).alias("levels"),
-                        F.col("child").alias("digest"), F.concat("path", F.array(F.struct(
+                        "subroot", F.col("child").alias("digest"), F.concat("path", F.array(F.struct(
                             F.array_join(F.slice("children", F.lit(1), F.col("digit")), "").alias("left"),
                             F.array_join(F.slice("children", F.col("digit") + 2, F.size("children")), "").alias("right"))))
                         .alias("path")))
@@ -148,10 +148,10 @@ def manifest(rows: DataFrame, group: str, order: str, leaf: str) -> dict:
     """The DAG of a dataset: ``leaves`` (all columns of ``rows``, rank, size, levels, s_rank,
     subroot), ``records`` (digest, children), ``groups`` (group, subroot, rank, levels) and the
     ``root`` frame (digest, levels)."""
-    leaves = materialise(ranked(rows, [group], [order, leaf]).withColumn("digest", F.col(leaf)), "merkle-leaves")
+    leaves = materialise(ranked(rows, [group], order, leaf).withColumn("digest", F.col(leaf)), "merkle-leaves")
     low, roots, tall = build(leaves, [group])
     roots = materialise(roots, "merkle-subroots")
-    tops = materialise(ranked(roots.select(F.lit(0).alias("all"), F.col(group).alias("g"), "digest"), ["all"], ["g"]),
+    tops = materialise(ranked(roots.select(F.lit(0).alias("all"), F.col(group).alias("g"), "digest"), ["all"], "g", "digest"),
                        "merkle-top")
     high, root, top_tall = build(tops, ["all"])
     return {"leaves": leaves.withColumn("levels", depth(F.col("size"), tall)),
@@ -161,7 +161,7 @@ def manifest(rows: DataFrame, group: str, order: str, leaf: str) -> dict:
 
 
 def proofs(m: dict, requests: DataFrame, group: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per requested leaf (rows of ``m["leaves"]``): the columns ``keep``, digest, subroot,
+    """One row per requested leaf (distinct rows of ``m["leaves"]``): the columns ``keep``, digest, subroot,
     root, and path, the siblings from the leaf's level up to the root's children."""
     tall, top_tall = m["levels"]
     asked = requests.select("rank", "levels", F.col(group).alias("g"), "digest", *keep)
@@ -169,29 +169,29 @@ def proofs(m: dict, requests: DataFrame, group: str, keep: tuple[str, ...] = ())
     # From the root to the subroots that have requests ...
     groups = m["groups"].join(asked.select(F.col("g").alias("w_g")).distinct(), F.col("g").eqNullSafe(F.col("w_g")), "left_semi")
     start = m["root"].select(F.lit(0).alias("all"), F.lit(0).cast("long").alias("rank"), F.lit(top_tall).alias("levels"),
-                             "digest", F.expr(f"CAST(array() AS {SEGMENT})").alias("path"))
+                             "digest", F.expr(f"CAST(array() AS {SEGMENT})").alias("path"),
+                             F.lit(None).cast("string").alias("subroot"))
     found = descend(start, m["records"], groups.select("all", "rank", "levels"), ["all"], top_tall, 0)
     subroots = (found.select(F.col("rank").alias("w_rank"), "digest", "path").join(groups.select("rank", "g"), F.col("rank") == F.col("w_rank"))
                 .select("g", F.col("digest").alias("subroot"), F.col("digest"), "path"))
     # ... and from there to the nodes right above the leaves.
     begin = (subroots.join(asked.select(F.col("g").alias("w_g"), F.col("levels")).distinct(), _same(["g"]))
-             .select("g", F.lit(0).cast("long").alias("rank"), "levels", "digest", "path"))
+             .select("g", F.lit(0).cast("long").alias("rank"), "levels", "digest", "path", "subroot"))
     last = descend(begin, m["records"], asked, ["g"], tall, 1)
 
     # The requests below one node: at most FAN, or one (a lone leaf is its own subroot).
     below = asked.groupBy(F.col("g").alias("w_g"), F.floor(F.col("rank") / FAN).alias("w_rank")).agg(
         F.collect_list(F.struct("rank", "digest", *keep)).alias("asked"))
     last = (last.join(m["records"].withColumnRenamed("digest", "r"), F.col("digest") == F.col("r"), "left")
-            .select("g", "rank", "levels", "path", F.when(F.col("levels") > 0, F.col("children")).alias("children")))
-    root = m["root"].select(F.col("digest").alias("root"))
-    met = (last.join(below, _same(["g"], "rank")).select("g", "path", "children", F.explode("asked").alias("a"))
-           .select("g", "path", "children", "a.*").withColumn("digit", (F.col("rank") % FAN).cast("int")))
+            .select("g", "rank", "subroot", "path", F.when(F.col("levels") > 0, F.col("children")).alias("children")))
+    top = m["root"].first()  # one row, or none
+    met = (last.join(below, _same(["g"], "rank")).select("g", "subroot", "path", "children", F.explode("asked").alias("a"))
+           .select("g", "subroot", "path", "children", "a.*").withColumn("digit", (F.col("rank") % FAN).cast("int")))
     leaf_segment = F.when(F.col("children").isNull(), F.expr(f"CAST(array() AS {SEGMENT})")).otherwise(F.array(F.struct(
         F.array_join(F.slice("children", F.lit(1), F.col("digit")), "").alias("left"),
         F.array_join(F.slice("children", F.col("digit") + 2, F.size("children")), "").alias("right"))))
-    met = met.select("g", "digest", *keep, F.reverse(F.concat("path", leaf_segment)).alias("path"))
-    return (met.join(subroots.select(F.col("g").alias("w_g"), "subroot"), _same(["g"])).drop("w_g")
-            .crossJoin(F.broadcast(root)).withColumnRenamed("g", group))  # one row, or none
+    return met.select(F.col("g").alias(group), "digest", *keep, "subroot", F.lit(top and top["digest"]).alias("root"),
+                      F.reverse(F.concat("path", leaf_segment)).alias("path"))
 
 
 def proof_digest(path: Column) -> Column:
@@ -225,5 +225,59 @@ def op13_merkle_manifest(spark, sf_dir):
     return verify_rows(pick(table(spark, sf_dir, "documents"), *FIELDS))
 
 
+def _sql_tree(name: str, leaves: str, levels: int) -> str:
+    """CTEs <name>0..<name>{levels}: the nodes (g, r, h) of each level with the digests left and
+    right of them in their run; ``n`` is the level's size."""
+    out = []
+    for i in range(levels + 1):
+        below = leaves if i == 0 else f"""SELECT g, r // {FAN} AS r, CASE WHEN max(n) > 1
+            THEN sha256(string_agg(h, '' ORDER BY r)) ELSE max(h) END AS h FROM {name}{i - 1} GROUP BY g, r // {FAN}"""
+        run = f"OVER (PARTITION BY g, r // {FAN} ORDER BY r ROWS BETWEEN"
+        out.append(f"""{name}{i} AS (SELECT g, r, h, count(*) OVER (PARTITION BY g) AS n,
+            coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lt,
+            coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rt FROM ({below}))""")
+    return ",\n".join(out)
+
+
+def sql_crc32(points: str) -> str:
+    """DuckDB expression: unsigned crc32 of a list of bytes."""
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {points}), lambda a, b: list_reduce(list_prepend(xor(a, b), "
+            "[0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT)")
+
+
+def oracle(levels: int = 6, top_levels: int = 4) -> str:
+    """The same tree in SQL, for up to FAN ** levels leaves a source and FAN ** top_levels sources."""
+    def digest(text: str) -> str:
+        return "sha256(" + " || ".join(
+            f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in (*FIELDS[:-1], text)) + ")"
+
+    points = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)"
+    joins, proof, folds = "", [], []
+    for i, (t, at) in enumerate([(f"a{i}", f"(l.r // {FAN ** i})") for i in range(levels)]
+                                + [(f"b{i}", f"(q.r // {FAN ** i})") for i in range(top_levels)]):
+        on = f"{t}.g IS NOT DISTINCT FROM l.source AND {t}.r = {at}" if t[0] == "a" else f"{t}.r = {at}"
+        if t == "b0":
+            joins += " JOIN q ON q.source IS NOT DISTINCT FROM l.source"
+        joins += f" JOIN {t} ON {on}"
+        proof.append(f"{t}.lt || {t}.rt")
+        folds.append(f"CASE WHEN {t}_n > 1 THEN sha256({t}_lt || x{i} || {t}_rt) ELSE x{i} END AS x{i + 1}")
+    names = [f"a{i}" for i in range(levels)] + [f"b{i}" for i in range(top_levels)]
+    carried = ", ".join(f"{t}.n AS {t}_n, {t}.lt AS {t}_lt, {t}.rt AS {t}_rt" for t in names)
+    folded = "\n".join(f", f{i + 1} AS (SELECT *, {f} FROM f{i})" for i, f in enumerate(folds))
+    return f"""
+WITH d AS (SELECT *, CASE WHEN {sql_crc32(points)} % 5 = 0 THEN translate(text, '{UPPER}', '{UPPER.lower()}') ELSE text END AS text2
+      FROM documents),
+l0 AS (SELECT doc_id, source, {digest("text")} AS leaf, {digest("text2")} AS now FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM l0),
+{_sql_tree("a", "SELECT source AS g, r, leaf AS h FROM l", levels)},
+q AS (SELECT g AS source, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS r FROM a{levels}),
+{_sql_tree("b", "SELECT 0 AS g, r, h FROM q", top_levels)},
+f0 AS (SELECT l.doc_id, l.leaf, q.h AS subroot, (SELECT max(h) FROM b{top_levels}) AS root,
+         sha256({" || ".join(proof)}) AS proof_sha256, {carried}, l.now AS x0
+       FROM l{joins})
+{folded}
+SELECT doc_id, leaf, subroot, root, proof_sha256, x{len(names)} AS folded_root, x{len(names)} = root AS verified FROM f{len(names)}"""
+
+
 QUERIES = {"op13_merkle_manifest": op13_merkle_manifest}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op13_merkle_manifest": oracle()}
