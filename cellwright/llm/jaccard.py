@@ -7,17 +7,20 @@ whole corpus, in a fixed number of buckets) and is otherwise decided by a seeded
 seed gives another order.  Linked sets share a token among their first n - ceil(percent * n) + 1
 tokens under every order, so
 
-1. tokens that stand in the prefixes of two different nodes under the first order are found by
-   one aggregation, and become a Bloom filter of bounded size;
+1. prefix tokens under the first order are listed with their position, for one document of each
+   class; tokens that two different nodes have are found by one aggregation, and become a Bloom
+   filter of bounded size;
 2. only (token, node) rows that pass it are dealt by token and class of size (linked sets are
    of the same or neighbouring classes); each node is paired with the least node of its best
    group (a hub), not with the whole group;
 3. a pair must also share a prefix token under each of the other orders (``arrays_overlap`` of
    16-bit token prints); then come sizes, counts in 64 buckets, which bound the difference of
-   the sets from below, and the sets themselves (verification);
+   the sets from below, the same bound from as many buckets as a set has tokens, and for what
+   is left the sets themselves (verification);
 4. components of the verified links; then all pairs of a group whose nodes are still in
    different components are taken through step 3: the nodes outside the group's largest
-   component against the group.  Groups in one component need no more pairs, as they cannot
+   component against the group, where the token's positions leave room for the tokens that
+   linked sets share (which holds for the first one that they share).  Groups in one component need no more pairs, as they cannot
    change the result; every other pair is tried, so no link is lost.
 Large groups of near copies therefore cost one pair per node, and copies cost one node.
 
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-from .common import materialise, pick, prepare, table, text_key
+from .common import materialise, pick, prepare, release, table, text_key
 from .graph import Bloom, components
 from .shingles import mix, shingle_sets
 
@@ -53,11 +56,6 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def head(sig: bytes) -> int:
-    """First 64 bits of a signature, as a signed integer."""
-    return int.from_bytes(sig[:8], "little", signed=True)
-
-
 def prefix(s: np.ndarray, percent: int, order: int, classes: np.ndarray) -> np.ndarray:
     """Prefix tokens of a set under one order, as hashes of that order."""
     n = len(s)
@@ -72,9 +70,20 @@ def spread(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((s & np.uint64(63)).astype(np.int64), minlength=64), 32767).astype(np.int16)
 
 
-def index_length(n: int, percent: int) -> int:
-    """Of two linked sets, the smaller one has a shared prefix token among so many first ones."""
-    return n - -(-2 * percent * n // (100 + percent)) + 1
+def fine(s: np.ndarray) -> bytes:
+    """Counts of a set's tokens in as many buckets as its size, rounded down to a power of two
+    (64 at least); counts stop at 255."""
+    size = 1 << max(6, len(s).bit_length() - 1)
+    return np.minimum(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """So many tokens at least are in one set only, by the sets' fine counts.  The longer counts
+    are folded to the shorter ones' buckets."""
+    x, y = (np.frombuffer(v, dtype=np.uint8).astype(np.int64) for v in (a, b))
+    size = min(len(x), len(y))
+    x, y = (np.minimum(v.reshape(-1, size).sum(axis=0), 255) for v in (x, y))
+    return int(np.abs(x - y).sum())
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -135,62 +144,57 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, text: str = "text", d
     classes = spark.sparkContext.broadcast(frequency_classes(first))
     listed = first.where("part IS NULL").drop("part", "counts")
 
-    def tokens(batches):
-        for b in batches:
-            for _, s in shingle_sets(b.column(0), k):
-                if len(s):
-                    p = prefix(s, percent, 0, classes.value)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(p.view(np.int64)), pa.array(np.full(len(p), head(digest(s)), np.int64))],
-                        ["token", "node"])
+    # Texts are read for one document of each class.  A filter that lets another copy through adds
+    # repeated rows, which change nothing.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    classes_ = materialise(listed.where("sig IS NOT NULL").groupBy("sig").agg(least.alias("least")), "jaccard-classes")
+    firsts = Bloom(classes_.select(F.xxhash64("least.doc_id", "least.key").alias("who")), "who")
+    texts = rows.select("t", F.xxhash64("doc_id", "key").alias("who"))
 
-    shared = (rows.select("t").mapInArrow(_joined(tokens), "token BIGINT, node BIGINT").groupBy("token")
-              .agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token"))
-    shared = Bloom(materialise(shared, "jaccard-shared"), "token")
+    def first_texts(b) -> pa.Array:
+        return b.column(0).filter(pa.array(firsts.passes(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
 
     def postings(batches):
         for b in batches:
-            for _, s in shingle_sets(b.column(0), k):
+            for _, s in shingle_sets(first_texts(b), k):
                 if len(s):
                     p = np.sort(prefix(s, percent, 0, classes.value))
-                    early = np.arange(len(p)) < index_length(len(s), percent)
-                    ok = shared.passes(p)
-                    if ok.any():
-                        p, early = p[ok], early[ok]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(p.view(np.int64)), pa.array([digest(s)] * len(p), pa.binary()),
-                             pa.array(np.full(len(p), len(s), np.int64)), pa.array(early)], ["token", "sig", "n", "early"])
-
-    posted = materialise(rows.select("t").mapInArrow(
-        _joined(postings), "token BIGINT, sig BINARY, n BIGINT, early BOOLEAN").distinct(), "jaccard-postings")
+                    m = len(p)
+                    sigs = pa.BinaryArray.from_buffers(pa.binary(), m, [
+                        None, pa.py_buffer(np.arange(m + 1, dtype=np.int32) * 16), pa.py_buffer(digest(s) * m)])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(p.view(np.int64)), sigs, pa.array(np.full(m, len(s), np.int64)),
+                         pa.array(np.arange(m, dtype=np.int32))], ["token", "sig", "n", "pos"])
+
+    every = materialise(texts.mapInArrow(_joined(postings), "token BIGINT, sig BINARY, n BIGINT, pos INT"), "jaccard-tokens")
+    node = F.xxhash64("sig")
+    shared = materialise(every.groupBy("token").agg(F.min(node).alias("lo"), F.max(node).alias("hi"))
+                         .where("lo <> hi").select("token"), "jaccard-shared")
+    posted = materialise(every.where(Bloom(shared, "token").column("token")).distinct(), "jaccard-postings")
+    release(every, shared)
     # Sizes of linked sets differ by a factor of at most 100 / percent, so the sets' classes of
     # that width differ by at most one: groups are (token, two neighbouring classes).
     width = math.log(100 / percent) * 1.0001 if percent < 100 else 1.0
     classed = posted.withColumn("c", F.explode(F.expr(
         f"array(CAST(floor(ln(n) / {width!r}) AS INT), CAST(floor(ln(n) / {width!r}) AS INT) + 1)")))
     hub = classed.groupBy("token", "c").agg(F.min("sig").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
-    posted = materialise(classed.join(hub, ["token", "c"]), "jaccard-groups")
+    grouped = materialise(classed.join(hub, ["token", "c"]), "jaccard-groups")
+    release(posted)
+    posted = grouped
 
     hubs = posted.where("sig <> hub").groupBy("sig", "hub").agg(F.count("*").alias("m"))
     first_pairs = materialise(
         hubs.groupBy("sig").agg(F.max(F.struct("m", "hub")).alias("best"))
         .select(F.col("best.hub").alias("a"), F.col("sig").alias("b")), "jaccard-hub-pairs")
 
-    # Texts are fetched for the nodes of such groups only, from one document of each class.  A
-    # filter that lets another copy through adds a repeated row, which changes nothing.
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    classes_ = listed.where("sig IS NOT NULL").groupBy("sig").agg(least.alias("least"))
-    wanted = materialise(posted.select("sig").distinct().join(classes_, "sig").select(
-        F.expr(SHORT).alias("h"), F.xxhash64("least.doc_id", "least.key").alias("who")), "jaccard-wanted")
-    wanted, firsts = Bloom(wanted, "h"), Bloom(wanted, "who")
+    # Of the texts, only those of nodes in such groups are needed.
+    wanted = Bloom(materialise(posted.select("sig").distinct().select(F.expr(SHORT).alias("h")), "jaccard-wanted"), "h")
 
     def payload(batches):
         for b in batches:
-            texts = b.column(0)
-            first_of_class = firsts.passes(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
-            texts = texts.filter(pa.array(first_of_class))
-            at, sigs, sizes, parts, prints = [], [], [], [], [[] for _ in range(1, orders)]
-            for row, s in shingle_sets(texts, k):
+            found = first_texts(b)
+            at, sigs, sizes, parts, fines, prints = [], [], [], [], [], [[] for _ in range(1, orders)]
+            for row, s in shingle_sets(found, k):
                 if not len(s):
                     continue
                 sig = digest(s)
@@ -200,17 +204,18 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, text: str = "text", d
                 sigs.append(sig)
                 sizes.append(len(s))
                 parts.append(spread(s))
+                fines.append(fine(s))
                 for o in range(1, orders):
                     p = prefix(s, percent, o, classes.value)
                     prints[o - 1].append(np.unique(mix(p).astype(np.uint16)).view(np.int16))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int16())),
-                 *[pa.array(p, pa.list_(pa.int16())) for p in prints], texts.take(pa.array(at, pa.int64()))],
-                ["sig", "n", "s", *[f"f{o}" for o in range(1, orders)], "t"])
+                [pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int16())), pa.array(fines, pa.binary()),
+                 *[pa.array(p, pa.list_(pa.int16())) for p in prints], found.take(pa.array(at, pa.int64()))],
+                ["sig", "n", "s", "fine", *[f"f{o}" for o in range(1, orders)], "t"])
 
     f_cols = [f"f{o}" for o in range(1, orders)]
-    nodes = materialise(rows.select("t", F.xxhash64("doc_id", "key").alias("who")).mapInArrow(
-        payload, "sig BINARY, n BIGINT, s ARRAY<SMALLINT>, " + "".join(f"{f} ARRAY<SMALLINT>, " for f in f_cols) + "t STRING"), "jaccard-nodes")
+    nodes = materialise(texts.mapInArrow(
+        payload, "sig BINARY, n BIGINT, s ARRAY<SMALLINT>, fine BINARY, " + "".join(f"{f} ARRAY<SMALLINT>, " for f in f_cols) + "t STRING"), "jaccard-nodes")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Links among (a, b) pairs: sizes, the other orders, then the sets."""
@@ -231,7 +236,19 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, text: str = "text", d
                 ok = pa.array([linked(x, y, percent) for x, y in zip(left, right)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
-        close = materialise(close.select("a", "b").distinct(), "jaccard-close")
+        def apart(batches):
+            for b in batches:
+                n = b.column(2).to_numpy() + b.column(3).to_numpy()
+                least = np.array([least_difference(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())], np.int64)
+                ok = pa.array(least * (100 + percent) <= n * (100 - percent))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+
+        # Last, the same bound from finer counts, for the pairs that are left.
+        coarse = materialise(close.select("a", "b").distinct(), "jaccard-coarse")
+        close = (coarse.join(side("a", "n", "fine"), "a").join(side("b", "n", "fine"), "b")
+                 .select("a", "b", "a_n", "b_n", "a_fine", "b_fine").mapInArrow(apart, "a BINARY, b BINARY"))
+        close = materialise(close, "jaccard-close")
+        release(coarse)
         both = close.select("a").unionByName(close.select(F.col("b").alias("a"))).withColumnRenamed("a", "sig")
         texts = nodes.where(Bloom(both.select(F.expr(SHORT).alias("h")), "h").column(F.expr(SHORT)))
         full = (close.join(side("a", "t", of=texts), "a").join(side("b", "t", of=texts), "b")
@@ -241,23 +258,28 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, text: str = "text", d
     links = materialise(verify(first_pairs), "jaccard-links")
     parts = components(links)
     placed = materialise(
-        posted.select("token", "c", "sig", "n", "early").join(parts.select(F.col("node").alias("sig"), "root"), "sig", "left")
-        .select("token", "c", "sig", "n", "early", F.coalesce("root", "sig").alias("root")), "jaccard-placed")
+        posted.select("token", "c", "sig", "n", "pos").join(parts.select(F.col("node").alias("sig"), "root"), "sig", "left")
+        .select("token", "c", "sig", "n", "pos", F.coalesce("root", "sig").alias("root")), "jaccard-placed")
+    release(posted)
     # groups of more than one component, with their largest
     largest = (placed.groupBy("token", "c", "root").agg(F.count("*").alias("m"))
                .groupBy("token", "c").agg(F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("roots"))
                .where("roots > 1").select("token", "c", F.col("x.root").alias("largest")))
     open_ = materialise(placed.join(largest, ["token", "c"]), "jaccard-open")
+    release(placed)
     probe = open_.where("root <> largest").select(
-        "token", "c", F.col("sig").alias("x"), F.col("n").alias("x_n"), F.col("early").alias("x_early"), F.col("root").alias("x_root"))
+        "token", "c", F.col("sig").alias("x"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("root").alias("x_root"))
     rest = (probe.join(open_, ["token", "c"])
             .where((F.col("root") != F.col("x_root")) & (F.col("n") * 100 >= F.col("x_n") * percent)
                    & (F.col("x_n") * 100 >= F.col("n") * percent))
-            # the token must be among the first ones of the smaller set
-            .where("(early AND n <= x_n) OR (x_early AND x_n <= n)")
+            # the first token that linked sets share leaves room in both for all that they must share
+            .where(F.expr(f"least(n - pos, x_n - x_pos) * {100 + percent} >= (n + x_n) * {percent}"))
             .select(F.least("x", "sig").alias("a"), F.greatest("x", "sig").alias("b")).distinct())
     tried = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialise(verify(materialise(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")), "jaccard-links")
+    pairs = materialise(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    release(open_)
+    more = materialise(verify(pairs), "jaccard-links")
+    release(pairs, nodes)
     roots = components(links.unionByName(more))
 
     # Classes keep their least document; components take the least of their classes'.
