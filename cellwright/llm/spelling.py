@@ -120,17 +120,19 @@ def leaf_id(v: Column) -> Column:
 def search(levels: list[DataFrame]) -> DataFrame:
     """(a, b, more, less): pairs of leaves that a surplus and a deficit of one can bridge, both
     ways round; ``more`` and ``less`` say what of the two was spent from a to b."""
-    spark = levels[0].sparkSession
-    pairs = spark.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"),
-                                  F.lit(0).alias("more"), F.lit(0).alias("less"))
+    pairs = None
     for i, nodes in enumerate(levels):
         nodes = materialise(nodes, f"spelling-trie-{i}")
+        if pairs is None:  # the root with itself
+            below = nodes.select("id", F.col("parent").alias("b"), "counts", F.lit(0).alias("more"), F.lit(0).alias("less"))
+        else:
+            below = pairs.join(nodes.withColumnRenamed("parent", "a"), "a")
         moves = F.expr(f"""filter(flatten(transform(sequence(0, {LEVEL_GROUPS}), u ->
             transform(sequence(0, {LEVEL_GROUPS}), d -> struct(u AS up, d AS down)))),
             x -> (x.up = 0 OR more = 0) AND (x.down = 0 OR less = 0) AND (x.up = 0 OR x.up <> x.down)
                  AND (x.down = 0 OR try_element_at(counts, x.down) > 0))""")
         reached = F.expr("transform(counts, (c, k) -> c + IF(k + 1 = m.up, 1, 0) - IF(k + 1 = m.down, 1, 0))")
-        down = (pairs.join(nodes.withColumnRenamed("parent", "a"), "a")
+        down = (below
                 .select("id", "b", "counts", "more", "less", F.explode(moves).alias("m"))
                 .select(F.col("id").alias("a"), F.xxhash64("b", reached).alias("b"),
                         (F.col("more") + (F.col("m.up") > 0).cast("int")).alias("more"),
