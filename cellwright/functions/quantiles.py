@@ -6,18 +6,23 @@ The reference takes quantiles with the *nearest rank* rule (index
 
 ``kth_smallest`` answers many such requests in a handful of aggregate passes:
 
-* when a request ranges over at most ``exact_limit`` values, those values are
-  sorted in one aggregate (``array_sort(collect_list(...))``) and element ``k`` is
-  taken, exactly and in the column's own type;
-* above that, it narrows a value bracket around the k-th element: one pass takes
-  ``percentile_approx`` cut points inside the bracket, a second counts exactly how
-  many values fall at or below the new cut points.  The sketch accuracy is sized
-  so that one round usually brings the bracket under ``exact_limit`` (capped at
-  ``MAX_ACCURACY``: 10**12 values take two rounds); once it is there the exact step
-  above finishes.  NaN is the largest value on either way, as Spark sorts it, and is counted
-  beside the sketch; texts (digits only, compared byte by byte) are sketched by the 15
-  digits (a double holds them) after what all values of the bracket begin with; rounds go on until every request is met.  Memory per task stays bounded by the sketch and by
-  ``exact_limit`` values, whatever the table size.
+* requests over at most ``exact_limit`` values sort those values in one aggregate and take
+  element ``k``, exactly and in the column's own type;
+* above that, KLL sketches narrow a value bracket around the k-th element.  A sketch is built for
+  every task, merged by LEAVES buckets of partitions and those into one, so no task merges the
+  sketches of the whole table.  Two cut points are read off it a little below and above the
+  element's rank.  The next pass counts exactly how many values fall below and at the cut points,
+  and at the same time lists the values between them, or sketches them where they are still too
+  many: normally the element is among them and the pass was not in vain.  If not, the bracket
+  moves to the side on which it is.  Requests with equal brackets share sketch and list, and a
+  pass takes at most SKETCH_ITEMS retained sketch items a task, further columns go to the next.
+
+The error of the sketch decides how many passes are needed, never the result.  NaN is the
+largest value on either way, as Spark sorts it, and is counted beside the sketch.  Decimals are
+sketched by their distance from the bracket's lower end; texts (digits only, compared byte by
+byte) by the 15 digits (a bigint holds them) after what all values of the bracket begin with.
+Memory per task stays bounded by the sketches and by ``exact_limit`` values a bracket, whatever
+the table size.
 """
 
 from __future__ import annotations
@@ -25,13 +30,21 @@ from __future__ import annotations
 import math
 import os
 from dataclasses import dataclass
+from decimal import Decimal, localcontext
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXACT_LIMIT = 50_000
-ACCURACY = 1_000
-MAX_ACCURACY = 1_000_000
+EXACT_LIMIT = 10_000
+#: Least and greatest size parameter of a sketch.
+ACCURACY = 200
+MAX_ACCURACY = 32_768
+LEAVES = 64
+SKETCH_ITEMS = 1 << 18
+#: Expressions per aggregate, to stay below the JIT method-size limit.
+AGG_CHUNK = 120
+#: Even steps that a sketch made beside the counts is read at.
+STEPS = 2_000
 
 
 def nearest_rank(n: int, q: float) -> int:
@@ -59,134 +72,253 @@ def _sql_num(v) -> str:
         if math.isinf(v):
             return "CAST('Infinity' AS DOUBLE)" if v > 0 else "CAST('-Infinity' AS DOUBLE)"
         return f"CAST({v!r} AS DOUBLE)"
+    if isinstance(v, Decimal):
+        return format(v, "f")
     return f"'{v}'" if isinstance(v, str) else str(v)
 
 
-def _in_bracket(expr: str, lo, hi) -> str:
-    conds = []
-    if lo is not None:
-        conds.append(f"({expr}) > {_sql_num(lo)}")
-    if hi is not None:
-        conds.append(f"({expr}) <= {_sql_num(hi)}")
-    if not conds:
-        return expr
-    return f"CASE WHEN {' AND '.join(conds)} THEN ({expr}) END"
+@dataclass
+class Bracket:
+    """The values of ``expr`` strictly between lo and hi (None: no bound)."""
+    expr: str
+    lo: object = None
+    hi: object = None
+    head: str = ""     # what all texts of the bracket begin with
 
+    def key(self):
+        return self.expr, repr(self.lo), repr(self.hi)
+
+    def values(self) -> str:
+        conds = [f"({self.expr}) {op} {_sql_num(v)}" for op, v in ((">", self.lo), ("<", self.hi)) if v is not None]
+        return f"CASE WHEN {' AND '.join(conds)} THEN ({self.expr}) END" if conds else f"({self.expr})"
+
+
+def rank_error(k: int) -> float:
+    """Normalised rank error of a KLL sketch of size k (99 % of the time)."""
+    return 2.296 / k ** 0.9021
+
+
+def sketch_size(n: int, limit: int, least: int) -> int:
+    """Sketch size whose bracket (six errors wide) holds at most ``limit`` of n values."""
+    want = (2.296 * 6 * n / limit) ** (1 / 0.9021)
+    return int(min(MAX_ACCURACY, max(least, math.ceil(want))))
+
+
+class _Sketch:
+    """Sketch of a bracket: how its values become numbers, and numbers cut points again."""
+
+    def __init__(self, bracket: Bracket, kind: str, scale: int, size: int):
+        self.b, self.kind, self.scale, self.size = bracket, kind, scale, size
+        self.base = bracket.lo if kind == "decimal" and bracket.lo is not None else None
+
+    @property
+    def form(self) -> str:
+        return "double" if self.kind in ("double", "decimal") else "bigint"
+
+    def column(self) -> Column:
+        v = self.b.values()
+        if self.kind == "string":
+            v = f"CAST(rpad(substring({v}, {len(self.b.head) + 1}, 15), 15, '0') AS BIGINT)"
+        elif self.kind == "decimal":
+            v = f"CAST({v} - {_sql_num(self.base)} AS DOUBLE)" if self.base is not None else f"CAST({v} AS DOUBLE)"
+        elif self.kind == "double":
+            v = f"nullif(CAST({v} AS DOUBLE), CAST('NaN' AS DOUBLE))"
+        else:
+            v = f"CAST({v} AS BIGINT)"
+        return F.expr(v)
+
+    def points(self, found: str, ranks: list[float]) -> Column:
+        arr = ", ".join(f"CAST({x!r} AS DOUBLE)" for x in ranks)
+        return F.expr(f"CASE WHEN kll_sketch_get_n_{self.form}({found}) > 0 "
+                      f"THEN kll_sketch_get_quantile_{self.form}({found}, array({arr})) END")
+
+    def cut(self, x, upper: bool):
+        if self.kind == "string":  # not above the values of the lower cut, above all of the upper
+            return self.b.head + (f"{x:015d}:" if upper else f"{x:015d}".rstrip("0"))
+        if self.kind == "decimal":
+            with localcontext() as ctx:
+                ctx.prec = 120
+                unit = Decimal(1).scaleb(-self.scale)
+                if abs(Decimal(x) / unit) >= 2 ** 53:  # not every decimal here is a double: step aside
+                    x = math.nextafter(x, math.inf if upper else -math.inf)
+                return (Decimal(repr(x)) + (self.base or 0)).quantize(unit)
+        return x
+
+
+def _leaf_sketches(df: DataFrame, sketches: list[_Sketch], counts: list[str], lists: list[Bracket]) -> DataFrame:
+    """One row: k0.. the merged sketches, n0.. the sums of the conditions, l0.. the values."""
+    leaf = df.select(F.pmod(F.spark_partition_id(), F.lit(LEAVES)).alias("leaf"),
+                     *[s.column().alias(f"s{i}") for i, s in enumerate(sketches)],
+                     *[F.expr(c).alias(f"c{i}") for i, c in enumerate(counts)],
+                     *[F.expr(b.values()).alias(f"v{i}") for i, b in enumerate(lists)])
+    leaf = leaf.groupBy("leaf").agg(
+        *[F.expr(f"kll_sketch_agg_{s.form}(s{i}, {s.size})").alias(f"k{i}") for i, s in enumerate(sketches)],
+        F.count("*").alias("rows"),
+        *[F.count_if(f"c{i}").alias(f"n{i}") for i in range(len(counts))],
+        *[F.collect_list(f"v{i}").alias(f"l{i}") for i in range(len(lists))])
+    return leaf.agg(
+        *[F.expr(f"kll_merge_agg_{s.form}(k{i})").alias(f"k{i}") for i, s in enumerate(sketches)],
+        F.sum("rows").alias("rows"),
+        *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(counts))],
+        *[F.array_sort(F.flatten(F.collect_list(f"l{i}"))).alias(f"l{i}") for i in range(len(lists))])
 
-def _common_heads(df: DataFrame, groups: list[tuple]) -> dict:
-    """What all texts of a value bracket begin with: the whole text if they are equal."""
-    if not groups:
-        return {}
-    aggs = [F.expr(f"{f}({_in_bracket(*g)})").alias(f"{f}{i}") for i, g in enumerate(groups) for f in ("min", "max")]
-    row = df.agg(*aggs).collect()[0]
-    return {g: os.path.commonprefix([row[f"min{i}"], row[f"max{i}"]]) for i, g in enumerate(groups)}
+
+@dataclass
+class _State:
+    req: Request
+    bracket: Bracket
+    below: int      # values at or under the bracket's lower end
+    cnt: int        # values in the bracket
+    cuts: tuple | None = None
 
 
 def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXACT_LIMIT,
                  accuracy: int = ACCURACY, extra: dict | None = None) -> dict:
     """Exact k-th smallest value for every request, computed together.
 
-    ``extra`` (name -> aggregate Column) rides along in the first pass, so a caller's
-    own counters cost no scan of their own; their values come back under their names.
+    ``extra`` (name -> aggregate Column) is evaluated along with them: in the same scan where
+    every request ranges over few values, else in one of its own.
     """
+    out: dict = {r.name: None for r in requests}
+    asked = [r for r in requests if 0 <= r.k < r.n]
+    few = [r for r in asked if r.n <= exact_limit]
+    named = dict(extra or {})
+    exprs = list(dict.fromkeys(r.expr for r in few))
+    named |= {f"__sorted{i}_{j}": F.expr(f"element_at(array_sort(collect_list({e})), {r.k + 1})")
+              for i, e in enumerate(exprs) for j, r in enumerate(few) if r.expr == e}
+    place = {f"__sorted{exprs.index(r.expr)}_{j}": r.name for j, r in enumerate(few)}
+    items = list(named.items())
+    for at in range(0, len(items), AGG_CHUNK):
+        chunk = items[at:at + AGG_CHUNK]
+        row = df.agg(*[e.alias(f"a{i}") for i, (_, e) in enumerate(chunk)]).first()
+        out |= {place.get(name, name): row[f"a{i}"] for i, (name, _) in enumerate(chunk)}
+    many = [r for r in asked if r.n > exact_limit]
+    if many:
+        out |= _narrow(df, many, exact_limit, accuracy)
+    return out
+
+
+def _narrow(df: DataFrame, requests: list[Request], limit: int, accuracy: int) -> dict:
+    types = {e: df.select(F.expr(e)).schema[0].dataType for e in {r.expr for r in requests}}
+    kinds = {e: {"float": "double", "double": "double", "decimal": "decimal", "string": "string"}.get(t.typeName(), "bigint")
+             for e, t in types.items()}
+    heads = _common_heads(df, [e for e in types if kinds[e] == "string"])
+    state = {r.name: _State(r, Bracket(r.expr, head=heads.get(r.expr, "")), 0, r.n) for r in requests}
     out: dict = {}
-    extra = dict(extra or {})
-    state = {}
-    for r in requests:
-        if r.n <= 0 or r.k < 0 or r.k >= r.n:
-            out[r.name] = None
-        else:
-            state[r.name] = {"req": r, "lo": None, "hi": None, "below": 0, "cnt": r.n}
-    types = {r.expr: df.select(F.expr(r.expr)).schema[0].dataType.typeName() for r in requests if r.n > exact_limit}
-    finest = MAX_ACCURACY
-    while state or extra:
-        before = {k: s["cnt"] for k, s in state.items()}
-        exact = {k: s for k, s in state.items() if s["cnt"] <= exact_limit}
-        wide = {k: s for k, s in state.items() if s["cnt"] > exact_limit}
-        aggs = []
-        names = []
-        for i, (name, s) in enumerate(exact.items()):
-            r = s["req"]
-            v = _in_bracket(r.expr, s["lo"], s["hi"])
-            # at most exact_limit values: sort them and index; keeps the value's own type
-            # (percentile_disc would turn a bigint into a double)
-            aggs.append(F.expr(f"element_at(array_sort(collect_list({v})), {r.k - s['below'] + 1})").alias(f"e{i}"))
-            names.append(("e", name, f"e{i}"))
-        # requests over the same value bracket share one sketch
-        groups: dict = {}
-        for name, s in wide.items():
-            groups.setdefault((s["req"].expr, s["lo"], s["hi"]), []).append(name)
-        heads = _common_heads(df, [g for g in groups if types[g[0]] == "string"])
-        spans = {}
-        for gi, ((expr, lo, hi), members) in enumerate(groups.items()):
-            # sketch accuracy sized so one round brings the bracket under exact_limit
-            # (bounded above: a larger bracket simply takes another round)
-            cnt = max(state[n]["cnt"] for n in members)
-            acc = int(min(finest, max(accuracy, math.ceil(8.0 * cnt / exact_limit) + 1)))
-            fr = []
-            for name in members:
-                s = state[name]
-                f = (s["req"].k - s["below"]) / s["cnt"]
-                d = 4.0 / acc
-                spans[name] = (gi, len(fr))
-                fr += [max(0.0, f - d), min(1.0, f + d)]
-            v = _in_bracket(expr, lo, hi)
-            if (expr, lo, hi) in heads:
-                v = f"CAST(rpad(substring({v}, {len(heads[expr, lo, hi]) + 1}, 15), 15, '0') AS BIGINT)"
-            if types[expr] in ("double", "float"):
-                v = f"nullif({v}, CAST('NaN' AS DOUBLE))"
-            arr = ", ".join(repr(x) for x in fr)
-            aggs.append(F.expr(f"percentile_approx({v}, array({arr}), {acc})").alias(f"w{gi}"))
-        for j, (name, e) in enumerate(extra.items()):
-            aggs.append(e.alias(f"x{j}"))
-        if not aggs:
-            break
-        row = df.agg(*aggs).collect()[0]
-        for j, name in enumerate(extra):
-            out[name] = row[f"x{j}"]
-        extra = {}
-        for kind, name, alias in names:
-            if kind == "e":
-                out[name] = row[alias]
-                del state[name]
-        for name, (gi, pos) in spans.items():
-            names.append(("w", name, (f"w{gi}", pos)))
-        if not wide:
-            break
-        # Exact counts below and at the new cut points.
-        cuts = {}
-        cnt_aggs = []
-        for i, (kind, name, (alias, pos)) in enumerate([n for n in names if n[0] == "w"]):
-            nan = float("nan")  # no sketch: nothing but NaN is left
-            lo_v, hi_v = row[alias][pos:pos + 2] if row[alias] else (nan, nan)
-            head = heads.get((state[name]["req"].expr, state[name]["lo"], state[name]["hi"]))
-            if head is not None:  # not above the values of the first cut, and above all of the second
-                lo_v, hi_v = head + f"{lo_v:015d}".rstrip("0"), head + f"{hi_v:015d}:"
-            cuts[name] = (lo_v, hi_v)
-            e = state[name]["req"].expr
-            for tag, op, v in (("a", "<", lo_v), ("b", "<=", lo_v), ("c", "<", hi_v), ("d", "<=", hi_v)):
-                cnt_aggs.append(F.expr(f"count_if(({e}) {op} {_sql_num(v)})").alias(f"{tag}{i}"))
-        crow = df.agg(*cnt_aggs).collect()[0]
-        for i, name in enumerate(cuts):
-            s = state[name]
-            k = s["req"].k
-            lo_v, hi_v = cuts[name]
-            lt_lo, le_lo, lt_hi, le_hi = (crow[f"{t}{i}"] for t in "abcd")
-            if lt_lo <= k < le_lo:          # the k-th value equals a cut point
-                out[name] = lo_v
-                del state[name]
-            elif lt_hi <= k < le_hi:
-                out[name] = hi_v
-                del state[name]
-            elif le_lo <= k < lt_hi:        # strictly between the cut points
-                s.update(lo=lo_v, hi=hi_v, below=le_lo, cnt=le_hi - le_lo)
-            elif k < lt_lo:                 # below the lower cut point
-                s.update(hi=lo_v, cnt=le_lo - s["below"])
-            else:                           # above the upper cut point
-                s.update(lo=hi_v, below=le_hi, cnt=s["below"] + s["cnt"] - le_hi)
-        if any(s["cnt"] >= before[k] for k, s in state.items()):  # a finer sketch for what did not shrink
-            accuracy, finest = accuracy * 4, finest * 4
-            if accuracy > 2**31 - 1:
-                raise RuntimeError(f"order statistics did not converge: {sorted(state)}")
-            finest = min(finest, 2**31 - 1)
+
+    while state:
+        # what the pass needs: sketches of brackets without cut points; for the others counts at the
+        # cut points, and the values between them, as a list or as the next sketch
+        sketches: dict = {}
+        lists: dict = {}
+        counts: dict = {}
+        room = SKETCH_ITEMS
+
+        def sketch(b: Bracket, cnt: int, held: int) -> bool:
+            size = sketch_size(cnt, limit, accuracy)
+            if b.key() not in sketches:
+                if size > held and sketches:
+                    return False
+                scale = getattr(types[b.expr], "scale", 0)
+                sketches[b.key()] = _Sketch(b, kinds[b.expr], scale, size)
+            return True
+
+        active = []
+        for st in state.values():
+            if st.cuts is None:
+                if sketch(st.bracket, st.cnt, room - sum(x.size for x in sketches.values())):
+                    active.append(st)
+                continue
+            lo, hi, width = st.cuts
+            inner = _inner(st)
+            for op, v in (("<", lo), ("<=", lo), ("<", hi), ("<=", hi)):
+                counts.setdefault((st.req.expr, op, repr(v)), f"({st.req.expr}) {op} {_sql_num(v)}")
+            if width <= limit:
+                lists.setdefault(inner.key(), inner)
+            else:
+                sketch(inner, width, room)
+            active.append(st)
+
+        keys, marks, got = list(sketches), list(counts), list(lists)
+        one = _leaf_sketches(df, [sketches[k] for k in keys], [counts[k] for k in marks], [lists[k] for k in got])
+        wanted, spans = [], {}
+        for j, st in enumerate(active):
+            r = st.req
+            if st.cuts is None:
+                n, below, b = st.cnt, F.lit(st.below), st.bracket
+            else:
+                b, n = _inner(st), None
+                below = F.col(f"n{marks.index((r.expr, '<=', repr(st.cuts[0])))}")
+                if b.key() in lists:  # the element, if it is in the list
+                    i = F.lit(r.k) - below
+                    arr = f"l{got.index(b.key())}"
+                    wanted.append(F.when((i >= 0) & (i < F.size(arr)), F.get(arr, i.cast("int"))).alias(f"e{j}"))
+                    continue
+            sk = sketches[b.key()]
+            err = 3 * rank_error(sk.size)
+            # the rank in the bracket is known in the pass for new sketches only; one that was made
+            # beside the counts gives even steps, of which the driver takes two
+            steps = ([max(0.0, (r.k - st.below) / n - err), min(1.0, (r.k - st.below) / n + err)] if n is not None
+                     else [x / STEPS for x in range(STEPS + 1)])
+            spans[j] = (sk, err)
+            wanted.append(sk.points(f"k{keys.index(b.key())}", steps).alias(f"p{j}"))
+        row = one.select(*[F.col(f"n{i}") for i in range(len(marks))], *wanted).first()
+        seen = {m: row[f"n{i}"] or 0 for i, m in enumerate(marks)}
+
+        for j, st in enumerate(active):
+            r = st.req
+            if st.cuts is None:
+                st.cuts = _cuts(spans[j][0], row[f"p{j}"], spans[j][1], st.cnt)
+                continue
+            lo, hi, width = st.cuts
+            lt_lo, le_lo, lt_hi, le_hi = (seen[r.expr, op, repr(v)] for op, v in (("<", lo), ("<=", lo), ("<", hi), ("<=", hi)))
+            inner = _inner(st)
+            end = st.below + st.cnt
+            st.cuts = None
+            if lt_lo <= r.k < le_lo or lt_hi <= r.k < le_hi:  # the element equals a cut point
+                out[r.name] = lo if r.k < le_lo else hi
+                del state[r.name]
+            elif le_lo <= r.k < lt_hi:
+                st.bracket, st.below, st.cnt = inner, le_lo, lt_hi - le_lo
+                if inner.key() in lists:
+                    out[r.name] = row[f"e{j}"]
+                    del state[r.name]
+                elif j in spans:
+                    sk, err = spans[j]
+                    at = (r.k - le_lo) / st.cnt
+                    points = row[f"p{j}"]
+                    if points:
+                        a = max(0, math.floor((at - err) * STEPS))
+                        b = min(STEPS, math.ceil((at + err) * STEPS))
+                        st.cuts = _cuts(sk, [points[a], points[b]], (b - a) / STEPS / 2 + err, st.cnt)
+                    else:
+                        st.cuts = _cuts(sk, None, err, st.cnt)
+            elif r.k < lt_lo:                           # under the lower cut point
+                st.bracket = Bracket(r.expr, st.bracket.lo, lo, st.bracket.head)
+                st.cnt = lt_lo - st.below
+            else:                                       # over the upper one
+                st.bracket = Bracket(r.expr, hi, st.bracket.hi, st.bracket.head)
+                st.below, st.cnt = le_hi, end - le_hi
     return out
+
+
+def _inner(st: _State) -> Bracket:
+    lo, hi, _ = st.cuts
+    head = os.path.commonprefix([lo, hi]) if isinstance(lo, str) else ""
+    return Bracket(st.req.expr, lo, hi, head)
+
+
+def _cuts(sk: _Sketch, points, err: float, cnt: int) -> tuple:
+    """Cut points and about how many values are strictly between them."""
+    if not points:  # no sketch: nothing but NaN is left
+        return float("nan"), float("nan"), 0
+    lo, hi = sk.cut(points[0], False), sk.cut(points[1], True)
+    return lo, hi, 0 if lo == hi else math.ceil(min(1.0, 2 * err + 2 * rank_error(sk.size)) * cnt)
+
+
+def _common_heads(df: DataFrame, exprs: list[str]) -> dict:
+    """What all texts of a column begin with: the whole text if they are equal."""
+    if not exprs:
+        return {}
+    row = df.agg(*[F.expr(f"{f}({e})").alias(f"{f}{i}") for i, e in enumerate(exprs) for f in ("min", "max")]).first()
+    return {e: os.path.commonprefix([row[f"min{i}"], row[f"max{i}"]]) for i, e in enumerate(exprs)}

@@ -3,6 +3,7 @@
 import os
 import random
 import tempfile
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,34 @@ def test_kth_smallest_heavy_ties(spark):
     assert [got[str(k)] for k in (0, 499, 500, 502, 503, n - 1)] == [1.0, 1.0, 2.0, 2.0, 3.0, 3.0]
 
 
+@pytest.mark.parametrize("kind, make", [
+    ("decimal(38,0)", lambda rnd: 10**37 + rnd.choice([7, rnd.randint(0, 10**30), rnd.randint(0, 50)])),
+    ("decimal(38,10)", lambda rnd: Decimal(rnd.choice([1, 3, rnd.randint(-10**20, 10**20)])) / 8),
+    ("decimal(12,2)", lambda rnd: Decimal(rnd.randint(-900, 900)) / 100),
+    ("bigint", lambda rnd: rnd.choice([2**62 + 1, rnd.randint(2**62, 2**62 + 40), -5])),
+    ("int", lambda rnd: rnd.randint(-3, 3)),
+    ("float", lambda rnd: rnd.choice([float("nan"), float("inf"), 0.5, float(rnd.randint(0, 90))])),
+])
+def test_kth_smallest_by_sketches_of_every_type(spark, kind, make):
+    rnd = random.Random(kind)
+    vals = [make(rnd) for _ in range(1500)]
+    n = len(vals)
+    df = spark.createDataFrame([(str(v),) for v in vals] + [(None,)], "t string").selectExpr(f"CAST(t AS {kind}) AS x")
+    want = sorted((r.x for r in df.where("x IS NOT NULL").collect()), key=lambda v: (v != v, v))
+    ks = [0, 1, 2, n // 4, n // 2 - 1, n // 2, (3 * n) // 4, n - 2, n - 1]
+    got = Q.kth_smallest(df.repartition(7), [Q.Request(str(k), "x", k, n) for k in ks], exact_limit=5, accuracy=8)
+    assert [repr(got[str(k)]) for k in ks] == [repr(want[k]) for k in ks]
+
+
+def test_kth_smallest_of_many_columns_goes_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SKETCH_ITEMS", 900)
+    df = spark.range(4000).selectExpr(*[f"(id * {2 * c + 1}) % 4000 AS c{c}" for c in range(9)], "id")
+    reqs = [Q.Request(f"{c}|{k}", f"c{c}", k, 4000) for c in range(9) for k in (10, 2000, 3999)]
+    got = Q.kth_smallest(df, reqs, exact_limit=100, extra={"top": F.max("id")})
+    assert got.pop("top") == 3999
+    assert got == {f"{c}|{k}": sorted((i * (2 * c + 1)) % 4000 for i in range(4000))[k] for c in range(9) for k in (10, 2000, 3999)}
+
+
 def test_nearest_rank_index():
     assert [Q.nearest_rank(11, q) for q in (0.25, 0.75, 0.05, 0.95)] == [3, 8, 1, 10]
     assert Q.floor_index(10, 0.75) == 7 and Q.floor_index(4, 1.0) == 3
