@@ -43,6 +43,8 @@ LEAVES = 64
 SKETCH_ITEMS = 1 << 18
 #: Expressions per aggregate, to stay below the JIT method-size limit.
 AGG_CHUNK = 120
+#: A bracket is so many rank errors of its sketch wide, those of the cut points included.
+BRACKET_ERRORS = 8
 #: Even steps that a sketch made beside the counts is read at.
 STEPS = 2_000
 
@@ -99,8 +101,8 @@ def rank_error(k: int) -> float:
 
 
 def sketch_size(n: int, limit: int, least: int) -> int:
-    """Sketch size whose bracket (six errors wide) holds at most ``limit`` of n values."""
-    want = (2.296 * 6 * n / limit) ** (1 / 0.9021)
+    """Sketch size whose bracket holds at most ``limit`` of n values."""
+    want = (2.296 * BRACKET_ERRORS * n / limit) ** (1 / 0.9021)
     return int(min(MAX_ACCURACY, max(least, math.ceil(want))))
 
 
@@ -255,7 +257,7 @@ def _narrow(df: DataFrame, requests: list[Request], limit: int, accuracy: int) -
                     wanted.append(F.when((i >= 0) & (i < F.size(arr)), F.get(arr, i.cast("int"))).alias(f"e{j}"))
                     continue
             sk = sketches[b.key()]
-            err = 3 * rank_error(sk.size)
+            err = (BRACKET_ERRORS / 2 - 1) * rank_error(sk.size)
             # the rank in the bracket is known in the pass for new sketches only; one that was made
             # beside the counts gives even steps, of which the driver takes two
             steps = ([max(0.0, (r.k - st.below) / n - err), min(1.0, (r.k - st.below) / n + err)] if n is not None
@@ -313,7 +315,7 @@ def _cuts(sk: _Sketch, points, err: float, cnt: int) -> tuple:
     if not points:  # no sketch: nothing but NaN is left
         return float("nan"), float("nan"), 0
     lo, hi = sk.cut(points[0], False), sk.cut(points[1], True)
-    return lo, hi, 0 if lo == hi else math.ceil(min(1.0, 2 * err + 2 * rank_error(sk.size)) * cnt)
+    return lo, hi, 0 if lo == hi else math.floor(min(1.0, 2 * err + 2 * rank_error(sk.size)) * cnt)
 
 
 def _common_heads(df: DataFrame, exprs: list[str]) -> dict:
