@@ -5,7 +5,8 @@ of affected cells.  The work is a few shared passes over the table:
 
 1. pass 1 – one aggregate with every row-local counter and the first hit of each
    rule (then a keyed fetch of those few example rows);
-2. V – the value-count frame (mode, duplicates, rare values, low variance, prefixes);
+2. V – the value-count frame (mode, duplicates, rare values, low variance, prefixes), for the
+   columns that sketches of distinct values and heavy hitters leave over;
 3. pass 2 – the counters that need pass-1 literals (z-score, round numbers) in the
    same scan as the exact order statistics (IQR quartiles, medians, sequence
    quartiles; see ``functions.quantiles``);
@@ -35,7 +36,8 @@ from .. import constants as K
 from ..functions import quantiles as Q
 from ..functions.text import count_if, digit_count, email_valid, first_by, phone_valid, ustrip
 from ..functions.types import dtypes, kind_of
-from ..plans.profile import order_column, persist, run_aggs, value_counts, value_text
+from ..plans.profile import (KEY, PREFIX, RAW, fetch_values, least_values, order_column, persist, run_aggs,
+                             value_counts, value_text)
 
 ANOMALY_SCHEMA = T.StructType([
     T.StructField("anomaly_id", T.StringType(), False),
@@ -225,53 +227,119 @@ class Detector:
         if not ex or not self._fast_examples():
             return out
         o = self.order
-        keys = sorted({out[f"{n}|pos"] for n in ex if out.get(f"{n}|pos") is not None})
-        rows = {}
-        if keys:
-            names = list(ex)
-            fetched = (self.df.where(o.isin(keys))
-                       .select(o.alias("__o"), *[x for i, n in enumerate(names) for x in (
-                           ex[n][0].alias(f"v{i}"), ex[n][1].alias(f"c{i}"))]).collect())
-            for r in fetched:
-                rows.setdefault(r["__o"], []).append(r)
-        for i, n in enumerate(ex):
-            p = out.pop(f"{n}|pos", None)
-            # rows sharing the order key: the one where the rule holds, smallest value first
-            hits = sorted((r[f"v{i}"] for r in rows.get(p, []) if r[f"c{i}"]), key=lambda v: (v is None, str(v)))
-            out[n] = hits[0] if hits else None
+        found = {n: p for n in ex if (p := out.pop(f"{n}|pos", None)) is not None}
+        # of rows that share the order key, the least value where the rule holds
+        hits = self.df.where(o.isin(sorted(set(found.values())))) if found else None
+        out |= dict.fromkeys(ex)
+        out |= run_aggs(hits, {n: F.min(F.when((o == p) & ex[n][1], ex[n][0])) for n, p in found.items()}) if found else {}
         return out
 
     def _with_examples(self, a: dict, ex: dict) -> dict:
         """Counters plus first-hit examples (one aggregate, then one keyed fetch)."""
         return self._resolve_examples(run_aggs(self.df, {**a, **self._example_aggs(ex)}), ex)
 
+    #: Sketched distinct counts only rule columns out, with this much to spare (rsd is 0.05).
+    SPARE = 1.6
+    #: Columns with more distinct values than this are asked for a heavy hitter before V counts them.
+    HEAVY_FROM = 1_000
+
+    def v_entries(self) -> list[tuple]:
+        """(column, kind) pairs that some rule can still concern, chosen by distinct-count and
+        heavy-hitter sketches."""
+        w, p1 = self.want, self.p1
+        cols = [c for c in self.cols if self.kind[c] != "date" and p1[f"{c}|n"]]
+        if not cols:
+            return []
+        row = self.df.agg(*[F.approx_count_distinct(_q(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+        est = {c: row[f"d{i}"] for i, c in enumerate(cols)}
+        out, heavy = [], []
+        for c in cols:
+            n, text = p1[f"{c}|n"], self.kind[c] == "string"
+            raw = bool("MISSING_VALUE" in w and self._needs_mode(c))
+            if "DUPLICATE" in w and n >= K.DUP_MIN_ROWS and est[c] * self.SPARE >= self._dup_ratio(c) * n:
+                if self._dup_kind(c) == KEY:
+                    out.append((c, KEY))
+                else:
+                    raw = True
+            raw |= "INCONSISTENT" in w and text and n >= K.INCONSISTENT_MIN_ROWS and est[c] <= self.SPARE * K.INCONSISTENT_MAX_DISTINCT
+            if "SEQUENCE_GAP" in w and text and n >= K.SEQ_MIN_ROWS and est[c] * self.SPARE >= K.SEQ_UNIQUE_RATIO * n \
+                    and p1[f"{c}|seq"] / n >= K.SEQ_MATCH_SHARE:
+                raw = True
+                out.append((c, PREFIX))
+            if not raw and "LOW_VARIANCE" in w and text and not K.is_id_name(c) and n > K.LOW_VAR_MIN_ROWS \
+                    and est[c] <= self.SPARE * ((1 - K.LOW_VAR_TOP_SHARE) * n + 1):
+                if est[c] > self.HEAVY_FROM:
+                    heavy.append(c)
+                else:
+                    raw = True
+            if raw:
+                out.append((c, RAW))
+        if heavy:  # estimates are never below the true count
+            top = self.df.agg(*[F.approx_top_k(F.when(_q(c).isNotNull(), F.xxhash64(_q(c))), 1, 100).alias(f"t{i}")
+                                for i, c in enumerate(heavy)]).first()
+            out += [(c, RAW) for i, c in enumerate(heavy)
+                    if top[f"t{i}"] and top[f"t{i}"][0]["count"] >= K.LOW_VAR_TOP_SHARE * p1[f"{c}|n"]]
+        return out
+
+    def _needs_mode(self, c: str) -> bool:
+        return bool(self.p1[f"{c}|nulls"] and self.p1[f"{c}|n"] and self.kind[c] in ("string", "boolean")
+                    and not (K.is_phone_name(c) or K.is_address_name(c)))
+
+    def _dup_kind(self, c: str) -> int:
+        return KEY if K.is_email_name(c) or K.is_phone_name(c) else RAW
+
+    def _dup_ratio(self, c: str) -> float:
+        return K.DUP_RATIO_ID if K.is_id_name(c) or K.is_email_name(c) or K.is_phone_name(c) else K.DUP_RATIO_OTHER
+
+    def _duplicated(self, c: str) -> bool:
+        s, n = self.vs.get((c, self._dup_kind(c))), self.p1[f"{c}|n"]
+        return bool(s and n >= K.DUP_MIN_ROWS and s["distinct"] / n >= self._dup_ratio(c) and s["dup_values"])
+
+    def _few_categories(self, c: str) -> bool:
+        s, n = self.vs.get((c, RAW)), self.p1[f"{c}|n"]
+        return bool(s and self.kind[c] == "string" and n >= K.INCONSISTENT_MIN_ROWS and s["distinct"] <= K.INCONSISTENT_MAX_DISTINCT
+                    and s["distinct"] / n < K.INCONSISTENT_MAX_RATIO and s["rare_sum"])
+
+    def _one_sided(self, c: str) -> bool:
+        s, n = self.vs.get((c, RAW)), self.p1[f"{c}|n"]
+        return bool(s and self.kind[c] == "string" and not K.is_id_name(c) and n > K.LOW_VAR_MIN_ROWS
+                    and s["max_cnt"] / n >= K.LOW_VAR_TOP_SHARE)
+
     def build_v(self):
-        cols = [c for c in self.cols if self.kind[c] != "date"]
-        self.v = persist(value_counts(self.df, cols))
-        n = {c: self.p1[f"{c}|n"] for c in cols}
-        thr = {c: max(2, int(n[c] * K.INCONSISTENT_SHARE)) for c in cols}
-        thr_map = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(thr[c]))]) if cols else F.create_map()
-        t = F.element_at(thr_map, F.col("column"))
-        rank = F.struct((-F.col("cnt")).alias("nc"), F.col("value").alias("v"), F.col("fnum").alias("f"),
-                        F.col("inum").alias("i"))
-        val = F.struct("value", "fnum", "inum")
-        rare = F.col("cnt") < t
-        summ = self.v.groupBy("column", "kind").agg(
-            F.count(F.lit(1)).alias("distinct"),
-            F.max("cnt").alias("max_cnt"),
-            F.min_by(val, rank).alias("mode"),
-            F.sum(F.when(F.col("cnt") > 1, F.col("cnt") - 1)).alias("dup_extra"),
-            count_if(F.col("cnt") > 1).alias("dup_values"),
-            F.sum(F.when(rare, F.col("cnt"))).alias("rare_sum"),
-            F.min_by("value", F.when(rare, rank)).alias("rare_ex"),
-            F.min_by("value", F.when(~rare, rank)).alias("common_top"),
-        ).collect()
+        """Counts of the chosen entries, and the values that records will show."""
+        self.entries = self.v_entries()
         self.vs = {}
-        for r in summ:
-            d = r.asDict()
-            d["mode"] = value_text(d["mode"].asDict() if d["mode"] is not None else None)
-            self.vs[(r["column"], r["kind"])] = d
-        self.thr = thr
+        if not self.entries:
+            return
+        v = persist(value_counts(self.df, self.entries))
+        self.thr = {c: max(2, int(self.p1[f"{c}|n"] * K.INCONSISTENT_SHARE)) for c in self.cols}
+        t = F.element_at(F.array(*[F.lit(self.thr[c]) for c, _ in self.entries]), F.col("entry") + 1)
+        for r in v.groupBy("entry").agg(
+                F.count(F.lit(1)).alias("distinct"), F.max("cnt").alias("max_cnt"),
+                F.sum(F.when(F.col("cnt") > 1, F.col("cnt") - 1)).alias("dup_extra"),
+                count_if(F.col("cnt") > 1).alias("dup_values"),
+                F.sum(F.when(F.col("cnt") < t, F.col("cnt"))).alias("rare_sum")).collect():
+            self.vs[self.entries[r["entry"]]] = r.asDict()
+        w = self.want
+        tops, listed = {}, []
+        for i, (c, kind) in enumerate(self.entries):
+            s = self.vs.get((c, kind))
+            if s is None:
+                continue
+            if (kind == PREFIX or ("DUPLICATE" in w and kind == self._dup_kind(c) and self._duplicated(c))
+                    or kind == RAW and ("MISSING_VALUE" in w and self._needs_mode(c) or "LOW_VARIANCE" in w and self._one_sided(c))):
+                tops[i] = s["max_cnt"]
+            if kind == RAW and "INCONSISTENT" in w and self._few_categories(c):
+                listed.append(i)
+        for i, text in least_values(self.df, self.entries, v, tops).items():
+            self.vs[self.entries[i]]["mode"] = text
+        if listed:  # at most INCONSISTENT_MAX_DISTINCT values a column
+            keys = v.where(F.col("entry").isin(listed))
+            counts = {(r["entry"], r["h1"], r["h2"]): r["cnt"] for r in keys.collect()}
+            for r in fetch_values(self.df, self.entries, keys, listed):
+                self.vs[self.entries[r["entry"]]].setdefault("values", []).append(
+                    (counts[r["entry"], r["h1"], r["h2"]], value_text(r["v"])))
+        v.unpersist()
 
     def pass2_aggs(self) -> dict:
         """Counters that need pass-1 literals (z-score, round numbers); evaluated in
@@ -352,7 +420,7 @@ class Detector:
             if k == "numeric":
                 fill = "0" if n == 0 else str(float(self.p1[f"{c}|mean"]))
             elif k in ("string", "boolean"):
-                fill = "" if n == 0 else self.vs[(c, "raw")]["mode"]
+                fill = "" if n == 0 else self.vs.get((c, RAW), {}).get("mode")
             else:
                 fill = "null"
             if K.is_phone_name(c) or K.is_address_name(c):
@@ -380,19 +448,9 @@ class Detector:
         for c in self.cols:
             if self.kind[c] == "date":
                 continue
-            n = self.p1[f"{c}|n"]
-            if n < K.DUP_MIN_ROWS:
-                continue
-            id_like = K.is_id_name(c) or K.is_email_name(c) or K.is_phone_name(c)
-            kind = "key" if (K.is_email_name(c) or K.is_phone_name(c)) else "raw"
-            s = self.vs.get((c, kind))
-            if s is None:
-                continue
-            ratio = s["distinct"] / n
-            if ratio < (K.DUP_RATIO_ID if id_like else K.DUP_RATIO_OTHER):
-                continue
-            if not s["dup_values"]:
+            if not self._duplicated(c):
                 continue
+            s = self.vs[(c, self._dup_kind(c))]
             extra, ex = int(s["dup_extra"]), s["mode"]
             self.emit(c, "DUPLICATE", extra,
                       say(extra, "repeating an earlier one", example=ex, values=s["dup_values"]), ex, K.LABEL_DUPLICATE)
@@ -413,30 +471,17 @@ class Detector:
 
     # ----------------------------------------------------------------- D6
     def inconsistent(self):
-        cands = []
         for c in self.of("string"):
-            n = self.p1[f"{c}|n"]
-            s = self.vs.get((c, "raw"))
-            if n < K.INCONSISTENT_MIN_ROWS or s is None:
+            if not self._few_categories(c):
                 continue
-            if s["distinct"] > K.INCONSISTENT_MAX_DISTINCT or s["distinct"] / n >= K.INCONSISTENT_MAX_RATIO:
-                continue
-            if not s["rare_sum"]:
-                continue
-            cands.append(c)
-        if not cands:
-            return
-        # at most 15 values per candidate column: a bounded list for the description
-        rows = (self.v.where((F.col("kind") == "raw") & F.col("column").isin(cands))
-                .select("column", "value", "cnt").collect())
-        for c in cands:
-            s = self.vs[(c, "raw")]
-            common = sorted([(-r["cnt"], r["value"]) for r in rows if r["column"] == c and r["cnt"] >= self.thr[c]])
-            common_vals = [v for _, v in common]
+            s = self.vs[(c, RAW)]
+            ranked = sorted(((-n, x.encode()), n, x) for n, x in s["values"])
+            common = [x for _, n, x in ranked if n >= self.thr[c]]
+            rare = [x for _, n, x in ranked if n < self.thr[c]]
             rare_sum = int(s["rare_sum"])
             self.emit(c, "INCONSISTENT", rare_sum,
-                      say(rare_sum, "of a rare category", example=s["rare_ex"], common=common_vals[:5]), s["rare_ex"],
-                      common_vals[0] if common_vals else None)
+                      say(rare_sum, "of a rare category", example=rare[0], common=common[:5]), rare[0],
+                      common[0] if common else None)
 
     # ----------------------------------------------------------------- D8, D10, D11
     def text_rules(self):
@@ -472,15 +517,15 @@ class Detector:
                 "locality": nonempty & st.rlike(K.RE_SWAP_LOCALITY),
             }
 
-        # every non-null value of every column, as plain aggregates of shared scans
-        aggs: dict[str, Column] = {}
-        for c in cols:
-            for name, cond in rules(_q(c)).items():
-                aggs[f"{c}|{name}"] = count_if(cond)
-                aggs[f"{c}|{name}_ex"] = first_by(_q(c), cond, self.order)
-        got = run_aggs(self.df, aggs)
-        stats = {c: {"n": self.p1[f"{c}|n"]} | {k.removeprefix(f"{c}|"): x for k, x in got.items() if k.startswith(f"{c}|")}
-                 for c in cols}
+        # every non-null value, in shared scans, by the rules that the column's name lets apply
+        asked = {c: [name for name, on in (("date", K.is_name_name(c)), ("phone", not K.is_phone_name(c)),
+                                           ("phone_email", K.is_email_name(c)), ("email_addr", K.is_address_name(c)),
+                                           ("id_addr", K.is_address_name(c)), ("locality", K.is_name_name(c))) if on] for c in cols}
+        hits = {f"{c}|{name}": rules(_q(c))[name] for c in cols for name in asked[c]}
+        got = self._with_examples({k: count_if(x) for k, x in hits.items()},
+                                  {f"{k}_ex": (_q(k.rpartition("|")[0]), x) for k, x in hits.items()})
+        stats = {c: {"n": self.p1[f"{c}|n"], **{name: got[f"{c}|{name}"] for name in asked[c]},
+                     **{f"{name}_ex": got[f"{c}|{name}_ex"] for name in asked[c]}} for c in cols}
         for c in cols:
             s = stats[c]
             is_name, is_phone = K.is_name_name(c), K.is_phone_name(c)
@@ -546,13 +591,10 @@ class Detector:
                           say(n, "nearly constant", mean=f"{mean:.4f}", variation=f"{cv:.4f}"),
                           str(round(mean, 4)), None)
             elif self.kind[c] == "string":
-                s = self.vs.get((c, "raw"))
-                if n <= K.LOW_VAR_MIN_ROWS or s is None:
+                if not self._one_sided(c):
                     continue
-                share = s["max_cnt"] / n
-                if share < K.LOW_VAR_TOP_SHARE:
-                    continue
-                top = s["mode"]
+                s = self.vs[(c, RAW)]
+                share, top = s["max_cnt"] / n, s["mode"]
                 self.emit(c, "LOW_VARIANCE", n,
                           say(n, "mostly one and the same", example=top, share=f"{share:.0%}"), top, K.LABEL_LOW_VARIANCE)
 
@@ -561,32 +603,15 @@ class Detector:
         """(column, dominant prefix, its count) for text columns that look sequential."""
         if "SEQUENCE_GAP" not in self.want:
             return []
-        cands = []
-        for c in self.of("string"):
-            n = self.p1[f"{c}|n"]
-            s = self.vs.get((c, "raw"))
-            if n < K.SEQ_MIN_ROWS or s is None or s["distinct"] / n < K.SEQ_UNIQUE_RATIO:
-                continue
-            if self.p1[f"{c}|seq"] / n < K.SEQ_MATCH_SHARE:
-                continue
-            cands.append(c)
-        if not cands:
-            return []
-        pv = self.v.where((F.col("kind") == "raw") & F.col("column").isin(cands) & F.col("value").rlike(K.RE_SEQUENCE))
-        pc = pv.groupBy("column", F.regexp_extract("value", K.RE_SEQUENCE, 1).alias("prefix")) \
-            .agg(F.sum("cnt").alias("cnt"))
-        # dominant prefix per column: highest count, ties to the smallest prefix
-        best = pc.groupBy("column").agg(
-            F.min(F.struct((-F.col("cnt")).alias("nc"), F.col("prefix").alias("prefix"))).alias("p"))
-        top = {r["column"]: (r["p"]["prefix"], -r["p"]["nc"]) for r in best.collect()}
         chosen = []
-        for c in cands:
-            if c not in top:
-                continue
-            prefix, dom = top[c]
-            if dom / self.p1[f"{c}|n"] < K.SEQ_PREFIX_SHARE or dom < 2:
+        for c in self.of("string"):
+            n, s, prefixes = self.p1[f"{c}|n"], self.vs.get((c, RAW)), self.vs.get((c, PREFIX))
+            if prefixes is None or s["distinct"] / n < K.SEQ_UNIQUE_RATIO:
                 continue
-            chosen.append((c, prefix, dom))
+            # dominant prefix: highest count, ties to the smallest prefix
+            dom = prefixes["max_cnt"]
+            if dom / n >= K.SEQ_PREFIX_SHARE and dom >= 2:
+                chosen.append((c, prefixes["mode"], dom))
         return chosen
 
     def num_expr(self, c: str, prefix: str) -> str:
@@ -686,7 +711,7 @@ class Detector:
         # one scan: IQR outside-fence counters and sequence fences
         last = {**self.iqr_aggs(res), **self.sequence_aggs(chosen, res)}
         vals = run_aggs(self.df, last) if last else {}
-        # one keyed fetch for every example found by position in passes 2 and 3
+        # one keyed scan for every example found by position in passes 2 and 3
         both = {**self.p2, **vals}
         both = self._resolve_examples(both, {**self.ex2, **self.ex3})
         self.p2 = {k: both[k] for k in list(self.p2) + list(self.ex2) if k in both}
@@ -697,8 +722,6 @@ class Detector:
         self.sequence_emit(chosen, vals)
         if "CROSS_FIELD_SWAP" in w:
             self.swaps()
-        if needs_v:
-            self.v.unpersist()
         return [r for r in self.records if r["anomaly_type"] in w]
 
 
