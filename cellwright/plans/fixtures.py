@@ -167,3 +167,50 @@ def dirty_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spark.sql(DIRTY_LINEITEM_SQL.replace("FROM lineitem", f"FROM {view}"))
     spark.catalog.dropTempView(view)  # the frame keeps its analysed plan
     return out
+
+
+# Tables with faults planted by position, as rows of the driver tables would have them.
+FAULTY_SQL = {
+    "part": """
+SELECT p_partkey AS row_key,
+  CASE WHEN p_partkey % 401 = 3 THEN 'a' || CAST(p_partkey AS STRING) || '@shop.co'
+       WHEN p_partkey % 307 = 4 THEN ' ' || p_name || ' ' ELSE p_name END AS p_name,
+  CASE WHEN p_partkey % 500 = 9 THEN 'Brand#X' ELSE 'Brand#' || CAST(p_size % 3 AS STRING) END AS p_brand,
+  CASE WHEN p_partkey % 211 = 5 THEN NULL ELSE p_type END AS p_type,
+  CASE WHEN p_partkey % 150 = 7 THEN 5000 ELSE p_size END AS p_size,
+  CASE WHEN p_partkey % 2 = 0 THEN CAST(1000 * (p_partkey % 7) AS DOUBLE) ELSE p_retailprice END AS p_retailprice
+FROM part""",
+    "conversations": """
+SELECT conv_id * 1000000 + turn AS row_key, conv_id, turn,
+  CASE WHEN conv_id % 90 = 2 AND turn = 0 THEN 'usr' ELSE role END AS role,
+  CASE WHEN conv_id % 7 = 1 AND turn = 1 THEN '  ' WHEN conv_id % 11 = 2 AND turn = 0 THEN 'n/a' ELSE text END AS text
+FROM conversations""",
+    "pages": """
+SELECT page_id AS row_key,
+  CASE WHEN page_id % 50 = 1 THEN NULL WHEN page_id % 60 = 2 THEN 'http://repeated.example/' ELSE url || '#' || CAST(page_id AS STRING) END AS url,
+  CASE WHEN page_id % 40 = 3 THEN ' ' || html ELSE html END AS html
+FROM pages""",
+    "benchmark": """
+SELECT item_id AS row_key,
+  CASE WHEN item_id % 10 = 4 THEN 'todo' WHEN item_id % 9 = 2 THEN '' ELSE text END AS text,
+  'B-' || CAST(CASE WHEN item_id % 13 = 6 THEN item_id + 100000 ELSE item_id END AS STRING) AS item_ref
+FROM benchmark""",
+}
+
+
+def faulty(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table with the faults of FAULTY_SQL."""
+    view = _view_name(name)
+    table(spark, sf_dir, name).createOrReplaceTempView(view)
+    out = spark.sql(FAULTY_SQL[name].replace(f"FROM {name}", f"FROM {view}"))
+    spark.catalog.dropTempView(view)  # the frame keeps its analysed plan
+    return out
+
+
+def decimal_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys beyond the exact range of a double, as DECIMAL(20,0) and BIGINT; every 500th
+    row repeats its neighbour's."""
+    o = table(spark, sf_dir, "orders")
+    return o.selectExpr("o_orderkey AS row_key", *[
+        f"CAST(o_orderkey - CASE WHEN o_orderkey % 500 = 7 THEN 1 ELSE 0 END + 1000000000000000000 AS {t}) AS {n}"
+        for t, n in (("DECIMAL(20,0)", "decimal_id"), ("BIGINT", "long_id"))])

@@ -660,3 +660,24 @@ QUERIES["d25_detect_labels"] = _detect_table("labels", "doc_id")
 QUERIES["d26_detect_conversations"] = _detect_table("conversations", ["conv_id", "turn"])
 QUERIES["d27_detect_pages"] = _detect_table("pages", "page_id")
 QUERIES["d28_detect_benchmark"] = _detect_table("benchmark", "item_id")
+
+
+@query("d03_decimal_keys")
+def d03_decimal_keys(spark, sf_dir):
+    """Duplicates of keys that a double cannot tell apart."""
+    from .fixtures import decimal_keys
+    return detector_view(detect_anomalies(decimal_keys(spark, sf_dir), "orders", order_by="row_key", types=["DUPLICATE"]))
+
+
+def _detect_faulty(name):
+    def run(spark, sf_dir):
+        from .fixtures import faulty
+        return detector_view(detect_anomalies(faulty(spark, sf_dir, name), name, order_by="row_key"))
+    run.__name__ = f"detect_faulty_{name}"
+    return run
+
+
+QUERIES["d29_faulty_part"] = _detect_faulty("part")
+QUERIES["d30_faulty_conversations"] = _detect_faulty("conversations")
+QUERIES["d31_faulty_pages"] = _detect_faulty("pages")
+QUERIES["d32_faulty_benchmark"] = _detect_faulty("benchmark")

@@ -1051,3 +1051,24 @@ oracle("d27_detect_pages", _detectors_for({
 oracle("d28_detect_benchmark", _detectors_for({
     **NO_KW, "DIRTY": "WITH dirty AS (SELECT item_id AS row_key, * FROM benchmark)\n",
     "NUMERIC": ["item_id"], "STRINGS": ["text"], "DATES": [], "ID_LIKE": ["item_id"]}))
+
+from cellwright.plans.fixtures import FAULTY_SQL  # noqa: E402
+
+for _key, _name, _spec in (
+        ("d29_faulty_part", "part", {
+            "NUMERIC": ["row_key", "p_size", "p_retailprice"], "STRINGS": ["p_name", "p_brand", "p_type"],
+            "NAME_COLS": ["p_name"], "ID_LIKE": ["row_key"]}),
+        ("d30_faulty_conversations", "conversations", {
+            "NUMERIC": ["row_key", "conv_id", "turn"], "STRINGS": ["role", "text"], "ID_LIKE": ["row_key", "conv_id"]}),
+        ("d31_faulty_pages", "pages", {"NUMERIC": ["row_key"], "STRINGS": ["url", "html"], "ID_LIKE": ["row_key"]}),
+        ("d32_faulty_benchmark", "benchmark", {
+            "NUMERIC": ["row_key"], "STRINGS": ["text", "item_ref"], "ID_LIKE": ["row_key"]})):
+    oracle(_key, _detectors_for({**NO_KW, "DIRTY": f"WITH dirty AS ({FAULTY_SQL[_name]})\n", "DATES": [], **_spec}))
+
+oracle("d03_decimal_keys", """
+WITH k AS (SELECT o_orderkey - CASE WHEN o_orderkey % 500 = 7 THEN 1 ELSE 0 END + 1000000000000000000 AS id FROM orders),
+c AS (SELECT id, count(*) AS cnt FROM k GROUP BY id),
+s AS (SELECT CAST(sum(cnt - 1) AS BIGINT) AS extra, CAST(arg_min(id, (-cnt, id)) AS VARCHAR) AS ex FROM c HAVING count(*) / sum(cnt) >= 0.8 AND max(cnt) > 1)
+SELECT column_name, 'DUPLICATE' AS anomaly_type, extra AS affected, ex AS original_value, 'DUPLICADO' AS suggested_value,
+       CAST(NULL AS DOUBLE) AS suggested_num, CAST(NULL AS VARCHAR) AS related_column
+FROM s, (VALUES ('decimal_id'), ('long_id')) t(column_name)""")
