@@ -1,85 +1,92 @@
 """Order-dependent operators that must not run as one un-partitioned window.
 
-A window with no ``PARTITION BY`` sends the whole table to one task.  Forward and
-backward fill (B5/B6) instead cut the order key into range buckets at approximate
-quantile cut points, fill inside each bucket with a partitioned window, then carry
-the last (first) non-null value across buckets through a frame with one row per
-bucket.  The result equals the global window exactly; only the bucket *sizes* are
-approximate.
+A window with no ``PARTITION BY`` sends the whole table to one task.  Forward and backward fill
+(B5/B6) are a segmented prefix scan instead:
+
+1. rows are range-partitioned by group and order key, of any type that sorts (numbers, dates,
+   timestamps, texts, several columns); Spark draws the borders, and rows with equal keys stay
+   together;
+2. every slice (range partition) is filled by itself, with a partitioned window, and written once
+   to the shared folder, so that its borders stay as they are;
+3. the value that a slice passes on, its last one in fill direction, is one row per slice and
+   group.  These rows are scanned as a tree: within blocks of BLOCK slices, over the blocks, and
+   the two put together, so no task holds more rows than a block or the blocks;
+4. what is still null takes the value carried into its slice.
+
+The result equals the global window.  Null order keys have no place in the order and fail the
+job.  Rows that tie on the order key should agree, or the key should have more columns.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = "__bucket"
-MAX_BUCKETS = 1_000_000
-BROADCAST_BUCKETS = 100_000
-
-
-def default_buckets(df: DataFrame) -> int:
-    """Bucket count sized to the data: at least twice the shuffle width and at least
-    one bucket per input split (about 128 MB each), so one bucket — one sort task of
-    the fill window — stays near a split in size however large the table is."""
-    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    splits = df.rdd.getNumPartitions()  # planning only, nothing runs
-    return max(2, min(MAX_BUCKETS, max(conf * 2, splits)))
-
-
-def add_range_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None) -> DataFrame:
-    """Tag each row with a range bucket of ``order_col`` (monotone in the key)."""
-    n_buckets = n_buckets or default_buckets(df)
-    fracs = [i / n_buckets for i in range(1, n_buckets)]
-    # cut points need only be roughly even: buckets within about +-50% of each other
-    acc = max(10_000, 2 * n_buckets)
-    cuts = df.agg(F.percentile_approx(F.col(order_col).cast("double"), fracs, acc).alias("c")).collect()[0]["c"] or []
-    splits = sorted(set(float(c) for c in cuts if c is not None))
-    splits = [float("-inf")] + splits + [float("inf")]
-    tmp = "__order_d"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=BUCKET, handleInvalid="keep")
-    out = b.transform(df.withColumn(tmp, F.col(order_col).cast("double")))
-    return out.withColumn(BUCKET, F.col(BUCKET).cast("int")).drop(tmp)
-
-
-def fill_ordered(df: DataFrame, columns: list[str], order_col: str, direction: str = "forward",
-                 partition_by: list[str] | None = None, n_buckets: int | None = None) -> DataFrame:
-    """Forward / backward fill of ``columns`` along ``order_col`` (leading/trailing nulls stay)."""
+from ..session import written
+
+BLOCK = 256
+
+
+def _q(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _keys(names: list[str], df: DataFrame) -> list[Column]:
+    """Order key columns whose nulls fail the job."""
+    types = dict(df.dtypes)
+    return [F.when(_q(n).isNull(), F.raise_error(F.lit(f"order key {n!r} is null")).cast(types[n])).otherwise(_q(n)) for n in names]
+
+
+def _same(left: list[str], right: list[str]) -> Column:
+    return functools.reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])
+
+
+def fill_ordered(df: DataFrame, columns: list[str], order_by: str | list[str], direction: str = "forward",
+                 partition_by: list[str] | None = None, slices: int | None = None) -> DataFrame:
+    """Forward / backward fill of ``columns`` along ``order_by`` (leading/trailing nulls stay),
+    within the groups of ``partition_by``.  ``slices`` is the number of range partitions, the
+    session's number of shuffle partitions by default."""
     if not columns:
         return df
-    partition_by = list(partition_by or [])
+    order_by = [order_by] if isinstance(order_by, str) else list(order_by)
     fwd = direction == "forward"
-    n_buckets = n_buckets or default_buckets(df)
-    tagged = add_range_bucket(df, order_col, n_buckets)
-    keys = partition_by + [BUCKET]
-    okey = F.col(order_col)
-    if fwd:
-        w = Window.partitionBy(*keys).orderBy(okey).rowsBetween(Window.unboundedPreceding, 0)
-        inside = {c: F.last(F.col(c), ignorenulls=True).over(w) for c in columns}
-        edge = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(f"__e_{i}") for i, c in enumerate(columns)]
-        cw = Window.partitionBy(*partition_by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-        carry = [F.last(F.col(f"__e_{i}"), ignorenulls=True).over(cw).alias(f"__c_{i}") for i in range(len(columns))]
-    else:
-        w = Window.partitionBy(*keys).orderBy(okey).rowsBetween(0, Window.unboundedFollowing)
-        inside = {c: F.first(F.col(c), ignorenulls=True).over(w) for c in columns}
-        edge = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(f"__e_{i}") for i, c in enumerate(columns)]
-        cw = Window.partitionBy(*partition_by).orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing)
-        carry = [F.first(F.col(f"__e_{i}"), ignorenulls=True).over(cw).alias(f"__c_{i}") for i in range(len(columns))]
-    # One row per (group, bucket): the carried value from the neighbouring buckets.
-    edges = tagged.groupBy(*keys).agg(*edge)
-    carries = edges.select(*keys, *carry)
-    if not partition_by and n_buckets <= BROADCAST_BUCKETS:
-        # One row per bucket: a size bound fixed by n_buckets, safe to broadcast.
-        # Above the bound the planner chooses (a shuffle join on the bucket id).
-        carries = F.broadcast(carries)
-    filled = tagged.withColumns(inside)
-    joined = filled.join(carries, on=keys, how="left")
-    out_cols = []
-    for name in df.columns:
-        if name in columns:
-            i = columns.index(name)
-            out_cols.append(F.coalesce(F.col(name), F.col(f"__c_{i}")).alias(name))
-        else:
-            out_cols.append(F.col(name))
-    return joined.select(*out_cols)
+    groups = [f"__g{i}" for i in range(len(partition_by or []))]
+    keys = [f"__k{i}" for i in range(len(order_by))]
+    cells = [f"__c{i}" for i in range(len(df.columns))]
+    fill = {cells[df.columns.index(c)]: f"__f{i}" for i, c in enumerate(dict.fromkeys(columns))}
+
+    # every column under a name of our own, so that no name of the table gets in the way
+    rows = df.select(*[_q(c).alias(n) for c, n in zip(df.columns, cells)],
+                     *[_q(c).alias(n) for c, n in zip(partition_by or [], groups)],
+                     *[k.alias(n) for k, n in zip(_keys(order_by, df), keys)])
+    by = [*groups, *keys]
+    rows = (rows.repartitionByRange(slices, *by) if slices else rows.repartitionByRange(*by)) \
+        .withColumn("__slice", F.spark_partition_id())
+    forth = [F.col(k).asc() if fwd else F.col(k).desc() for k in keys]
+    inside = Window.partitionBy("__slice", *groups).orderBy(*forth).rowsBetween(Window.unboundedPreceding, 0)
+    rows = written(rows.select(*[c for c in cells if c not in fill], *groups, *keys, "__slice",
+                               *[F.last(c, ignorenulls=True).over(inside).alias(f) for c, f in fill.items()]), "fill")
+
+    # What a slice passes on.  The tree runs over block numbers that grow in fill direction.
+    key = F.struct(*keys)
+    pick = F.max_by if fwd else F.min_by
+    edges = rows.groupBy("__slice", *groups).agg(
+        *[pick(F.col(f), F.when(F.col(f).isNotNull(), key)).alias(f) for f in fill.values()])
+    edges = edges.withColumn("__at", F.col("__slice") if fwd else -F.col("__slice")) \
+        .withColumn("__block", F.floor(F.col("__at") / BLOCK))
+    in_block = Window.partitionBy("__block", *groups).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    whole = edges.groupBy("__block", *groups).agg(
+        *[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("__at"))).alias(f) for f in fill.values()])
+    over = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = whole.select(F.col("__block").alias("__b"), *[F.col(g).alias(f"b{g}") for g in groups],
+                          *[F.last(f, ignorenulls=True).over(over).alias(f"b{f}") for f in fill.values()])
+    near = edges.select("__slice", "__block", *groups, *[F.last(f, ignorenulls=True).over(in_block).alias(f) for f in fill.values()])
+    carried = near.join(blocks, _same(["__block", *groups], ["__b", *[f"b{g}" for g in groups]])).select(
+        F.col("__slice").alias("s__slice"), *[F.col(g).alias(f"s{g}") for g in groups],
+        *[F.coalesce(f, f"b{f}").alias(f"s{f}") for f in fill.values()])
+
+    out = rows.join(carried, _same(["__slice", *groups], ["s__slice", *[f"s{g}" for g in groups]]), "left")
+    return out.select(*[(F.coalesce(fill[n], f"s{fill[n]}") if n in fill else F.col(n)).alias(c)
+                        for c, n in zip(df.columns, cells)])

@@ -207,6 +207,30 @@ def b06(spark, sf_dir):
                      "params": {"strategy": "backward"}}, order_by=DIRTY_ORDER)
 
 
+@query("b05_date_key")
+def b05_date_key(spark, sf_dir):
+    """Daily totals, two days of three unknown, filled along the date."""
+    d = _t(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("o_orderdate")).agg(F.count("*").alias("orders"), F.max("o_custkey").alias("top"))
+    d = d.select("o_orderdate", F.when(F.col("top") % 3 == 0, F.col("orders")).alias("orders.known"))
+    out = _step(d, {"type": "FILL_NULLS", "columns": ["orders.known"], "params": {"strategy": "forward"}}, order_by="o_orderdate")
+    return out.select(F.col("o_orderdate").cast("string").alias("day"), F.col("`orders.known`").alias("orders"))
+
+
+@query("b05_text_key")
+def b05_text_key(spark, sf_dir):
+    """Balances filled along a text key."""
+    d = _t(spark, sf_dir, "customer").select(F.concat("c_name", F.lit("/"), "c_custkey").alias("ref"),
+                                             F.when(F.col("c_custkey") % 4 == 0, F.col("c_acctbal")).alias("c_acctbal"))
+    return _step(d, {"type": "FILL_NULLS", "columns": ["c_acctbal"], "params": {"strategy": "forward"}}, order_by="ref")
+
+
+@query("b06_composite_key")
+def b06_composite_key(spark, sf_dir):
+    """Roles filled backward along conversation and turn."""
+    d = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.when((F.col("conv_id") + F.col("turn")) % 5 == 1, F.col("role")).alias("role"))
+    return _step(d, {"type": "FILL_NULLS", "columns": ["role"], "params": {"strategy": "backward"}}, order_by=["conv_id", "turn"])
+
+
 @query("b07_trim_whitespace")
 def b07(spark, sf_dir):
     d = dirty(spark, sf_dir).select("row_key", "nombre", "direccion", "saldo")

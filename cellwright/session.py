@@ -63,6 +63,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "cellwright", f"{name}-{uuid.uuid4().hex}")
 
 
+def written(df, name: str):
+    """Write an intermediate table to the shared folder and read it back: what non-deterministic
+    columns say stays so, the lineage ends there, and the rows outlive the executors that made them."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df, spark: SparkSession | None = None):
     """Cut a long lineage with a reliable checkpoint in the shared folder.
 

@@ -85,6 +85,16 @@ SELECT row_key,
   first_value(saldo IGNORE NULLS) OVER (ORDER BY row_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS saldo,
   first_value(pedido IGNORE NULLS) OVER (ORDER BY row_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pedido
 FROM dirty""")
+oracle("b05_date_key", """
+WITH d AS (SELECT o_orderdate, count(*) AS orders, max(o_custkey) AS top FROM orders GROUP BY o_orderdate)
+SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, last_value(CASE WHEN top % 3 = 0 THEN orders END IGNORE NULLS)
+  OVER (ORDER BY o_orderdate ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS orders FROM d""")
+oracle("b05_text_key", """
+WITH d AS (SELECT c_name || '/' || c_custkey AS ref, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal END AS v FROM customer)
+SELECT ref, last_value(v IGNORE NULLS) OVER (ORDER BY ref ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c_acctbal FROM d""")
+oracle("b06_composite_key", """
+SELECT conv_id, turn, first_value(CASE WHEN (conv_id + turn) % 5 = 1 THEN role END IGNORE NULLS)
+  OVER (ORDER BY conv_id, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS role FROM conversations""")
 oracle("b07_trim_whitespace", DIRTY + f"""
 SELECT row_key, {TRIM.format('nombre')} AS nombre, {TRIM.format('direccion')} AS direccion, saldo FROM dirty""")
 oracle("b08_uppercase", DIRTY + "SELECT row_key, upper(email) AS email, upper(nombre) AS nombre FROM dirty")

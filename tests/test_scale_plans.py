@@ -57,9 +57,9 @@ def test_duplicate_finder_on_hot_value(spark):
 
 def test_forward_fill_has_no_single_partition_window_on_data(spark):
     df = hot_table(spark).withColumn("v", F.when(F.col("k") % 5 == 0, F.col("v")))
-    out = fill_ordered(df, ["v"], "k", "forward", n_buckets=16)
-    p = plan(out)
-    assert "hashpartitioning(__bucket" in p
+    out = fill_ordered(df, ["v"], "k", "forward", slices=16)
+    # the only windows left run over one row per slice, by block
+    assert "Window" not in plan(out).split("Scan parquet")[0] and "__block" in plan(out)
     assert out.where(F.col("v").isNull()).count() == 0
 
 
