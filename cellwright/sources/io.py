@@ -6,14 +6,18 @@ that reach the driver are per-column statistics (A7) and schema metadata (A6).
 
 from __future__ import annotations
 
+import csv
+import io
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import reference_dtype_name
 from ..functions.text import count_if
+from ..session import scratch_path, written
+from .records import csv_records, json_records
 
 ORDER_COL = "__row_order"
 
@@ -68,13 +72,16 @@ def read_csv(spark: SparkSession, path: str, *, separator: str = ",", quote: str
     does not fit it, or a row with too few or too many cells, fails the job instead of
     becoming null (``mode``).  A quote inside a quoted cell is doubled.
 
-    Cells with line breaks need Spark's multi-line reading, which keeps a file in one
-    task.  ``multiline=None`` finds out with one scan of the lines and uses it only where
-    a line leaves a quote open.  Headerless files get the column names
-    ``column_1..column_n``.
+    Cells with line breaks need records put together from lines; ``multiline=None`` finds out
+    with one scan of the lines, and does so only where a line leaves a quote open.  UTF-8
+    files are then read in parallel (``records.csv_records``), other encodings by
+    Spark's multi-line reading, which keeps a file in one task.  Headerless files get the
+    column names ``column_1..column_n``.
     """
     if multiline is None:
         multiline = bool(quote) and _open_quotes(spark, path, quote, encoding)
+    if multiline and quote and encoding.lower().replace("-", "") == "utf8":
+        return _csv_across_lines(spark, path, separator, quote, has_header, schema, infer_schema, mode, order_key)
     r = (spark.read.option("sep", separator).option("quote", quote).option("escape", quote)
          .option("header", has_header).option("encoding", encoding).option("multiLine", multiline)
          .option("preferDate", True).option("mode", mode))
@@ -88,6 +95,52 @@ def read_csv(spark: SparkSession, path: str, *, separator: str = ",", quote: str
     return with_order_key(df) if order_key else df
 
 
+def _csv_across_lines(spark, path, separator, quote, has_header, schema, infer_schema, mode, order_key) -> DataFrame:
+    """CSV whose cells hold line breaks: records found in parallel, then parsed one by one."""
+    options = {"sep": separator, "quote": quote, "escape": quote, "preferDate": "true", "mode": mode}
+    rows = written(csv_records(spark, path, quote), "csv-records")
+    place = F.struct("block", "rec")
+    firsts = rows.groupBy("file").agg(F.min(place).alias("place"), F.min_by("text", place).alias("text"))
+    first = firsts.orderBy("file").first()
+    head = next(csv.reader(io.StringIO(first["text"], newline=""), delimiter=separator, quotechar=quote)) if first else []
+    if has_header:
+        names = _safe_names(head)
+        firsts = firsts.select(F.col("file").alias("f"), F.col("place").alias("p"))
+        rows = rows.join(firsts, (F.col("file") == F.col("f")) & (place == F.col("p")), "left_anti")
+    else:
+        names = [f"column_{i + 1}" for i in range(len(head))]
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if schema is None:
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        if infer_schema and names:
+            # Spark's own rules see the records with the breaks inside cells as blanks, which leaves
+            # every text a text
+            flat = scratch_path(spark, "csv-flat")
+            rows.select(F.regexp_replace("text", "[\r\n]+", " ")).write.text(flat)
+            found = spark.read.options(**{**options, "mode": "PERMISSIVE"}).option("inferSchema", True).csv(flat)
+            types = [f.dataType for f in found.schema.fields]
+            schema = T.StructType([T.StructField(n, t) for n, t in zip(names, types)]) if types else schema
+    parsed = F.from_csv("text", _ddl(schema), options)
+    if order_key:  # blocks of all files in order, then the record
+        blocks = rows.select("file", "block").distinct().select("file", "block", (F.row_number().over(
+            Window.orderBy("file", "block")) - 1).alias("n"))
+        rows = rows.join(blocks, ["file", "block"])
+        return rows.select((F.shiftleft(F.col("n").cast("long"), 33) + F.col("rec")).alias(ORDER_COL), parsed.alias("r")) \
+            .select("r.*", ORDER_COL)
+    return rows.select(parsed.alias("r")).select("r.*")
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
+def _safe_names(head: list[str]) -> list[str]:
+    """Column names of a header: empty ones are numbered, repeated ones get their place."""
+    low = [h.lower() for h in head]
+    return [f"_c{i}" if not h else f"{h}{i}" if low.count(h.lower()) > 1 else h for i, h in enumerate(head)]
+
+
 def _json_lines(spark: SparkSession, path: str) -> bool:
     """Is every line that is not blank an object of its own?"""
     v = F.trim("value")
@@ -101,6 +154,8 @@ def read_json(spark: SparkSession, path: str, *, multiline: bool | None = None,
 
     ``multiline=None`` tells them apart with one scan of the lines.  Reading lines as
     documents would keep one record of each file, so asking for that is an error.
+    The objects of documents are found in parallel, however long a file or a line is
+    (``records.json_records``), and written once as JSON lines to the shared folder.
     """
     lines = _json_lines(spark, path)
     if multiline is None:
@@ -108,9 +163,14 @@ def read_json(spark: SparkSession, path: str, *, multiline: bool | None = None,
     elif multiline and lines and spark.read.text(path).where(F.trim("value") != "").groupBy(
             F.input_file_name()).count().where("count > 1").limit(1).count():
         raise FormatError(f"{path!r} holds JSON lines, not one document per file")
-    reader = spark.read.option("multiLine", multiline).option("mode", mode)
+    reader = spark.read.option("mode", mode)
     if schema is not None:
         reader = reader.schema(schema)
+    if multiline:
+        lines_path = scratch_path(spark, "json-lines")
+        (json_records(spark, path).repartitionByRange("file", "block", "rec")
+         .sortWithinPartitions("file", "block", "rec").select("text").write.text(lines_path))
+        path = lines_path
     df = reader.json(path)
     return with_order_key(df) if order_key else df
 

@@ -1,5 +1,6 @@
 """Exact order statistics (brute-force oracle) and sources / table inspection."""
 
+import json
 import os
 import random
 import tempfile
@@ -217,3 +218,72 @@ def test_csv_round_trip_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.cell for r in R.a1_csv_whole_texts(spark, str(tmp_path)).collect()}
     assert got == {i: t if t is None else f'a "q", b\n{t}\n"z",' for i, t in enumerate(texts)}
+
+
+@pytest.fixture
+def small_splits(spark):
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "700")
+    yield
+    spark.conf.set(key, before)
+
+
+def nasty_rows(n):
+    rnd = random.Random(n)
+    bits = ["plain", 'say "hi"', "line\nbreak", "a,b", "", None, "\n\n\n", '"', '""\n"', "é\u2028x", "x" * 50, "tail\\", "carriage\r\nreturn"]
+    return [(i, rnd.choice(bits), " ".join(str(rnd.choice(bits)) for _ in range(rnd.choice([1, 3, 60 if i % 50 == 7 else 2])))) for i in range(n)]
+
+
+def test_csv_records_across_splits(spark, small_splits):
+    rows = nasty_rows(300)
+    path = tempfile.mkdtemp(prefix="cw-csv-")
+    for part, chunk in enumerate((rows[:250], rows[250:])):
+        with open(os.path.join(path, f"f{part}.csv"), "w", newline="") as fh:
+            fh.write("id,name,the text\n")
+            for i, a, b in chunk:
+                fh.write(f"{i}," + ("" if a is None else '"' + a.replace('"', '""') + '"') + ',"' + b.replace('"', '""') + '"' + "\r" * (i % 40 == 5) + "\n")
+    df = IO.read_csv(spark, path, order_key=True)
+    assert df.columns == ["id", "name", "the text", IO.ORDER_COL] and dict(df.dtypes)["id"] == "int"
+    got = df.orderBy(IO.ORDER_COL).drop(IO.ORDER_COL).collect()
+    assert [tuple(r) for r in got] == [(i, a or None, b or None) for i, a, b in rows]  # as Spark reads ""
+    blocks = IO.csv_records(spark, path, '"').select("file", "block").distinct().count()
+    assert blocks > 10  # many splits took part
+
+
+def test_csv_across_lines_headerless_and_bad_rows(spark):
+    path = tempfile.mkdtemp(prefix="cw-csv-")
+    with open(os.path.join(path, "a.csv"), "w") as fh:
+        fh.write('1;"x\ny"\n\n2;z\n')
+    df = IO.read_csv(spark, path, separator=";", has_header=False)
+    assert df.columns == ["column_1", "column_2"]
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "x\ny"), (2, "z")]
+    with open(os.path.join(path, "b.csv"), "w") as fh:
+        fh.write('3;"p\nq";too many\n')
+    with pytest.raises(Exception):
+        IO.read_csv(spark, path, separator=";", has_header=False, schema="a INT, b STRING").collect()
+
+
+def test_json_arrays_across_splits(spark, small_splits):
+    rows = [{"id": i, "a": a, "b": b, "deep": {"k": [{"z": "}{"}, {"q": '\\"' * (i % 3)}]}} for i, a, b in nasty_rows(250)]
+    path = tempfile.mkdtemp(prefix="cw-json-")
+    with open(os.path.join(path, "one.json"), "w") as fh:  # one line
+        json.dump(rows[:120], fh)
+    with open(os.path.join(path, "two.json"), "w") as fh:  # many lines, text beyond ASCII as it is
+        json.dump(rows[120:249], fh, indent=1, ensure_ascii=False)
+    with open(os.path.join(path, "three.json"), "w") as fh:  # one document
+        json.dump(rows[249], fh, indent=2)
+    with open(os.path.join(path, "none.json"), "w") as fh:
+        fh.write("[]\n")
+    got = sorted((r.asDict(recursive=True) for r in IO.read_json(spark, path).collect()), key=lambda r: r["id"])
+    want = [{**r, "deep": {"k": [{"z": "}{", "q": None}, {"z": None, "q": r["deep"]["k"][1]["q"]}]}} for r in rows]
+    assert got == want
+    assert IO.json_records(spark, os.path.join(path, "one.json")).select("block").distinct().count() > 10
+
+
+def test_json_array_of_something_else_is_refused(spark):
+    path = tempfile.mkdtemp(prefix="cw-json-")
+    with open(os.path.join(path, "a.json"), "w") as fh:
+        fh.write('[1, 2,\n {"a": 1}]')
+    with pytest.raises(Exception, match="no object but"):
+        IO.read_json(spark, path).collect()
