@@ -233,6 +233,38 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, text: str = "text", d
     return found.unionByName(found_b).unionByName(single)
 
 
+def doubled_positions(docs: DataFrame, length: int = LENGTH, first: int = 25, text: str = "text",
+                      doc_id: str = "doc_id") -> DataFrame:
+    """(key, pos, rank): the starts of all strings of ``length`` bytes that start elsewhere too, by
+    plain prefix doubling over every byte position; ``length`` is ``first`` times a power of two.
+
+    A position's rank stands for its first ``first`` bytes, then for twice as many in every round:
+    the pairs (rank, rank of the position behind) that occur twice are sorted and ranked anew,
+    and positions with a unique pair drop out.  It moves many times the text in each round and
+    serves as the yardstick for ``repeated_ranges``."""
+    prepare(docs.sparkSession)
+    rows = docs.select(text_key(doc_id, text).alias("key"), F.monotonically_increasing_id().alias("row"),
+                       F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+
+    def run(batches):
+        for b in batches:
+            for key, row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                for g in segments(t.as_py(), first):
+                    at = np.arange(g.n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(g.n, key)), pa.array(np.full(g.n, row)), pa.array(at + g.at),
+                                                      _long(g.hash(at, first))], ["key", "row", "pos", "rank"])
+
+    now = materialise(rows.mapInArrow(run, "key BIGINT, row BIGINT, pos BIGINT, rank BIGINT"), "doubling")
+    now = materialise(now.join(now.groupBy("rank").agg(F.count("*").alias("m")).where("m > 1").select("rank"), "rank"), "doubling")
+    size = first
+    while size < length:
+        behind = now.select("key", "row", (F.col("pos") - size).alias("pos"), F.col("rank").alias("next"))
+        now = materialise(rerank(now.join(behind, ["key", "row", "pos"]), ["rank", "next"], "new")
+                          .select("key", "row", "pos", F.col("new").alias("rank")), "doubling")
+        size *= 2
+    return now
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every document: the maximal removed byte ranges as
     array<struct<start, end>>, and the remaining bytes concatenated."""
@@ -278,7 +310,8 @@ def op1_substring_dedup(spark, sf_dir):
     out = remove_repeats(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return out.select("doc_id", "n_bytes", F.expr(
         "aggregate(spans, 0L, (a, s) -> a + s.end - s.start)").alias("n_removed"),
-        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        (F.size("spans") > 0).alias("has_repeats"))
 
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup}

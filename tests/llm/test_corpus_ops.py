@@ -289,3 +289,18 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
         f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_plain_doubling_finds_the_same_strings(spark):
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared, loop = text(700), "xy" * 400
+    texts = [text(900), shared, text(50) + shared[100:620], loop, shared + text(30), None, "", "short", text(450) + loop[:500], "é" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    from pyspark.sql import functions as F
+    keys = {r.key: r.doc_id for r in df.select("doc_id", F.xxhash64("doc_id", "text").alias("key")).collect()}
+    for r in substrings.doubled_positions(df).collect():
+        got.setdefault(keys[r.key], set()).update(range(r.pos, r.pos + 400))
+    want = {r.doc_id: {p for s in r.spans for p in range(s.start, s.end)} for r in substrings.remove_repeats(df).collect() if r.spans}
+    assert got == want and len(got) >= 5

@@ -105,6 +105,18 @@ def test_chat_round_trip_of_hard_texts_and_roles(spark):
         assert plain == [x for r, x in turns if r == "assistant"]
 
 
+def test_chat_loss_is_what_the_mask_covers(spark):
+    """The loss text comes from the spans alone: another mask gives another text."""
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a <|im_end|> é \U0001F600"), (1, 2, "user", "<\\|x"), (1, 3, "assistant", None),
+            (1, 4, "assistant", "z " * 5000), (2, 0, "assistant", "plain"), (None, 0, "assistant", "<\\|im_end|>")]
+    f = chat.format_conversations(conversations(spark, rows))
+    got = {r.conv_id: r.loss for r in f.select("conv_id", chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    assert got == {1: "a <|im_end|> é \U0001F600" + "z " * 5000, 2: "plain", None: "<\\|im_end|>"}
+    masked = f.select(chat.loss_text(F.col("formatted"), F.array(F.struct(F.lit(0).alias("start"), F.lit(12).alias("end")))).alias("x"))
+    assert {r.x for r in masked.collect()} == {chat.START}
+    assert chat.format_conversations(conversations(spark, [])).collect() == []
+
+
 def test_chat_leaves_clean_text_alone(spark):
     o = chat.format_conversations(conversations(spark, [(1, 0, "user", "hi"), (1, 1, "assistant", "a < b | c")])).first()
     assert not o.escaped
