@@ -7,12 +7,14 @@ whole corpus, in a fixed number of buckets) and is otherwise decided by a seeded
 seed gives another order.  Linked sets share a token among their first n - ceil(percent * n) + 1
 tokens under every order, so
 
-1. prefix tokens under the first order are listed with their position, for one document of each
-   class; tokens that two different nodes have are found by one aggregation, and become a Bloom
-   filter of bounded size;
-2. only (token, node) rows that pass it are dealt by token and class of size (linked sets are
-   of the same or neighbouring classes); each node is paired with the least node of its best
-   group (a hub), not with the whole group;
+1. under the first order come the tokens that a single node has, as far as they lie in a fixed
+   part of all hashes (EARLY); an aggregation over that part of the tokens, for one document of
+   each class, finds those that two nodes have, which become a Bloom filter of bounded size.
+   What is left of a node's prefix behind its own tokens is listed with positions;
+2. these (token, node) rows are dealt by token and class of size (linked sets are of the same or
+   neighbouring classes).  Not all pairs of such groups are formed at first: every node in them is
+   paired with the least node (a hub) that shares a sketch of two least hashes, for BANDS
+   sketches, which links most of what is similar;
 3. a pair must also share a prefix token under each of the other orders (``arrays_overlap`` of
    16-bit token prints); then come sizes, counts in 64 buckets, which bound the difference of
    the sets from below, the same bound from as many buckets as a set has tokens, and for what
@@ -48,6 +50,10 @@ from .shingles import mix, shingle_sets
 BUCKET_BITS = 18
 PART = 4096
 ORDERS = 3
+#: Sketches of a set, of two least hashes each, whose hub it is compared with at first.
+BANDS = 12
+#: Part of all tokens, by hash, that is looked through for tokens of a single set.
+EARLY = 0.4
 #: A number from the first bytes of a signature, as a column.
 SHORT = "CAST(conv(hex(substring(sig, 1, 7)), 16, 10) AS BIGINT)"
 
@@ -56,13 +62,29 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def prefix(s: np.ndarray, percent: int, order: int, classes: np.ndarray) -> np.ndarray:
-    """Prefix tokens of a set under one order, as hashes of that order."""
-    n = len(s)
-    p = n - -(-percent * n // 100) + 1
+def prefix_length(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
+def ranks(s: np.ndarray, order: int, classes: np.ndarray) -> np.ndarray:
+    """Tokens as hashes of one order, those of frequent buckets last."""
     rank = classes[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] << np.uint64(60)
-    rank = rank | (mix(s + np.uint64(2 * order + 1)) >> np.uint64(4))
-    return rank if p >= n else np.partition(rank, p - 1)[:p]
+    return rank | (mix(s + np.uint64(2 * order + 1)) >> np.uint64(4))
+
+
+def prefix(s: np.ndarray, percent: int, order: int, classes: np.ndarray) -> np.ndarray:
+    """Prefix tokens of a set under one order."""
+    rank, p = ranks(s, order, classes), prefix_length(len(s), percent)
+    return rank if p >= len(s) else np.partition(rank, p - 1)[:p]
+
+
+def early_tokens(s: np.ndarray, percent: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that may stand in the prefix under the first order, sorted: those of the part EARLY of
+    all tokens that comes first in it, and as many others as a prefix still lacks."""
+    rank, p = ranks(s, 0, classes), prefix_length(len(s), percent)
+    first = mix(s ^ np.uint64(0x5EED)) < np.uint64(int(EARLY * 2 ** 64))
+    more = np.sort(rank[~first])[:max(0, p - int(first.sum()))]
+    return np.sort(rank[first]), more
 
 
 def spread(s: np.ndarray) -> np.ndarray:
@@ -86,6 +108,12 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.abs(x - y).sum())
 
 
+def bands(s: np.ndarray) -> np.ndarray:
+    """Sketches of a set; sets of similarity j have each in common with probability j * j."""
+    least = np.array([mix(s ^ np.uint64(0xBAD5EED + i)).min() for i in range(2 * BANDS)])
+    return mix(mix(least[::2]) ^ least[1::2]).view(np.int64)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -154,46 +182,63 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, text: str = "text", d
     def first_texts(b) -> pa.Array:
         return b.column(0).filter(pa.array(firsts.passes(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    def postings(batches):
+    def tokens(batches):
         for b in batches:
+            sigs, sizes, early, late = [], [], [], []
             for _, s in shingle_sets(first_texts(b), k):
                 if len(s):
-                    p = np.sort(prefix(s, percent, 0, classes.value))
-                    m = len(p)
+                    first, more = early_tokens(s, percent, classes.value)
+                    sigs.append(digest(s))
+                    sizes.append(len(s))
+                    early.append(first.view(np.int64))
+                    late.append(more.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()),
+                                              pa.array(early, pa.list_(pa.int64())), pa.array(late, pa.list_(pa.int64()))],
+                                             ["sig", "n", "early", "late"])
+
+    every = materialise(texts.mapInArrow(tokens, "sig BINARY, n BIGINT, early ARRAY<BIGINT>, late ARRAY<BIGINT>"), "jaccard-tokens")
+    shared = (every.select(F.xxhash64("sig").alias("node"), F.explode(F.concat("early", "late")).alias("token")).groupBy("token")
+              .agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token"))
+    shared = materialise(shared, "jaccard-shared")
+    known = Bloom(shared, "token")
+
+    def postings(batches):
+        for b in batches:
+            for sig, n, early, late in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                early, late = (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (early, late))
+                twice = known.passes(early)
+                alone = len(early) - int(twice.sum())
+                p = np.concatenate([early[twice], late])[:max(0, prefix_length(n, percent) - alone)]
+                at = np.arange(len(p), dtype=np.int32) + np.int32(alone)
+                keep = known.passes(p)
+                p, at = p[keep], at[keep]
+                m = len(p)
+                if m:
                     sigs = pa.BinaryArray.from_buffers(pa.binary(), m, [
-                        None, pa.py_buffer(np.arange(m + 1, dtype=np.int32) * 16), pa.py_buffer(digest(s) * m)])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(p.view(np.int64)), sigs, pa.array(np.full(m, len(s), np.int64)),
-                         pa.array(np.arange(m, dtype=np.int32))], ["token", "sig", "n", "pos"])
-
-    every = materialise(texts.mapInArrow(_joined(postings), "token BIGINT, sig BINARY, n BIGINT, pos INT"), "jaccard-tokens")
-    node = F.xxhash64("sig")
-    shared = materialise(every.groupBy("token").agg(F.min(node).alias("lo"), F.max(node).alias("hi"))
-                         .where("lo <> hi").select("token"), "jaccard-shared")
-    posted = materialise(every.where(Bloom(shared, "token").column("token")).distinct(), "jaccard-postings")
+                        None, pa.py_buffer(np.arange(m + 1, dtype=np.int32) * 16), pa.py_buffer(sig * m)])
+                    yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), sigs, pa.array(np.full(m, n, np.int64)),
+                                                      pa.array(at)], ["token", "sig", "n", "pos"])
+
+    posted = materialise(every.mapInArrow(_joined(postings), "token BIGINT, sig BINARY, n BIGINT, pos INT").distinct(),
+                         "jaccard-postings")
     release(every, shared)
     # Sizes of linked sets differ by a factor of at most 100 / percent, so the sets' classes of
     # that width differ by at most one: groups are (token, two neighbouring classes).
     width = math.log(100 / percent) * 1.0001 if percent < 100 else 1.0
     classed = posted.withColumn("c", F.explode(F.expr(
         f"array(CAST(floor(ln(n) / {width!r}) AS INT), CAST(floor(ln(n) / {width!r}) AS INT) + 1)")))
-    hub = classed.groupBy("token", "c").agg(F.min("sig").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
-    grouped = materialise(classed.join(hub, ["token", "c"]), "jaccard-groups")
+    crowd = classed.groupBy("token", "c").agg(F.count("*").alias("m")).where("m > 1").drop("m")
+    grouped = materialise(classed.join(crowd, ["token", "c"]), "jaccard-groups")
     release(posted)
     posted = grouped
 
-    hubs = posted.where("sig <> hub").groupBy("sig", "hub").agg(F.count("*").alias("m"))
-    first_pairs = materialise(
-        hubs.groupBy("sig").agg(F.max(F.struct("m", "hub")).alias("best"))
-        .select(F.col("best.hub").alias("a"), F.col("sig").alias("b")), "jaccard-hub-pairs")
-
     # Of the texts, only those of nodes in such groups are needed.
     wanted = Bloom(materialise(posted.select("sig").distinct().select(F.expr(SHORT).alias("h")), "jaccard-wanted"), "h")
 
     def payload(batches):
         for b in batches:
             found = first_texts(b)
-            at, sigs, sizes, parts, fines, prints = [], [], [], [], [], [[] for _ in range(1, orders)]
+            at, sigs, sizes, parts, fines, sketches, prints = [], [], [], [], [], [], [[] for _ in range(1, orders)]
             for row, s in shingle_sets(found, k):
                 if not len(s):
                     continue
@@ -205,17 +250,18 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, text: str = "text", d
                 sizes.append(len(s))
                 parts.append(spread(s))
                 fines.append(fine(s))
+                sketches.append(bands(s))
                 for o in range(1, orders):
                     p = prefix(s, percent, o, classes.value)
                     prints[o - 1].append(np.unique(mix(p).astype(np.uint16)).view(np.int16))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int16())), pa.array(fines, pa.binary()),
+                [pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int16())), pa.array(fines, pa.binary()), pa.array(sketches, pa.list_(pa.int64())),
                  *[pa.array(p, pa.list_(pa.int16())) for p in prints], found.take(pa.array(at, pa.int64()))],
-                ["sig", "n", "s", "fine", *[f"f{o}" for o in range(1, orders)], "t"])
+                ["sig", "n", "s", "fine", "bands", *[f"f{o}" for o in range(1, orders)], "t"])
 
     f_cols = [f"f{o}" for o in range(1, orders)]
     nodes = materialise(texts.mapInArrow(
-        payload, "sig BINARY, n BIGINT, s ARRAY<SMALLINT>, fine BINARY, " + "".join(f"{f} ARRAY<SMALLINT>, " for f in f_cols) + "t STRING"), "jaccard-nodes")
+        payload, "sig BINARY, n BIGINT, s ARRAY<SMALLINT>, fine BINARY, bands ARRAY<BIGINT>, " + "".join(f"{f} ARRAY<SMALLINT>, " for f in f_cols) + "t STRING"), "jaccard-nodes")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Links among (a, b) pairs: sizes, the other orders, then the sets."""
@@ -255,6 +301,10 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, text: str = "text", d
                 .select("a", "b", "a_t", "b_t"))
         return full.mapInArrow(check, "a BINARY, b BINARY")
 
+    near = nodes.select("sig", F.posexplode("bands").alias("i", "band")).distinct()
+    hubs = near.groupBy("i", "band").agg(F.min("sig").alias("hub"))
+    first_pairs = materialise(near.join(hubs, ["i", "band"]).where("sig <> hub")
+                              .select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct(), "jaccard-hub-pairs")
     links = materialise(verify(first_pairs), "jaccard-links")
     parts = components(links)
     placed = materialise(
