@@ -58,10 +58,12 @@ def pending_anomalies_by_user(datasets: DataFrame, anomalies: DataFrame) -> Data
 
 # ------------------------------------------------------------------ M2, M4, M5
 def anomalies_with_decision(anomalies: DataFrame, decisions: DataFrame) -> DataFrame:
-    """M2: every anomaly with its decision if any (left outer join, one decision per anomaly)."""
+    """M2: every anomaly with its decision if any (left outer join, one decision per anomaly), in
+    ascending order of creation (a range sort; ties by id)."""
     d = latest(decisions, ["anomaly_id"], "created_at")
     return anomalies.join(d.select("anomaly_id", F.col("action").alias("decision_action"),
-                                   F.col("created_at").alias("decided_at")), "anomaly_id", "left")
+                                   F.col("created_at").alias("decided_at")), "anomaly_id", "left") \
+        .orderBy("created_at", "anomaly_id")
 
 
 def pending_by_dataset(anomalies: DataFrame) -> DataFrame:

@@ -181,3 +181,12 @@ def test_stream_dedup_within_delay(spark, tmp_path):
     path, schema, arrivals = _sliced(spark, tmp_path, rows, 4)
     got = ST.run_available_now(ST.stream_dedup(ST.read_stream(spark, path, schema), ["user_id", "event_type"]), "append", arrivals)
     assert sorted(r["event_id"] for r in got.collect()) == [1, 2, 3, 4, 5, 7, 8, 9]
+
+
+def test_anomalies_with_decision_come_in_order_of_creation(spark):
+    an = spark.createDataFrame([(i, 1, "X", "PENDING", (i * 37) % 50) for i in range(200)],
+                               "anomaly_id long, dataset_id long, anomaly_type string, status string, created_at int").repartition(5)
+    dec = spark.createDataFrame([(3, "APPROVED", 1), (3, "DISCARDED", 2)], "anomaly_id long, action string, created_at int")
+    out = RV.anomalies_with_decision(an, dec).collect()
+    assert [(r.created_at, r.anomaly_id) for r in out] == sorted((r.created_at, r.anomaly_id) for r in out) and len(out) == 200
+    assert {r.anomaly_id: r.decision_action for r in out if r.decision_action} == {3: "DISCARDED"}
