@@ -705,3 +705,16 @@ QUERIES["d29_faulty_part"] = _detect_faulty("part")
 QUERIES["d30_faulty_conversations"] = _detect_faulty("conversations")
 QUERIES["d31_faulty_pages"] = _detect_faulty("pages")
 QUERIES["d32_faulty_benchmark"] = _detect_faulty("benchmark")
+
+
+@query("b29_metrics")
+def b29_metrics(spark, sf_dir):
+    """What each step of a chain reports of its rows and nulls, measured in one job."""
+    d = dirty(spark, sf_dir).select("row_key", "email", "saldo", "puntaje")
+    _, res = TR.run_chain(d, [
+        {"type": "CLEAN_NULLS", "columns": ["email"]}, {"type": "FILL_NULLS", "columns": ["saldo"], "params": {"value": 0.0}},
+        {"type": "DETECT_OUTLIERS", "columns": ["puntaje"], "params": {"action": "remove"}}], order_by=DIRTY_ORDER, metrics=True)
+    rows = [(i, r.type, r.rows_before, r.rows_after, *[next(iter(r.details.get(m, {}).values()), None) for m in (
+        "null_counts_before", "null_counts_after", "outlier_counts")]) for i, r in enumerate(res)]
+    return spark.createDataFrame(rows, "step bigint, type string, rows_before bigint, rows_after bigint, "
+                                       "nulls_before bigint, nulls_after bigint, outliers bigint")

@@ -1082,3 +1082,13 @@ s AS (SELECT CAST(sum(cnt - 1) AS BIGINT) AS extra, CAST(arg_min(id, (-cnt, id))
 SELECT column_name, 'DUPLICATE' AS anomaly_type, extra AS affected, ex AS original_value, 'DUPLICADO' AS suggested_value,
        CAST(NULL AS DOUBLE) AS suggested_num, CAST(NULL AS VARCHAR) AS related_column
 FROM s, (VALUES ('decimal_id'), ('long_id')) t(column_name)""")
+
+oracle("b29_metrics", DIRTY + """, c AS (SELECT * FROM dirty WHERE email IS NOT NULL),
+r AS (SELECT puntaje, row_number() OVER (ORDER BY puntaje) AS rn, count(*) OVER () AS n FROM c WHERE puntaje IS NOT NULL),
+q AS (SELECT max(puntaje) FILTER (WHERE rn = CAST(floor((n - 1) * 0.25 + 0.5) AS BIGINT) + 1) AS q1,
+        max(puntaje) FILTER (WHERE rn = CAST(floor((n - 1) * 0.75 + 0.5) AS BIGINT) + 1) AS q3 FROM r),
+o AS (SELECT count(*) FILTER (WHERE puntaje < q1 - 1.5 * (q3 - q1) OR puntaje > q3 + 1.5 * (q3 - q1)) AS n FROM c, q)
+SELECT 0::BIGINT AS step, 'CLEAN_NULLS' AS type, count(*) AS rows_before, count(email) AS rows_after,
+       count(*) - count(email) AS nulls_before, NULL::BIGINT AS nulls_after, NULL::BIGINT AS outliers FROM dirty
+UNION ALL SELECT 1, 'FILL_NULLS', count(*), count(*), count(*) - count(saldo), 0, NULL FROM c
+UNION ALL SELECT 2, 'DETECT_OUTLIERS', count(*), count(*) - (SELECT n FROM o), NULL, NULL, (SELECT n FROM o) FROM c""")
