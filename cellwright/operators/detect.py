@@ -28,7 +28,7 @@ from datetime import datetime, timezone
 from decimal import Decimal
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,7 @@ from ..functions.text import count_if, digit_count, email_valid, first_by, phone
 from ..functions.types import dtypes, kind_of
 from ..plans.profile import (KEY, PREFIX, RAW, fetch_values, least_values, order_column, persist, run_aggs,
                              value_counts, value_text)
+from ..session import written
 
 ANOMALY_SCHEMA = T.StructType([
     T.StructField("anomaly_id", T.StringType(), False),
@@ -70,6 +71,15 @@ def seq_number(column: str, prefix: str) -> str:
             f"THEN concat(lpad(CAST(length({digits}) AS STRING), 10, '0'), {digits}) END")
 
 
+def seq_next(key: Column) -> Column:
+    """The key of the number after a key's: the nines at the end become zeros, the digit before them one more."""
+    d = F.concat(F.lit("0"), F.substring(key, 11, 2**31 - 1))
+    head, digit, nines = (F.regexp_extract(d, "^(.*?)([0-8])(9*)$", i) for i in (1, 2, 3))
+    more = F.regexp_replace(F.concat(head, (digit.cast("int") + 1).cast("string"), F.repeat(F.lit("0"), F.length(nines))),
+                            "^0+(?=[0-9])", "")
+    return F.concat(F.lpad(F.length(more).cast("string"), 10, "0"), more)
+
+
 def seq_digits(n: int | float) -> str:
     """Text of a number; ``str`` refuses very long ints."""
     return str(n) if isinstance(n, float) else format(Decimal(n), "f")
@@ -83,6 +93,25 @@ def seq_int(key: str | None) -> int | None:
     return None if key is None else int(Decimal(key[10:]))
 
 
+def holes(df: DataFrame, num: Column, slices: int | None = None) -> tuple[int, str | None]:
+    """Number of different keys, and the smallest key that is not the largest and whose successor
+    is missing.
+
+    The keys are range-partitioned, without repeats inside a slice (equal keys share one), and
+    written once.  Inside a slice each key looks at the next; the last key of a slice looks at the
+    first one of the next slice that has any, by a window over one row per slice."""
+    keys = df.select(num.alias("x")).where(F.col("x").isNotNull()).distinct()
+    keys = keys.repartitionByRange(slices, "x") if slices else keys.repartitionByRange("x")
+    keys = written(keys.withColumn("slice", F.spark_partition_id()), "sequence")
+    after = F.lead("x").over(Window.partitionBy("slice").orderBy("x"))
+    hole = F.col("after").isNotNull() & (F.col("after") != seq_next(F.col("x")))
+    ends = keys.withColumn("after", after).groupBy("slice").agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min(F.when(hole, F.col("x"))).alias("first"))
+    borders = ends.withColumn("after", F.lead("lo").over(Window.partitionBy(F.lit(0)).orderBy("lo")))
+    at_border = F.when(F.col("after").isNotNull() & (F.col("after") != seq_next(F.col("hi"))), F.col("hi"))
+    return borders.agg(F.sum("n"), F.min(F.coalesce("first", at_border))).first()
+
+
 def seq_fences(g: dict) -> tuple:
     """IQR and fences of the keys q1, q3, p10, p90: the reference's floats, or exact fractions
     where a float cannot hold them."""
@@ -652,21 +681,11 @@ class Detector:
                 example = f"{prefix}{row[f'{c}|outex'][10:].zfill(width)}"
                 count = row[f"{c}|out"]
             else:
-                num = F.expr(self.num_expr(c, prefix))
-                nums = self.df.select(num.alias("x")).where(F.col("x").isNotNull()).distinct()
-                count = (mx - mn + 1) - nums.count()
+                present, first = holes(self.df, F.expr(self.num_expr(c, prefix)))
+                count = (mx - mn + 1) - present
                 if count <= 0:
                     continue
-                # one less: the last digit that is not 0 goes down, the zeros after it become 9
-                d = F.substring("x", 11, 2**31 - 1)
-                head, digit, zeros = (F.regexp_extract(d, "^(.*?)([1-9])(0*)$", i) for i in (1, 2, 3))
-                less = F.regexp_replace(F.concat(head, (digit.cast("int") - 1).cast("string"),
-                                                 F.repeat(F.lit("9"), F.length(zeros))), "^0+(?=[0-9])", "")
-                nxt = nums.where(d != "0").select(
-                    F.concat(F.lpad(F.length(less).cast("string"), 10, "0"), less).alias("x"))
-                # a hole follows x when x+1 is absent: anti join, no window over the whole range
-                first = seq_int(nums.where(F.col("x") < row[f"{c}|mx"]).join(nxt, "x", "left_anti")
-                             .agg(F.min("x")).collect()[0][0])
+                first = seq_int(first)
                 example = f"{prefix}{seq_digits(first + 1).zfill(width)}"
                 cmin, cmax = mn, mx
             cmin, cmax = seq_digits(cmin), seq_digits(cmax)

@@ -630,11 +630,38 @@ def s04(spark, sf_dir):
     return _stream(spark, sf_dir, lambda ev: ST.row_check_counts(ST.row_checks(ev, prof)), "complete")
 
 
+@query("s04_profile_join")
+def s04_profile_join(spark, sf_dir):
+    """Checks against a profile table that has its first version before the stream starts, and gets
+    its second, of all events, when half of the time slices have been checked."""
+    ev, where = table(spark, sf_dir, "events"), scratch_path(spark, "profile")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = ev.agg(F.min(us), F.max(us)).first()
+    ST.write_profile(ev.where(us <= F.lit(lo + (hi - lo) * 2 // 4)), where, 1)
+    path, schema, arrivals = ST.event_slices(spark, sf_dir, 4)
+
+    def third():
+        ST.write_profile(ev, where, 2)
+        arrivals[2]()
+    out = ST.run_available_now(ST.profiled_row_checks(ST.read_stream(spark, path, schema), where), "append",
+                               [*arrivals[:2], third, arrivals[3]])
+    return out.select("event_id", "zscore_outlier", "iqr_outlier", F.col("version").cast("bigint").alias("version"))
+
+
 @query("s05_stream_dedup")
 def s05(spark, sf_dir):
-    """The keys that come out; one that returns after the delay comes out again, and is one key."""
-    return _stream(spark, sf_dir, lambda ev: ST.stream_dedup(ev, ["user_id", "event_type"]), "append") \
-        .select("user_id", "event_type").distinct()
+    """The first event of each run of a user's events of one type, for the runs that have ended."""
+    out = _stream(spark, sf_dir, lambda ev: ST.stream_dedup_by_gap(ev, ["user_id", "event_type"], "6 hours"), "append")
+    return out.select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "n_rows")
+
+
+@query("s05_late_rows")
+def s05_late(spark, sf_dir):
+    """Rows and late rows by micro-batch and type, where every tenth event arrives one time slice after its own."""
+    path, schema, arrivals = ST.event_slices(spark, sf_dir, 4, held="event_id % 10 = 0")
+    out = ST.run_available_now(ST.mark_late(ST.read_stream(spark, path, schema), "1 hour"), "append", arrivals)
+    return out.groupBy(F.col("arrived").cast("bigint").alias("arrived"), "event_type").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("late").alias("n_late"))
 
 
 @query("s05_stream_dedup_hourly")

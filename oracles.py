@@ -998,7 +998,37 @@ SELECT a_id, a_key, a_ts, d_id, d_ts, false AS timed_out FROM m
 UNION ALL
 SELECT a.id, a.k, a.ts, NULL, NULL, true FROM a
 WHERE a.id NOT IN (SELECT a_id FROM m) AND a.ts + INTERVAL 1800 SECOND < (SELECT w FROM wm)""")
-oracle("s05_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+oracle("s05_stream_dedup", """WITH g AS (SELECT *, ts - lag(ts) OVER w <= INTERVAL 6 HOUR AS follows FROM events WHERE ts IS NOT NULL
+  WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+r AS (SELECT *, count(*) FILTER (WHERE follows IS NOT TRUE) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run FROM g)
+SELECT user_id, event_type, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id, count(*) AS n_rows
+FROM r GROUP BY user_id, event_type, run
+HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 6 HOUR FROM events)""")
+SLICED = """e AS (SELECT *, epoch_us(ts) AS us, min(epoch_us(ts)) OVER () AS lo, max(epoch_us(ts)) OVER () AS hi FROM events),
+sl AS (SELECT *, CASE WHEN us IS NULL OR us <= lo + (hi - lo) * 1 // 4 THEN 0 WHEN us <= lo + (hi - lo) * 2 // 4 THEN 1
+  WHEN us <= lo + (hi - lo) * 3 // 4 THEN 2 ELSE 3 END AS slice FROM e)"""
+oracle("s05_late_rows", f"""WITH {SLICED},
+a AS (SELECT *, CASE WHEN event_id % 10 = 0 AND slice < 3 THEN slice + 1 ELSE slice END AS arrived FROM sl),
+m AS (SELECT arrived, max(ts) AS top FROM a GROUP BY 1)
+SELECT CAST(a.arrived AS BIGINT) AS arrived, event_type, count(*) AS n_rows,
+  count(*) FILTER (WHERE ts < (SELECT max(top) FROM m WHERE m.arrived < a.arrived) - INTERVAL 1 HOUR) AS n_late
+FROM a GROUP BY 1, 2""")
+
+
+def _fences(rows: str, version: int) -> str:
+    """Mean, deviation and nearest-rank fences of the values of ``rows``."""
+    rank = "(SELECT CAST(floor((count(value) - 1) * {} + 0.5) AS BIGINT) + 1 FROM " + rows + ")"
+    return f"""(SELECT {version} AS version, (SELECT avg(value) FROM {rows}) AS m, (SELECT stddev_samp(value) FROM {rows}) AS s,
+  max(v) FILTER (WHERE rn = {rank.format(0.25)}) AS q1, max(v) FILTER (WHERE rn = {rank.format(0.75)}) AS q3
+  FROM (SELECT value AS v, row_number() OVER (ORDER BY value) AS rn FROM {rows} WHERE value IS NOT NULL))"""
+
+
+oracle("s04_profile_join", f"""WITH {SLICED}, half AS (SELECT * FROM sl WHERE slice < 2 AND us IS NOT NULL),
+p AS ({_fences("half", 1)} UNION ALL {_fences("sl", 2)})
+SELECT event_id, coalesce(s > 0 AND abs(value - m) / s > 3, FALSE) AS zscore_outlier,
+  coalesce(q3 <> q1 AND (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)), FALSE) AS iqr_outlier,
+  CAST(p.version AS BIGINT) AS version
+FROM sl JOIN p ON p.version = CASE WHEN slice < 2 THEN 1 ELSE 2 END""")
 oracle("s05_stream_dedup_hourly", """
 SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS bucket FROM events""")
 NO_KW = {"EMAIL_COLS": [], "PHONE_COLS": [], "NAME_COLS": [], "ADDR_COLS": []}

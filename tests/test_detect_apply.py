@@ -251,3 +251,23 @@ def test_sequence_numbers_of_any_length(spark, monkeypatch, digits, limit):
     assert recs["hole"]["original_value"] == f"A|{base}|{base + 100 * step}|A{first}"
     assert recs["far"]["affected"] == 1 and recs["far"]["original_value"].endswith("7")
     assert [r["value"] for r in find_cells(df, [recs["far"]], "k").collect()] == ["A7"]
+
+
+@pytest.mark.parametrize("slices", [1, 3, 40])
+def test_holes_on_and_off_the_borders_of_slices(spark, slices):
+    """With about as many slices as keys nearly every hole falls on a border."""
+    from cellwright.operators.detect import holes, seq_int, seq_key
+    for gone in ([], [1], [9], [10, 11, 12], [57], [40, 99], [98, 99, 100], [5, 30, 70]):
+        have = [n for n in range(0, 121) if n not in gone] + [7, 7, 8]
+        df = spark.createDataFrame([(seq_key(n),) for n in have] + [(None,)], "x string").repartition(4)
+        n, first = holes(df, F.col("x"), slices)
+        assert n == len(set(have)), gone
+        assert seq_int(first) == (min(gone) - 1 if gone else None), gone
+    assert tuple(holes(spark.createDataFrame([], "x string"), F.col("x"), slices)) == (None, None)
+
+
+def test_next_number_of_any_length(spark):
+    from cellwright.operators.detect import seq_key, seq_next
+    ns = [0, 1, 8, 9, 10, 99, 109, 199, 989, 10 ** 40 - 1, 10 ** 40, 123_999]
+    df = spark.createDataFrame([(seq_key(n), seq_key(n + 1)) for n in ns], "x string, y string")
+    assert df.where(seq_next(F.col("x")) != F.col("y")).count() == 0

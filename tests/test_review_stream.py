@@ -190,3 +190,97 @@ def test_anomalies_with_decision_come_in_order_of_creation(spark):
     out = RV.anomalies_with_decision(an, dec).collect()
     assert [(r.created_at, r.anomaly_id) for r in out] == sorted((r.created_at, r.anomaly_id) for r in out) and len(out) == 200
     assert {r.anomaly_id: r.decision_action for r in out if r.decision_action} == {3: "DISCARDED"}
+
+
+def _jobs(rows):
+    """What a feed has to give: changes per job in (ts, event_id) order, nothing behind the first end."""
+    want, last, done = [], {}, set()
+    for eid, ts, job, event in sorted(rows, key=lambda r: (r[1] is None, r[1] or dt.datetime.min, r[0])):
+        if job not in done and last.get(job) != event:
+            want.append(eid)
+        last[job] = event
+        if event in ST.TERMINAL_EVENTS:
+            done.add(job)
+    return sorted(want)
+
+
+@pytest.mark.parametrize("piece_rows", [7, 50, 10 ** 6])
+def test_job_feed_step_over_pieces(spark, monkeypatch, piece_rows):
+    """A job with most of the events, whose statuses alternate or repeat across the borders of the
+    pieces, ties in time and rows without a time give what one pass over all rows gives."""
+    import random
+    monkeypatch.setattr(ST, "FEED_PIECE_ROWS", piece_rows)
+    rnd = random.Random(piece_rows)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(seconds=rnd.randrange(150)) if rnd.random() < 0.97 else None,
+             rnd.choice([1, 1, 1, 2, 3, None]), rnd.choice(["active", "waiting", "waiting"])) for i in range(300)]
+    rows += [(1000 + j, t0 + dt.timedelta(seconds=60 + j), j, "failed") for j in (2, 3)]
+    schema = "event_id long, ts timestamp, job_id long, event string"
+    first = [r for r in rows if r[1] is not None and r[1] < t0 + dt.timedelta(seconds=70)]
+    rest = [r for r in rows if r not in first]
+    a, state = ST.feed_step(spark.createDataFrame(first, schema), None)
+    b, after = ST.feed_step(spark.createDataFrame(rest, schema), state)
+    assert sorted(r["event_id"] for r in a.union(b).collect()) == _jobs(rows)
+    assert {r["job_id"] for r in after.collect()} == {r[2] for r in rest}
+
+
+def test_job_feed_writes_the_state_of_jobs_it_saw(spark, tmp_path, monkeypatch):
+    """A batch's state has its own jobs only, and states put together every few batches lose none."""
+    monkeypatch.setattr(ST, "FEED_WHOLE_EVERY", 2)
+    folder, schema = str(tmp_path / "f"), "event_id long, ts timestamp, job_id long, event string"
+    t = [dt.datetime(2024, 1, d) for d in range(1, 8)]
+    batches = [[(1, t[0], 1, "active"), (2, t[0], 2, "active")], [(3, t[1], 1, "active")], [(4, t[2], 3, "active")],
+               [(5, t[3], 2, "completed")], [(6, t[4], 2, "active"), (7, t[4], 1, "failed")], [(8, t[5], 3, "active")]]
+    got = []
+    for n, rows in enumerate(batches):
+        run = [sorted(r["event_id"] for r in ST._feed_batch(spark.createDataFrame(rows, schema), n, folder).collect())
+               for _ in range(2)]   # a batch that is run again
+        assert run[0] == run[1]
+        got.append(run[0])
+        state = spark.read.parquet(f"{folder}/since={n - n % 2}/batch={n}")
+        assert sorted(r["job_id"] for r in state.collect()) == sorted({r[2] for r in rows})
+    assert got == [[1, 2], [], [4], [5], [7], []]
+
+
+def test_dedup_by_gap_and_late_rows(spark, tmp_path):
+    t = lambda h, m=0: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h, minutes=m)
+    rows = [(1, t(0), 1, "x"), (2, t(0, 40), 1, "x"), (3, t(1, 30), 1, "x"), (4, t(2, 30), 1, "x"), (11, t(3, 31), 1, "x"), (6, t(0), 1, "x"),
+            (7, t(10), 2, "y"), (8, None, 2, "y"), (5, t(10), None, "y"), (9, t(24), 3, "x")]
+    path, schema, arrivals = _sliced(spark, tmp_path, rows, 4)
+    got = ST.run_available_now(ST.stream_dedup_by_gap(ST.read_stream(spark, path, schema), ["user_id", "event_type"]), "append", arrivals)
+    # the run of key 1 is chained over 150 minutes; its row 61 minutes after the last starts a new one; key 3 has not ended
+    assert sorted((r["event_id"], r["n_rows"]) for r in got.collect()) == [(1, 5), (5, 1), (7, 1), (11, 1)]
+
+    d = str(tmp_path / "late")
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{d}/events.parquet")
+    path, schema, arrivals = ST.event_slices(spark, d, 4, held="event_id IN (2, 4, 9)")
+    out = {r["event_id"]: (r["arrived"], r["late"]) for r in
+           ST.run_available_now(ST.mark_late(ST.read_stream(spark, path, schema)), "append", arrivals).collect()}
+    # rows 2 and 4 come with the second slice; the first had seen 3:31, so what is before 2:31 is late
+    assert out[2] == (1, True) and out[4] == (1, True) and out[3] == (0, False) and out[8] == (0, False) and out[9] == (3, False)
+    assert {e for e, (_, late) in out.items() if late} == {2, 4} and len(out) == len(rows)
+
+
+def test_profile_join_takes_the_newest_version(spark, tmp_path):
+    d, where = str(tmp_path / "t"), str(tmp_path / "profile")
+    day = [dt.datetime(2024, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    ev = spark.createDataFrame([(i, day[i], 10.0 + i % 3 if i != 25 else 500.0) for i in range(40)] + [(99, day[39], None)],
+                               "event_id long, ts timestamp_ntz, value double")
+    ev.write.parquet(f"{d}/events.parquet")
+    path, schema, arrivals = ST.event_slices(spark, d, 2)
+    wide = ev.select(F.lit(1e6).alias("value")).union(ev.select(F.lit(-1e6).alias("value")))
+
+    def second():
+        ST.write_profile(wide, where, 2)
+        arrivals[1]()
+
+    ST.write_profile(ev.where("event_id < 20"), where, 1)
+    out = ST.run_available_now(ST.profiled_row_checks(ST.read_stream(spark, path, schema), where), "append", [arrivals[0], second])
+    got = {r["event_id"]: (r["zscore_outlier"], r["iqr_outlier"], r["version"]) for r in out.collect()}
+    assert got[0] == (False, False, 1) and got[25] == (False, False, 2) and got[99] == (False, False, 2) and len(got) == 41
+    # the same row against the first version is an outlier by both rules
+    path, schema, arrivals = ST.event_slices(spark, d, 1)
+    where1 = str(tmp_path / "p1")
+    ST.write_profile(ev.where("event_id < 20"), where1, 1)
+    out = ST.run_available_now(ST.profiled_row_checks(ST.read_stream(spark, path, schema), where1), "append", arrivals)
+    assert [r["event_id"] for r in out.where("zscore_outlier AND iqr_outlier").collect()] == [25]
