@@ -532,6 +532,18 @@ def m08(spark, sf_dir):
     return RV.upsert(base, _status_updates(spark, sf_dir), ["anomaly_id"], "updated_at", update_cols=["status"])
 
 
+@query("m08_merge_bucketed")
+def m08_merge(spark, sf_dir):
+    """The status updates merged into a written table, the ones of a review first, then the final ones."""
+    base = review_anomalies(spark, sf_dir).select("anomaly_id", "dataset_id", "anomaly_type", "status")
+    path, keys = scratch_path(spark, "anomalies"), ["anomaly_id"]
+    RV.write_bucketed(base, path, keys, 32)
+    updates = _status_updates(spark, sf_dir)
+    for status in ("IN_REVIEW", "RESOLVED"):
+        RV.merge_bucketed(spark, path, base.schema, updates.where(F.col("status") == status), keys, "updated_at", 32, ["status"])
+    return RV.read_bucketed(spark, path, base.schema)
+
+
 def _decisions_with_foreign(spark, sf_dir):
     foreign = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(
         (-F.col("o_orderkey") - 1).alias("anomaly_id"),  # ids no line item has

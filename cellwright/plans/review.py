@@ -15,6 +15,7 @@ from .. import constants as K
 from ..functions import quantiles as Q
 from ..functions.text import count_if, py_str
 from ..functions.types import dtypes, is_numeric
+from ..session import written
 from .profile import order_column
 
 PAGE_DEFAULT, PAGE_MAX = 20, 100
@@ -151,6 +152,49 @@ def upsert(base: DataFrame, updates: DataFrame, keys: list[str], ts: str,
     return merged.select(*out)
 
 
+#: Name of the partition column of a bucketed table.
+BUCKET = "__bucket"
+
+
+def _bucket(keys: list[str], buckets: int):
+    return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(buckets)).cast("int")
+
+
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int) -> None:
+    """Write ``df`` as Parquet with one folder per bucket, a hash of the keys; ``merge_bucketed``
+    must be given the same keys and number of buckets."""
+    df.withColumn(BUCKET, _bucket(keys, buckets)).repartition(BUCKET).write.partitionBy(BUCKET).parquet(path)
+
+
+def read_bucketed(spark, path: str, schema) -> DataFrame:
+    return spark.read.schema(f"{_ddl(schema)}, {BUCKET} int").parquet(path).drop(BUCKET)
+
+
+def _ddl(schema) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
+def merge_bucketed(spark, path: str, schema, updates: DataFrame, keys: list[str], ts: str, buckets: int,
+                   update_cols: list[str] | None = None) -> list[int]:
+    """M8 on a written table: ``upsert`` of the updates into the buckets that they touch, which are
+    the only ones read and written again; the files of the others stay as they are.  Returns the
+    touched buckets.
+
+    The merged buckets are first written to the shared folder and then put in place of the old ones
+    with dynamic partition overwrite, so that no task reads what another replaces.  Nothing else may
+    write the table meanwhile.  Null keys never match (as in ``upsert``); without updates nothing
+    is written."""
+    upd = written(updates.withColumn(BUCKET, _bucket(keys, buckets)), "merge-updates")
+    touched = sorted(r[0] for r in upd.select(BUCKET).distinct().collect())   # at most ``buckets`` numbers
+    if not touched:
+        return []
+    base = spark.read.schema(f"{_ddl(schema)}, {BUCKET} int").parquet(path).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    merged = upsert(base, upd.drop(BUCKET), keys, ts, update_cols).select(*[F.col(f"`{f.name}`") for f in schema.fields])
+    merged = written(merged.withColumn(BUCKET, _bucket(keys, buckets)).repartition(BUCKET), "merge")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    return touched
+
+
 # ------------------------------------------------------------------ M9
 def resolve_anomalies(anomalies: DataFrame, decisions: DataFrame, dataset_id=None):
     """M9: anomalies with a decision become RESOLVED.

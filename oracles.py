@@ -580,6 +580,7 @@ upd AS (SELECT anomaly_id, 'IN_REVIEW' AS status, created_at AS updated_at FROM
 lu AS (SELECT anomaly_id, arg_max(status, (updated_at, status)) AS status FROM upd GROUP BY 1)
 SELECT a.anomaly_id, a.dataset_id, a.anomaly_type, coalesce(lu.status, a.status) AS status
 FROM anomalies a LEFT JOIN lu USING (anomaly_id)""")
+ORACLES["m08_merge_bucketed"] = ORACLES["m08_upsert_latest"]
 DEC_ALL = """, dec_all AS (SELECT anomaly_id FROM decisions UNION ALL
   SELECT -o_orderkey - 1 FROM orders WHERE o_orderkey % 50 = 0)
 """

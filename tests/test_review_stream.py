@@ -284,3 +284,24 @@ def test_profile_join_takes_the_newest_version(spark, tmp_path):
     ST.write_profile(ev.where("event_id < 20"), where1, 1)
     out = ST.run_available_now(ST.profiled_row_checks(ST.read_stream(spark, path, schema), where1), "append", arrivals)
     assert [r["event_id"] for r in out.where("zscore_outlier AND iqr_outlier").collect()] == [25]
+
+
+def test_merge_touches_only_the_buckets_of_the_updates(spark, tmp_path):
+    import glob
+    path, keys = str(tmp_path / "m"), ["k"]
+    base = spark.createDataFrame([(i, "PENDING", f"s{i}") for i in range(200)] + [(None, "PENDING", "none")], "k long, status string, s string")
+    RV.write_bucketed(base, path, keys, 16)
+
+    def files():
+        return {f for f in glob.glob(f"{path}/{RV.BUCKET}=*/*.parquet")}
+    before = files()
+    upd = spark.createDataFrame([(3, "OLD", "x", 1), (3, "RESOLVED", "y", 2), (1000, "NEW", "z", 1)], "k long, status string, s string, at int")
+    touched = RV.merge_bucketed(spark, path, base.schema, upd, keys, "at", 16, ["status"])
+    assert 1 <= len(touched) <= 2
+    changed = {f.split(f"{RV.BUCKET}=")[1].split("/")[0] for f in before ^ files()}
+    assert changed == {str(b) for b in touched}
+    got = {r["k"]: (r["status"], r["s"]) for r in RV.read_bucketed(spark, path, base.schema).collect()}
+    want = {r["k"]: (r["status"], r["s"]) for r in RV.upsert(base, upd, keys, "at", ["status"]).collect()}
+    assert got == want and got[3] == ("RESOLVED", "s3") and got[1000] == ("NEW", None) and len(got) == 202
+    now = files()
+    assert RV.merge_bucketed(spark, path, base.schema, upd.where("k < 0"), keys, "at", 16, ["status"]) == [] and files() == now
