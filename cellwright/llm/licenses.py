@@ -4,8 +4,9 @@ A text is reduced to its words (runs of ASCII letters and digits, A-Z lower-case
 non-ASCII characters), joined by single blanks.  The signature table below names license
 families; ``signatures`` compiles it into some hundreds of regular expressions with a label,
 a priority and a required keyword.  A rule's expression runs only where its keyword occurs
-(prefilter).  Detections are then resolved: going by priority, a detection that lies within
-one already kept is suppressed.  The three base phrases are reported at all their places and
+(prefilter).  Behind "SPDX-License-Identifier" the identifiers of the expression are read one
+after the other, as long as ``or`` / ``and`` join them.  Detections are then resolved: going by
+priority, a detection that lies within one already kept is suppressed.  The three base phrases are reported at all their places and
 are never suppressed.
 
 Each document is judged alone, in Arrow batches; nothing shuffles.
@@ -36,7 +37,7 @@ FAMILIES = (
     ("lgpl", ("gnu lesser general public licen[cs]e", "gnu library general public licen[cs]e", "lgpl"), ("2", "2 1", "3")),
     ("agpl", ("gnu affero general public licen[cs]e", "affero gpl", "agpl"), ("1", "3")),
     ("gfdl", ("gnu free documentation licen[cs]e", "gfdl"), ("1 1", "1 2", "1 3")),
-    ("apache", ("apache software licen[cs]e", "apache licen[cs]e", "asl"), ("1", "1 1", "2", "2 0")),
+    ("apache", ("apache software licen[cs]e", "apache licen[cs]e", "asl"), ("1 0", "1 1", "2 0")),
     ("mpl", ("mozilla public licen[cs]e", "mpl"), ("1 0", "1 1", "2 0")),
     ("epl", ("eclipse public licen[cs]e", "epl"), ("1 0", "2 0")),
     ("eupl", ("european union public licen[cs]e", "eupl"), ("1 0", "1 1", "1 2")),
@@ -64,7 +65,8 @@ FAMILIES = (
     ("unlicense", ("the unlicen[cs]e", "unlicense org"), ()),
     ("wtfpl", ("do what the fuck you want to public licen[cs]e", "wtfpl"), ("2",)),
     ("zlib", ("zlib licen[cs]e", "zlib libpng licen[cs]e"), ()),
-    ("isc", ("isc licen[cs]e",), ()),
+    ("isc", ("isc licen[cs]e", "permission to use copy modify and(?: or)? distribute this software for any purpose with or "
+             "without fee is hereby granted"), ()),
     ("x11", ("x11 licen[cs]e", "mit x11"), ()),
     ("mit", ("mit licen[cs]e", "expat licen[cs]e",
              "permission is hereby granted free of charge to any person obtaining a copy"), ()),
@@ -79,8 +81,18 @@ FAMILIES = (
     ("no-warranty", ("without warranty of any kind", "provided as is"), ()),
 )
 #: Ways in which a version follows a name, and what may follow the version.
-VERSION_FORMS = ("{v}", "v{v}", "version {v}")
-GRANTS = (("", ""), (" only", "-only"), (" or (?:any )?later(?: version)?", "-or-later"))
+VERSION_FORMS = ("{n} {v}", "{n} v{v}", "{n} version {v}")
+#: An abbreviation may have the version glued to it.
+GLUED_FORMS = ("{n}{v}", "{n}v{v}")
+#: As in the notices at the head of source files.
+NOTICE_FORM = "{n}(?: as published by the free software foundation)?(?: either)? version {v} of the licen[cs]e"
+GRANTS = (("", ""), (" only", "-only"), (" or (?:at your option )?(?:any )?later(?: version)?", "-or-later"))
+#: Names that mean a license with a version only, or in a list of licenses ("the MIT and BSD licenses").
+WITH_VERSION = {"apache": ("apache",)}
+IN_LISTS = ("mit", "bsd", "isc", "apache", "zlib")
+LIST_FORMS = ("{n}(?= and [a-z0-9]+ licen[cs]es)", "{n}(?= or [a-z0-9]+ licen[cs]e)", "{n}(?= and [a-z0-9]+ licen[cs]e )")
+#: Identifiers of SPDX expressions that differ from label and version.
+SPDX_IDS = {"unlicense": "unlicense", "ofl": "ofl 1 1", "psf": "psf 2 0", "bsl": "bsl 1 0", "artistic": "artistic 2 0"}
 
 
 @dataclass(frozen=True)
@@ -95,17 +107,32 @@ def signatures() -> list[Signature]:
     families keep the order of the table, longer names first."""
     out = []
     for rank, (label, names, versions) in enumerate(FAMILIES):
-        for k, name in enumerate(names):
+        gnu = label.endswith("gpl")
+        for k, name in enumerate((*names, *WITH_VERSION.get(label, ()))):
+            forms = (*VERSION_FORMS, *(GLUED_FORMS if re.fullmatch("[a-z]+", name) else ()), *((NOTICE_FORM,) if gnu else ()))
+            name = re.sub(r"licen\[cs\]e$", "licen[cs]es?", name)
             for v in sorted(versions, key=len, reverse=True):
-                for form in VERSION_FORMS:
-                    for g, (grant, suffix) in enumerate(GRANTS if label.endswith("gpl") else GRANTS[:1]):
-                        out.append(Signature(
-                            f"{label}-{v.replace(' ', '.')}{suffix}", f"{name} {form.format(v=v)}{grant}",
-                            1000 * (0 if suffix else 1) + 10 * rank + k))
-            out.append(Signature(label, name, 2000 + 10 * rank + k))
+                # a version ends in 0 whether or not that is written
+                written = re.sub("(?<=[0-9]) 0$", "", v)
+                written += "" if " " in written else "(?: 0)?"
+                for form in forms:
+                    for grant, suffix in GRANTS if gnu else GRANTS[:1]:
+                        out.append(Signature(f"{label}-{v.replace(' ', '.')}{suffix}", form.format(n=name, v=written) + grant,
+                                             1000 * (0 if suffix else 1) + 10 * rank + k))
+            if k < len(names):
+                out.append(Signature(label, name, 2000 + 10 * rank + k))
+        if label in IN_LISTS:
+            out += [Signature(label, form.format(n=label), 2000 + 10 * rank + 9) for form in LIST_FORMS]
     return sorted(out, key=lambda s: s.priority)
 
 
+def spdx_ids() -> list[tuple[str, str]]:
+    """(label, expression) of the identifiers that may follow "spdx license identifier", longest first."""
+    out = [(s.label, s.pattern) for s in signatures() if s.priority < 2000 and s.pattern.startswith(s.label.split("-")[0])]
+    out += [(label, SPDX_IDS.get(label, label.replace("-", " "))) for label, _, _ in FAMILIES if label not in ("spdx", "copyright", "no-warranty", "proprietary")]
+    return sorted(out, key=lambda x: (-len(x[1]), x[1]))
+
+
 _KEEP = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20
               for c in range(256))
 
@@ -118,9 +145,9 @@ def words_text(text: str | None) -> tuple[bytes, int]:
 
 
 def required_word(pattern: str) -> str:
-    """The prefilter keyword of a rule: the longest word that every match of it contains."""
-    plain = re.sub(r"\(\?:[^)]*\)\??|\[[^\]]*\](?:\{\d+\})?| \?", "\0", pattern)
-    return max((w for w in plain.split(" ") if "\0" not in w), key=len, default="")
+    """The prefilter keyword of a rule: the longest piece of a word that every match of it contains."""
+    plain = re.sub(r"\(\?[:=][^)]*\)\??|\[[^\]]*\](?:\{\d+\}|\+)?|.\?", "\0", pattern)
+    return max(re.split("[ \0]", plain), key=len, default="")
 
 
 @lru_cache(maxsize=1)
@@ -133,6 +160,29 @@ def compiled():
     return rules, [(f" {phrase} ".encode(), label) for phrase, label in BASE]
 
 
+@lru_cache(maxsize=1)
+def spdx_compiled():
+    """Expression of the words before an SPDX expression, of one identifier, and of what joins two."""
+    ids = spdx_ids()
+    one = b"|".join(b"(%s)" % pattern.encode() for _, pattern in ids)
+    return re.compile(b"(?<= )spdx licen[cs]e identifier "), re.compile(b"(?:%s)(?= )" % one), re.compile(b" (?:or|and) "), [x for x, _ in ids]
+
+
+def spdx_places(norm: bytes) -> list[tuple[int, int, str]]:
+    """(start, end, label) of the identifiers in SPDX expressions."""
+    out = []
+    if b" spdx " in norm:
+        head, one, join, labels = spdx_compiled()
+        for m in head.finditer(norm):
+            at = m.end()
+            while found := one.match(norm, at):
+                out.append((at, found.end(), labels[found.lastindex - 1]))
+                if not (more := join.match(norm, found.end())):
+                    break
+                at = more.end()
+    return out
+
+
 def suppress(hits: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
     """Detections (order, start, end, label) that lie within none kept before them.  A Fenwick
     tree over the starts holds the furthest end of what is kept, so this takes n log n."""
@@ -168,6 +218,7 @@ def scan(text: str | None):
         if keyword in norm:
             for order, label, expression in group:
                 hits += [(order, m.start(), m.end(), label) for m in expression.finditer(norm)]
+    hits += [(-1, *x) for x in spdx_places(norm)]
     kept = suppress(hits)
     number, last, word = {}, 0, -1  # byte offset -> word number, in one walk
     for o in sorted({x for p in (*places, *kept) for x in p[:2]}):
