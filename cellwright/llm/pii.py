@@ -21,8 +21,13 @@ The rounds touch distinct entities only.  Texts without a digit run, ``@``, two
 pattern) are passed on where they are read; the others meet their replacements in a join.  A
 hot entity is a hot key of an ordinary join, which adaptive execution splits.
 
+The key is a required argument of the operator.  The query and the pipeline read it from the
+session setting ``spark.cellwright.pii.key``; only where that is unset they take ``TEST_KEY``, which
+is in the source and so protects nothing: a production job sets its own.
+
 Defined results: a null text stays null with no entities; repeated rows are each kept and get
-equal results; empty tables work; other columns pass unchanged.
+equal results; empty tables work; other columns pass unchanged, and where one of them is named
+``pii`` the list of entities is named ``pii_`` (or with as many more ``_`` as it takes).
 """
 
 from __future__ import annotations
@@ -41,7 +46,8 @@ from pyspark.sql.types import StringType, StructType
 
 from .common import materialise, pick, prepare, table, text_key
 
-KEY = b"cellwright surrogate key"
+KEY_SETTING = "spark.cellwright.pii.key"
+TEST_KEY = b"cellwright surrogate key"
 WIDEN, MAX_ATTEMPTS = 16, 64
 
 #: Titles and the gender they tell.
@@ -52,6 +58,11 @@ _TITLE = "|".join(sorted((f(t) for t in TITLES for f in (str.capitalize, str.upp
 _NAME = r"[^\W\d_a-z][^\W\d_]+(?:[-'][^\W\d_]+)*"
 #: Types in order of precedence; the entity is group 1.
 TYPES = (
+    # Keys and tokens that are known by their form; of a PEM block what is between its two lines.
+    ("secret", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----\s*+([^-\s][^-]*[^-\s])\s*-----END")),
+    ("secret", re.compile(r"(?<![\w\-])(gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|(?:AKIA|ASIA)[A-Z0-9]{16}|sk-[A-Za-z0-9_\-]{20,}"
+                          r"|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}"
+                          r"|eyJ[A-Za-z0-9_\-]{5,}\.eyJ[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{5,})(?!\w)")),
     ("secret", re.compile(r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b\s*[=:]\s*[\"']?)"
                           r"([A-Za-z0-9+/_\-.]{8,})")),
     ("email", re.compile(r"(?<!\w)(\w[\w.!#$%&'*+\-^`{|}~]{0,63}@(?:[^\W_](?:[^\W_]|-){0,62}\.)+"
@@ -67,12 +78,15 @@ TYPES = (
                          # grouped by blanks; area codes with a trunk zero, in brackets or not
                          r"|(?<!\d[.,\-])(?:(?:1 )?\d{3} \d{3} \d{4}|0\d(?:([ .\-])\d{2})(?:\2\d{2}){3}"
                          r"|(?:0\d{1,4}[ /\-]|\(0\d{1,4}\) ?)(?:\d{3,4}[ \-]\d{3,4}|\d{6,8})))(?!\w)")),
-    ("secret", re.compile(r"(?<!\w)((?=[0-9A-Fa-f]*\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}))(?!\w)")),
+    # Ten digits in a row are a phone number behind a word that says so.
+    ("phone", re.compile(r"(?i:\b(?:tel|phone|telephone|mobile|cell|fax|call)\b[ .:#]{1,3})([2-9]\d{9})(?!\w)")),
+    ("secret", re.compile(r"(?<!\w)((?=[0-9A-Fa-f]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,}))(?!\w)")),
     ("name", re.compile(rf"\b((?:(?:{_TITLE})\.? )+{_NAME}(?: {_NAME})?)(?!\w)")),
 )
 #: What every entity contains, for Spark's own pattern matcher.
 _FIRST = "".join(sorted({t[0].upper() for t in TITLES}))
 HINT = (rf"\p{{Nd}}[ .:\-()]*\p{{Nd}}|@|:[0-9A-Fa-f]{{0,4}}:|(?<![A-Za-z])(?=[{_FIRST}])(?:{_TITLE})\.? "
+        r"|(?<![\w\-])(?:gh[pousr]_|github_pat_|A[KS]IA|sk-|xox[abprs]-|AIza|eyJ)|PRIVATE KEY"
         r"|(?i)(token|secret|passw|pwd|key)[\w\s\p{Z}]*[=:]")
 
 
@@ -216,7 +230,12 @@ def letter_like(c: str, r: Stream, vowel: bool | None = None) -> str:
     return pool[r.below(len(pool))]
 
 
-def surrogate(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str:
+def session_key(spark) -> bytes:
+    """The key of the session's setting, else ``TEST_KEY``."""
+    return (spark.conf.get(KEY_SETTING, None) or TEST_KEY.decode()).encode()
+
+
+def surrogate(kind: str, form: str, attempt: int, key: bytes) -> str:
     """The canonical form of the replacement of a canonical form."""
     r = Stream(key, kind, form, attempt)
     more = attempt - WIDEN + 1 if attempt >= WIDEN else 0
@@ -297,7 +316,7 @@ def detect(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         "start INT, end INT, type STRING, surface STRING, form STRING, gender STRING").fields]))
 
 
-def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
+def surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     """(type, form, surrogate) of distinct (type, form) rows: no two entities of a type share a
     surrogate, and no surrogate is an entity.  ``gender``, if there, is that of the form where
     its rows agree."""
@@ -330,10 +349,13 @@ def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     raise RuntimeError("surrogates still collide")
 
 
-def replace_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key: bytes = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, key: bytes, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All rows and columns of ``docs`` with the text replaced, plus ``pii`` (array of start,
     end, type, surface, surrogate; offsets in the source text)."""
     spark = docs.sparkSession
+    taken, found_as = {c.lower() for c in docs.columns}, "pii"
+    while found_as in taken:
+        found_as += "_"
     prepare(spark)
     mentions = materialise(detect(docs, text, doc_id), "pii-mentions")
     names = surrogates(mentions, key)
@@ -351,7 +373,7 @@ def replace_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key
     hinted = F.coalesce(F.col(f"`{text}`").rlike(HINT), F.lit(False))
     kind = found.schema["__pii"].dataType
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    plain = docs.where(~hinted).select(*others, F.col(f"`{text}`"), F.array().cast(kind).alias("pii"))
+    plain = docs.where(~hinted).select(*others, F.col(f"`{text}`"), F.array().cast(kind).alias(found_as))
     # The new text: the stretches between the mentions, and the surrogates.
     t = f"`{text}`"
     rest = f"substring({t}, coalesce(element_at(__pii, -1).end, 0) + 1)"
@@ -362,12 +384,12 @@ def replace_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key
               .join(found, F.col(f"`{doc_id}`").eqNullSafe(F.col("__d")) & (F.col("__k2") == F.col("__k")), "left"))
     changed = joined.select(
         *others, F.when(F.col("__pii").isNull(), F.col(t)).otherwise(F.expr(pieces)).alias(text),
-        F.coalesce("__pii", F.array().cast(kind)).alias("pii"))
-    return plain.unionByName(changed).select(*[F.col(f"`{c}`") for c in docs.columns], "pii")
+        F.coalesce("__pii", F.array().cast(kind)).alias(found_as))
+    return plain.unionByName(changed).select(*[F.col(f"`{c}`") for c in docs.columns], found_as)
 
 
 def op8_pii_surrogates(spark, sf_dir):
-    out = replace_pii(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    out = replace_pii(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), session_key(spark))
     return out.select("doc_id", F.size("pii").cast("long").alias("n_entities"),
                       F.array_join(F.array_sort(F.array_distinct(F.expr("transform(pii, p -> p.type)"))), ",").alias("types"),
                       "text")
