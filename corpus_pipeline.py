@@ -16,7 +16,7 @@ from cellwright.llm.common import materialise, pick, table, text_key
 from cellwright.llm.decontam import contaminated_documents
 from cellwright.llm.graph import Bloom
 from cellwright.llm.jaccard import near_duplicates
-from cellwright.llm.pii import replace_pii
+from cellwright.llm.pii import replace_pii, session_key
 from cellwright.llm.quality import quality_rules
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -57,7 +57,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data, n_chars recounted."""
-    out = replace_pii(pick(docs, *COLUMNS)).drop("pii")
+    out = replace_pii(pick(docs, *COLUMNS), session_key(spark)).drop("pii")
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))
                           .otherwise(F.col("n_chars"))).select(*COLUMNS)
 
