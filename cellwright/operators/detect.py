@@ -304,7 +304,7 @@ class Detector:
             if raw:
                 out.append((c, RAW))
         if heavy:  # estimates are never below the true count
-            top = self.df.agg(*[F.approx_top_k(F.when(_q(c).isNotNull(), F.xxhash64(_q(c))), 1, 100).alias(f"t{i}")
+            top = self.df.agg(*[F.expr(f"approx_top_k(xxhash64(`{c}`), 1, 100) FILTER (WHERE `{c}` IS NOT NULL)").alias(f"t{i}")
                                 for i, c in enumerate(heavy)]).first()
             out += [(c, RAW) for i, c in enumerate(heavy)
                     if top[f"t{i}"] and top[f"t{i}"][0]["count"] >= K.LOW_VAR_TOP_SHARE * p1[f"{c}|n"]]

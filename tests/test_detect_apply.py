@@ -271,3 +271,12 @@ def test_next_number_of_any_length(spark):
     ns = [0, 1, 8, 9, 10, 99, 109, 199, 989, 10 ** 40 - 1, 10 ** 40, 123_999]
     df = spark.createDataFrame([(seq_key(n), seq_key(n + 1)) for n in ns], "x string, y string")
     assert df.where(seq_next(F.col("x")) != F.col("y")).count() == 0
+
+
+def test_heavy_hitter_among_many_values(spark):
+    """One value on most rows of a column with many others: found past the sketch, nulls left out."""
+    df = spark.range(30_000).selectExpr("id AS k", "CASE WHEN id % 24 = 0 THEN 'v' || id ELSE 'same' END AS kind",
+                                        "CASE WHEN id % 2 = 0 THEN NULL WHEN id % 6 = 1 THEN 'w' || id ELSE 'most' END AS other")
+    r = recs_by(detect_records(df, "ds", order_by="k", types=["LOW_VARIANCE"]))
+    assert r[("kind", "LOW_VARIANCE")]["affected"] == 30_000 and r[("kind", "LOW_VARIANCE")]["original_value"] == "same"
+    assert ("other", "LOW_VARIANCE") not in r
