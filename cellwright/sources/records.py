@@ -10,11 +10,11 @@ every piece say where records end:
 * JSON: an object ends at a brace outside strings that brings the depth back to zero.  Strings are
   the stretches between quotes without a backslash before them.
 
-Both are prefix sums over the pieces of a file: first within a block (the split a piece was read
-from), then over the blocks, one small row each; JSON sums the depth for either state a block may
+Both are prefix sums over the pieces of a file: first within a block (BLOCK_LINES pieces, or what a
+split has left), then over the blocks, one small row each; JSON sums the depth for either state a block may
 begin in.  Pieces become records inside their block, and what crosses a border is put together
 afterwards, from the last record of one block and the heads of the next ones.  The largest
-thing in one task is a split, or a record.
+thing in one task is a split, a few blocks, or a record.
 """
 
 from __future__ import annotations
@@ -25,13 +25,19 @@ from pyspark.sql import functions as F
 from ..session import written
 
 BLOCK = ["file", "block"]
+#: A power of two.  Whole splits as blocks would meet by chance, several of them in one task.
+BLOCK_LINES = 1 << 15
 
 
 def _pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """(file, block, at, value): the pieces of all files; ``at`` grows within a block."""
-    return spark.read.option("lineSep", separator).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+    """(file, block, at, value): the pieces of all files; ``at`` grows within a block.  A block's number
+    is the byte its split starts at plus its place among the task's blocks, which is less than the
+    bytes of any split that another one of the file follows."""
+    lines = spark.read.option("lineSep", separator).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("at"), "value")
+    place = F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / BLOCK_LINES)  # the low 33 bits count a task's rows
+    return lines.select("file", (F.col("start") + place).alias("block"), "at", "value")
 
 
 def _count(text: Column, what: str) -> Column:
@@ -61,7 +67,7 @@ def _whole_records(pieces: DataFrame, joiner: str) -> DataFrame:
     last = parts.groupBy(*BLOCK).agg(F.max("rec").alias("last"))
     last = last.withColumn("owner", F.last(F.when(F.col("last") > 0, F.col("block")), ignorenulls=True).over(_blocks_before()))
     last = last.withColumn("follows", F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNotNull())
-    parts = parts.join(last, BLOCK)
+    parts = parts.join(F.broadcast(last), BLOCK)  # a small row a block; the texts stay where they are
     border = (F.col("rec") == 0) | ((F.col("rec") == F.col("last")) & F.col("follows"))
     inner = parts.where(~border).select(*BLOCK, "rec", "text")
     # of one owner: its last record, then the heads of the blocks after it

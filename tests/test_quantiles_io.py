@@ -287,3 +287,18 @@ def test_json_array_of_something_else_is_refused(spark):
         fh.write('[1, 2,\n {"a": 1}]')
     with pytest.raises(Exception, match="no object but"):
         IO.read_json(spark, path).collect()
+
+
+def test_records_of_small_blocks(spark, tmp_path, monkeypatch):
+    """Blocks hold a few lines, however large the split; records that cross them come back whole."""
+    from cellwright.sources import records
+    monkeypatch.setattr(records, "BLOCK_LINES", 4)
+    rows = [(i, "\n".join(f'l{j} "q", {i}' for j in range(i % 13))) for i in range(60)]
+    path = str(tmp_path / "small.csv")
+    IO.write_table(spark.createDataFrame(rows, "i long, t string").coalesce(1), path, "csv")
+    assert records.csv_records(spark, path, '"').select("block").distinct().count() > 40
+    back = IO.read_csv(spark, path, schema="i long, t string")
+    assert sorted((r.i, r.t or "") for r in back.collect()) == rows
+    (tmp_path / "a.json").write_text("[" + ",\n".join(f'{{"a": {i}, "b": {{"c": "}}{i}"}}}}' for i in range(50)) + "]")
+    back = IO.read_json(spark, str(tmp_path / "a.json"))
+    assert sorted((r.a, r.b.c) for r in back.collect()) == [(i, f"}}{i}") for i in range(50)]
