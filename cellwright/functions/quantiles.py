@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import math
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from decimal import Decimal, localcontext
 
 from pyspark.sql import Column, DataFrame
@@ -201,7 +201,11 @@ def kth_smallest(df: DataFrame, requests: list[Request], exact_limit: int = EXAC
 
 
 def _narrow(df: DataFrame, requests: list[Request], limit: int, accuracy: int) -> dict:
-    types = {e: df.select(F.expr(e)).schema[0].dataType for e in {r.expr for r in requests}}
+    # a projection of its own: an expression is computed once a row, not again for each count
+    names = {e: f"`x{i}`" for i, e in enumerate(dict.fromkeys(r.expr for r in requests))}
+    df = df.select(*[F.expr(e).alias(x.strip("`")) for e, x in names.items()])
+    requests = [replace(r, expr=names[r.expr]) for r in requests]
+    types = {e: df.schema[e.strip("`")].dataType for e in names.values()}
     kinds = {e: {"float": "double", "double": "double", "decimal": "decimal", "string": "string"}.get(t.typeName(), "bigint")
              for e, t in types.items()}
     heads = _common_heads(df, [e for e in types if kinds[e] == "string"])

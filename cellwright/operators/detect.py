@@ -38,7 +38,7 @@ from ..functions.text import count_if, digit_count, email_valid, first_by, phone
 from ..functions.types import dtypes, kind_of
 from ..plans.profile import (KEY, PREFIX, RAW, fetch_values, least_values, order_column, persist, run_aggs,
                              value_counts, value_text)
-from ..session import written
+from ..session import spread, written
 
 ANOMALY_SCHEMA = T.StructType([
     T.StructField("anomaly_id", T.StringType(), False),
@@ -700,6 +700,7 @@ class Detector:
         round-number counters together with the order statistics, one pass for the IQR
         and sequence counters, and the counters of the wrong-field rules."""
         w = self.want
+        self.df = spread(self.df)
         self.pass1()
         needs_v = w & {"MISSING_VALUE", "DUPLICATE", "INCONSISTENT", "LOW_VARIANCE", "SEQUENCE_GAP"}
         self.vs, self.thr = {}, {}

@@ -98,9 +98,11 @@ def value_counts(df: DataFrame, entries: list[tuple]) -> DataFrame:
     types, heads = dtypes(df), text_heads(df, entries)
     rows = []
     for i, (c, kind) in enumerate(entries):
-        v = counted_value(types, c, kind)
+        v = F.col(f"v{i}")
         rows.append(F.struct(F.lit(i).alias("entry"), *_hashes(v), _place(v, _is_number(types, c, kind), heads.get((c, kind), 0)).alias("p"),
                              v.isNotNull().alias("ok")))
+    # a projection of its own: every value is computed once, not again for each hash
+    df = df.select(*[counted_value(types, *e).alias(f"v{i}") for i, e in enumerate(entries)])
     return (df.select(F.explode(F.array(*rows)).alias("e")).select("e.*").where("ok")
             .groupBy("entry", "h1", "h2", "p").agg(F.count(F.lit(1)).alias("cnt")))
 
@@ -110,7 +112,7 @@ def _values(df: DataFrame, entries: list[tuple], wanted: list[int]) -> DataFrame
     types, rows = dtypes(df), []
     for i in wanted:
         c, kind = entries[i]
-        v = counted_value(types, c, kind)
+        v = F.col(f"v{i}")
         number = _is_number(types, c, kind)
         whole, decimal = number and is_integral(types[c]), isinstance(types[c], T.DecimalType)
         rows.append(F.struct(F.lit(i).alias("entry"), *_hashes(v),
@@ -118,6 +120,7 @@ def _values(df: DataFrame, entries: list[tuple], wanted: list[int]) -> DataFrame
                              F.when(F.lit(number and not whole and not decimal), v.cast("double") if number else F.lit(None)).alias("fnum"),
                              F.when(F.lit(whole), v.cast("bigint") if whole else F.lit(None)).alias("inum"),
                              v.isNotNull().alias("ok")))
+    df = df.select(*[counted_value(types, *entries[i]).alias(f"v{i}") for i in wanted])
     return df.select(F.explode(F.array(*rows)).alias("e")).select("e.*").where("ok").drop("ok")
 
 

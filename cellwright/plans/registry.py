@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import transforms as TR
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from ..sources import io as IO
 from .fixtures import DIRTY_ORDER, dirty, table
 
@@ -449,7 +449,7 @@ from ..operators.cells import find_cells  # noqa: E402
 
 
 def _dirty_anomalies(spark, sf_dir):
-    d = dirty(spark, sf_dir)
+    d = spread(dirty(spark, sf_dir))
     return d, detect_anomalies(d, "dirty", order_by=DIRTY_ORDER)
 
 
@@ -703,7 +703,7 @@ def d23(spark, sf_dir):
 
 def _dirty_lineitem_anomalies(spark, sf_dir):
     from .fixtures import dirty_lineitem
-    d = dirty_lineitem(spark, sf_dir)
+    d = spread(dirty_lineitem(spark, sf_dir))
     return d, detect_anomalies(d, "lineitem", order_by="row_key")
 
 

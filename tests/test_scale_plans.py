@@ -102,3 +102,29 @@ def test_order_dependent_ops_same_at_1_and_8_shuffle_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1]
+
+
+def test_spread_deals_rows_of_one_task(spark):
+    """Rows that a compact file keeps in one task are dealt over the cores; small tables stay as they are."""
+    from cellwright.session import spread
+    one = spark.range(0, 200_000, 1, 1).selectExpr("id AS k", "'v' || id % 7 AS v")
+    out = spread(one)
+    most = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most <= 100_000 and out.exceptAll(one).isEmpty() and out.count() == 200_000
+    small = one.limit(1000)
+    assert spread(small) is small
+
+
+def test_order_statistics_compute_their_value_once(spark):
+    """The expression of a request is in a projection of its own, not in every count and sketch."""
+    from cellwright.functions import quantiles as Q
+    seen = []
+    real = Q._leaf_sketches
+    Q._leaf_sketches = lambda df, *a: seen.append(df.columns) or real(df, *a)
+    try:
+        df = spark.range(5000).selectExpr("id * 3 AS a")
+        reqs = [Q.Request(n, "CAST(regexp_extract('n' || a, 'n([0-9]+)', 1) AS BIGINT)", k, 5000) for n, k in (("x", 10), ("y", 4000))]
+        assert Q.kth_smallest(df, reqs, exact_limit=100) == {"x": 30, "y": 12000}
+    finally:
+        Q._leaf_sketches = real
+    assert seen and all(c == ["x0"] for c in seen)
