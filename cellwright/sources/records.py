@@ -117,11 +117,10 @@ def json_records(spark: SparkSession, path: str) -> DataFrame:
 
     start, add = added(F.col("begin"))
     pieces = pieces.join(blocks, BLOCK).withColumn("start", start).withColumn("add", add)
-    ends = ((F.col("depth") + _sum_before(F.col("add"), _before()) + F.col("add") == 0)
-            & ((F.col("start") + F.col("odd")) % 2 == 0)).cast("long")
-    pieces = pieces.withColumn("ends", ends)
-    # a piece after the block's first end opens the next record; what precedes it is head, or goes on
-    pieces = pieces.withColumn("rec", _sum_before(F.col("ends"), _before()))
+    # a piece opens a record where the one before it, be it in another block, has closed one
+    starts = ((F.col("depth") + _sum_before(F.col("add"), _before()) == 0) & (F.col("start") == 0)).cast("long")
+    pieces = pieces.withColumn("starts", starts)
+    pieces = pieces.withColumn("rec", _sum_before(F.col("starts"), _before()) + F.col("starts"))
     out = _whole_records(pieces.select(*BLOCK, "rec", "at", F.concat("value", F.lit("}")).alias("value")), "")
     out = out.withColumn("text", F.regexp_replace("text", r"^[\x{FEFF}\s,\[]+", ""))
     bad = ~F.col("text").startswith("{") & ~F.col("text").rlike(r"^[\s\]]*\}?$")
