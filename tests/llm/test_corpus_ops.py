@@ -130,6 +130,26 @@ def test_near_duplicates_match_brute_force(spark, k, percent, orders):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(list(zip(ids, texts)), k, percent)
 
 
+def test_near_duplicates_pairs_of_a_large_family(spark, monkeypatch):
+    """Copies of one text that are mostly too far apart to link: few of all pairs (11,175) are tried."""
+    rnd = random.Random(11)
+    base = prose(rnd, 160)
+    texts = [" ".join(edited(rnd, base, rnd.randint(1, 6))) for _ in range(150)]
+    tried, write = [], jaccard.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        if name.endswith("pairs"):
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    ids = list(range(len(texts)))
+    got = jaccard.near_duplicates(docs(spark, texts, ids), 4, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(list(zip(ids, texts)), 4, 85)
+    assert sum(tried) < 3000
+
+
 def test_near_duplicates_odd_tables(spark):
     d = docs(spark, ["a b c d e"] * 3 + [None, None], ids=[3, 3, None, None, 1])
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(d, 4, 85).collect()),
