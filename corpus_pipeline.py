@@ -63,9 +63,12 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, token ids and their number, and the digest of the decoded bytes."""
+    """doc_id, source, token ids and their number, and the digest of the decoded bytes.  The ids are
+    written before they are decoded: in one task, encoding and decoding take a Python worker
+    each, and both stay with the executor, with their memory, for all steps that follow."""
     keep = ("doc_id", "lang", "source")
-    out = decode_documents(encode_documents(pick(docs, *COLUMNS), keep=keep), keep=(*keep, "ids"))
+    ids = materialise(encode_documents(pick(docs, *COLUMNS), keep=keep), "pipeline-ids")
+    out = decode_documents(ids, keep=(*keep, "ids"))
     return out.select(*keep, F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), "ids",
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 

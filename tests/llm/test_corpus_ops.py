@@ -311,6 +311,18 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_pipeline_decodes_in_other_tasks_than_it_encodes(spark, tmp_path):
+    texts = ["Some words, and 12 more.", None, "", "Some words, and 12 more.", "na\u00efve \U0001F600 " * 50]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    rows.append(rows[0])
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.byte_bpe(spark, d, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # a task with two keeps two Python workers
+    got = sorted((r.doc_id, r.decoded_sha256, r.n_tokens == len(r.ids) // 4) for r in out.collect())
+    assert got == sorted((r[0], hashlib.sha256((r[1] or "").encode()).hexdigest(), True) for r in rows)
+
+
 def test_plain_doubling_finds_the_same_strings(spark):
     rnd = random.Random(12)
     text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
