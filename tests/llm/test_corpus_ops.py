@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellwright.llm import decontam, graph, jaccard, shingles, substrings
+from cellwright.llm import common, decontam, graph, jaccard, shingles, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -323,6 +323,25 @@ def test_pipeline_decodes_in_other_tasks_than_it_encodes(spark, tmp_path):
     assert got == sorted((r[0], hashlib.sha256((r[1] or "").encode()).hexdigest(), True) for r in rows)
 
 
+def test_python_workers_hold_little_of_the_texts_at_once(spark):
+    common.prepare(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    texts = spark.range(0, 1200, 1, 1).selectExpr("repeat(md5(CAST(id AS STRING)), 300) AS t")  # 11.5 MB
+    got = texts.mapInArrow(sizes, "n BIGINT, size BIGINT").collect()
+    assert sum(r.n for r in got) == 1200 and max(r.size for r in got) <= 4 << 20
+    # one table of powers, however many sizes of blocks came by, and blocks well below a megabyte
+    docs = pa.array(["word " * n for n in (20_000, 40_000, 80_000, 160_000)] + ["some words " * 300] * 400)
+    assert max(e - a for a, e, *_ in shingles.blocks(docs)) < 100
+    for n in (1 << 16, 1 << 17, 1 << 18, 1000):
+        up, down = shingles.powers(n)
+        assert len(up) == len(down) == n and (up * down == 1).all()
+    assert len(shingles._powers) == 2 and sum(x.nbytes for x in shingles._powers) <= 16 * shingles.MOST_POWERS
+
+
 def test_plain_doubling_finds_the_same_strings(spark):
     rnd = random.Random(12)
     text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
